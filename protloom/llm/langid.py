@@ -125,20 +125,20 @@ def infer(codes: np.ndarray, offsets: np.ndarray, words: list[str], table: np.nd
     return out
 
 
-def identify(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "text", penalty: float = 4.0, steps: int = 6) -> DataFrame:
-    """docs' columns but text, with lang_pred, score (the language's share of the words) and languages (name:share, ...).
+def identify(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "text", penalty: float = 4.0, steps: int = 6, keep_text: bool = False) -> DataFrame:
+    """docs' columns (text only with keep_text), with lang_pred, score (the language's share of the words) and languages (name:share, ...).
 
     Null texts, texts without a letter and everything where no language was learned get `und`, 0 and an empty list. Ties
     go to the alphabetically first language. Texts are used whole, long ones in one piece; repeated rows stay; an empty
     table gives an empty result; columns named lang_pred, score or languages are replaced.
     """
-    kept = [c for c in docs.columns if c not in (text, "lang_pred", "score", "languages")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "languages") and (keep_text or c != text)]
     table = table.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 8 << 20):
-                codes, offsets, words = words_of(part.column(text))
+            for part in slices(batch, "__text", 8 << 20):
+                codes, offsets, words = words_of(part.column("__text"))
                 theta = infer(codes, offsets, word_list(words), table, penalty, steps)
                 some = theta.sum(1) > 0 if langs else np.zeros(part.num_rows, bool)
                 top = theta.argmax(1) if langs else np.zeros(part.num_rows, int)
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "
                 yield pa.record_batch([*[part.column(c) for c in kept], pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.string())], names=[*kept, "lang_pred", "score", "languages"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*[F.col(c) for c in kept], F.col(text).cast("string")).mapInArrow(run, f"{fields}{', ' * bool(kept)}lang_pred string, score double, languages string")
+    return docs.select(*[F.col(c) for c in kept], F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}{', ' * bool(kept)}lang_pred string, score double, languages string")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html, langid, licenses, mixing, simhash, toxicity, urls
+from . import ann, decontaminate, html, langid, licenses, lm, mixing, simhash, toxicity, urls
 from .common import read
 
 
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", toxicity.held_out().alias("held_out"), "text"), model)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", lm.held_out().alias("held_out"), "text")
+    return lm.score(docs, lm.train(docs.where("not held_out")))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -53,7 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_nearest_neighbours, op5_html_extraction, op6_simhash, op7_language_id, op8_mixing, op9_license_scan, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_lm_scoring, op4_nearest_neighbours, op5_html_extraction, op6_simhash, op7_language_id, op8_mixing, op9_license_scan, op10_url_filter)}
 
 ORACLE_SQL = {
     "op4_nearest_neighbours": """

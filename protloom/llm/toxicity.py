@@ -278,20 +278,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, wo
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs' columns but text, with score (0 to 1) and predicted (1 from THRESHOLD on).
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs' columns (text only with keep_text), with score (0 to 1) and predicted (1 from THRESHOLD on).
 
     A text's score follows its most insulting word or run of single characters. Null, empty and very long texts are
     scored like any other, whole (no word: the least margin). Repeated rows stay, columns named score or predicted are
     replaced, an empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in (text, "score", "predicted")]
+    kept = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
             for part in slices(batch, "__text", 8 << 20):
-                p = model.probability(top_margins(part.rename_columns([*kept, "text"]), model, cache))
+                p = model.probability(top_margins(pa.record_batch([part.column("__text")], names=["text"]), model, cache))
                 yield pa.record_batch([*[part.column(c) for c in kept], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
