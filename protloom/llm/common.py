@@ -57,6 +57,8 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.offset:  # ascii_lower misreads arrays whose text starts within their buffer
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat = split.flatten()
@@ -95,24 +97,28 @@ def per_row_max(values: np.ndarray, offsets: np.ndarray, empty: float) -> np.nda
     return out
 
 
-def components(edges: DataFrame, rounds_per_checkpoint: int = 3) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key is among ids(key). Up to a million ids are broadcast, more are joined by shuffling."""
+    ids = checkpoint(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, key, "left_anti")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each endpoint of edges(a, b) the least node it is linked to.
 
-    Alternates large-star and small-star steps until the edge set repeats; every step is a hash aggregation, so no
-    component is ever gathered in one place except as (node, least neighbour) rows. Lineage is cut by checkpoints.
+    Alternates large-star and small-star steps until the edge set repeats; every step is a hash aggregation and a join, so
+    no component is ever gathered in one place except as (node, least neighbour) rows. Each step is checkpointed: plans
+    don't grow with the rounds.
     """
     cur = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        for _ in range(rounds_per_checkpoint):
-            both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            cur = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-            least = cur.groupBy("a").agg(F.min("b").alias("m"))
-            cur = cur.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        cur = checkpoint(cur)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
+        if now == before or not now[0]:
+            return cur.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
-    return cur.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+        both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = checkpoint(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        cur = checkpoint(large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())

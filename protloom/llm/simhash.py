@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, slices
+from .common import checkpoint, components, slices, without
 
 #: Anchors of more fingerprints than this are linked through midpoints rather than compared pair by pair.
 HOT_ANCHOR = 64
@@ -126,13 +126,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but the first document (least doc_id) of each component. Of rows that repeat a doc_id one stays.
 
-    The decision is made on ids alone: texts are not shuffled but joined once with the ids to keep.
+    The decision is made on ids alone; texts only meet the ids to drop. Rows of null doc_id stay.
     """
     classes = near_duplicates(docs, doc_id, text)
-    ids = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = docs.join(ids, doc_id, "left_semi")
-    again = docs.groupBy(doc_id).count().where("count > 1").select(doc_id)
-    if again.limit(1).count() == 0:
+    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    kept = without(docs, gone, doc_id)
+    again = checkpoint(docs.groupBy(doc_id).count().where("count > 1").select(doc_id))
+    if not again.count():
         return kept
     once = kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.join(again, doc_id, "left_anti").unionByName(once)
+    return without(kept, again, doc_id).unionByName(once)
