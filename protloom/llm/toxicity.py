@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_row_max, remainder, slices, words_of
 
 #: At most about so many labelled documents of each class are learned from; landmarks; training words of each class.
-SAMPLE_DOCS, LANDMARKS, TRAINING_WORDS = 3000, 96, 600
+SAMPLE_DOCS, LANDMARKS, TRAINING_WORDS = 3000, 192, 600
 #: Kernel: common subsequences of three characters, each weighted by DECAY to the power of the stretch it spans.
-LENGTH, DECAY = 3, 0.75
+LENGTH, DECAY = 3, 0.6
 #: Longer words are taken in overlapping pieces of so many characters.
 PIECE = 24
 #: A score at or above this is toxic.
 THRESHOLD = 0.7
 
 
+_OTHER = re.compile(r"[\W_]+")
+
+
 def encode(words: list[str], pad: int) -> np.ndarray:
     """Code points of words of up to PIECE characters, one row each, filled with `pad` (negative: matches nothing)."""
     width = max(map(len, words), default=1)
@@ -130,8 +135,26 @@ def units(codes: np.ndarray, offsets: np.ndarray, words: list[str]) -> tuple[np.
 
 
 def _texts(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words in lower case, without what is neither letter nor digit: inserted dots and dashes go, inserted letters are
+    the kernel's."""
     codes, offsets, words = words_of(part.column("text"))
-    return codes, offsets, [w.lower() for w in words.cast(pa.string()).to_pylist()]
+    return codes, offsets, [w if w.isalnum() else _OTHER.sub("", w) for w in map(str.lower, words.cast(pa.string()).to_pylist())]
+
+
+def copy_group(codes: np.ndarray, offsets: np.ndarray, words: list[str]) -> np.ndarray:
+    """A number that near-copies tend to share: the least hash of a text's three-word runs."""
+    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))[codes]
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    if len(h):
+        run = h * np.uint64(0x9E3779B97F4A7C15) ^ np.roll(h, -1) * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.roll(h, -2) * np.uint64(0x165667B19E3779F9)
+        run ^= run >> np.uint64(31)
+        ends = offsets[1:] - 2
+        for k in (0, 1):  # runs that reach into the next text
+            last = ends[offsets[1:] - offsets[:-1] > 2] + k
+            run[last] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        full = offsets[1:] > offsets[:-1]
+        out[full] = np.minimum.reduceat(run, offsets[:-1][full])
+    return out.view(np.int64)
 
 
 def top_margins(part: pa.RecordBatch, model: Model, cache: dict[str, float]) -> np.ndarray:
@@ -162,20 +185,25 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[DataF
 
 
 def stretched(words: list[str], seed: int = 5) -> list[str]:
-    """Words with characters inserted or one left out, as tolerance is wanted for."""
+    """Words with a letter inserted or doubled, as tolerance is wanted for."""
     rng, out = np.random.default_rng(seed), []
+    letters = sorted({ch for w in words for ch in w})
     for w in words:
-        sep = str(rng.choice(list(".-*_")))
-        k = int(rng.integers(1, max(2, len(w))))
-        out += [sep.join(w), w[:k] + sep + w[k:]]
+        if len(w) > LENGTH:
+            k = int(rng.integers(1, len(w)))
+            out += [w[:k] + str(rng.choice(letters)) + w[k:], w[:k] + w[k - 1] + w[k:]]
     return [w[:PIECE] for w in out]
 
 
-def machine(good: list[str], bad: list[str], landmarks: int = LANDMARKS) -> Model:
-    """The machine trained on ordinary and on insulting words, folded into one table."""
-    def spread(words: list[str], most: int) -> list[str]:
+def machine(good: list[str], bad: list[str], landmarks: int = LANDMARKS, rounds: int = 4) -> Model:
+    """The machine trained on ordinary and on insulting words, folded into one table.
+
+    It begins with a part of the ordinary words; in each round those of all given that it likes best join them, the
+    nearest ones as landmarks too.
+    """
+
+    def spread(pool: list[str], most: int) -> list[str]:
         """Landmarks: each time the word least similar to those chosen."""
-        pool = words[:300]
         k, chosen = gram(pool, pool), [0]
         near = k[:, 0].copy()
         while len(chosen) < min(most, len(pool)) and near.min() < 0.95:
@@ -183,17 +211,33 @@ def machine(good: list[str], bad: list[str], landmarks: int = LANDMARKS) -> Mode
             near = np.maximum(near, k[:, chosen[-1]])
         return [pool[i] for i in chosen]
 
-    marks = list(dict.fromkeys(spread(bad, landmarks // 2) + spread(good, landmarks // 2)))
+    own = spread(bad[:400], landmarks // 2)
     gapped = stretched(bad)
-    words = bad + gapped + good
-    y = np.array([1.0] * (len(bad) + len(gapped)) + [-1.0] * len(good))
+    against, hard = good[: len(good) // 4 + 1], []
+    model = None
+    for r in range(rounds):
+        marks = list(dict.fromkeys(own + hard[: landmarks // 4] + against[: landmarks // 4]))
+        words = bad + gapped + against
+        y = np.array([1.0] * (len(bad) + len(gapped)) + [-1.0] * len(against))
+        weight = np.array([0.4 / len(bad)] * len(bad) + [0.1 / max(1, len(gapped))] * len(gapped) + [0.5 / len(against)] * len(against))
+        model = _trained(words, marks, y, weight)
+        if r + 1 < rounds:
+            value = model.margins(good)
+            value[[i for i, w in enumerate(good) if w in set(against)]] = -np.inf
+            new = [good[i] for i in np.argsort(-value, kind="stable")[:300] if value[i] > -1]
+            hard = new + hard
+            against = against + new
+            if not new:
+                break
+    return model
+
+
+def _trained(words: list[str], marks: list[str], y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6) -> Model:
     value, vector = np.linalg.eigh(gram(marks, marks))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
     x = np.column_stack([gram(words, marks) @ root, np.ones(len(words))])
-    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
-    ridge = 1e-4
     w = np.zeros(x.shape[1])
-    for _ in range(60):  # Newton's method on the squared hinge loss
+    for _ in range(100):  # Newton's method on the squared hinge loss
         on = y * (x @ w) < 1
         h = (x[on] * weight[on, None]).T @ x[on] + ridge * np.eye(len(w))
         new = np.linalg.solve(h, x[on].T @ (weight[on] * y[on]))
@@ -217,7 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, wo
     """Model learned from docs(doc_id, text) and labels(doc_id, toxic).
 
     Labels are of texts, the machine works on words. Insulting words are those that stand in toxic sample texts only and
-    are found in toxic texts far more often than chance allows, or hold a run of four characters whose words are; ordinary words
+    are found in toxic texts far more often than chance allows, or hold a run of four characters whose words are (near-copies count once); ordinary words
     are drawn by hash from clean texts. The logistic curve is fitted to the sample's texts by their largest margin.
     Without rows of both classes, or without such words, scores are the share of toxic labels.
     """
@@ -230,7 +274,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, wo
             for part in slices(batch):
                 toxic = part.column("toxic").to_numpy()
                 codes, offsets, names = _texts(part)
-                kind, unit, which, times = [], [], [], []
+                group = copy_group(codes, offsets, names)
+                kind, unit, which, times, groups = [], [], [], [], []
                 for d in range(part.num_rows):
                     own = {names[c] for c in np.unique(codes[offsets[d] : offsets[d + 1]])}
                     own = {w[:PIECE] for w in own if len(w) >= LENGTH}
@@ -239,21 +284,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, wo
                     unit += [*own, *runs]
                     which += [toxic[d]] * (len(own) + len(runs))
                     times += [1] * len(own) + list(runs.values())
-                yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(unit, pa.string()), pa.array(which, pa.int32()), pa.array(times, pa.int32())], names=["kind", "unit", "toxic", "n"])
+                    groups += [int(group[d])] * (len(own) + len(runs))
+                yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(unit, pa.string()), pa.array(which, pa.int32()), pa.array(times, pa.int32()), pa.array(groups, pa.int64())], names=["kind", "unit", "toxic", "n", "copies"])
 
-    counts = sample.mapInArrow(tell, "kind int, unit string, toxic int, n int").groupBy("kind", "unit").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good")).persist()
+    counts = sample.mapInArrow(tell, "kind int, unit string, toxic int, n int, copies bigint").groupBy("kind", "unit", "toxic", "copies").agg(F.max("n").alias("n")).groupBy("kind", "unit").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good")).persist()
     totals = {r["kind"]: r["count"] for r in counts.groupBy("kind").count().collect()}
     per = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(per) < 2:
         return Model("", np.zeros((1, 1, 1), np.float32), 0.0, prior=share)
     # toxic texts hold a unit of chance with probability base; bad of bad + good times, all of them: base ** bad
     base = per[1] / (per[0] + per[1])
-    sure = lambda kind: (F.col("kind") == kind) & (F.col("good") <= 0.01 * F.col("bad")) & (F.col("bad") * -np.log(base) > np.log(totals.get(kind, 1)) + 1)
+    sure = lambda kind: (F.col("kind") == kind) & (F.col("good") <= 0.01 * F.col("bad")) & (F.col("bad") * -np.log(base) > 1.25 * (np.log(totals.get(kind, 1)) + 1))
     runs = {r["unit"] for r in counts.where(sure(1)).orderBy(F.desc("bad"), "unit").limit(4000).collect()}
     certain = {r["unit"] for r in counts.where(sure(0)).orderBy(F.desc("bad"), "unit").limit(words).collect()}
     only = counts.where("kind = 0 and good = 0 and bad > 0").orderBy(F.desc("bad"), "unit").limit(20 * words).collect()
     bad = [r["unit"] for r in only if r["unit"] in certain or any(r["unit"][k : k + 4] in runs for k in range(len(r["unit"]) - 3))][:words]
-    good = [r["unit"] for r in counts.where("kind = 0 and good > 0 and bad <= good").orderBy(F.xxhash64("unit"), "unit").limit(3 * words).collect()]
+    good = [r["unit"] for r in counts.where("kind = 0 and good > 0 and bad <= good").orderBy(F.xxhash64("unit"), "unit").limit(40 * words).collect()]
     counts.unpersist()
     if not bad or not good:
         return Model("", np.zeros((1, 1, 1), np.float32), 0.0, prior=share)
