@@ -98,15 +98,16 @@ def boundary_pattern(enzyme: str, sites: str | None = None, anti: str | None = N
     return f"(?={inside(sites)}" + (f"(?!{inside(no)})" if no else "") + ")"
 
 
-def boundaries(segment: Column, rules: list[str]) -> Column:
-    """Sorted cut places of a segment, its ends included."""
-    all_ = None
-    for rule in rules:
-        parts = F.split(segment, rule)
-        ends = F.aggregate(parts, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-        ends = F.when(F.element_at(ends, -1) == F.length(segment), ends).otherwise(F.raise_error(F.lit(f"a cleavage pattern must match between residues only: {rule}")))
-        all_ = ends if all_ is None else F.array_union(all_, ends)
-    return F.array_sort(F.array_distinct(F.concat(all_, F.array(F.length(segment)))))
+def fragments(segment: Column, rules: list[str]) -> Column:
+    """A segment's pieces between cuts of any of the rules, in order."""
+    parts = F.filter(F.split(segment, "|".join(f"(?:{r})" for r in rules)), lambda x: x != "")
+    whole = F.length(F.array_join(parts, "")) == F.length(segment)
+    return F.when(whole, parts).otherwise(F.raise_error(F.lit(f"cleavage patterns must match between residues only: {', '.join(rules)}")))
+
+
+def starts(parts: Column) -> Column:
+    """Places from 0 at which pieces begin."""
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("got")), lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["got"], F.array(a["at"])).alias("got")))["got"]
 
 
 def _range(lo: Column, hi: Column) -> Column:
@@ -114,27 +115,47 @@ def _range(lo: Column, hi: Column) -> Column:
     return F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
 
-def _pairs(segment: Column, p: Profile) -> Column:
-    """(start, end) of all peptides of a segment, from 0, end exclusive."""
-    pair = lambda a, b: F.struct(a.cast("int").alias("s"), b.cast("int").alias("e"))
-    n, least = F.length(segment), max(1, p.min_len)
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once, in lambdas too."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def _peptides(segment: Column, parts: Column, at: Column, p: Profile) -> Column:
+    """(s, peptide) of all peptides of a segment, s from 0, given its pieces and where they begin.
+
+    Peptides are cut from a few joined pieces, not from the whole segment, so a long protein costs no more per peptide
+    than a short one.
+    """
+    found = lambda s, x: F.struct(s.cast("int").alias("s"), x.alias("peptide"))
+    least, k = max(1, p.min_len), max(0, p.missed)
     if p.everywhere():
-        return F.flatten(F.transform(_range(F.lit(0), n - least), lambda s: F.transform(_range(s + least, F.least(n, s + p.max_len)), lambda e: pair(s, e))))
-    b = boundaries(segment, p.rules())
-    k, last = max(0, p.missed), F.size(b) - 1
-    index = _range(F.lit(0), last - 1)
-    at = lambda i: F.element_at(b, (i + 1).cast("int"))
-    full = F.flatten(F.transform(index, lambda i: F.transform(_range(i + 1, F.least(i + k + 1, last)), lambda j: pair(at(i), at(j)))))
+        width = max(256, 4 * p.max_len)
+        of = lambda c, t: F.flatten(F.transform(_range(F.lit(0), F.least(F.length(t) - least, F.lit(width - 1))), lambda s: F.transform(_range(F.lit(least), F.least(F.length(t) - s, F.lit(p.max_len))), lambda n: found(c * width + s, F.substring(t, s + 1, n)))))
+        chunks = _range(F.lit(0), F.floor((F.length(segment) - 1) / width).cast("int"))
+        return F.flatten(F.transform(chunks, lambda c: _bound(F.substring(segment, c * width + 1, F.lit(width + p.max_len - 1)), lambda t: of(c, t))))
+    n = F.size(parts)
+    index = _range(F.lit(0), n - 1)
+    joined = lambda i, m: F.array_join(F.slice(parts, i + 1, m), "")
     if p.specificity == "full":
-        return F.filter(full, lambda x: (x["e"] - x["s"]).between(max(0, p.min_len), p.max_len) & (x["e"] > x["s"]))
-    n_side = F.flatten(F.transform(index, lambda i: F.transform(_range(at(i) + least, F.least(at(F.least(i + k + 1, last)), at(i) + p.max_len)), lambda e: pair(at(i), e))))
-    ends = _range(F.lit(1), last)
-    c_side = F.flatten(F.transform(ends, lambda j: F.transform(_range(F.greatest(at(F.greatest(j - k - 1, F.lit(0))), at(j) - p.max_len), at(j) - least), lambda s: pair(s, at(j)))))
+        runs = F.flatten(F.transform(index, lambda i: F.transform(_range(F.lit(1), F.least(F.lit(k + 1), n - i)), lambda m: found(F.get(at, i), joined(i, m)))))
+        return F.filter(runs, lambda x: F.length(x["peptide"]).between(least, p.max_len))
+    from_start = lambda i, t: F.transform(_range(F.lit(least), F.least(F.length(t), F.lit(p.max_len))), lambda m: found(F.get(at, i), F.substring(t, F.lit(1), m)))
+    n_side = F.flatten(F.transform(index, lambda i: _bound(joined(i, F.lit(k + 1)), lambda t: from_start(i, t))))
     if p.specificity == "n-specific":
         return n_side
-    if p.specificity == "c-specific":
-        return c_side
-    return F.concat(n_side, F.filter(c_side, lambda x: ~F.array_contains(b, x["s"])))
+    first = lambda j: F.greatest(j - k, F.lit(0))
+    lengths = lambda t: _range(F.lit(least), F.least(F.length(t), F.lit(p.max_len)))
+    end = lambda j: F.get(at, j) + F.length(F.get(parts, j))
+    to_end = lambda j, t, keep: F.transform(F.filter(lengths(t), lambda m: keep(j, m)), lambda m: found(end(j) - m, F.right(t, m)))
+    any_, inner = (lambda j, m: F.lit(True)), (lambda j, m: ~F.array_contains(F.slice(at, first(j) + 1, k + 1), end(j) - m))
+    c_side = lambda keep: F.flatten(F.transform(index, lambda j: _bound(joined(first(j), j - first(j) + 1), lambda t: to_end(j, t, keep))))
+    return c_side(any_) if p.specificity == "c-specific" else F.concat(n_side, c_side(inner))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a protein's peptides are many times its size."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def stop_segments(proteins: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -162,13 +183,16 @@ def digest(proteins: DataFrame, keys: list[str], seq: str, profile: Profile = Pr
     p = replace(profile, **changes)
     if p.everywhere() and p.methionine == "both":
         p = replace(p, methionine="retain")
-    rows = proteins.select(*keys, normalize(F.col(seq), p.isobaric).alias("__seq"))
+    rows = spread(proteins.select(*keys, normalize(F.col(seq), p.isobaric).alias("__seq")))
     forms = methionine_forms(rows, keys, "__seq", p.methionine).withColumnRenamed("offset", "__form")
     segments = stop_segments(forms, [*keys, "__form"], "form")
-    found = segments.select(*keys, "__form", "offset", "segment", F.explode(_pairs(F.col("segment"), p)).alias("p"))
-    peptide = F.substring(F.col("segment"), F.col("p.s") + 1, F.col("p.e") - F.col("p.s"))
-    peptide = F.concat(F.lit(p.nterm), peptide, F.lit(p.cterm)) if p.nterm or p.cterm else peptide
-    out = found.select(*keys, peptide.alias("peptide"), (F.col("__form") + F.col("offset") + F.col("p.s") + 1).alias("start"), (F.col("__form") + F.col("offset") + F.col("p.e")).alias("end"))
+    # pieces and places are columns of their own: lambdas that refer to them would else compute them for each element
+    segments = segments.withColumn("__parts", F.array().cast("array<string>") if p.everywhere() else fragments(F.col("segment"), p.rules()))
+    segments = segments.withColumn("__at", starts(F.col("__parts")))
+    found = segments.select(*keys, "__form", "offset", F.explode(_peptides(F.col("segment"), F.col("__parts"), F.col("__at"), p)).alias("p"))
+    start = F.col("__form") + F.col("offset") + F.col("p.s") + 1
+    peptide = F.concat(F.lit(p.nterm), F.col("p.peptide"), F.lit(p.cterm)) if p.nterm or p.cterm else F.col("p.peptide")
+    out = found.select(*keys, peptide.alias("peptide"), start.alias("start"), (start + F.length("p.peptide") - 1).alias("end"))
     return out.distinct() if p.methionine == "both" else out
 
 

@@ -10,15 +10,17 @@ from .catalog import query
 DIGEST = dg.Profile(missed=2, min_len=6, max_len=40)
 
 
-def cuts(sites: str, no: str, pos: str = "c") -> str:
-    """DuckDB SQL of a segment's cut places between its ends, as a list."""
-    site = f"instr('{sites}', substr(segment, i{'' if pos == 'c' else ' + 1'}, 1)) > 0"
-    after = "i + 1" if pos == "c" else "i + 2"
-    rule = f" AND NOT (instr('{no}', substr(segment, {after}, 1)) > 0 AND substr(segment, {after}, 1) <> '')" if no else ""
-    return f"list_filter(range(1, length(segment)), lambda i: {site}{rule})"
+def marked(text: str, sites: str, no: str, pos: str = "c") -> str:
+    """DuckDB SQL of a segment with a bar at each cut place."""
+    if pos == "n":
+        return f"regexp_replace({text}, '([{sites}])', '|\\1', 'g')"
+    out = f"regexp_replace({text}, '([{sites}])', '\\1|', 'g')"
+    for x in no:
+        out = f"replace({out}, '|{x}', '{x}')"
+    return out
 
 
-TRYPSIN = cuts("KR", "P")
+TRYPSIN = marked("segment", "KR", "P")
 #: (doc_id, form, off, segment): normalised proteins with and without their first methionine, between stops.
 FORMS = {
     "both": "SELECT doc_id, 0 AS form, aa FROM nm UNION ALL SELECT doc_id, 1, substr(aa, 2) FROM nm WHERE aa LIKE 'M%'",
@@ -36,22 +38,24 @@ sg AS (SELECT doc_id, form, off, segment FROM (SELECT doc_id, form, unnest(parts
 """
 
 
-def bounds(cut: str) -> str:
-    return f", bd AS (SELECT doc_id, form, off, segment, list_distinct(list_concat([0], {cut}, [length(segment)])) AS raw FROM sg), bs AS (SELECT doc_id, form, off, segment, list_sort(raw) AS b FROM bd)\n"
+def bounds(text: str) -> str:
+    """Fragments between cuts in order, each with its neighbours and its place."""
+    return f""", fr0 AS (SELECT doc_id, form, off, unnest(list_filter(string_split({text}, '|'), lambda x: x <> '')) AS f0, unnest(range(len(list_filter(string_split({text}, '|'), lambda x: x <> '')))) AS i FROM sg),
+fr AS (SELECT doc_id, form, off, i, f0, coalesce(lead(f0) OVER w, '') AS f1, coalesce(lead(f0, 2) OVER w, '') AS f2, coalesce(lag(f0) OVER w, '') AS g1, coalesce(lag(f0, 2) OVER w, '') AS g2, sum(length(f0)) OVER w - length(f0) AS s FROM fr0 WINDOW w AS (PARTITION BY doc_id, form, off ORDER BY i))
+"""
 
 
-#: runs of up to three adjacent fragments
-FULL = """, pr AS (SELECT doc_id, form, off, segment, b[i] AS s, b[i + k] AS e FROM (SELECT *, unnest(range(1, len(b))) AS i FROM bs) CROSS JOIN (VALUES (1), (2), (3)) t(k) WHERE i + k <= len(b))
-"""
-N_SIDE = """, pr AS (SELECT doc_id, form, off, segment, s, unnest(range(s + 6, least(b[least(i + 3, len(b))], s + 12) + 1)) AS e FROM (SELECT *, b[i] AS s FROM (SELECT *, unnest(range(1, len(b))) AS i FROM bs)))
-"""
-C_SIDE = """, pr AS (SELECT doc_id, form, off, segment, unnest(range(greatest(b[greatest(i - 3, 1)], e - 12), e - 6 + 1)) AS s, e FROM (SELECT *, b[i] AS e FROM (SELECT *, unnest(range(2, len(b) + 1)) AS i FROM bs)))
-"""
-SEMI = N_SIDE.replace(", pr AS", ", pn AS") + C_SIDE.replace("doc_id, form, off, segment, unnest", "doc_id, form, off, segment, b, unnest").replace(", pr AS", ", pc AS") + ", pr AS (SELECT * FROM pn UNION ALL SELECT doc_id, form, off, segment, s, e FROM pc WHERE NOT list_contains(b, s))\n"
+#: runs of up to three adjacent fragments; peptides from a fragment's start; peptides to a fragment's end
+ONE, TWO, THREE = "SELECT doc_id, form, off, s, f0 AS peptide FROM fr", "SELECT doc_id, form, off, s, f0 || f1 FROM fr WHERE f1 <> ''", "SELECT doc_id, form, off, s, f0 || f1 || f2 FROM fr WHERE f2 <> ''"
+FULL = f", pr AS ({ONE} UNION ALL {TWO} UNION ALL {THREE})\n"
+N_ROWS = "SELECT doc_id, form, off, s, substr(t, 1, n) AS peptide FROM (SELECT *, unnest(range(6, least(length(t), 12) + 1)) AS n FROM (SELECT *, f0 || f1 || f2 AS t FROM fr))"
+C_ROWS = "SELECT doc_id, form, off, s + length(f0) - n AS s, right(t, n) AS peptide{more} FROM (SELECT *, unnest(range(6, least(length(t), 12) + 1)) AS n FROM (SELECT *, g2 || g1 || f0 AS t FROM fr))"
+N_SIDE, C_SIDE = f", pr AS ({N_ROWS})\n", ", pr AS (" + C_ROWS.format(more="") + ")\n"
+SEMI = f", pr AS ({N_ROWS} UNION ALL SELECT doc_id, form, off, s, peptide FROM (" + C_ROWS.format(more=", n, length(f0) AS a, length(f0) + length(g1) AS b, length(f0) + length(g1) + length(g2) AS c") + ") WHERE n NOT IN (a, b, c))\n"
 
 
 def occurrences(lo: int, hi: int, distinct: bool = True) -> str:
-    return f", oc AS (SELECT {'DISTINCT ' * distinct}doc_id, substr(segment, s + 1, e - s) AS peptide, CAST(form + off + s + 1 AS int) AS start, CAST(form + off + e AS int) AS \"end\" FROM pr WHERE e > s AND e - s BETWEEN {lo} AND {hi})\n"
+    return f", oc AS (SELECT {'DISTINCT ' * distinct}doc_id, peptide, CAST(form + off + s + 1 AS int) AS start, CAST(form + off + s + length(peptide) AS int) AS \"end\" FROM pr WHERE length(peptide) BETWEEN {lo} AND {hi})\n"
 
 
 #: what a protein's peptides come to: many queries give this rather than each peptide
@@ -79,7 +83,7 @@ def proteins(t, stops: bool = False):
 STOPS = "replace(aa, 'W', '*')"
 
 
-@query("digest_trypsin", sql(segments("retain") + bounds(TRYPSIN) + FULL.replace("(VALUES (1), (2), (3))", "(VALUES (1))") + occurrences(6, 40, False) + "SELECT doc_id, peptide, start, \"end\" FROM oc"))
+@query("digest_trypsin", sql(segments("retain") + bounds(TRYPSIN) + f", pr AS ({ONE})\n" + occurrences(6, 40, False) + "SELECT doc_id, peptide, start, \"end\" FROM oc"))
 def _(t):
     return dg.digest(proteins(t), ["doc_id"], "aa", missed=0, methionine="retain")
 
@@ -89,21 +93,21 @@ def _(t):
     return summary(dg.digest(proteins(t, True), ["doc_id"], "aa", DIGEST))
 
 
-@query("digest_enzymes", sql(segments("retain") + ", ez AS (" + " UNION ALL ".join(f"SELECT '{name}' AS enzyme, CAST(sum(len({cuts(s, n, p)})) AS bigint) AS n_cuts FROM sg" for name, (p, s, n) in dg.ENZYMES.items() if name != "Cut_everywhere") + ") SELECT enzyme, n_cuts FROM ez"))
+@query("digest_enzymes", sql(segments("retain") + ", ez AS (" + " UNION ALL ".join(f"SELECT '{name}' AS enzyme, CAST(sum(len(list_filter(string_split({marked('segment', s, n, p)}, '|'), lambda x: x <> '')) - 1) AS bigint) AS n_cuts FROM sg" for name, (p, s, n) in dg.ENZYMES.items() if name != "Cut_everywhere") + ") SELECT enzyme, n_cuts FROM ez"))
 def _(t):
     # fragments less segments: what each enzyme cuts
     rows = proteins(t).select("doc_id", normalize(F.col("aa")).alias("segment")).where("segment <> ''")
     names = [n for n in dg.ENZYMES if n != "Cut_everywhere"]
-    sums = rows.agg(*[F.sum(F.size(dg.boundaries(F.col("segment"), [dg.boundary_pattern(n)])) - 2).cast("bigint").alias(n) for n in names])
+    sums = rows.agg(*[F.sum(F.size(dg.fragments(F.col("segment"), [dg.boundary_pattern(n)])) - 1).cast("bigint").alias(n) for n in names])
     return sums.unpivot([], names, "enzyme", "n_cuts")
 
 
-@query("digest_regex", sql(segments("retain") + bounds(cuts("DE", "")) + FULL + occurrences(6, 40, False) + SUMMARY))
+@query("digest_regex", sql(segments("retain") + bounds(marked("segment", "DE", "")) + FULL + occurrences(6, 40, False) + SUMMARY))
 def _(t):
     return summary(dg.digest(proteins(t), ["doc_id"], "aa", regex="(?<=[DE])", methionine="retain"))
 
 
-@query("digest_two_enzymes", sql(segments("retain") + bounds(f"list_concat({TRYPSIN}, {cuts('DN', '', 'n')})") + FULL + occurrences(6, 40, False) + SUMMARY))
+@query("digest_two_enzymes", sql(segments("retain") + bounds(marked(TRYPSIN, "DN", "", "n")) + FULL + occurrences(6, 40, False) + SUMMARY))
 def _(t):
     return summary(dg.digest(proteins(t), ["doc_id"], "aa", enzyme2="asp_n", methionine="retain"))
 
@@ -123,12 +127,12 @@ def _(t):
     return summary(dg.digest(proteins(t), ["doc_id"], "aa", specificity="semi", max_len=12, methionine="retain"))
 
 
-@query("digest_everywhere", sql(segments("retain") + ", pr AS (SELECT doc_id, form, off, segment, s, s + k AS e FROM (SELECT *, unnest(range(length(segment))) AS s FROM sg) CROSS JOIN (VALUES (8), (9)) t(k) WHERE s + k <= length(segment))\n" + occurrences(8, 9, False) + SUMMARY))
+@query("digest_everywhere", sql(segments("retain") + ", pr AS (SELECT doc_id, form, off, s, substr(segment, s + 1, k) AS peptide FROM (SELECT *, unnest(range(length(segment))) AS s FROM sg) CROSS JOIN (VALUES (8), (9)) t(k) WHERE s + k <= length(segment))\n" + occurrences(8, 9, False) + SUMMARY))
 def _(t):
     return summary(dg.digest(proteins(t), ["doc_id"], "aa", enzyme="Cut_everywhere", min_len=8, max_len=9))
 
 
-@query("digest_nocut", sql(segments("remove") + ", pr AS (SELECT *, 0 AS s, length(segment) AS e FROM sg)\n" + occurrences(1, 1000000, False) + "SELECT doc_id, peptide, start, \"end\" FROM oc", STOPS))
+@query("digest_nocut", sql(segments("remove") + ", pr AS (SELECT *, 0 AS s, segment AS peptide FROM sg)\n" + occurrences(1, 1000000, False) + "SELECT doc_id, peptide, start, \"end\" FROM oc", STOPS))
 def _(t):
     return dg.digest(proteins(t, True), ["doc_id"], "aa", enzyme="No_cut", min_len=1, max_len=1_000_000, methionine="remove")
 
@@ -149,7 +153,7 @@ def _(t):
     return t.v_protein.select("doc_id", normalize(F.concat(F.lit("*"), "aa", F.lit("**")), True).alias("seq"))
 
 
-ONE_MISSED = segments("retain") + bounds(TRYPSIN) + FULL.replace("(VALUES (1), (2), (3))", "(VALUES (1), (2))")
+ONE_MISSED = segments("retain") + bounds(TRYPSIN) + f", pr AS ({ONE} UNION ALL {TWO})\n"
 
 
 @query("digest_attach", sql(ONE_MISSED + occurrences(6, 40, False) + SUMMARY.replace("FROM oc", "FROM (SELECT doc_id, 'SY' || peptide || 'GG' AS peptide, start, \"end\" FROM oc)")))
@@ -162,7 +166,7 @@ def _(t):
     return dg.unique_peptides(dg.digest(proteins(t), ["doc_id"], "aa", missed=1, methionine="retain"), ["doc_id", "start"]).select("peptide", "doc_id", "start")
 
 
-@query("digest_fasta_index", sql(ONE_MISSED.replace("(VALUES (1), (2))", "(VALUES (1))") + occurrences(6, 40, False) + ", un AS (SELECT peptide, arg_min(doc_id, (doc_id, start)) AS doc_id, arg_min(start, (doc_id, start)) AS start FROM oc GROUP BY peptide) SELECT 'D' || CAST(doc_id AS varchar) || '_' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, peptide) AS varchar) AS header, peptide FROM un"))
+@query("digest_fasta_index", sql(segments("retain") + bounds(TRYPSIN) + f", pr AS ({ONE})\n" + occurrences(6, 40, False) + ", un AS (SELECT peptide, arg_min(doc_id, (doc_id, start)) AS doc_id, arg_min(start, (doc_id, start)) AS start FROM oc GROUP BY peptide) SELECT 'D' || CAST(doc_id AS varchar) || '_' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, peptide) AS varchar) AS header, peptide FROM un"))
 def _(t):
     from pyspark.sql import Window
 

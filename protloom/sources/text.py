@@ -37,7 +37,7 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
 
 def attributes(text: Column) -> Column:
     """Map of key "value"; and key=value; attributes; the last of equal keys holds."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
     key = lambda x: F.regexp_extract(x, r"^([^\s=]+)", 1)
     value = lambda x: F.trim(F.replace(F.regexp_replace(x, r"^[^\s=]+[\s=]*", ""), F.lit('"'), F.lit("")))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
