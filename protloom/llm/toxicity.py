@@ -57,12 +57,34 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_length(words: list[str]) -> list[np.ndarray]:
+    """Numbers of the words in groups of like length, of at most 2000."""
+    n = np.array([len(w) for w in words])
+    groups = [np.flatnonzero((n > lo) & (n <= hi)) for lo, hi in ((-1, 6), (6, 9), (9, 13), (13, PIECE))]
+    return [g[i : i + 2000] for g in groups for i in range(0, len(g), 2000)]
+
+
+def norms(words: list[str]) -> np.ndarray:
+    """Square roots of the words' kernel with themselves."""
+    out = np.zeros(len(words))
+    for g in by_length(words):
+        some = [words[i] for i in g]
+        out[g] = kernel(encode(some, -1), encode(some, -2))
+    return np.sqrt(np.maximum(out, 1e-12))
+
+
 def gram(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of all words with all landmarks."""
-    own = lambda ws: np.concatenate([kernel(encode(ws[i : i + 2000], -1), encode(ws[i : i + 2000], -2)) for i in range(0, len(ws), 2000)] or [np.zeros(0)])
-    a, b = encode(words, -1), encode(landmarks, -2)
-    k = np.stack([kernel(a, np.repeat(b[j : j + 1], len(a), axis=0)) for j in range(len(b))], axis=1)
-    return k / np.sqrt(np.maximum(own(words), 1e-12)[:, None] * np.maximum(own(landmarks), 1e-12)[None, :])
+    k = np.zeros((len(words), len(landmarks)))
+    for g in by_length(words):
+        a = encode([words[i] for i in g], -1)
+        for h in by_length(landmarks):
+            b = encode([landmarks[j] for j in h], -2)
+            step = max(1, 40_000 // max(1, len(h)))
+            for r in range(0, len(g), step):
+                part = a[r : r + step]
+                k[np.ix_(g[r : r + step], h)] = kernel(np.repeat(part, len(h), axis=0), np.tile(b, (len(part), 1))).reshape(len(part), len(h))
+    return k / (norms(words)[:, None] * norms(landmarks)[None, :])
 
 
 @dataclass
@@ -211,9 +233,9 @@ def machine(good: list[str], bad: list[str], landmarks: int = LANDMARKS, rounds:
             near = np.maximum(near, k[:, chosen[-1]])
         return [pool[i] for i in chosen]
 
-    own = spread(bad[:400], landmarks // 2)
+    own = spread(bad[:300], landmarks // 2)
     gapped = stretched(bad)
-    against, hard = good[: len(good) // 4 + 1], []
+    against, hard = good[:TRAINING_WORDS], []
     model = None
     for r in range(rounds):
         marks = list(dict.fromkeys(own + hard[: landmarks // 4] + against[: landmarks // 4]))
@@ -248,7 +270,7 @@ def _trained(words: list[str], marks: list[str], y: np.ndarray, weight: np.ndarr
     alphabet = "".join(sorted({ch for m in marks for ch in m}))
     at = {ch: i + 1 for i, ch in enumerate(alphabet)}
     table = np.zeros((len(alphabet) + 1,) * 3, np.float64)
-    norm = np.sqrt(np.maximum(kernel(encode(marks, -1), encode(marks, -2)), 1e-12))
+    norm = norms(marks)
     for b, m, z in zip(beta, marks, norm, strict=True):
         for j in range(1, len(m) - 1):
             for i in range(j):
