@@ -21,8 +21,9 @@ WINDOW, STRIDE = 64, 32
 TAU = 0.5
 #: Runs of words compared in the check, and the share of an item's runs that must occur.
 RUN, OVERLAP = 5, 0.8
-#: Postings in a block; items in one index (more are searched index by index).
-BLOCK, INDEX_ITEMS = 32, 20_000
+#: Postings in a block; groups of items of like length with impact bounds of their own; items in one index (more are
+#: searched index by index).
+BLOCK, GROUPS, INDEX_ITEMS = 32, 32, 20_000
 K1, B = 1.2, 0.75
 
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -55,10 +56,12 @@ class Index:
     """Inverted index of items: for each term postings by item with the BM25 impact as a share of the item's own score.
 
     Impacts are scaled so that an item scores 1 against itself, hence one threshold fits all items. Lists are cut into
-    blocks that keep the largest impact.
+    blocks that keep the largest impact, and bounds has each term's largest impact in each of GROUPS runs of items: short
+    and long items, whose impacts differ most, don't share one.
     """
 
     def __init__(self, items: list[tuple[object, str | None, list[str], list[str]]]):
+        items = sorted(items, key=lambda x: len(x[2]) + len(x[3]))
         self.ids = [i for i, *_ in items]
         words = [tokens(t) if t is not None else q + a for _, t, q, a in items]
         self.runs = [(runs(q), runs(a)) for _, _, q, a in items]
@@ -78,6 +81,20 @@ class Index:
         self.block_last = [[x[min(k + BLOCK, len(x)) - 1] for k in range(0, len(x), BLOCK)] for x in self.items]
         self.block_max = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in self.impacts]
         self.most = np.array([max(x) for x in self.impacts] or [0.0])
+        size = max(1, -(-len(items) // GROUPS))
+        self.bounds = np.zeros((len(lists) + 1, GROUPS), np.float32)  # the last row: no term
+        for t, postings in enumerate(lists):
+            for i, x in postings:
+                self.bounds[t, i // size] = max(self.bounds[t, i // size], x)
+
+    def possible(self, terms: np.ndarray, tau: float) -> np.ndarray:
+        """Which rows of terms (-1: none) could reach tau with an item of some group, each term counted once."""
+        terms = np.sort(terms, axis=1)
+        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = -1
+        out = np.zeros(len(terms), bool)
+        for k in range(0, len(terms), 2048):
+            out[k : k + 2048] = self.bounds[terms[k : k + 2048]].sum(axis=1).max(axis=1) >= tau - 1e-4
+        return out
 
     def search(self, terms: list[int], tau: float) -> list[tuple[int, float]]:
         """(item, score) of all items scoring tau or more for the distinct terms: block-max WAND with a fixed threshold."""
@@ -139,11 +156,14 @@ def _hits(part: pa.RecordBatch, index: Index, tau: float, overlap: float, memo:
     start = offsets[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
     stop = np.minimum(start + WINDOW, offsets[row + 1])
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for w in np.flatnonzero(total[stop] - total[start] >= tau - 1e-6):  # a bound: the terms' largest impacts, repeats included
+    hopeful = np.flatnonzero(total[stop] - total[start] >= tau - 1e-6)  # a bound: the terms' largest impacts, repeats included
+    if len(hopeful):
+        places = start[hopeful, None] + np.arange(WINDOW)
+        terms = np.where(places < stop[hopeful, None], at[np.minimum(places, len(at) - 1)], -1)
+        hopeful = hopeful[index.possible(terms, tau)]
+    for w in hopeful:
         some = np.unique(at[start[w] : stop[w]])
         some = some[some >= 0]
-        if index.most[some].sum() < tau - 1e-6:
-            continue
         key = some.tobytes()
         found = memo.get(key)
         if found is None:
