@@ -35,8 +35,7 @@ def amino_acid(codon: Column) -> Column:
 
 def codons(seq: Column) -> Column:
     """Whole codons of a sequence, in order; no codon: an empty array."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(seq, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.split(seq, r"(?<=\G.{3})"), lambda c: F.length(c) == 3)
 
 
 def translate(seq: Column) -> Column:

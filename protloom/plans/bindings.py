@@ -103,7 +103,7 @@ def aa_of(codon: str) -> str:
 
 def aa_text(seq: str) -> str:
     """DuckDB SQL of a sequence's whole codons, translated."""
-    return f"array_to_string(list_transform(range(length({seq}) // 3), lambda i: {aa_of(f'substr({seq}, i * 3 + 1, 3)')}), '')"
+    return f"array_to_string(list_transform(regexp_extract_all({seq}, '...'), lambda c: {aa_of('c')}), '')"
 
 
 def rc(seq: str) -> str:

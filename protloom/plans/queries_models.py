@@ -102,7 +102,7 @@ def _(t):
     return t.v_dna.select("doc_id", sq.reverse_complement(F.col("q")).alias("rc"))
 
 
-@query("codon_translate", f"SELECT codon, count(*) AS n, {aa_of('codon')} AS aa FROM (SELECT unnest(list_transform(range(length(q) // 3), lambda i: substr(q, i * 3 + 1, 3))) AS codon FROM {{v_dna}}) GROUP BY codon")
+@query("codon_translate", f"SELECT codon, count(*) AS n, {aa_of('codon')} AS aa FROM (SELECT unnest(regexp_extract_all(q, '...')) AS codon FROM {{v_dna}}) GROUP BY codon")
 def _(t):
     return t.v_dna.select(F.explode(sq.codons(F.col("q"))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")).withColumn("aa", sq.amino_acid(F.col("codon")))
 

@@ -29,8 +29,8 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parse_gtf(lines: DataFrame) -> DataFrame:
     """The nine columns of GTF/GFF3 lines; comments and blank lines go."""
-    f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).where(F.size(f) >= 9)
+    f = F.col("f")
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f")).where(F.size(f) >= 9)
     kinds = {"start": "bigint", "end": "bigint", "frame": "int"}
     return rows.select(*[(F.get(f, F.lit(i)).try_cast(kinds[c]) if c in kinds else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(GTF_COLUMNS)])
 
@@ -62,8 +62,8 @@ def sniff_datatype(spark: SparkSession, path: str, given: str | None = None) ->
 
 def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
     """VCF data lines to columns: the fixed ones, then one for each sample in the header's order."""
-    f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    f = F.col("f")
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"))
     fixed = [(F.get(f, F.lit(i)).try_cast("bigint") if c == "pos" else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(VCF_FIXED)]
     return rows.select(*fixed, *[F.get(f, F.lit(9 + i)).alias(s) for i, s in enumerate(samples)])
 
