@@ -167,7 +167,7 @@ def _hits(part: pa.RecordBatch, index: Index, tau: float, overlap: float, memo:
         key = some.tobytes()
         found = memo.get(key)
         if found is None:
-            if len(memo) > 200_000:  # a cache only
+            if len(memo) > 20_000:  # a cache only
                 memo.clear()
             found = memo[key] = index.search(some.tolist(), tau)
         for item, score in found:
@@ -210,7 +210,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             memo: dict = {}
             for batch in batches:
-                for part in slices(batch, "text", 8 << 20):
+                for part in slices(batch, "text", 4 << 20):
                     hits = list(_hits(part, index, tau, overlap, memo)) if index.ids else []
                     d, i, s, q, a = zip(*hits, strict=True) if hits else ((),) * 5
                     ids = pa.array([index.ids[x] for x in i], pa.string() if key == "string" else pa.int32() if key == "int" else pa.int64())

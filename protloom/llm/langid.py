@@ -137,7 +137,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text", 8 << 20):
+            for part in slices(batch, "__text", 4 << 20):
                 codes, offsets, words = words_of(part.column("__text"))
                 theta = infer(codes, offsets, word_list(words), table, penalty, steps)
                 some = theta.sum(1) > 0 if langs else np.zeros(part.num_rows, bool)

@@ -184,7 +184,7 @@ def top_margins(part: pa.RecordBatch, model: Model, cache: dict[str, float]) ->
     codes, offsets, words = _texts(part)
     doc, joined, _ = units(codes, offsets, words)
     new = [w for w in {*words, *joined} if w not in cache]
-    if len(cache) + len(new) > 1_500_000:  # a cache only: what it forgets is computed again
+    if len(cache) + len(new) > 300_000:  # a cache only: what it forgets is computed again
         cache.clear()
         new = list({*words, *joined})
     cache.update(zip(new, model.margins(new).tolist(), strict=True))
@@ -358,7 +358,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
-            for part in slices(batch, "__text", 8 << 20):
+            for part in slices(batch, "__text", 4 << 20):
                 p = model.probability(top_margins(pa.record_batch([part.column("__text")], names=["text"]), model, cache))
                 yield pa.record_batch([*[part.column(c) for c in kept], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*kept, "score", "predicted"])
 
