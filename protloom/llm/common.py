@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that end a word: space and \x09 to \x0D.
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: Bytes of a batch that goes to a Python worker (a longer row is a batch of its own), and of text taken at once there.
+BATCH_BYTES, STEP = 4 << 20, 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,7 +74,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes, kept[bounds], coded.dictionary
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 16 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = STEP) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts come to about `most` bytes, so that memory per step is bounded."""
     size = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
     start = total = 0
@@ -83,6 +87,37 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 16 << 20):
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Returns freed memory to the system: idle workers of earlier stages hold none, where the C library allows it."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in bounded memory: batches of at most BATCH_BYTES (set for the session) and memory
+    returned after each result."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            release()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def with_text(docs: DataFrame, kept: list[str], text: str) -> tuple[DataFrame, str]:
+    """docs' kept columns and the text as a string, and the name it has there: once if it is kept as it is."""
+    if text in kept and docs.schema[text].dataType.simpleString() == "string":
+        return docs.select(*kept), text
+    name = "__text"
+    while name in docs.columns:
+        name += "_"
+    return docs.select(*kept, F.col(text).cast("string").alias(name)), name
+
+
 def per_row_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i + 1]] along the first axis, zero for empty runs."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, without, words_of
+from .common import map_batches, slices, without, words_of
 
 #: Words of a passage, and by how much the next one starts later.
 WINDOW, STRIDE = 64, 32
@@ -210,13 +210,13 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             memo: dict = {}
             for batch in batches:
-                for part in slices(batch, "text", 4 << 20):
+                for part in slices(batch):
                     hits = list(_hits(part, index, tau, overlap, memo)) if index.ids else []
                     d, i, s, q, a = zip(*hits, strict=True) if hits else ((),) * 5
                     ids = pa.array([index.ids[x] for x in i], pa.string() if key == "string" else pa.int32() if key == "int" else pa.int64())
                     yield pa.record_batch([part.column("doc_id").take(pa.array(d, pa.int64())), ids, *(pa.array(x, pa.float64()) for x in (s, q, a))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = source.mapInArrow(run, f"doc_id {kind}, item_id {key}, score double, question_overlap double, answer_overlap double")
+        found = map_batches(source, run, f"doc_id {kind}, item_id {key}, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
 

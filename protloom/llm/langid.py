@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, words_of
+from .common import map_batches, remainder, slices, with_text, words_of
 
 #: Letter trigrams are counted in so many buckets by hash.
 BUCKETS = 1 << 16
@@ -69,7 +69,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                     yield pa.record_batch([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
     counts = np.full((BUCKETS, len(langs)), 0.5)
-    for r in sample.mapInArrow(count, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas().itertuples():
+    for r in map_batches(sample, count, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas().itertuples():
         counts[r.bucket, r.lang] += r.n
     return langs, np.log(counts / counts.sum(0))
 
@@ -134,21 +134,22 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "languages") and (keep_text or c != text)]
     table = table.astype(np.float32)
+    source, name = with_text(docs, kept, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
-                codes, offsets, words = words_of(part.column("__text"))
+            for part in slices(batch, name):
+                codes, offsets, words = words_of(part.column(name))
                 theta = infer(codes, offsets, word_list(words), table, penalty, steps)
                 some = theta.sum(1) > 0 if langs else np.zeros(part.num_rows, bool)
                 top = theta.argmax(1) if langs else np.zeros(part.num_rows, int)
-                name = [langs[t] if s else "und" for t, s in zip(top, some, strict=True)]
+                pred = [langs[t] if s else "und" for t, s in zip(top, some, strict=True)]
                 score = np.where(some, theta.max(1, initial=0), 0)
                 shares = [", ".join(f"{langs[j]}:{row[j]:.3f}" for j in np.argsort(-row, kind="stable") if row[j] > 0.0005) for row in theta]
-                yield pa.record_batch([*[part.column(c) for c in kept], pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.string())], names=[*kept, "lang_pred", "score", "languages"])
+                yield pa.record_batch([*[part.column(c) for c in kept], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.string())], names=[*kept, "lang_pred", "score", "languages"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*[F.col(c) for c in kept], F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}{', ' * bool(kept)}lang_pred string, score double, languages string")
+    return map_batches(source, run, f"{fields}{', ' * bool(kept)}lang_pred string, score double, languages string")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, slices, without
+from .common import checkpoint, components, map_batches, slices, without
 
 #: Anchors of more fingerprints than this are linked through midpoints rather than compared pair by pair.
 HOT_ANCHOR = 64
@@ -47,12 +47,12 @@ def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch):
                 fp = fingerprints([x or b"" for x in part.column("text").cast(pa.large_binary()).to_pylist()], width, seed)
                 yield pa.record_batch([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {kind}, fp bigint")
 
 
 def syndrome(word: Column) -> Column:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row_max, remainder, slices, words_of
+from .common import map_batches, per_row_max, remainder, slices, with_text, words_of
 
 #: At most about so many labelled documents of each class are learned from; landmarks; training words of each class.
 SAMPLE_DOCS, LANDMARKS, TRAINING_WORDS = 3000, 192, 600
@@ -309,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, wo
                     groups += [int(group[d])] * (len(own) + len(runs))
                 yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(unit, pa.string()), pa.array(which, pa.int32()), pa.array(times, pa.int32()), pa.array(groups, pa.int64())], names=["kind", "unit", "toxic", "n", "copies"])
 
-    counts = sample.mapInArrow(tell, "kind int, unit string, toxic int, n int, copies bigint").groupBy("kind", "unit", "toxic", "copies").agg(F.max("n").alias("n")).groupBy("kind", "unit").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good")).persist()
+    counts = map_batches(sample, tell, "kind int, unit string, toxic int, n int, copies bigint").groupBy("kind", "unit", "toxic", "copies").agg(F.max("n").alias("n")).groupBy("kind", "unit").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good")).persist()
     totals = {r["kind"]: r["count"] for r in counts.groupBy("kind").count().collect()}
     per = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(per) < 2:
@@ -333,7 +333,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, wo
             for part in slices(batch):
                 yield pa.record_batch([part.column("toxic").cast(pa.int32()), pa.array(top_margins(part, model, cache))], names=["toxic", "margin"])
 
-    seen = sample.mapInArrow(margin, "toxic int, margin double").toPandas()
+    seen = map_batches(sample, margin, "toxic int, margin double").toPandas()
     x, y = seen["margin"].to_numpy(float), seen["toxic"].to_numpy(float)
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     a = np.column_stack([x, np.ones(len(x))])
@@ -354,16 +354,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
     replaced, an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text)]
+    source, name = with_text(docs, kept, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
-                p = model.probability(top_margins(pa.record_batch([part.column("__text")], names=["text"]), model, cache))
+            for part in slices(batch, name):
+                p = model.probability(top_margins(pa.record_batch([part.column(name)], names=["text"]), model, cache))
                 yield pa.record_batch([*[part.column(c) for c in kept], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*[F.col(c) for c in kept], F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}{', ' * bool(kept)}score double, predicted int")
+    return map_batches(source, run, f"{fields}{', ' * bool(kept)}score double, predicted int")
 
 
 def held_out(doc_id: str = "doc_id"):
