@@ -1,0 +1,166 @@
+"""Near copies by exact Jaccard similarity of word runs: candidates by prefix filter, none missed, each one verified."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpoint, map_batches, slices, without, words_of
+from .simhash import drop
+
+#: A run of more sets than this is compared with leaders, round by round, instead of pair by pair.
+HOT_RUN = 16
+#: Documents whose runs are counted to find common ones, and how many of those are kept. Both bear on speed only.
+SAMPLE, COMMON = 8192, 200_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def run_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): 64-bit hashes of each text's runs of `width` words (fewer words: of them all; none: nothing)."""
+    codes, offsets, words = words_of(texts)
+    word = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))[codes]
+    n = np.diff(offsets)
+    count = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    start = np.arange(ends[-1]) - np.repeat(ends[:-1], count) + np.repeat(offsets[:-1], count)
+    size = np.repeat(np.minimum(n, width), count)
+    out = size.astype(np.uint64)
+    for j in range(width):
+        here = size > j
+        out[here] = _mix(out[here] * _ODD + word[start[here] + j])
+    return out, ends
+
+
+def prefix(n: int, similarity: float) -> int:
+    """How many members two sets must share at least one of, in any one order of all members, to be that similar."""
+    return n - int(np.ceil(n * similarity - 1e-9)) + 1 if n else 0
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two arrays without repeats is at least that."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+
+
+def common_runs(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of runs that occur in 3 or more documents of a sample of docs(id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, at = run_hashes(part.column("text"), width)
+                sets = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+                values, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    step = max(1, docs.count() // SAMPLE)
+    some = map_batches(docs.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0), run, "h bigint, n bigint")
+    top = some.groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(id, sid, n, keys) of docs(id, text): a hash of the text's set of runs, its size, and its rarest runs as far as
+    the prefix filter needs them. Runs that a sample finds common come last; any order gives the same pairs."""
+    common, counts = common_runs(docs, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, at = run_hashes(part.column("text"), width)
+                sids, sizes, keys = [], [], []
+                for a, b in zip(at[:-1], at[1:]):
+                    own = np.unique(h[a:b])
+                    if len(common):
+                        k = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                        ranked = own[np.lexsort((own, np.where(common[k] == own, counts[k], 0)))]
+                    else:
+                        ranked = own
+                    sids.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                    sizes.append(len(own))
+                    keys.append(ranked[: prefix(len(own), similarity)].view(np.int64))
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+                yield pa.record_batch([part.column("id"), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["id", "sid", "n", "keys"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_batches(docs, run, f"id {kind}, sid bigint, n int, keys array<bigint>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose texts in docs(id, text) are similar, by their whole sets of runs."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, at = run_hashes(part.column("text"), width)
+                yield pa.record_batch([part.column("id"), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["id", "runs"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            keep = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity) for p, q in zip(x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = docs.schema["id"].dataType.simpleString()
+    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    met = docs.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "id", "left_semi")
+    runs = checkpoint(map_batches(met, hashes, f"id {kind}, runs binary"))
+    both = pairs.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("x")), "a").join(runs.select(F.col("id").alias("b"), F.col("runs").alias("y")), "b")
+    return map_batches(both.select("a", "b", "x", "y"), compare, f"a {kind}, b {kind}")
+
+
+def later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id): documents that are similar to one of a lesser id, itself kept or not; no two of the others are similar.
+
+    Texts whose sets of runs are equal are found by a hash of the set. For others: two sets of that similarity share a run
+    among the prefix of each, so sets that share one are compared, pair by pair. A run of more than HOT_RUN sets is dealt
+    with in rounds: all its sets are compared with leaders (the least id, later of each of HOT_RUN parts), then leaders and
+    documents already found leave. A document found is similar to a lesser one, so it isn't needed to find others: of two
+    similar documents the later one is either compared with the earlier one or found before, or the earlier one is found.
+    Rows grow with the members of a large group of copies. Texts without words are equal; null ids are left out.
+    """
+    source = _source(docs, doc_id, text)
+    of = checkpoint(prefixes(source, width, similarity))
+    least = of.groupBy("sid").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    found = checkpoint(of.join(least, "sid").where("id > least").select("id").distinct())
+    rows = without(of, found, "id").select("id", "n", F.explode("keys").alias("key"))
+    parts = 1
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
+        rows = checkpoint(rows.join(sizes, "key"))
+        few, many = rows.where(F.col("sets") <= HOT_RUN), rows.where(F.col("sets") > HOT_RUN)
+        part = F.pmod(F.xxhash64("id"), F.lit(parts))
+        leaders = checkpoint(many.groupBy("key", part.alias("part")).agg(F.min(F.struct("id", "n")).alias("x")).select("key", F.col("x.id").alias("a"), F.col("x.n").alias("na")))
+        right = lambda t: t.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
+        met = few.select("key", F.col("id").alias("a"), F.col("n").alias("na")).join(right(few), "key").where("a < b").unionByName(leaders.join(right(many), "key").where("a <> b"))
+        met = met.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
+        pairs = checkpoint(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        now = checkpoint(verified(pairs, source, width, similarity).select(F.col("b").alias("id")).distinct())
+        found = checkpoint(found.unionByName(now).distinct())
+        rest = many.join(leaders.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
+        if rest.isEmpty():
+            return found
+        rows, parts = checkpoint(without(rest, now, "id").select("id", "n", "key")), HOT_RUN
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without later_copies. Of rows that repeat a doc_id one stays; rows of null doc_id stay."""
+    return drop(docs, later_copies(docs, doc_id, text, width, similarity).withColumnRenamed("id", doc_id), doc_id)

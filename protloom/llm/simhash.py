@@ -130,6 +130,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     classes = near_duplicates(docs, doc_id, text)
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    return drop(docs, gone, doc_id)
+
+
+def drop(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
+    """docs without the ids in gone; of rows that repeat a doc_id one stays."""
     kept = without(docs, gone, doc_id)
     again = checkpoint(docs.groupBy(doc_id).count().where("count > 1").select(doc_id))
     if not again.count():

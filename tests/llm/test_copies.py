@@ -1,0 +1,59 @@
+import random
+
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from protloom.llm import copies
+
+
+def runs(t, width=5):
+    w = (t or "").lower().split()
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def near(x, y):
+    return x == y or len(x & y) >= 0.8 * len(x | y) - 1e-9
+
+
+def corpus():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", " ", "one two", "One  TWO", "one"]
+    for n in (30, 80, 200):
+        for _ in range(8):
+            w = rng.choices(words, k=n)
+            for _ in range(5):
+                texts.append(" ".join(w))
+                w = list(w)
+                for _ in range(rng.randrange(1, 4)):
+                    w[rng.randrange(n)] = rng.choice(words)
+    line = " ".join(rng.choices(words, k=12))
+    texts += [line + " " + " ".join(rng.choices(words, k=20)) for _ in range(40)]  # a common line, no copies
+    base = rng.choices(words, k=150)
+    for _ in range(60):  # a large group
+        w = list(base)
+        w[rng.randrange(150)] = rng.choice(words)
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("sample", [1, 8192])
+def test_no_near_copy_stays(spark, monkeypatch, sample):
+    monkeypatch.setattr(copies, "SAMPLE", sample)
+    texts = corpus()
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)] + [(None, "one two", "en", "s")], "doc_id long, text string, lang string, source string")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert kept.count(None) == 1
+    stay, sets = {i for i in kept if i is not None}, [runs(t) for t in texts]
+    assert all(not near(sets[a], sets[b]) for a in stay for b in stay if a < b)
+    for i in range(len(texts)):
+        assert (i in stay) == (not any(near(sets[j], sets[i]) for j in range(i))), i
+    assert len(stay) < len(texts) - 60
+
+
+def test_runs_and_prefix():
+    h, at = copies.run_hashes(pa.array(["a b c d e f", "x a b c d e", None, "a b", "b a"]), 5)
+    assert at.tolist() == [0, 2, 4, 4, 5, 6] and h[0] == h[3] and len(set(h.tolist())) == 5
+    assert [copies.prefix(n, 0.8) for n in (0, 1, 5, 10, 11)] == [0, 1, 2, 3, 3]
