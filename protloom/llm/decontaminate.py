@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, slices, without, words_of
 
-#: Words of a passage, and by how much the next one starts later.
-WINDOW, STRIDE = 64, 32
+#: Words of the longest items of the first class (each further class has items up to twice as long). A class's passages
+#: have twice as many words and start as many apart, so some passage holds all of an item wherever it stands.
+SPAN = 32
 #: Share of an item's own BM25 score that a passage must reach to be checked.
 TAU = 0.5
 #: Runs of words compared in the check, and the share of an item's runs that must occur.
@@ -52,27 +53,35 @@ def runs(words: list[str], n: int = RUN) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def item_words(item: tuple[object, str | None, list[str], list[str]]) -> list[str]:
+    _, t, q, a = item
+    return tokens(t) if t is not None else q + a
+
+
 class Index:
     """Inverted index of items: for each term postings by item with the BM25 impact as a share of the item's own score.
 
     Impacts are scaled so that an item scores 1 against itself, hence one threshold fits all items. Lists are cut into
     blocks that keep the largest impact, and bounds has each term's largest impact in each of GROUPS runs of items: short
-    and long items, whose impacts differ most, don't share one.
+    and long items, whose impacts differ most, don't share one. Items have up to `span` words; document frequencies and
+    the mean length are those of `corpus`, the words of all items (of these, if not given).
     """
 
-    def __init__(self, items: list[tuple[object, str | None, list[str], list[str]]]):
+    def __init__(self, items: list[tuple[object, str | None, list[str], list[str]]], span: int = SPAN, corpus: list[list[str]] | None = None):
+        self.window, self.stride = 2 * span, span
         items = sorted(items, key=lambda x: len(x[2]) + len(x[3]))
         self.ids = [i for i, *_ in items]
-        words = [tokens(t) if t is not None else q + a for _, t, q, a in items]
+        words = [item_words(x) for x in items]
+        corpus = words if corpus is None else corpus
         self.runs = [(runs(q), runs(a)) for _, _, q, a in items]
         self.length = [len(w) for w in words]
-        mean = sum(self.length) / max(1, sum(n > 0 for n in self.length))
-        df = Counter(w for ws in words for w in set(ws))
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
+        mean = sum(map(len, corpus)) / max(1, sum(map(bool, corpus)))
+        df = Counter(w for ws in corpus for w in set(ws))
+        self.terms = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for i, ws in enumerate(words):
             tf = Counter(ws)
-            parts = {w: math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean)) for w, n in tf.items()}
+            parts = {w: math.log(1 + (len(corpus) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean)) for w, n in tf.items()}
             own = sum(parts[w] for w in sorted(parts))
             for w, x in parts.items():
                 lists[self.terms[w]].append((i, x / own))
@@ -92,8 +101,9 @@ class Index:
         terms = np.sort(terms, axis=1)
         terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = -1
         out = np.zeros(len(terms), bool)
-        for k in range(0, len(terms), 2048):
-            out[k : k + 2048] = self.bounds[terms[k : k + 2048]].sum(axis=1).max(axis=1) >= tau - 1e-4
+        step = max(1, 2048 * 64 // max(1, terms.shape[1]))
+        for k in range(0, len(terms), step):
+            out[k : k + step] = self.bounds[terms[k : k + step]].sum(axis=1).max(axis=1) >= tau - 1e-4
         return out
 
     def search(self, terms: list[int], tau: float) -> list[tuple[int, float]]:
@@ -139,26 +149,42 @@ class Index:
         cursors[:] = [c for c in cursors if c[0] >= 0]
 
 
-def _hits(part: pa.RecordBatch, index: Index, tau: float, overlap: float, memo: dict) -> Iterator[tuple[int, int, float, float, float]]:
-    """(row, item, score, question overlap, answer overlap) of confirmed items."""
+def indexes(items: list[tuple[object, str | None, list[str], list[str]]]) -> list[Index]:
+    """An index for each class of item lengths: up to SPAN words, up to twice as many, and so on."""
+    classes: dict[int, list] = {}
+    corpus = [item_words(x) for x in items]
+    for x, ws in zip(items, corpus, strict=True):
+        span = SPAN
+        while span < len(ws):
+            span *= 2
+        classes.setdefault(span, []).append(x)
+    return [Index(x, span, corpus) for span, x in sorted(classes.items())]
+
+
+def _hits(part: pa.RecordBatch, some: list[Index], tau: float, overlap: float, memos: list[dict]) -> Iterator[tuple[int, object, float, float, float]]:
+    """(row, item id, score, question overlap, answer overlap) of confirmed items."""
     codes, offsets, raw = words_of(part.column("text"))
     words = [normal(w) for w in raw.cast(pa.string()).to_pylist()]
-    term = np.fromiter((index.terms.get(w, -1) if w else -2 for w in words), np.int64, len(words))
-    at = term[codes] if len(words) else np.zeros(0, np.int64)
-    keep = at != -2  # tokens of punctuation only
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    codes, at, offsets = codes[keep], at[keep], kept[offsets]
+    keep = np.fromiter(map(bool, words), bool, len(words))[codes]  # not: tokens of punctuation only
+    offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    for index, memo in zip(some, memos, strict=True):
+        yield from _index_hits(words, codes[keep], offsets, index, tau, overlap, memo)
+
+
+def _index_hits(words: list[str], codes: np.ndarray, offsets: np.ndarray, index: Index, tau: float, overlap: float, memo: dict) -> Iterator[tuple[int, object, float, float, float]]:
+    window, stride = index.window, index.stride
+    at = np.fromiter((index.terms.get(w, -1) for w in words), np.int64, len(words))[codes]
     most = np.where(at >= 0, index.most[at], 0.0)
     total = np.concatenate([[0.0], np.cumsum(most)])
     n = np.diff(offsets)
-    count = np.where(n > 0, np.maximum(1, -(-(n - STRIDE) // STRIDE)), 0)
+    count = np.where(n > 0, np.maximum(1, -(-(n - (window - stride)) // stride)), 0)
     row = np.repeat(np.arange(len(n)), count)
-    start = offsets[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-    stop = np.minimum(start + WINDOW, offsets[row + 1])
+    start = offsets[row] + stride * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+    stop = np.minimum(start + window, offsets[row + 1])
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     hopeful = np.flatnonzero(total[stop] - total[start] >= tau - 1e-6)  # a bound: the terms' largest impacts, repeats included
     if len(hopeful):
-        places = start[hopeful, None] + np.arange(WINDOW)
+        places = start[hopeful, None] + np.arange(window)
         terms = np.where(places < stop[hopeful, None], at[np.minimum(places, len(at) - 1)], -1)
         hopeful = hopeful[index.possible(terms, tau)]
     for w in hopeful:
@@ -175,20 +201,20 @@ def _hits(part: pa.RecordBatch, index: Index, tau: float, overlap: float, memo:
             lo, hi = int(start[w]), int(stop[w])
             best[int(row[w]), item] = (score, lo, hi) if old is None else (max(score, old[0]), min(lo, old[1]), max(hi, old[2]))
     for (d, item), (score, lo, hi) in sorted(best.items()):
-        wide = index.length[item] + WINDOW
+        wide = index.length[item] + window
         here = [words[c] for c in codes[max(offsets[d], lo - wide) : min(offsets[d + 1], hi + wide)]]
         q, a = index.runs[item]
         sizes = {len(x) for x in q | a}
         there = {tuple(here[i : i + k]) for k in sizes for i in range(len(here) - k + 1)}
         share = [len(x & there) / len(x) if x else 0.0 for x in (q, a)]
         if min(share) >= overlap:
-            yield d, item, score, *share
+            yield d, index.ids[item], score, *share
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text", question: str | None = None, answer: str | None = None, tau: float = TAU, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): test items that a document contains.
 
-    Every passage (WINDOW words, STRIDE apart, the whole text) queries the index; items that reach tau of their own BM25
+    Every passage (see SPAN; the whole text) queries the index; passages grow with the items, of whatever length; items that reach tau of their own BM25
     score are checked: at least `overlap` of the five-word runs of question and of answer must occur near the passage.
     score is the best passage's. Items have columns question and answer, or else one text (see question_answer).
 
@@ -205,15 +231,15 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     out = None
     for k in range(n_indexes):
         some = rows.where(F.pmod(F.xxhash64("i"), F.lit(n_indexes)) == k).orderBy("i").collect()
-        index = Index([(r["i"], None, tokens(r["q"]), tokens(r["a"])) if question else (r["i"], r["t"], *question_answer(r["t"])) for r in some])
+        found_in = indexes([(r["i"], None, tokens(r["q"]), tokens(r["a"])) if question else (r["i"], r["t"], *question_answer(r["t"])) for r in some])
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            memo: dict = {}
+        def run(batches: Iterator[pa.RecordBatch], some: list[Index] = found_in) -> Iterator[pa.RecordBatch]:
+            memos: list[dict] = [{} for _ in some]
             for batch in batches:
                 for part in slices(batch):
-                    hits = list(_hits(part, index, tau, overlap, memo)) if index.ids else []
+                    hits = list(_hits(part, some, tau, overlap, memos))
                     d, i, s, q, a = zip(*hits, strict=True) if hits else ((),) * 5
-                    ids = pa.array([index.ids[x] for x in i], pa.string() if key == "string" else pa.int32() if key == "int" else pa.int64())
+                    ids = pa.array(list(i), pa.string() if key == "string" else pa.int32() if key == "int" else pa.int64())
                     yield pa.record_batch([part.column("doc_id").take(pa.array(d, pa.int64())), ids, *(pa.array(x, pa.float64()) for x in (s, q, a))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = map_batches(source, run, f"doc_id {kind}, item_id {key}, score double, question_overlap double, answer_overlap double")

@@ -183,6 +183,20 @@ def test_decontamination_against_brute_force(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, its).collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("size", [20, 64, 65, 130, 300, 1500])
+def test_decontamination_finds_items_of_any_length(spark, size):
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(5000)]
+    items = [" ".join(rng.choices(words, k=n)) + ". " + " ".join(rng.sample(words, 6)) + "." for n in (size - 6, 20, 40)]
+    texts = [" ".join(rng.choices(words, k=2000)) for _ in range(12)]
+    for d in range(10):
+        w = texts[d].split(" ")
+        texts[d] = " ".join([*w[: 37 * d], items[0], *w[37 * d :]])
+    its = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = decontaminate.matches(docs_of(spark, texts), its).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, 0) for d in range(10)} and all(r.score > 0.99 for r in got)
+
+
 def test_wand_finds_all_above_threshold():
     rng = random.Random(8)
     words = [f"w{i}" for i in range(80)]
