@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,34 +13,65 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components, map_batches, slices, without
 
+#: Bytes of a text that are split into words at once.
+PORTION = 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Anchors of more fingerprints than this are linked through midpoints rather than compared pair by pair.
 HOT_ANCHOR = 64
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> np.ndarray:
-    """XXH64 of each run of `width` words (fewer words: of them all; none: nothing)."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n, h = max(1, len(words) - width + 1), xxhash.xxh64_intdigest
-    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n)
+def _portions(text: bytes, width: int) -> Iterator[tuple[list[bytes], bool]]:
+    """The text's words by portions of about PORTION bytes: each begins with the last width - 1 words of the one before."""
+    at, carried = 0, []
+    while True:
+        end = at + PORTION
+        if end < len(text) and (cut := _SPACE.search(text, end)):
+            end = cut.start()
+        else:
+            end = len(text)
+        words = carried + text[at:end].lower().split()
+        yield words, end == len(text)
+        if end == len(text):
+            return
+        at, carried = end, words[max(0, len(words) - width + 1) :]
+
+
+def hashes(text: bytes, width: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of each run of `width` words (fewer words: of them all; none: nothing), a portion of the text at a time."""
+    h, any_ = xxhash.xxh64_intdigest, False
+    for words, last in _portions(text, width):
+        if not words or len(words) < width and (any_ or not last):
+            continue
+        any_ = True
+        joined = memoryview(b" ".join(words))
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        n = max(1, len(words) - width + 1)
+        yield np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n)
 
 
 def fingerprints(texts: list[bytes], width: int = 3, seed: int = 42) -> np.ndarray:
     """Signed 64-bit fingerprints: a bit is set if it is set in over half of the text's hashes."""
-    hashes = [fingerprint(t, width, seed) for t in texts]
-    n = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(texts), np.int64)
-    full = n > 0
-    if full.any():
-        bits = np.unpackbits(np.concatenate(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-        counts = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * counts > n[full, None], axis=1, bitorder="little").view(np.int64).ravel()
-    return out
+    counts, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+
+    def count(some: list[tuple[int, np.ndarray]]) -> None:
+        n = np.array([len(h) for _, h in some], np.int64)
+        bits = np.unpackbits(np.concatenate([h for _, h in some]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        at, row = np.concatenate([[0], np.cumsum(n)[:-1]]), [i for i, _ in some]
+        np.add.at(counts, row, np.add.reduceat(bits, at, axis=0, dtype=np.int64))
+        np.add.at(total, row, n)
+
+    waiting: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for part in ((i, h) for i, t in enumerate(texts) for h in hashes(t, width, seed)):
+        waiting.append(part)
+        size += len(part[1])
+        if size > 250_000:
+            count(waiting)
+            waiting, size = [], 0
+    if waiting:
+        count(waiting)
+    return np.packbits(2 * counts > total[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -107,7 +139,7 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links).
 
     Every fingerprint is compared, exactly; equal ones (exact copies) are one from the start. Texts without words,
@@ -115,7 +147,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     their component but never name it unless all its ids are null. Other columns are ignored; an empty table gives an
     empty result.
     """
-    of = checkpoint(with_fingerprint(docs, doc_id, text))
+    of = checkpoint(with_fingerprint(docs, doc_id, text, width))
     fps = checkpoint(of.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comps = components(links(fps.select("fp")))
     classes = fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -123,12 +155,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return of.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """docs without all but the first document (least doc_id) of each component. Of rows that repeat a doc_id one stays.
 
     The decision is made on ids alone; texts only meet the ids to drop. Rows of null doc_id stay.
     """
-    classes = near_duplicates(docs, doc_id, text)
+    classes = near_duplicates(docs, doc_id, text, width)
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
     return drop(docs, gone, doc_id)
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +12,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, per_row_max, remainder, slices, with_text, words_of
+from .common import map_batches, per_row_sum, remainder, slices, with_text, words_of
 
-#: At most about so many labelled documents of each class are learned from; landmarks; training words of each class.
-SAMPLE_DOCS, LANDMARKS, TRAINING_WORDS = 3000, 192, 600
+#: At most about so many labelled documents of each class are learned from, and so many of their most frequent units.
+SAMPLE_DOCS, TRAINING_UNITS = 3000, 20_000
+#: Landmarks to begin with, rounds that add half as many, and how many characters the machine tells apart.
+LANDMARKS, ROUNDS, ALPHABET = 256, 2, 100
 #: Kernel: common subsequences of three characters, each weighted by DECAY to the power of the stretch it spans.
 LENGTH, DECAY = 3, 0.6
 #: Longer words are taken in overlapping pieces of so many characters.
 PIECE = 24
+#: A document of more distinct units than this spreads its weight over them; doubt added to both classes of each unit.
+DOC_UNITS, DOUBT = 200, 0.3
+#: Places where a unit's margin begins to count as evidence and where it counts in full; learning takes the best pair.
+RAMPS = [(lo, lo + w) for lo in (0.2, 0.3, 0.4, 0.5, 0.6) for w in (0.2, 0.4)]
 #: A score at or above this is toxic.
 THRESHOLD = 0.7
 
@@ -28,121 +33,150 @@ THRESHOLD = 0.7
 _OTHER = re.compile(r"[\W_]+")
 
 
-def encode(words: list[str], pad: int) -> np.ndarray:
-    """Code points of words of up to PIECE characters, one row each, filled with `pad` (negative: matches nothing)."""
-    width = max(map(len, words), default=1)
-    out = np.full((len(words), max(1, width)), pad, np.int32)
-    for n in {len(w) for w in words} - {0}:
-        at = [i for i, w in enumerate(words) if len(w) == n]
-        out[at, :n] = np.frombuffer("".join(words[i] for i in at).encode("utf-32-le", "surrogatepass"), np.int32).reshape(-1, n)
-    return out
-
-
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Subsequence kernel of a[i] with b[i] for all i (rows of code points), by the usual dynamic programme."""
-    rows, la, lb = len(a), a.shape[1], b.shape[1]
-    before = np.ones((la + 1, lb + 1, rows), np.float32)
-    for p in range(1, LENGTH):
-        now = np.zeros((la + 1, lb + 1, rows), np.float32)
-        for i in range(p, la + 1):
-            run = np.zeros(rows, np.float32)
-            for j in range(p, lb + 1):
-                run = DECAY * run + np.where(a[:, i - 1] == b[:, j - 1], DECAY**2 * before[i - 1, j - 1], 0)
+def pieces(word: str) -> list[str]:
+    """The word between spaces, which stand for its edges, in overlapping pieces of at most PIECE characters."""
+    w = f" {word} "
+    return [w] if len(w) <= PIECE else [w[k : k + PIECE] for k in range(0, len(w) - PIECE // 2, PIECE // 2)]
+
+
+def _coded(some: list[str], to: np.ndarray) -> np.ndarray:
+    """Numbers of the characters of strings of one length, a row each."""
+    return to[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(some), -1)].astype(np.int64)
+
+
+def _numbers(alphabet: str) -> np.ndarray:
+    to = np.zeros(0x110000, np.int16)
+    for i, ch in enumerate(alphabet):
+        to[ord(ch)] = i + 1
+    return to
+
+
+def _triples(n: int) -> list[tuple[int, int, int]]:
+    return [(i, j, k) for j in range(1, n - 1) for i in range(j) for k in range(j + 1, n)]
+
+
+def scale(n: int) -> float:
+    """What a string's subsequences are divided by: the norm of one of that length whose characters all differ."""
+    return float(np.sqrt(sum(DECAY ** (2 * (k - i + 1)) for i, _, k in _triples(n)))) or 1.0
+
+
+def kernel(a: str, b: str) -> float:
+    """Subsequence kernel of two strings, by the usual dynamic programme, each scaled by its length."""
+    before = np.ones((len(a) + 1, len(b) + 1))
+    total = 0.0
+    for p in range(1, LENGTH + 1):
+        now = np.zeros_like(before)
+        for i in range(p, len(a) + 1):
+            run = 0.0
+            for j in range(p, len(b) + 1):
+                hit = DECAY**2 * before[i - 1, j - 1] if a[i - 1] == b[j - 1] else 0.0
+                run = DECAY * run + hit
                 now[i, j] = DECAY * now[i - 1, j] + run
+                total += hit if p == LENGTH else 0.0
         before = now
-    out = np.zeros(rows)
-    for i in range(LENGTH, la + 1):
-        for j in range(LENGTH, lb + 1):
-            out += np.where(a[:, i - 1] == b[:, j - 1], DECAY**2 * before[i - 1, j - 1], 0)
-    return out
-
-
-def by_length(words: list[str]) -> list[np.ndarray]:
-    """Numbers of the words in groups of like length, of at most 2000."""
-    n = np.array([len(w) for w in words])
-    groups = [np.flatnonzero((n > lo) & (n <= hi)) for lo, hi in ((-1, 6), (6, 9), (9, 13), (13, PIECE))]
-    return [g[i : i + 2000] for g in groups for i in range(0, len(g), 2000)]
-
-
-def norms(words: list[str]) -> np.ndarray:
-    """Square roots of the words' kernel with themselves."""
-    out = np.zeros(len(words))
-    for g in by_length(words):
-        some = [words[i] for i in g]
-        out[g] = kernel(encode(some, -1), encode(some, -2))
-    return np.sqrt(np.maximum(out, 1e-12))
-
-
-def gram(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of all words with all landmarks."""
-    k = np.zeros((len(words), len(landmarks)))
-    for g in by_length(words):
-        a = encode([words[i] for i in g], -1)
-        for h in by_length(landmarks):
-            b = encode([landmarks[j] for j in h], -2)
-            step = max(1, 40_000 // max(1, len(h)))
-            for r in range(0, len(g), step):
-                part = a[r : r + step]
-                k[np.ix_(g[r : r + step], h)] = kernel(np.repeat(part, len(h), axis=0), np.tile(b, (len(part), 1))).reshape(len(part), len(h))
-    return k / (norms(words)[:, None] * norms(landmarks)[None, :])
+    return total / scale(len(a)) / scale(len(b))
+
+
+@dataclass
+class Features:
+    """Subsequences of strings as entries (row, number of the subsequence, weight) in order of rows; characters outside
+    the alphabet are in none. The kernel of two strings is the product of their entries."""
+
+    rows: np.ndarray
+    what: np.ndarray
+    weight: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, strings: list[str], alphabet: str) -> Features:
+        to, base = _numbers(alphabet), len(alphabet) + 1
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(strings):
+            by.setdefault(len(w), []).append(i)
+        rows, what, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for n, at in by.items():
+            c, z = _coded([strings[i] for i in at], to), scale(n)
+            for i, j, k in _triples(n):
+                known = (c[:, i] > 0) & (c[:, j] > 0) & (c[:, k] > 0)
+                rows.append(np.array(at)[known])
+                what.append(((c[:, i] * base + c[:, j]) * base + c[:, k])[known])
+                weight.append(np.full(known.sum(), DECAY ** (k - i + 1) / z, np.float32))
+        r, f, w = np.concatenate(rows), np.concatenate(what), np.concatenate(weight)
+        order = np.argsort(r, kind="stable")
+        return cls(r[order], f[order], w[order], len(strings))
+
+    def columns(self, marks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(subsequences of these rows in order, their weights by row: a column each)."""
+        place = np.full(self.size, -1)
+        place[marks] = np.arange(len(marks))
+        some = place[self.rows] >= 0
+        known, at = np.unique(self.what[some], return_inverse=True)
+        out = np.zeros((len(known), len(marks)), np.float32)
+        np.add.at(out, (at, place[self.rows[some]]), self.weight[some])
+        return known, out
+
+    def gram(self, marks: list[int]) -> np.ndarray:
+        """Kernel of all rows with the rows `marks`."""
+        known, column = self.columns(marks)
+        out = np.zeros((self.size, len(marks)), np.float32)
+        for k in range(0, len(self.rows), 100_000):
+            r, f, w = (x[k : k + 100_000] for x in (self.rows, self.what, self.weight))
+            at = np.minimum(np.searchsorted(known, f), max(0, len(known) - 1))
+            some = known[at] == f if len(known) else np.zeros(len(f), bool)
+            r, product = r[some], column[at[some]] * w[some, None]
+            if len(r):
+                start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                out[r[start]] += np.add.reduceat(product, start)
+        return out
 
 
 @dataclass
 class Model:
-    """score(words) = (sum over their subsequences of decay^span * table[a, b, c]) / norm + bias, then a logistic curve.
+    """The machine's value of a unit is the sum over its subsequences of decay^span * table[a, b, c], by its scale, plus
+    bias: the landmarks' weights summed over their subsequences, so a unit meets all landmarks at once.
 
-    The table holds the machine in the kernel's own space: its landmarks' weights summed over their subsequences, so a
-    word is scored against all landmarks at once. alphabet: characters of the landmarks, numbered from 1.
+    alphabet: the characters, numbered from 1. ramp: see RAMPS. weights: of the logarithms of evidence and of length, and
+    a constant. prior: the score of all texts if nothing could be learned.
     """
 
     alphabet: str
     table: np.ndarray
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
+    ramp: tuple[float, float] = RAMPS[0]
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
     prior: float = 0.0
     blank: bool = True
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """The machine's value of each word; words of fewer than three characters have the least."""
+        """The machine's value of each word, of its highest piece; words of one character have the least."""
         out = np.full(len(words), -2.0)
         if self.blank:
             return out
-        to = np.zeros(0x110000, np.int16)
-        for i, ch in enumerate(self.alphabet):
-            to[ord(ch)] = i + 1
-        by: dict[int, list[int]] = {}
-        pieces: list[tuple[int, str]] = []
+        to, by = _numbers(self.alphabet), {}
         for i, w in enumerate(words):
-            if len(w) <= PIECE:
-                by.setdefault(len(w), []).append(i)
-            else:
-                pieces += [(i, w[k : k + PIECE]) for k in range(0, len(w) - PIECE // 2, PIECE // 2)]
-        for n, rows in by.items():
-            for k in range(0, len(rows) if n >= LENGTH else 0, 8192):
-                at = rows[k : k + 8192]
-                out[at] = self._values(np.frombuffer("".join(words[i] for i in at).encode("utf-32-le", "surrogatepass"), np.int32).reshape(-1, n), to)
-        for k in range(0, len(pieces), 8192):
-            some = pieces[k : k + 8192]
-            np.maximum.at(out, [i for i, _ in some], self._values(encode([w for _, w in some], -1), to))
+            if len(w) > 1:
+                for p in pieces(w):
+                    by.setdefault(len(p), []).append((i, p))
+        base, flat = len(self.alphabet) + 1, self.table.ravel()
+        for n, some in by.items():
+            z = scale(n)
+            for s in range(0, len(some), 8192):
+                part = some[s : s + 8192]
+                c = np.ascontiguousarray(_coded([p for _, p in part], to).T)
+                total = np.zeros(len(part), np.float32)
+                for j in range(1, n - 1):
+                    for i in range(j):
+                        pair = (c[i] * base + c[j]) * base
+                        for k in range(j + 1, n):
+                            total += np.float32(DECAY ** (k - i + 1) / z) * flat[pair + c[k]]
+                np.maximum.at(out, [i for i, _ in part], total + self.bias)
         return out
 
-    def _values(self, c: np.ndarray, to: np.ndarray) -> np.ndarray:
-        known = np.where(c >= 0, to[np.maximum(c, 0)], 0).astype(np.int64).T
-        size, n = self.table.shape[0], c.shape[1]
-        flat, total = self.table.ravel(), np.zeros(len(c), np.float32)
-        for j in range(1, n - 1):
-            for i in range(j):
-                pair = (known[i] * size + known[j]) * size
-                for k in range(j + 1, n):
-                    total += np.float32(DECAY ** (k - i + 1)) * flat[pair + known[k]]
-        other = np.where(c == -1, -2, c)
-        return total / np.sqrt(np.maximum(kernel(c, other), 1e-12)) + self.bias
-
-    def probability(self, margin: np.ndarray) -> np.ndarray:
+    def probability(self, evidence: np.ndarray, length: np.ndarray) -> np.ndarray:
         if self.blank:
-            return np.full(len(margin), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+            return np.full(len(length), self.prior)
+        x = np.column_stack([np.log1p(evidence), np.log1p(length), np.ones(len(length))]) @ self.weights
+        return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def units(codes: np.ndarray, offsets: np.ndarray, words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -179,8 +213,9 @@ def copy_group(codes: np.ndarray, offsets: np.ndarray, words: list[str]) -> np.n
     return out.view(np.int64)
 
 
-def top_margins(part: pa.RecordBatch, model: Model, cache: dict[str, float]) -> np.ndarray:
-    """The largest margin in each text, over its words and its joined runs of single characters."""
+def evidence(part: pa.RecordBatch, model: Model, ramps: list[tuple[float, float]], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(evidence, words) of each text: for each ramp the sum over words and joined runs of single characters of how far up
+    the ramp their margins are."""
     codes, offsets, words = _texts(part)
     doc, joined, _ = units(codes, offsets, words)
     new = [w for w in {*words, *joined} if w not in cache]
@@ -188,10 +223,16 @@ def top_margins(part: pa.RecordBatch, model: Model, cache: dict[str, float]) ->
         cache.clear()
         new = list({*words, *joined})
     cache.update(zip(new, model.margins(new).tolist(), strict=True))
-    value = np.fromiter((cache[w] for w in words), np.float64, len(words))
-    out = per_row_max(value[codes], offsets, -2.0)
-    np.maximum.at(out, doc, np.fromiter((cache[w] for w in joined), np.float64, len(joined)))
-    return out
+    value, run = (np.fromiter((cache[w] for w in some), np.float64, len(some)) for some in (words, joined))
+    lo, hi = (np.array(x) for x in zip(*ramps, strict=True))
+    up = lambda v: np.clip((v[:, None] - lo) / (hi - lo), 0, 1)
+    rising = up(value)
+    any_ = rising.any(axis=1)
+    out = np.zeros((len(offsets) - 1, len(ramps)))
+    at = np.flatnonzero(any_[codes])  # few words are evidence at all
+    np.add.at(out, np.searchsorted(offsets, at, side="right") - 1, rising[codes[at]])
+    np.add.at(out, doc, up(run))
+    return out, np.diff(offsets)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[DataFrame | None, float]:
@@ -206,90 +247,81 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[DataF
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", "text"), share
 
 
-def stretched(words: list[str], seed: int = 5) -> list[str]:
-    """Words with a letter inserted or doubled, as tolerance is wanted for."""
-    rng, out = np.random.default_rng(seed), []
-    letters = sorted({ch for w in words for ch in w})
-    for w in words:
-        if len(w) > LENGTH:
-            k = int(rng.integers(1, len(w)))
-            out += [w[:k] + str(rng.choice(letters)) + w[k:], w[:k] + w[k - 1] + w[k:]]
-    return [w[:PIECE] for w in out]
-
+def machine(strings: list[str], bad: np.ndarray, good: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
+    """The machine trained on strings that stand in toxic texts with weight bad and in clean ones with weight good, folded
+    into one table.
 
-def machine(good: list[str], bad: list[str], landmarks: int = LANDMARKS, rounds: int = 4) -> Model:
-    """The machine trained on ordinary and on insulting words, folded into one table.
-
-    It begins with a part of the ordinary words; in each round those of all given that it likes best join them, the
-    nearest ones as landmarks too.
+    Each string is an example of both classes, with its weight in each: squared hinge loss, classes of equal weight, and
+    DOUBT on both sides, which holds rare strings near zero. Landmarks are the strings that tell the classes apart best
+    and some others; each round adds those that the machine is most wrong about.
     """
-
-    def spread(pool: list[str], most: int) -> list[str]:
-        """Landmarks: each time the word least similar to those chosen."""
-        k, chosen = gram(pool, pool), [0]
-        near = k[:, 0].copy()
-        while len(chosen) < min(most, len(pool)) and near.min() < 0.95:
-            chosen.append(int(near.argmin()))
-            near = np.maximum(near, k[:, chosen[-1]])
-        return [pool[i] for i in chosen]
-
-    own = spread(bad[:300], landmarks // 2)
-    gapped = stretched(bad)
-    against, hard = good[:TRAINING_WORDS], []
-    model = None
-    for r in range(rounds):
-        marks = list(dict.fromkeys(own + hard[: landmarks // 4] + against[: landmarks // 4]))
-        words = bad + gapped + against
-        y = np.array([1.0] * (len(bad) + len(gapped)) + [-1.0] * len(against))
-        weight = np.array([0.4 / len(bad)] * len(bad) + [0.1 / max(1, len(gapped))] * len(gapped) + [0.5 / len(against)] * len(against))
-        model = _trained(words, marks, y, weight)
-        if r + 1 < rounds:
-            value = model.margins(good)
-            value[[i for i, w in enumerate(good) if w in set(against)]] = -np.inf
-            new = [good[i] for i in np.argsort(-value, kind="stable")[:300] if value[i] > -1]
-            hard = new + hard
-            against = against + new
-            if not new:
+    total = max(1e-9, bad.sum()), max(1e-9, good.sum())
+    p, n = bad / total[0], good / total[1]
+    contrast = (p - n) / np.sqrt((bad + good + 1) / sum(total) * (1 / total[0] + 1 / total[1]))
+    by_hash = np.argsort([xxhash.xxh64_intdigest(s) for s in strings], kind="stable")
+    marks = np.argsort(-contrast, kind="stable")[: 3 * landmarks // 4].tolist()
+    marks += [i for i in by_hash.tolist() if i not in set(marks)][: landmarks - len(marks)]
+    seen: dict[str, float] = {}
+    for s, w in zip(strings, bad + good, strict=True):
+        for ch in s:
+            seen[ch] = seen.get(ch, 0.0) + w
+    alphabet = "".join(sorted(sorted(seen, key=lambda ch: (-seen[ch], ch))[:ALPHABET]))
+    features = Features.of(strings, alphabet)
+    p, n = p + DOUBT / total[0], n + DOUBT / total[0]
+    p, n = p / (p.sum() + n.sum()), n / (p.sum() + n.sum())
+    gram = features.gram(marks)
+    for r in range(rounds + 1):
+        value, vector = np.linalg.eigh(gram[marks].astype(np.float64))
+        root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
+        x = np.column_stack([gram @ root, np.ones(len(strings))])
+        w = np.zeros(x.shape[1])
+        for _ in range(100):  # Newton's method
+            f = x @ w
+            low, high = p * (f < 1), n * (f > -1)
+            new = np.linalg.solve((x * (low + high)[:, None]).T @ x + 1e-6 * np.eye(len(w)), x.T @ (low - high))
+            done = np.allclose(new, w, atol=1e-7)
+            w = new
+            if done:
                 break
-    return model
+        if r < rounds:
+            f = x @ w
+            wrong = np.abs(p * np.maximum(0, 1 - f) - n * np.maximum(0, 1 + f)) / np.sqrt(p + n)
+            more = [i for i in np.argsort(-wrong, kind="stable").tolist() if i not in set(marks)][: landmarks // 2]
+            gram = np.concatenate([gram, features.gram(more)], axis=1) if more else gram
+            marks += more
+    known, column = features.columns(marks)
+    table = np.zeros((len(alphabet) + 1) ** 3, np.float32)
+    table[known] = column @ (root @ w[:-1])
+    return Model(alphabet, table, float(w[-1]), blank=False)
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, mean log-likelihood) of a logistic curve through examples x of class y; classes weigh the same. An
+    example without evidence and length is added as clean."""
+    x, y = np.concatenate([x, [[0.0, 0.0, 1.0]]]), np.append(y, 0.0)
+    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    weight[-1] = 0.05
+    w = np.zeros(3)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(3)
+        w = w + np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-4 * w), -3, 3)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -40, 40))), 1e-9, 1 - 1e-9)
+    return w, float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
 
 
-def _trained(words: list[str], marks: list[str], y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6) -> Model:
-    value, vector = np.linalg.eigh(gram(marks, marks))
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
-    x = np.column_stack([gram(words, marks) @ root, np.ones(len(words))])
-    w = np.zeros(x.shape[1])
-    for _ in range(100):  # Newton's method on the squared hinge loss
-        on = y * (x @ w) < 1
-        h = (x[on] * weight[on, None]).T @ x[on] + ridge * np.eye(len(w))
-        new = np.linalg.solve(h, x[on].T @ (weight[on] * y[on]))
-        if np.allclose(new, w, atol=1e-9):
-            break
-        w = new
-    beta = root @ w[:-1]
-    alphabet = "".join(sorted({ch for m in marks for ch in m}))
-    at = {ch: i + 1 for i, ch in enumerate(alphabet)}
-    table = np.zeros((len(alphabet) + 1,) * 3, np.float64)
-    norm = norms(marks)
-    for b, m, z in zip(beta, marks, norm, strict=True):
-        for j in range(1, len(m) - 1):
-            for i in range(j):
-                for k in range(j + 1, len(m)):
-                    table[at[m[i]], at[m[j]], at[m[k]]] += b / z * DECAY ** (k - i + 1)
-    return Model(alphabet, table.astype(np.float32), float(w[-1]), blank=False)
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = TRAINING_WORDS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, units_: int = TRAINING_UNITS) -> Model:
     """Model learned from docs(doc_id, text) and labels(doc_id, toxic).
 
-    Labels are of texts, the machine works on words. Insulting words are those that stand in toxic sample texts only and
-    are found in toxic texts far more often than chance allows, or hold a run of four characters whose words are (near-copies count once); ordinary words
-    are drawn by hash from clean texts. The logistic curve is fitted to the sample's texts by their largest margin.
-    Without rows of both classes, or without such words, scores are the share of toxic labels.
+    The words of the labelled sentences are the machine's examples: each word counts for the class of the texts it stands
+    in (near-copies once), no list of insults is made. A text's class then follows from how many of its words have high
+    margins and from its length, by a logistic curve; where margins begin to count is chosen by likelihood. Without rows
+    of both classes scores are the share of toxic labels.
     """
     sample, share = _sample(docs, labels, sample_docs)
+    nothing = Model("", np.zeros(1, np.float32), 0.0, prior=share)
     if sample is None:
-        return Model("", np.zeros((1, 1, 1), np.float32), 0.0, prior=share)
+        return nothing
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,61 +329,46 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, wo
                 toxic = part.column("toxic").to_numpy()
                 codes, offsets, names = _texts(part)
                 group = copy_group(codes, offsets, names)
-                kind, unit, which, times, groups = [], [], [], [], []
+                doc, joined, _ = units(codes, offsets, names)
+                extra: dict[int, set[str]] = {}
+                for d, w in zip(doc.tolist(), joined, strict=True):
+                    extra.setdefault(d, set()).add(w)
+                unit, count, own = [], [], []
                 for d in range(part.num_rows):
-                    own = {names[c] for c in np.unique(codes[offsets[d] : offsets[d + 1]])}
-                    own = {w[:PIECE] for w in own if len(w) >= LENGTH}
-                    runs = Counter(r for w in own for r in {w[k : k + 4] for k in range(len(w) - 3)})
-                    kind += [0] * len(own) + [1] * len(runs)
-                    unit += [*own, *runs]
-                    which += [toxic[d]] * (len(own) + len(runs))
-                    times += [1] * len(own) + list(runs.values())
-                    groups += [int(group[d])] * (len(own) + len(runs))
-                yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(unit, pa.string()), pa.array(which, pa.int32()), pa.array(times, pa.int32()), pa.array(groups, pa.int64())], names=["kind", "unit", "toxic", "n", "copies"])
-
-    counts = map_batches(sample, tell, "kind int, unit string, toxic int, n int, copies bigint").groupBy("kind", "unit", "toxic", "copies").agg(F.max("n").alias("n")).groupBy("kind", "unit").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good")).persist()
-    totals = {r["kind"]: r["count"] for r in counts.groupBy("kind").count().collect()}
-    per = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(per) < 2:
-        return Model("", np.zeros((1, 1, 1), np.float32), 0.0, prior=share)
-    # toxic texts hold a unit of chance with probability base; bad of bad + good times, all of them: base ** bad
-    base = per[1] / (per[0] + per[1])
-    sure = lambda kind: (F.col("kind") == kind) & (F.col("good") <= 0.01 * F.col("bad")) & (F.col("bad") * -np.log(base) > 1.25 * (np.log(totals.get(kind, 1)) + 1))
-    runs = {r["unit"] for r in counts.where(sure(1)).orderBy(F.desc("bad"), "unit").limit(4000).collect()}
-    certain = {r["unit"] for r in counts.where(sure(0)).orderBy(F.desc("bad"), "unit").limit(words).collect()}
-    only = counts.where("kind = 0 and good = 0 and bad > 0").orderBy(F.desc("bad"), "unit").limit(20 * words).collect()
-    bad = [r["unit"] for r in only if r["unit"] in certain or any(r["unit"][k : k + 4] in runs for k in range(len(r["unit"]) - 3))][:words]
-    good = [r["unit"] for r in counts.where("kind = 0 and good > 0 and bad <= good").orderBy(F.xxhash64("unit"), "unit").limit(40 * words).collect()]
-    counts.unpersist()
-    if not bad or not good:
-        return Model("", np.zeros((1, 1, 1), np.float32), 0.0, prior=share)
-    model = machine(good, bad)
-
-    def margin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    words = {names[c] for c in np.unique(codes[offsets[d] : offsets[d + 1]])} | extra.get(d, set())
+                    some = sorted({p for w in words if len(w) > 1 for p in pieces(w)})
+                    unit += some
+                    count.append(len(some))
+                    own.append(min(1.0, DOC_UNITS / max(1, len(some))))
+                yield pa.record_batch([pa.array(unit, pa.string()), pa.array(np.repeat(toxic, count), pa.int32()), pa.array(np.repeat(own, count), pa.float64()), pa.array(np.repeat(group, count), pa.int64())], names=["unit", "toxic", "w", "copies"])
+
+    counts = map_batches(sample, tell, "unit string, toxic int, w double, copies bigint").groupBy("unit", "toxic", "copies").agg(F.max("w").alias("w"))
+    counts = counts.groupBy("unit").agg(F.sum(F.col("w") * F.col("toxic")).alias("bad"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("good"))
+    most = counts.orderBy(F.desc(F.round(F.col("bad") + F.col("good"), 6)), "unit").limit(units_).orderBy("unit").toPandas()
+    if not (most["bad"] > 0).any() or not (most["good"] > 0).any():
+        return nothing
+    model = machine(most["unit"].tolist(), most["bad"].to_numpy(float), most["good"].to_numpy(float))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
             for part in slices(batch):
-                yield pa.record_batch([part.column("toxic").cast(pa.int32()), pa.array(top_margins(part, model, cache))], names=["toxic", "margin"])
+                e, n = evidence(part, model, RAMPS, cache)
+                yield pa.record_batch([part.column("toxic").cast(pa.int32()), pa.array(list(e), pa.list_(pa.float64())), pa.array(n, pa.int64())], names=["toxic", "e", "n"])
 
-    seen = map_batches(sample, margin, "toxic int, margin double").toPandas()
-    x, y = seen["margin"].to_numpy(float), seen["toxic"].to_numpy(float)
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    a = np.column_stack([x, np.ones(len(x))])
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        h = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + 1e-6 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(h, a.T @ (weight * (y - p)) - 1e-6 * w), -2, 2)
-    model.slope, model.shift = max(1e-3, float(w[0])), float(w[1])
+    seen = map_batches(sample, gather, "toxic int, e array<double>, n bigint").toPandas()
+    y, e, n = seen["toxic"].to_numpy(float), np.stack(seen["e"].to_list()), seen["n"].to_numpy(float)
+    fits = [(logistic(np.column_stack([np.log1p(e[:, r]), np.log1p(n), np.ones(len(n))]), y), ramp) for r, ramp in enumerate(RAMPS)]
+    (model.weights, _), model.ramp = max(fits, key=lambda x: x[0][1])
     return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs' columns (text only with keep_text), with score (0 to 1) and predicted (1 from THRESHOLD on).
 
-    A text's score follows its most insulting word or run of single characters. Null, empty and very long texts are
-    scored like any other, whole (no word: the least margin). Repeated rows stay, columns named score or predicted are
-    replaced, an empty table gives an empty result.
+    A text's score follows the evidence of its words and runs of single characters, set against its length. Null, empty
+    and very long texts are scored like any other, whole (no word: no evidence). Repeated rows stay, columns named score
+    or predicted are replaced, an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text)]
     source, name = with_text(docs, kept, text)
@@ -360,7 +377,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
         cache: dict[str, float] = {}
         for batch in batches:
             for part in slices(batch, name):
-                p = model.probability(top_margins(pa.record_batch([part.column(name)], names=["text"]), model, cache))
+                e, n = evidence(pa.record_batch([part.column(name)], names=["text"]), model, [model.ramp], cache)
+                p = model.probability(e[:, 0], n)
                 yield pa.record_batch([*[part.column(c) for c in kept], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
