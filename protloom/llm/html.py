@@ -28,11 +28,17 @@ STOP_WORDS = frozenset(
 # Elements.
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style noscript template iframe svg math textarea select title object canvas head".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog button label".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog button label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Parts of class, id and role values that mark what isn't the article.
-CUE = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies copyright disclaimer discussion disqus footer header legal login masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
+# Parts of class, id and role values that mark what isn't the article.
+CUE = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer discussion disqus footer masthead menu modal nav navbar navigation newsletter popup promo promoted sidebar signup sponsor sponsored subscribe subscription toolbar widget".split())
+# Those that mark it only alone, or beside another mark or a word of layout.
+WEAK_CUE = frozenset("copyright header legal login notice notices promotion related reply replies search share sharing skip social teaser".split())
+LAYOUT = frozenset("area articles bar block bottom box button buttons container content global holder icons item items left link links list main page panel posts right row section site stories top wrap wrapper".split())
+# Parts that say whether something is there, and marks of readers' comments.
+STATE = frozenset("closed disabled enabled has hide is no not open show with without".split())
+COMMENTS = frozenset("comment comments discussion disqus reply replies".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _CUES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -41,28 +47,49 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Block:
-    """A run of text between block elements. inside: in an article or main element; off: within a menu, form, note etc."""
+    """A run of text between block elements. inside: in an article or main element; off: within a menu, note etc.; within:
+    numbers of the forms and marked elements around it."""
 
     text: str
     links: int
     inside: bool
     off: bool
     heading: bool
+    within: tuple[int, ...] = ()
     label: str = ""
 
 
+def cues(attributes: str) -> tuple[bool, bool]:
+    """Whether an element's class, id or role marks it as no part of the article, and as readers' comments."""
+    marked = comments = False
+    for value in _CUES.findall(attributes):
+        for token in value.strip("\"'").lower().split():
+            parts = {x for x in re.split(r"[^a-z]+", token) if x}
+            strong, weak = parts & CUE, parts & WEAK_CUE
+            if parts & STATE or not (strong or weak and (len(weak) > 1 or not parts - WEAK_CUE - LAYOUT)):
+                continue
+            marked, comments = True, comments or bool(parts & COMMENTS)
+    return marked, comments
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. Comments, raw elements and markup are left out, character references decoded."""
+    """The page's blocks in order. Comments, raw elements and markup are left out, character references decoded.
+
+    A form or an element marked by its class, id or role is off the article, unless it holds the article: an article or
+    main element, or, on a page without one, more than half of the text. Marks of readers' comments hold anyway.
+    """
     out: list[Block] = []
     text: list[str] = []
     state = {"links": 0, "a": 0, "inside": 0, "heading": False, "br": False}
-    off: list[list] = []  # open elements off the article: [tag, depth of the same tag within]
+    off: list[list] = []  # open elements off the article: [tag, depth of the same tag within, number or None: certain]
+    around: list[bool] = []  # for each form or marked element, whether an article within it makes it part of the page
+    final: set[int] = set()  # those that are off the article whatever they hold
 
     def end() -> None:
         if text:
             raw = " ".join(_html.unescape("".join(text)).split())
             if raw:
-                out.append(Block(raw, min(len(raw), state["links"]), state["inside"] > 0, bool(off), state["heading"]))
+                out.append(Block(raw, min(len(raw), state["links"]), state["inside"] > 0, any(o[2] is None for o in off), state["heading"], tuple(o[2] for o in off if o[2] is not None)))
         text.clear()
         state.update(links=0, br=False)
 
@@ -103,46 +130,68 @@ def blocks(page: str) -> list[Block]:
             state["a"] = 0
         if tag in ("article", "main"):
             state["inside"] = max(0, state["inside"] + (1 if opens else -1))
-            if opens and off and off[-1][0] in BOILERPLATE:
-                off.clear()  # an element left open doesn't swallow the article
+            if opens:
+                if off and off[-1][0] in BOILERPLATE:
+                    off = [o for o in off if o[2] is not None]  # an element left open doesn't swallow the article
+                if not (cues(m[3])[1] or any(o[2] in final for o in off)):
+                    for o in off:
+                        if o[2] is not None:
+                            around[o[2]] = True
         if tag in HEADING:
             state["heading"] = opens
-        if off and off[-1][0] == tag and tag not in VOID:
-            off[-1][1] += 1 if opens else -1
-            if off[-1][1] == 0:
-                off.pop()
-            continue
-        if opens and tag not in VOID and tag not in ("html", "body", "article", "main") and not m[0].endswith("/>"):
-            cues = {x for v in _CUES.findall(m[3]) for x in re.split(r"[^a-z]+", v.lower())}
-            if tag in BOILERPLATE or (tag == "header" and not state["inside"]) or cues & CUE:
-                off.append([tag, 1])
+        if opens and tag not in VOID and not m[0].endswith("/>"):
+            marked, comments = (False, False) if tag in ("html", "body", "article", "main") else cues(m[3])
+            if tag in BOILERPLATE or (tag == "header" and not state["inside"]):
+                off.append([tag, 1, None])
+            elif tag == "form" or marked:
+                off.append([tag, 1, len(around)])
+                if comments:
+                    final.add(len(around))
+                around.append(False)
+            elif off and off[-1][0] == tag:
+                off[-1][1] += 1
         elif not opens and off:
             for i in range(len(off) - 1, -1, -1):
                 if off[i][0] == tag:
-                    del off[i:]
+                    off[i][1] -= 1
+                    del off[i + (off[i][1] > 0) :]
                     break
     add(page[at:])
     end()
+    left = [b for b in out if not b.off]
+    if not any(around) and not any(b.inside and not b.within for b in left):
+        size: dict[int, int] = {}
+        for b in left:
+            for k in b.within:
+                size[k] = size.get(k, 0) + len(b.text)
+        whole = sum(len(b.text) for b in left if not final.intersection(b.within))
+        around = [k not in final and 2 * size.get(k, 0) > whole for k in range(len(around))]
+    for b in left:
+        b.off = any(not around[k] for k in b.within)
     return out
 
 
 def classify(found: list[Block], short: int = 70, long: int = 140, links: float = 0.5, stop: float = 0.12) -> None:
     """Labels blocks good or bad.
 
-    Pass 1 decides by rule: bad is what stands in a menu, form, note or the like, has over `links` of its text in links,
-    or stands outside the article element where there is one; good is what has at least `stop` of its words among stop
-    words and, outside an article element, `long` characters. Pass 2: ambiguous blocks (short ones, headings, long ones
-    of few stop words) take the label that their nearest decided neighbours in the same region (menus, forms, notes aside) share; where these differ,
-    a heading takes the following one's, others are good inside an article element and bad outside. With no decided
-    neighbour they are good inside an article element only.
+    Pass 1 decides by rule: bad is what stands in a menu, form, note or the like, has over `links` of its text in links, or
+    stands outside the article element where there is one; good is what has at least `stop` of its words among stop words
+    and, outside an article element, `long` characters. Inside an article element blocks of links are bad only if they
+    are nothing but links and stand next to another such block: a menu or list of further pages. Pass 2: ambiguous blocks
+    (short ones, headings, long ones of few stop words, other blocks of links) take the label that their nearest decided
+    neighbours in the same region (menus, forms, notes aside) share; where these differ, a heading takes the following
+    one's, others are good inside an article element and bad outside. With no decided neighbour they are good inside an
+    article element only.
     """
     region = any(b.inside and not b.off for b in found)
-    for b in found:
+    linked = [b.links >= 0.9 * len(b.text) for b in found]
+    for i, b in enumerate(found):
         words = _WORD.findall(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.off or region and not b.inside or b.links > links * len(b.text):
+        row = any(0 <= k < len(found) and linked[k] and found[k].inside and not found[k].off for k in (i - 1, i + 1))
+        if b.off or region and not b.inside or b.links > links * len(b.text) and (not b.inside or linked[i] and row):
             b.label = "bad"
-        elif b.heading or len(b.text) < (short if b.inside else long) or density < stop:
+        elif b.heading or len(b.text) < (short if b.inside else long) or density < stop or b.links > links * len(b.text):
             b.label = ""
         else:
             b.label = "good"

@@ -127,6 +127,32 @@ def test_html_extraction(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "post-related", "social-science", "legal-article", "entry-header", "share", "sidebar", "layout menu"])
+def test_marks_around_the_article(name):
+    p = "<p>The cat and the dog of the house were in a garden with a lot of the sun and of the moon, which is what they had all been about to be at that time.</p>"
+    text = html.main_text(p)
+    rest = "<div class='menu'><a>One</a></div><div class=comments>" + 5 * p.replace("cat", "reader") + "</div>"
+    assert html.main_text(f"<div class='{name}'><nav>menu</nav><article>{p}</article></div>{rest}") == text
+    assert html.main_text(f"<div class='{name}'>{p}{p}{rest}</div>") == f"{text}\n{text}"
+    assert html.main_text(f"<form id=page><nav>menu</nav><article>{p}</article>{rest}</form>") == text
+    assert html.main_text(f"<form id=page>{p}<label>Name</label></form>") == text
+
+
+def test_marks_beside_the_article():
+    p = "<p>The cat and the dog of the house were in a garden with a lot of the sun and of the moon, which is what they had all been about to be at that time.</p>"
+    text = html.main_text(p)
+    for mark in ("ad", "ad-box", "site-footer", "cookie-banner", "related-posts", "social-share", "legal-notice", "sidebar", "comments-area", "header", "newsletter-signup"):
+        for other in (f"<div class='x {mark}'>{p}</div>", f"<section id={mark}><div>{p}</div></section>"):
+            assert html.main_text(f"<article>{p}</article>{other}") == text, mark
+            assert html.main_text(f"<article>{p}{other}{p}</article>") == f"{text}\n{text}", mark
+            assert html.main_text(f"{p}{p}{other}") == f"{text}\n{text}", mark
+    assert html.main_text(f"<article>{p}</article><form>{p}</form>") == text
+    linked = "<p><a href=x>The whole of this is a link to the other one</a></p>"
+    assert html.main_text(f"<article>{p}{linked}{p}</article>") == f"{text}\nThe whole of this is a link to the other one\n{text}"
+    assert html.main_text(f"<article>{p}<ul>{'<li><a>further page of it</a>' * 3}</ul></article>") == text
+    assert html.main_text(f"<article><div class=entry-header><h1>Title</h1></div>{p}</article>") == f"Title\n{text}"
+
+
 def test_urls(spark):
     cases = [("http://a.example.org/es/1", "example.org/es/", "block"), ("https://EXAMPLE.org/en/12?q", "example.org/en/1", "block"), ("x://example.org/en/2#/es/", "org/", "allow"), ("http://org", None, "allow"),
              ("http://b.com/de/x", "com/de/", "block"), ("http://b.com/fr/", "com/fr/", "allow"), ("http://com.net/de/", None, "allow"), ("nothing", None, "allow"), (None, None, "allow"), ("", None, "allow")]
