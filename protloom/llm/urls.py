@@ -28,7 +28,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     rules(action, host, path): a rule fits its host and all subdomains of it if the path starts with the rule's; the
     longest fitting rule wins (host and path together; ties: the longer host). Each URL is expanded into the pairs of its
-    host suffixes and of its path prefixes (of the lengths that rules have); these are joined with the rules on eight
+    host suffixes (of as many labels as rules have, at most) and of its path prefixes (of the lengths that rules have); these are joined with the rules on eight
     hex digits of their digest, and whole digests then confirm the match.
 
     Null, empty and malformed URLs have empty host and path and get `default`. Repeated rows stay; an empty table gives
@@ -38,11 +38,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     digest = F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256)
     rules = rules.select(F.col("action").alias("r_action"), ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path")).dropDuplicates(["r_host", "r_path"])
     rules = rules.select("*", digest.alias("r_digest"), F.substring(digest, 1, 8).alias("short"))
-    n, lengths = rules.agg(F.count("*"), F.sort_array(F.collect_set(F.length("r_path")))).first()
+    n, lengths, most = rules.agg(F.count("*"), F.sort_array(F.collect_set(F.length("r_path"))), F.max(F.size(F.split("r_host", "\\.")))).first()
     parts = pages.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(c) for c in kept]).alias("__kept"), F.col(url).alias("__url"))
     parts = parts.select("__row", "__kept", host_of(F.col("__url")).alias("__host"), path_of(F.col("__url")).alias("__path"))
-    labels = F.split("__host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = F.length("__host") - F.length(F.replace("__host", F.lit("."), F.lit(""))) + 1
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(labels, F.lit(most or 1))), lambda i: F.call_function("substring_index", F.col("__host"), F.lit("."), -i))
     prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in lengths or [0]]), lambda x: x <= F.length("__path")), lambda x: F.substring("__path", 1, x))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.sha2(F.concat_ws("\n", h, p), 256))))
     found = parts.select("*", F.explode_outer(pairs).alias("__digest")).withColumn("short", F.substring("__digest", 1, 8))

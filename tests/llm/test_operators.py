@@ -164,6 +164,19 @@ def test_urls(spark):
     assert urls.judge(rows.limit(0), rules).count() == 0 and {r.verdict for r in urls.judge(rows, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_long_urls_and_clashing_names(spark):
+    import time
+
+    host = ".".join(["a"] * 20_000)
+    rows = spark.createDataFrame([(1, f"http://{host}.example.org/es/" + "p/" * 50_000, 1, 2, "h"), (None, "x://.org/", 3, 4, None)], "page_id int, url string, short int, __row int, host string")
+    rules = spark.createDataFrame(list(urls.RULES), "action string, host string, path string")
+    urls.judge(rows.limit(0), rules).collect()
+    began = time.time()
+    got = {r.page_id: r for r in urls.judge(rows, rules).collect()}
+    assert time.time() - began < 5 and (got[1].rule, got[1].verdict, got[1].short, got[1]["__row"]) == ("example.org/es/", "block", 1, 2)
+    assert (got[None].rule, got[None].host) == ("org/", ".org")
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     texts = [mit.upper().replace("LICENSE", "LICENCE"), "Copyright (c) 2020 X\n" + mit.replace(",", " ,"), "Hello\nReleased under the MIT licence!\nbye", None, "", "x" * 100_000]
