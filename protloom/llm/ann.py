@@ -28,8 +28,7 @@ class Tree:
     LEAF = 128
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, top: float):
-        order = np.argsort(ids, kind="stable")
-        order = order[np.concatenate([[True], np.diff(ids[order]) != 0])] if len(ids) else order
+        order = np.lexsort((*x.T[::-1], ids))  # whatever order the rows arrive in
         ids, x = ids[order], x[order]
         full = np.column_stack([x, np.sqrt(np.maximum(0, top - (x * x).sum(1)))])
         self.vantage, self.nodes, self.leaves = [], [], []
@@ -60,7 +59,8 @@ class Tree:
         self.ids, self.x, self.top = ids[at], x[at], top
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query numbers, ids, inner products) of each query's k nearest, ties to smaller ids, its own id left out.
+        """(query numbers, ids, inner products) of each query's k nearest, ties to smaller ids, its own row (one of its id
+        and vector) left out.
 
         A leaf is skipped for a query if the triangle inequality puts all its points farther than factor times the k-th
         distance so far: exact with factor 1, ever fewer leaves with smaller ones.
@@ -82,12 +82,19 @@ class Tree:
         bound(self.root, np.zeros(m))
         slack = 1e-9 * (1 + np.sqrt(nq * self.top))
         best, seen = np.full((m, k), -np.inf), np.zeros(far.shape, bool)
+        own, by_id = np.full(m, -1), np.argsort(self.ids, kind="stable")
+        lo, hi = (np.searchsorted(self.ids, q_ids, side, sorter=by_id) for side in ("left", "right"))
+        for r in np.flatnonzero(hi > lo):
+            same = by_id[lo[r] : hi[r]]
+            same = same[(self.x[same] == q[r]).all(axis=1)]
+            own[r] = same[0] if len(same) else -1
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def visit(leaf: int, rows: np.ndarray) -> None:
             a, b = self.leaves[leaf]
             dots = q[rows] @ self.x[a:b].T
-            dots[self.ids[a:b][None, :] == q_ids[rows][:, None]] = -np.inf
+            mine = np.flatnonzero((own[rows] >= a) & (own[rows] < b))
+            dots[mine, own[rows[mine]] - a] = -np.inf
             seen[rows, leaf] = True
             best[rows] = -np.sort(-np.concatenate([best[rows], dots], axis=1), axis=1)[:, :k]
             i, j = np.nonzero((dots >= (best[rows, k - 1] - slack[rows])[:, None]) & np.isfinite(dots))
@@ -131,8 +138,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     """(query_id, rank, vec_id, score): for each query the k rows of vectors with the largest inner product.
 
     Rows are dealt by hash of the id to shards of about shard_rows, each indexed by a Tree; queries go in blocks to every
-    shard, and a window over each query's k hits per shard gives the result. Ties go to the smaller id. A query's own id
-    is no candidate of it; rows that repeat an id count once. Unusable vectors (see usable) take no part, nor do vectors
+    shard, and a window over each query's k hits per shard gives the result. Ties go to the smaller id. A query's own
+    row (one row of its id and vector) is no candidate of it; other rows that repeat its id are, and rows that repeat an
+    id are candidates and queries each. Unusable vectors (see usable) take no part, nor do vectors
     of another length than the query's; with fewer candidates than k all are returned. Empty tables give empty results,
     other columns are ignored. factor below 1 prunes more than the triangle inequality allows, at the cost of recall.
     """
@@ -148,19 +156,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [tree.dump()]})
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("vec_id")
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "shards": [int(pdf["shards"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(pdf["v"].to_list()).astype(np.float64).tobytes()]})
+        ids, q = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["v"].to_list()).astype(np.float64)
+        by = np.lexsort((*q.T[::-1], ids))  # a query's place in its block tells rows of one id apart
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "shards": [int(pdf["shards"].iloc[0])], "ids": [ids[by].tobytes()], "q": [q[by].tobytes()]})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for ids, q, data in zip(pdf["ids"], pdf["q"], pdf["tree"], strict=True):
+            for block, ids, q, data in zip(pdf["block"], pdf["ids"], pdf["q"], pdf["tree"], strict=True):
                 ids = np.frombuffer(ids, np.int64)
                 i, found, score = Tree.load(data).search(ids, np.frombuffer(q, np.float64).reshape(len(ids), -1), k, factor)
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": found, "score": score})
+                yield pd.DataFrame({"block": block, "place": i, "query_id": ids[i], "vec_id": found, "score": score})
 
     trees = base.join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).select("dim", "shard", "top", "vec_id", "v").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary")
     blocks = asked.join(dims.select("dim", "shards"), "dim").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(max(1, -(-n_queries // block)))).cast("int")).select("dim", "block", "shards", "vec_id", "v").groupBy("dim", "block").applyInPandas(pack, "dim int, block int, shards int, ids binary, q binary")
-    pairs = blocks.select("dim", "ids", "q", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).join(trees, ["dim", "shard"]).select("ids", "q", "tree")
-    hits = pairs.mapInPandas(search, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    pairs = blocks.select("dim", "block", "ids", "q", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).join(trees, ["dim", "shard"]).select("block", "ids", "q", "tree")
+    hits = pairs.mapInPandas(search, "block int, place bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "block", "place").orderBy(F.desc("score"), "vec_id"))
     return hits.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -164,7 +164,11 @@ def indexes(items: list[tuple[object, str | None, list[str], list[str]]]) -> lis
 def _hits(part: pa.RecordBatch, some: list[Index], tau: float, overlap: float, memos: list[dict]) -> Iterator[tuple[int, object, float, float, float]]:
     """(row, item id, score, question overlap, answer overlap) of confirmed items."""
     codes, offsets, raw = words_of(part.column("text"))
-    words = [normal(w) for w in raw.cast(pa.string()).to_pylist()]
+    names = raw.cast(pa.string()).to_pylist()
+    if any(not w.isalnum() and len(w.split()) > 1 for w in names):  # other white space than ASCII's parts words too
+        codes, offsets, raw = words_of(pa.array([" ".join((x or "").split()) for x in part.column("text").to_pylist()], pa.string()))
+        names = raw.cast(pa.string()).to_pylist()
+    words = [normal(w) for w in names]
     keep = np.fromiter(map(bool, words), bool, len(words))[codes]  # not: tokens of punctuation only
     offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
     for index, memo in zip(some, memos, strict=True):

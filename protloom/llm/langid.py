@@ -16,6 +16,8 @@ from .common import map_batches, remainder, slices, with_text, words_of
 BUCKETS = 1 << 16
 #: At most about so many documents of each language are learned from.
 SAMPLE_DOCS = 3000
+#: Languages learned at most: the most frequent ones.
+MAX_LANGS = 256
 
 _letters: np.ndarray | None = None
 
@@ -47,15 +49,16 @@ def word_list(words: pa.Array) -> list[str]:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [BUCKETS, languages]) from rows of non-null lang; of each language about
-    sample_docs documents, chosen by hash of the key, or all if it has fewer. Add-half smoothing."""
+    sample_docs documents, chosen by hash of the key, or all if it has fewer. Of more than MAX_LANGS values of lang the
+    most frequent ones are learned: the model's size is bounded whatever the column holds. Add-half smoothing."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h"))
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     langs = sorted(totals)
     if not langs:
         return [], np.zeros((BUCKETS, 0))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / totals[k]) * (1 << 30)))])
     number = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(i))])
-    sample = rows.where(F.col("h") < share[F.col("lang")]).select(number[F.col("lang")].alias("lang"), "text")
+    sample = rows.where(F.col("lang").isin(langs) & (F.col("h") < share[F.col("lang")])).select(number[F.col("lang")].alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +94,7 @@ def infer(codes: np.ndarray, offsets: np.ndarray, words: list[str], table: np.nd
     """Proportions of the languages in each document (rows of zeros: no letter).
 
     Words are the units drawn from a language. EM over all languages ranks them; for growing sets of the best ranked the
-    EM is repeated, and the set with the largest log likelihood - penalty * (size - 1) * log(words) is taken.
+    EM is repeated while log likelihood - penalty * (size - 1) * log(words) grows.
     """
     k = table.shape[1]
     bucket, word = trigrams(words)
@@ -112,14 +115,14 @@ def infer(codes: np.ndarray, offsets: np.ndarray, words: list[str], table: np.nd
     n = np.diff(offsets)
     theta, _ = proportions(like, offsets, np.full((len(full), k), 1 / k, np.float32), steps)
     rank = np.argsort(np.argsort(-theta, axis=1, kind="stable"), axis=1)
-    best, chosen = np.full(len(full), -np.inf), np.zeros((len(full), k))
+    best, chosen, going = np.full(len(full), -np.inf), np.zeros((len(full), k)), np.ones(len(full), bool)
     for size in range(1, k + 1):
         start = np.where(rank < size, np.maximum(theta, 1e-6), 0)
         now, ll = proportions(like, offsets, (start / start.sum(1, keepdims=True)).astype(np.float32), 0 if size == 1 else max(1, steps // 2))
         ll -= penalty * (size - 1) * np.log(n + 1)
-        better = ll > best
-        best[better], chosen[better] = ll[better], now[better]
-        if not better.any():
+        going &= ll > best  # a document is done when a larger set doesn't serve it, whatever others in its slice do
+        best[going], chosen[going] = ll[going], now[going]
+        if not going.any():
             break
     out[full] = chosen
     return out

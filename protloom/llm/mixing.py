@@ -57,14 +57,14 @@ def mix(docs: DataFrame, budget: int | None = None, max_repeat: float | None = 1
     (budget: tokens in all, by default as many as docs hold). It is passed over in whole epochs as often as that allows;
     in the last, partial epoch its blocks are taken in the order of a permutation drawn for that source and epoch until
     the next would exceed the rest, and of that block documents in the order of doc_order while they fit. A block holds
-    about block_rows documents by hash of doc_id, so a source of any size is spread over blocks and no task gets more
+    about block_rows documents by hash of doc_id (of the text where that is null), so a source of any size is spread over blocks and no task gets more
     than block sums of it. Reading by (epoch, block_order, doc_order) realises the mixture.
 
     Null sources form one source of their own (null), null and blank texts have 0 tokens and ride along in each epoch,
     repeated rows count and are taken as often as they stand there, further columns are ignored, an empty table gives an
     empty result. Ties in the permutation go by block number, by doc_id within a block.
     """
-    rows = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("key"), token_count(F.col(text)).alias("n_tokens")))
+    rows = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("key"), token_count(F.col(text)).alias("n_tokens"), F.coalesce(F.xxhash64(doc_id, F.when(F.col(doc_id).isNull(), F.col(text))), F.lit(0)).alias("h")))
     sources = checkpoint(rows.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     tokens, n_sources, n_docs = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
     total, budget = float(tokens), float(tokens if budget is None else budget)
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, budget: int | None = None, max_repeat: float | None = 1
     wanted = F.floor(F.col("weight") * F.lit(budget))
     whole = F.when(F.col("tokens") > 0, F.floor(wanted / F.col("tokens"))).otherwise(1)
     plan = plan.select("key", "weight", "blocks", whole.alias("whole"), F.when(F.col("tokens") > 0, wanted - whole * F.col("tokens")).otherwise(0).alias("rest"))
-    rows = rows.join(small(plan, n_sources), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks"))
+    rows = rows.join(small(plan, n_sources), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "h"), "blocks"))
     blocks = rows.groupBy("key", "block").agg(F.sum("n_tokens").alias("t"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
     order = lambda epoch: F.xxhash64(F.lit(seed), F.lit("block"), "key", "block", epoch)
     by = Window.partitionBy("key").orderBy(order(F.col("whole")), "block")

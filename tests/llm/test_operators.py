@@ -97,14 +97,17 @@ def test_vantage_point_trees(spark):
     x[50:90] = x[50]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [None] * 8), (904, [1.0, 2.0]), (3, x[3].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {}
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=7, shard_rows=200, block=10).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert set(got) == set(range(0, 600, 20))
-    for q, hits in got.items():
-        dots = sum(x[q].astype(np.float64)[d] * x[:, d].astype(np.float64) for d in range(8))
-        want = sorted((-dots[i], i) for i in range(600) if i != q)[:7]
-        assert [(k, i) for k, i, _ in sorted(hits)] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+    rows += [(20, x[21].tolist()), (7, x[22].tolist()), (40, x[40].tolist())]  # other and equal rows of one id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=7, shard_rows=200, block=10).collect())
+    ok = [(i, np.array(v, np.float64)) for i, v in rows if v and len(v) == 8 and i not in (901, 902, 903)]
+    want = []
+    for n, (i, v) in enumerate(ok):
+        if i % 20 == 0:
+            near = sorted((-sum(v[d] * w[d] for d in range(8)), j) for m, (j, w) in enumerate(ok) if m != n)[:7]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(near)]
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)], abs=1e-12)
+    got = {q: [(k, i, s) for z, k, i, s in got if z == q] for q in {r[0] for r in got}}
     loose = ann.nearest(df, df.where("vec_id % 20 = 0"), k=7, factor=0.5, shard_rows=200).select("query_id", "vec_id").collect()
     assert len(set(map(tuple, loose)) & {(q, i) for q, h in got.items() for _, i, _ in h}) > 0.3 * 7 * 30
     assert ann.nearest(df.limit(0), df, k=3).count() == 0
@@ -247,6 +250,19 @@ def test_decontamination_finds_items_of_any_length(spark, size):
     assert {(r.doc_id, r.item_id) for r in got} == {(d, 0) for d in range(10)} and all(r.score > 0.99 for r in got)
 
 
+def test_decontamination_with_other_white_space(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    items = [" ".join(rng.choices(words, k=30)) + ". The answer is " + " ".join(rng.sample(words, 5)) for _ in range(3)]
+    items[2] = items[2].replace(" ", "\u00a0")
+    texts = [" ".join(rng.choices(words, k=300)) + " " + x + " " + " ".join(rng.choices(words, k=300)) for x in (items[0].replace(" ", "\u00a0"), items[1].replace(" ", "\u2003\u2028"), items[2].replace("\u00a0", " "))]
+    its = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    docs = docs_of(spark, texts).selectExpr("doc_id", "text", "'x' as item_id", "1 as score")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, its).collect()} == {(0, 0), (1, 1), (2, 2)}
+    assert decontaminate.matches(docs.limit(0), its).count() == decontaminate.matches(docs, its.limit(0)).count() == 0
+    assert decontaminate.clean(docs, its.limit(0)).count() == 3
+
+
 def test_wand_finds_all_above_threshold():
     rng = random.Random(8)
     words = [f"w{i}" for i in range(80)]
@@ -316,6 +332,34 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(docs, [], np.zeros((langid.BUCKETS, 0))).collect()} == {"und"}
 
 
+def test_language_sets_do_not_depend_on_the_slice():
+    rng = np.random.default_rng(3)
+    table = np.log(rng.dirichlet(np.full(langid.BUCKETS, 0.02), 4).T + 1e-9)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    docs = [rng.integers(0, 400, rng.integers(1, 80)) for _ in range(40)]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    whole = langid.infer(np.concatenate(docs), offsets, words, table, 0.5, 6)
+    for i, d in enumerate(docs):
+        assert langid.infer(d, np.array([0, len(d)]), words, table, 0.5, 6)[0] == pytest.approx(whole[i], abs=1e-4)
+
+
+def test_empty_tables_and_clashing_names(spark):
+    """Each operator on no rows, on null ids and repeated rows, with columns of the names that it gives."""
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, score int, n_tokens string, epoch int, digest int, lang_pred int, block int")
+    rows = [(None, "one two three four five six", "en", None, 1, "x", 1, 1, 1, 1)] * 2 + [(1, None, "en", "a", 1, "x", 1, 1, 1, 1), (1, "", None, "a", 1, "x", 1, 1, 1, 1), (2, "long " * 60_000, "de", "a", 1, "x", 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, none.schema)
+    for df, n in ((none, 0), (docs, 5)):
+        langs, table = langid.learn(df)
+        assert langid.identify(df, langs, table).count() == n
+        out = lm.score(df, lm.train(df))
+        assert out.count() == n and out.schema["score"].dataType.simpleString() == "double"
+        assert simhash.near_duplicates(df).count() == n
+        assert licenses.scan(df, licenses.known(spark)).count() == n
+        mixed = mixing.mix(df)
+        assert set(mixed.columns) >= {"doc_id", "epoch", "block", "n_tokens"} and mixed.count() >= 0
+    assert simhash.keep_one(docs).count() == 4
+
+
 def test_subsequence_kernel():
     def plain(s, t):
         out = 0.0
