@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, per_row_sum, remainder, slices, with_text, words_of
+from .common import map_batches, release, remainder, slices, with_text, words_of
 
 #: At most about so many labelled documents of each class are learned from, and so many of their most frequent units.
 SAMPLE_DOCS, TRAINING_UNITS = 3000, 20_000
@@ -105,29 +105,29 @@ class Features:
         order = np.argsort(r, kind="stable")
         return cls(r[order], f[order], w[order], len(strings))
 
-    def columns(self, marks: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(subsequences of these rows in order, their weights by row: a column each)."""
-        place = np.full(self.size, -1)
-        place[marks] = np.arange(len(marks))
-        some = place[self.rows] >= 0
-        known, at = np.unique(self.what[some], return_inverse=True)
-        out = np.zeros((len(known), len(marks)), np.float32)
-        np.add.at(out, (at, place[self.rows[some]]), self.weight[some])
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """(subsequences of all rows in order, their weights by row: a column each)."""
+        known, at = np.unique(self.what, return_inverse=True)
+        out = np.zeros((len(known), self.size), np.float32)
+        np.add.at(out, (at, self.rows), self.weight)
         return known, out
 
-    def gram(self, marks: list[int]) -> np.ndarray:
-        """Kernel of all rows with the rows `marks`."""
-        known, column = self.columns(marks)
-        out = np.zeros((self.size, len(marks)), np.float32)
-        for k in range(0, len(self.rows), 100_000):
-            r, f, w = (x[k : k + 100_000] for x in (self.rows, self.what, self.weight))
-            at = np.minimum(np.searchsorted(known, f), max(0, len(known) - 1))
-            some = known[at] == f if len(known) else np.zeros(len(f), bool)
-            r, product = r[some], column[at[some]] * w[some, None]
+
+def gram(strings: list[str], marks: list[str], alphabet: str) -> np.ndarray:
+    """Kernel of all strings with all marks, a few thousand entries at a time: memory is the result's."""
+    known, column = Features.of(marks, alphabet).columns()
+    out = np.zeros((len(strings), len(marks)), np.float32)
+    for first in range(0, len(strings) if len(known) else 0, 2000):
+        some = Features.of(strings[first : first + 2000], alphabet)
+        for k in range(0, len(some.rows), 8192):
+            r, f, w = (x[k : k + 8192] for x in (some.rows, some.what, some.weight))
+            at = np.minimum(np.searchsorted(known, f), len(known) - 1)
+            hit = known[at] == f
+            r, product = r[hit], column[at[hit]] * w[hit, None]
             if len(r):
                 start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                out[r[start]] += np.add.reduceat(product, start)
-        return out
+                out[first + r[start]] += np.add.reduceat(product, start)
+    return out
 
 
 @dataclass
@@ -260,36 +260,42 @@ def machine(strings: list[str], bad: np.ndarray, good: np.ndarray, landmarks: in
     contrast = (p - n) / np.sqrt((bad + good + 1) / sum(total) * (1 / total[0] + 1 / total[1]))
     by_hash = np.argsort([xxhash.xxh64_intdigest(s) for s in strings], kind="stable")
     marks = np.argsort(-contrast, kind="stable")[: 3 * landmarks // 4].tolist()
-    marks += [i for i in by_hash.tolist() if i not in set(marks)][: landmarks - len(marks)]
+    chosen = set(marks)
+    marks += [i for i in by_hash.tolist() if i not in chosen][: landmarks - len(marks)]
     seen: dict[str, float] = {}
     for s, w in zip(strings, bad + good, strict=True):
         for ch in s:
             seen[ch] = seen.get(ch, 0.0) + w
     alphabet = "".join(sorted(sorted(seen, key=lambda ch: (-seen[ch], ch))[:ALPHABET]))
-    features = Features.of(strings, alphabet)
     p, n = p + DOUBT / total[0], n + DOUBT / total[0]
     p, n = p / (p.sum() + n.sum()), n / (p.sum() + n.sum())
-    gram = features.gram(marks)
+    k = np.zeros((len(strings), landmarks + rounds * (landmarks // 2)), np.float32)
+    done = 0
     for r in range(rounds + 1):
-        value, vector = np.linalg.eigh(gram[marks].astype(np.float64))
+        k[:, done : len(marks)] = gram(strings, [strings[i] for i in marks[done:]], alphabet)
+        done = len(marks)
+        value, vector = np.linalg.eigh(k[marks, :done].astype(np.float64))
         root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
-        x = np.column_stack([gram @ root, np.ones(len(strings))])
-        w = np.zeros(x.shape[1])
-        for _ in range(100):  # Newton's method
-            f = x @ w
+        w, f = np.zeros(done + 1), np.zeros(len(strings))
+        for _ in range(100):  # Newton's method, the examples taken in portions
             low, high = p * (f < 1), n * (f > -1)
-            new = np.linalg.solve((x * (low + high)[:, None]).T @ x + 1e-6 * np.eye(len(w)), x.T @ (low - high))
-            done = np.allclose(new, w, atol=1e-7)
+            h, g = 1e-6 * np.eye(done + 1), np.zeros(done + 1)
+            for s in range(0, len(strings), 2048):
+                x = np.column_stack([k[s : s + 2048, :done] @ root, np.ones(len(k[s : s + 2048]))])
+                c = low[s : s + 2048], high[s : s + 2048]
+                h += (x * (c[0] + c[1])[:, None]).T @ x
+                g += x.T @ (c[0] - c[1])
+            new = np.linalg.solve(h, g)
+            settled = np.allclose(new, w, atol=1e-7)
             w = new
-            if done:
+            f = k[:, :done] @ (root @ w[:-1]) + w[-1]
+            if settled:
                 break
         if r < rounds:
-            f = x @ w
             wrong = np.abs(p * np.maximum(0, 1 - f) - n * np.maximum(0, 1 + f)) / np.sqrt(p + n)
-            more = [i for i in np.argsort(-wrong, kind="stable").tolist() if i not in set(marks)][: landmarks // 2]
-            gram = np.concatenate([gram, features.gram(more)], axis=1) if more else gram
-            marks += more
-    known, column = features.columns(marks)
+            chosen = set(marks)
+            marks += [i for i in np.argsort(-wrong, kind="stable").tolist() if i not in chosen][: landmarks // 2]
+    known, column = Features.of([strings[i] for i in marks], alphabet).columns()
     table = np.zeros((len(alphabet) + 1) ** 3, np.float32)
     table[known] = column @ (root @ w[:-1])
     return Model(alphabet, table, float(w[-1]), blank=False)
@@ -348,6 +354,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, un
     if not (most["bad"] > 0).any() or not (most["good"] > 0).any():
         return nothing
     model = machine(most["unit"].tolist(), most["bad"].to_numpy(float), most["good"].to_numpy(float))
+    release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}

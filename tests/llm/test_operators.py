@@ -372,8 +372,7 @@ def test_subsequence_kernel():
         return out / toxicity.scale(len(s)) / toxicity.scale(len(t))
 
     words = [" idiot ", " idioot ", " iditos ", " house ", " ab ", "aaaa"]
-    features = toxicity.Features.of(words, "".join(sorted(set("".join(words)))))
-    gram = features.gram(list(range(len(words))))
+    gram = toxicity.gram(words, words, "".join(sorted(set("".join(words)))))
     for j, w in enumerate(words):
         want = [plain(x, w) for x in words]
         assert [toxicity.kernel(x, w) for x in words] == pytest.approx(want, rel=1e-9)
