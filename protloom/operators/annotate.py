@@ -23,64 +23,113 @@ def snv_effects(hits: DataFrame, cds: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where("ref_aa <> alt_aa")
 
 
-def bases(cds: DataFrame, keys: list[str]) -> DataFrame:
-    """Coding bases as rows (keys, i, base), i from 0 in the direction of transcription."""
-    return cds.where(F.length("cds") > 0).select(*keys, F.posexplode(F.split("cds", "")).alias("i", "base")).where("base <> ''")
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body uses it in every step of a loop over an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def edited_bases(cds: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
-    """bases() with new (the text that takes a base's place, empty: deleted) and variant_id (null: unedited).
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda x: x != "")
 
-    edits(keys, i, ref, alt, variant_id) apply where their base is the sequence's; of two at one place the least
-    variant_id does. If the third base survives, bases 1 and 2 aren't deleted: the start codon keeps its frame.
+
+def _at(edits: Column) -> Column:
+    """Map from places to edits."""
+    return F.map_from_entries(F.transform(edits, lambda x: F.struct(x["i"], x)))
+
+
+def with_edits(cds: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """cds(keys, cds, ...), one row per sequence, with its edits as an array of (i, alt, v): in order, one at a place.
+
+    edits(keys, i, ref, alt, variant_id), i from 0 in the direction of transcription, alt the text that takes a base's
+    place (empty: deleted), apply where their base is the sequence's; of two at one place the least variant id does. If
+    the third base survives, bases 1 and 2 aren't deleted: the start codon keeps its frame. All that follows from a
+    sequence and its edits is computed within this row: no base becomes a row of its own, and only this join shuffles.
     """
-    one = edits.groupBy(*keys, "i", "ref").agg(F.min_by("alt", "variant_id").alias("alt"), F.min("variant_id").alias("variant_id"))
-    rows = bases(cds, keys).join(one.withColumnRenamed("ref", "base"), [*keys, "i"] + ["base"], "left")
-    rows = rows.withColumn("new", F.coalesce("alt", "base"))
-    third = F.max(F.when((F.col("i") == 2) & (F.col("new") != ""), 1)).over(Window.partitionBy(*keys))
-    return rows.withColumn("new", F.when((F.col("i") < 2) & (F.col("new") == "") & (third == 1), F.col("base")).otherwise(F.col("new"))).select(*keys, "i", "base", "new", "variant_id")
+    found = edits.groupBy(*keys).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "ref", "variant_id", "alt")).alias("__e"))
+    rows = cds.where(F.length("cds") > 0).join(found, keys, "left")
+    fits = F.sort_array(F.filter("__e", lambda x: F.substring(F.col("cds"), x["i"] + 1, F.lit(1)) == x["ref"]))
+    first = _let(fits, lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["i"] != x["i"])))
+    whole = lambda s: (F.length("cds") > 2) & ~F.exists(s, lambda y: (y["i"] == 2) & (y["alt"] == ""))
+    kept = _let(first, lambda s: F.transform(s, lambda x: F.struct(x["i"].alias("i"), F.when((x["i"] < 2) & (x["alt"] == "") & whole(s), x["ref"]).otherwise(x["alt"]).alias("alt"), x["variant_id"].alias("v"))))
+    none = F.array().cast("array<struct<i:int,alt:string,v:string>>")
+    return rows.withColumn("edits", F.when(F.col("__e").isNull(), none).otherwise(kept)).drop("__e")
+
+
+def _stream(new: bool) -> Column:
+    """The sequence as an array of (b, i, v): bases, edited or not, with the places and edits that they come from."""
+    one = lambda b, i, v: F.struct(b.alias("b"), i.alias("i"), v.alias("v"))
+    if not new:
+        return _let(_at(F.col("edits")), lambda m: F.transform(_letters(F.col("cds")), lambda b, i: one(b, i, F.try_element_at(m, i)["v"])))
+    many = lambda x, i: F.transform(_letters(x["alt"]), lambda c: one(c, i, x["v"]))
+    each = lambda b, i, x: F.when(x.isNull(), F.array(one(b, i, F.lit(None).cast("string")))).otherwise(many(x, i))
+    return _let(_at(F.col("edits")), lambda m: F.flatten(F.transform(_letters(F.col("cds")), lambda b, i: _let(F.try_element_at(m, i), lambda x: each(b, i, x)))))
+
+
+def _names(parts: list[Column]) -> Column:
+    return F.array_join(F.array_distinct(F.filter(F.array(*parts), lambda v: v.isNotNull())), ",")
+
+
+def _codons(stream: Column, more=lambda s, k: []) -> Column:
+    """Whole codons of a stream: n from 1, locus of the first base, codon, variants in order, and more(stream, k)."""
+    part = lambda s, k, f: [F.get(s, k * 3 + j)[f] for j in range(3)]
+    codon = lambda s, k: F.struct((k + 1).cast("bigint").alias("n"), F.get(s, k * 3)["i"].cast("bigint").alias("locus"), F.concat(*part(s, k, "b")).alias("codon"), _names(part(s, k, "v")).alias("variants"), *more(s, k))
+    count = lambda s: F.floor(F.size(s) / 3).cast("int")
+    numbers = lambda s: F.when(count(s) > 0, F.sequence(F.lit(0), count(s) - 1)).otherwise(F.array().cast("array<int>"))
+    return _let(stream, lambda s: F.transform(numbers(s), lambda k: codon(s, k)))
+
+
+def edited_bases(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """with_edits() base by base: keys, i, base, new (what takes its place), variant_id (null: unedited)."""
+    base = lambda m: F.transform(_letters(F.col("cds")), lambda b, i: F.struct(i.alias("i"), b.alias("base"), F.coalesce(F.try_element_at(m, i)["alt"], b).alias("new"), F.try_element_at(m, i)["v"].alias("variant_id")))
+    return rows.select(*keys, F.inline(_let(_at(F.col("edits")), base)))
 
 
-def retranslated(edited: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, new_cds, new_aa): the edited sequence and its protein up to the first stop."""
+def retranslated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, new_cds, new_aa): the edited sequence of with_edits() and its protein up to the first stop."""
     from ..functions.sequence import translate
 
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]), "")
-    return edited.groupBy(*keys).agg(text.alias("new_cds")).withColumn("new_aa", F.substring_index(translate(F.col("new_cds")), "*", 1))
+    base = lambda m: F.transform(_letters(F.col("cds")), lambda b, i: F.coalesce(F.try_element_at(m, i)["alt"], b))
+    out = rows.select(*keys, F.array_join(_let(_at(F.col("edits")), base), "").alias("new_cds"))
+    return out.withColumn("new_aa", F.substring_index(translate(F.col("new_cds")), "*", 1))
 
 
-def codon_groups(rows: DataFrame, keys: list[str], base: str, order: list[str]) -> DataFrame:
-    """Bases, one to a row, to whole codons: (keys, codon_no from 1, locus of the first base, codon, variants in order)."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    rows = rows.withColumn("__n", n).withColumn("codon_no", (F.floor(F.col("__n") / 3) + 1).cast("bigint"))
-    got = F.sort_array(F.collect_list(F.struct("__n", F.col(base).alias("b"), F.col("i").alias("i"), F.col("variant_id").alias("v"))))
-    out = rows.groupBy(*keys, "codon_no").agg(got.alias("g")).where(F.size("g") == 3)
-    names = F.array_distinct(F.filter(F.transform("g", lambda x: x["v"]), lambda v: v.isNotNull()))
-    return out.select(*keys, "codon_no", F.col("g")[0]["i"].cast("bigint").alias("locus"), F.array_join(F.transform("g", lambda x: x["b"]), "").alias("codon"), F.array_join(names, ",").alias("variants"))
+def codon_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole codons of the sequences of with_edits(): (keys, codon_no from 1, locus of the first base, codon, variants)."""
+    return rows.select(*keys, F.inline(_codons(_stream(False)))).withColumnRenamed("n", "codon_no")
 
 
-def aligned_codons(edited: DataFrame, proteins: DataFrame, keys: list[str]) -> DataFrame:
+def aligned_codons(rows: DataFrame, keys: list[str], further: list[str] = ()) -> DataFrame:
     """Codons of the edited sequence beside the reference codon that begins at the same base.
 
-    proteins(keys, aa): residues in order, internal stops included. An unchanged codon keeps the protein's own residue
-    (selenocysteine, read-through stops). Columns: keys, n, locus, codon_alt, variants, codon_ref, aa_ref, aa_index
-    (own), filled (last own one, carried on), aa_alt, variants_ref.
+    rows: with_edits() with aa: residues in order, internal stops included (null: none). An unchanged codon keeps the
+    protein's own residue (selenocysteine, read-through stops). As reference codon c begins at base 3 (c - 1) and edited
+    bases keep the order of their places, aligning is arithmetic. Columns: keys, n, locus, codon_alt, variants, codon_ref,
+    aa_ref, aa_index (own), filled (last own one, carried on), aa_alt, variants_ref, further.
     """
-    ref = codon_groups(edited, keys, "base", ["i"]).join(proteins.select(*keys, "aa"), keys).where(F.col("codon_no") <= F.length("aa"))
-    ref = ref.select(*keys, "locus", F.col("codon").alias("codon_ref"), F.substring(F.col("aa"), F.col("codon_no").cast("int"), F.lit(1)).alias("aa_ref"), F.col("codon_no").alias("aa_index"), F.col("variants").alias("variants_ref"))
-    single = edited.select(*keys, "i", "variant_id", F.posexplode(F.split("new", "")).alias("k", "base")).where("base <> ''")
-    alt = codon_groups(single, keys, "base", ["i", "k"]).select(*keys, F.col("codon_no").alias("n"), "locus", F.col("codon").alias("codon_alt"), "variants")
-    rows = alt.join(ref, [*keys, "locus"], "left")
-    once = F.when(F.col("aa_index").isNotNull(), F.row_number().over(Window.partitionBy(*keys, "locus").orderBy("n")))
-    rows = rows.withColumn("__once", once)
-    rows = rows.select(*keys, "n", "locus", "codon_alt", "variants", "variants_ref", *[F.when(F.col("__once") == 1, F.col(c)).alias(c) for c in ("codon_ref", "aa_ref", "aa_index")])
-    aa = F.when(F.col("codon_alt") == F.col("codon_ref"), F.col("aa_ref")).otherwise(amino_acid(F.col("codon_alt")))
+    aa = F.coalesce(F.col("aa"), F.lit(""))
+
+    def more(letters, bases, m):
+        def fields(s: Column, k: Column) -> list[Column]:
+            locus = F.get(s, k * 3)["i"]
+            no = F.floor(locus / 3).cast("int")
+            known = (locus % 3 == 0) & (no < F.size(letters)) & (locus + 3 <= F.size(bases))
+            own = known & ((k == 0) | (F.get(s, k * 3 - 3)["i"] != locus))
+            own = F.coalesce(own, F.lit(True))
+            names = _names([F.try_element_at(m, locus + j)["v"] for j in range(3)])
+            codon = F.concat(*[F.get(bases, locus + j) for j in range(3)])
+            return [F.when(known, names).alias("variants_ref"), F.when(own, codon).alias("codon_ref"), F.when(own, F.get(letters, no)).alias("aa_ref"), F.when(own, (no + 1).cast("bigint")).alias("aa_index")]
+
+        return fields
+
+    codons = _let(_letters(aa), lambda letters: _let(_letters(F.col("cds")), lambda bases: _let(_at(F.col("edits")), lambda m: _codons(_stream(True), more(letters, bases, m)))))
+    out = rows.select(*keys, *further, F.inline(codons)).withColumnRenamed("codon", "codon_alt")
+    own = F.when(F.col("codon_alt") == F.col("codon_ref"), F.col("aa_ref")).otherwise(amino_acid(F.col("codon_alt")))
     filled = F.last("aa_index", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("aa_alt", aa).withColumn("filled", filled)
+    return out.withColumn("aa_alt", own).withColumn("filled", filled)
 
 
-def changes(edited: DataFrame, proteins: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per protein: new_aa, frame_change, stop_gain, aa_stop_gain, stop_loss, stop_loss_pos, and numbers and lists
+def changes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per protein of with_edits() with aa: new_aa, frame_change, stop_gain, aa_stop_gain, stop_loss, stop_loss_pos, and numbers and lists
     of substituted (A5B(ids)), deleted (A5-(ids)) and inserted (-5B(ids)) residues.
 
     frame_change: the last reference codon's first base doesn't begin exactly one codon, or a stop that aligns with no
@@ -88,10 +137,8 @@ def changes(edited: DataFrame, proteins: DataFrame, keys: list[str]) -> DataFram
     the codon after the last reference codon isn't a stop; what follows isn't reported residue by residue. Proteins
     without any aligned codon give no row: they count as unchanged.
     """
-    rows = aligned_codons(edited, proteins, keys)
-    size = proteins.select(*keys, "aa", F.length("aa").alias("len"))
-    last_ref = codon_groups(edited, keys, "base", ["i"]).join(size, keys).where(F.col("codon_no") <= F.col("len")).groupBy(*keys).agg(F.max_by("locus", "codon_no").alias("last_locus"), F.max("codon_no").alias("n_ref"))
-    rows = rows.join(size, keys).join(last_ref, keys)
+    proteins = rows.where(F.length("aa") > 0).withColumn("len", F.length("aa")).withColumn("n_ref", F.least(F.floor(F.length("cds") / 3), F.col("len")).cast("int")).where("n_ref > 0")
+    rows = aligned_codons(proteins, keys, ["len", "n_ref"]).withColumn("last_locus", (F.col("n_ref") - 1) * 3)
     stop = F.col("aa_alt") == "*"
     gained = stop & (F.col("n") <= F.col("len")) & F.coalesce(F.col("aa_ref") != "*", F.lit(True)) & ((F.col("variants") != "") | F.col("variants_ref").isNotNull())
     w = Window.partitionBy(*keys)
@@ -122,15 +169,15 @@ def changes(edited: DataFrame, proteins: DataFrame, keys: list[str]) -> DataFram
         F.count(F.when(varied, 1)).alias("n_variant_aa"), pick(varied, text(F.col("aa_ref"), F.col("aa_alt"))).alias("variant_aa"),
         F.count(F.when(added, 1)).alias("n_insertion_aa"), pick(added, text(F.lit("-"), F.col("aa_alt"))).alias("insertion_aa"),
         F.max(F.when(seen, F.col("filled"))).alias("__seen_to"), F.max(F.when(F.col("n") == F.col("gain_n"), F.col("filled"))).alias("__gain_at"),
-        F.count("aa_index").alias("__aligned"),
+        F.count("aa_index").alias("__aligned"), F.collect_set(F.when(seen, F.col("filled"))).alias("__kept"),
     ).where("__aligned > 0")
-    kept = rows.where(seen & F.col("filled").isNotNull()).select(*keys, F.col("filled").alias("aa_index")).distinct()
-    ref = codon_groups(edited, keys, "base", ["i"]).join(size, keys).where(F.col("codon_no") <= F.col("len")).select(*keys, F.col("codon_no").alias("aa_index"), F.substring(F.col("aa"), F.col("codon_no").cast("int"), F.lit(1)).alias("aa_ref"), "variants")
-    gone = ref.join(out.select(*keys, "frame_change", "__seen_to", "__gain_at"), keys).where("__gain_at is null or aa_index < __gain_at").where("not frame_change or aa_index <= coalesce(__seen_to, 0)").join(kept, [*keys, "aa_index"], "left_anti")
-    deleted = F.concat("aa_ref", F.col("aa_index").cast("string"), F.lit("-("), "variants", F.lit(")"))
-    gone = gone.groupBy(*keys).agg(F.count("*").alias("n_deletion_aa"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("aa_index", deleted.alias("t")))), lambda x: x["t"]), ";").alias("deletion_aa"))
-    out = out.drop("__seen_to", "__gain_at", "__aligned").join(gone, keys, "left")
-    return out.withColumn("n_deletion_aa", F.coalesce("n_deletion_aa", F.lit(0).cast("bigint"))).withColumn("deletion_aa", F.coalesce("deletion_aa", F.lit("")))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    gone = F.filter(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.col("n_ref").cast("bigint")), F.col("__kept")), lambda x: (F.col("__gain_at").isNull() | (x < F.col("__gain_at"))) & (~F.col("frame_change") | (x <= none(F.col("__seen_to")))))
+    names = lambda m, x: _names([F.try_element_at(m, ((x - 1) * 3 + j).cast("int"))["v"] for j in range(3)])
+    told = lambda letters, m: F.transform(F.col("__gone"), lambda x: F.concat(F.get(letters, (x - 1).cast("int")), x.cast("string"), F.lit("-("), names(m, x), F.lit(")")))
+    out = out.join(proteins.select(*keys, "aa", "edits", "n_ref"), keys).withColumn("__gone", gone)
+    out = out.withColumn("n_deletion_aa", F.size("__gone").cast("bigint")).withColumn("deletion_aa", F.array_join(_let(_letters(F.col("aa")), lambda letters: _let(_at(F.col("edits")), lambda m: told(letters, m))), ";"))
+    return out.drop("__seen_to", "__gain_at", "__aligned", "__kept", "__gone", "aa", "edits", "n_ref")
 
 
 def nonstandard_stop(len_aa: Column, len_translated: Column, len_cds: Column) -> Column:

@@ -71,9 +71,9 @@ def coding_offset(pos: Column, start: Column, before: Column, total: Column, str
 
 def coding_sequence(blocks: DataFrame, genome: DataFrame, keys: list[str], contig: str, bases: str = "seq") -> DataFrame:
     """(keys, strand, cds): the blocks' bases in genome order; genome(contig, bases) holds whole short contigs."""
-    parts = blocks.join(genome, contig).select(*keys, "strand", "start", F.substring(F.col(bases), F.col("start"), F.col("end") - F.col("start") + 1).alias("part"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), "")
-    return parts.groupBy(*keys, "strand").agg(text.alias("cds"))
+    of = blocks.groupBy(*dict.fromkeys([*keys, contig]), "strand").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__blocks"))
+    text = F.array_join(F.transform("__blocks", lambda x: F.substring(F.col(bases), x["start"].cast("int"), (x["end"] - x["start"] + 1).cast("int"))), "")
+    return of.join(genome, contig).select(*keys, "strand", text.alias("cds"))
 
 
 def tiles(genome: DataFrame, contig: str, bases: str, width: int) -> DataFrame:

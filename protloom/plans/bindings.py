@@ -35,15 +35,16 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "v_gtf": ("", """SELECT split_part(value, chr(9), 1) AS seqname, split_part(value, chr(9), 2) AS source, split_part(value, chr(9), 3) AS feature, CAST(split_part(value, chr(9), 4) AS bigint) AS start, CAST(split_part(value, chr(9), 5) AS bigint) AS "end", split_part(value, chr(9), 6) AS score, split_part(value, chr(9), 7) AS strand, TRY_CAST(split_part(value, chr(9), 8) AS int) AS frame, split_part(value, chr(9), 9) AS attributes FROM {v_gtf_line} WHERE value NOT LIKE '#%'"""),
     "v_model": """SELECT p_partkey % 500 AS tx, p_partkey AS line_no, p_partkey % 10 AS chrom, CASE WHEN p_partkey % 500 % 7 = 0 OR p_partkey % 3 > 0 THEN 'CDS' ELSE 'exon' END AS feature, p_partkey AS start, p_partkey + p_size AS `end`, CASE WHEN p_partkey % 500 % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(p_size % 3 AS int) AS frame FROM {part}""",
     "v_fasta": "SELECT 'D' || CAST(doc_id AS string) || '|' || lang || '|x ' || source || chr(10) || substr(aa, 1, 60) || chr(10) || substr(aa, 61) || '*' AS value FROM {v_protein} WHERE length(aa) > 0",
-    # three blocks of each document's bases, multiples of three long; strand by parity
-    "v_tx": tuple(f"""SELECT doc_id, k, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, 1 + (k - 1) * 60 + doc_id % 10 AS start, 1 + (k - 1) * 60 + doc_id % 10 + 20 + 3 * ((doc_id + k) % 4) AS `end` FROM {{v_dna}} {three} WHERE length(q) >= 240""" for three in ("LATERAL VIEW explode(array(1, 2, 3)) t AS k", ", (VALUES (1), (2), (3)) t(k)")),
-    "v_snv0": """SELECT doc_id, pos, alt FROM (SELECT l_partkey AS doc_id, 1 + (l_suppkey * 7 + l_linenumber * 13) % 200 AS pos, substr('ACGT', CAST(l_linenumber % 4 + 1 AS int), 1) AS alt, row_number() OVER (PARTITION BY l_partkey, 1 + (l_suppkey * 7 + l_linenumber * 13) % 200 ORDER BY rid) AS rn FROM {v_line}) WHERE rn = 1""",
-    "v_snv": "SELECT doc_id, pos, ref, alt FROM (SELECT s.doc_id, pos, substr(q, CAST(pos AS int), 1) AS ref, alt FROM {v_snv0} s JOIN {v_dna} d ON s.doc_id = d.doc_id WHERE length(q) >= 240) WHERE ref <> alt",
+    # a block in each 60 bases of a document, from its beginning to its end, a multiple of three long; strand by parity
+    "v_tx": tuple(f"""SELECT doc_id, k, strand, start, `end` FROM (SELECT doc_id, k, length(q) AS n, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, 1 + (k - 1) * 60 + doc_id % 10 AS start, 1 + (k - 1) * 60 + doc_id % 10 + 20 + 3 * ((doc_id + k) % 4) AS `end`
+ FROM (SELECT doc_id, q, {each} WHERE length(q) >= 60)) WHERE `end` <= n""" for each in ("k FROM {v_dna} LATERAL VIEW explode(sequence(1, CAST(length(q) div 60 AS int))) t AS k", "CAST(unnest(range(1, length(q) // 60 + 1)) AS int) AS k FROM {v_dna}")),
+    "v_snv0": """SELECT doc_id, pos, alt FROM (SELECT d.doc_id, 1 + (l_suppkey * 7919 + l_linenumber * 104729 + l_orderkey * 31) % length(q) AS pos, substr('ACGT', CAST(l_linenumber % 4 + 1 AS int), 1) AS alt, row_number() OVER (PARTITION BY d.doc_id, 1 + (l_suppkey * 7919 + l_linenumber * 104729 + l_orderkey * 31) % length(q) ORDER BY rid) AS rn FROM {v_line} JOIN {v_dna} d ON l_partkey = d.doc_id WHERE length(q) >= 60) WHERE rn = 1""",
+    "v_snv": "SELECT doc_id, pos, ref, alt FROM (SELECT s.doc_id, pos, substr(q, CAST(pos AS int), 1) AS ref, alt FROM {v_snv0} s JOIN {v_dna} d ON s.doc_id = d.doc_id) WHERE ref <> alt",
     # substitutions, deletions of one to three bases and insertions, at most one at a position
     "v_edit": """SELECT doc_id, pos, substr(q, CAST(pos AS int), CAST(n AS int)) AS ref, CASE WHEN kind = 1 THEN substr(q, CAST(pos AS int), 1) WHEN kind = 2 THEN substr(q, CAST(pos AS int), 1) || alt || substr('ACGTACGT', CAST(pos % 4 + 1 AS int), CAST(pos % 3 AS int)) ELSE alt END AS alt
- FROM (SELECT s.doc_id, pos, alt, q, pos % 5 AS kind, CASE WHEN pos % 5 = 1 THEN 2 + pos % 3 ELSE 1 END AS n FROM {v_snv0} s JOIN {v_dna} d ON s.doc_id = d.doc_id WHERE length(q) >= 240 AND pos % 9 IN (0, 4)) WHERE substr(q, CAST(pos AS int), CAST(n AS int)) <> CASE WHEN kind = 1 THEN substr(q, CAST(pos AS int), 1) ELSE alt END""",
+ FROM (SELECT s.doc_id, pos, alt, q, pos % 5 AS kind, CASE WHEN pos % 5 = 1 THEN 2 + pos % 3 ELSE 1 END AS n FROM {v_snv0} s JOIN {v_dna} d ON s.doc_id = d.doc_id) WHERE substr(q, CAST(pos AS int), CAST(n AS int)) <> CASE WHEN kind = 1 THEN substr(q, CAST(pos AS int), 1) ELSE alt END""",
     "v_mnv": "SELECT rid, l_partkey AS pos, substr('ACGTACGTAC', CAST(l_linenumber % 4 + 1 AS int), CAST(l_suppkey % 4 + 1 AS int)) AS ref, substr('ACCTAGGTAC', CAST(l_partkey % 4 + 1 AS int), CAST(l_linenumber % 4 + 1 AS int)) AS alt FROM {v_line}",
-    "v_carrier": "SELECT DISTINCT l_partkey % 300 AS protein_id, CAST(o_custkey % 8 AS int) AS sample, CAST(l_partkey % 300 AS string) || ':' || CAST(l_suppkey % 3 AS string) AS variant_id FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE (o_custkey % 8 + l_suppkey % 3 + l_partkey % 300) % 4 < 2",
+    "v_carrier": "SELECT DISTINCT l_partkey AS protein_id, CAST(o_custkey % 8 AS int) AS sample, CAST(l_partkey AS string) || ':' || CAST(l_suppkey % 3 AS string) AS variant_id FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
     # changed forms of proteins: the first K becomes P, every third document's form is unchanged
     "v_form": "SELECT doc_id, aa, CASE WHEN doc_id % 3 = 0 THEN aa WHEN doc_id % 3 = 1 THEN replace(aa, 'HATIN', 'HATKN') ELSE replace(aa, 'THE', 'TRE') END AS new_aa FROM {v_protein}",
 }

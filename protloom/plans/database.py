@@ -70,7 +70,7 @@ def changed_proteins(m: Models, carried: DataFrame) -> DataFrame:
     at = transcripts.coding_offset(F.col("pos"), F.col("start"), F.col("before"), F.col("total"), F.col("strand")) - F.col("frame")
     edits = edits.select(*keys, at.cast("int").alias("i"), "ref", "alt", "variant_id").where("i >= 0")
     proteins = m.proteins.select("protein_id", "cds", "aa").join(groups.select(*keys), "protein_id")
-    out = annotate.changes(annotate.edited_bases(proteins.select(*keys, "cds"), edits, keys), proteins.select(*keys, "aa"), keys)
+    out = annotate.changes(annotate.with_edits(proteins.select(*keys, "cds", "aa"), edits, keys), keys)
     out = out.join(proteins.select(*keys, "aa"), keys).where("new_aa <> aa").join(groups, keys)
     about = m.proteins.select("protein_id", "fasta_id", "description", "seqname", "strand", "frame", "nonstandard_stop")
     out = cohort.numbered_forms(out, "protein_id", ["pattern"]).join(about, "protein_id")

@@ -151,16 +151,21 @@ eb AS (SELECT doc_id, i, base, CASE WHEN i < 2 AND new = '' AND max(CASE WHEN i
 
 def edited(t):
     rows = located(t, edits(t)).select("doc_id", F.col("offset").cast("int").alias("i"), "ref", "alt", "variant_id")
-    return annotate.edited_bases(coding(t).select("doc_id", "cds"), rows, ["doc_id"])
+    aa = F.substring_index(sq.translate(F.col("cds")), "*", 1)
+    return annotate.with_edits(coding(t).select("doc_id", "cds", F.when(aa != "", aa).alias("aa")), rows, ["doc_id"])
 
 
 def proteins(t):
     return coding(t).select("doc_id", F.substring_index(sq.translate(F.col("cds")), "*", 1).alias("aa")).where("aa <> ''")
 
 
+def bases(t):
+    return annotate.edited_bases(edited(t), ["doc_id"])
+
+
 @query("base_edit_join", EDITED + "SELECT doc_id, CAST(i AS int) AS i, base, new, variant_id FROM eb")
 def _(t):
-    return edited(t)
+    return bases(t)
 
 
 @query("direct_translate", EDITED + f", s AS (SELECT doc_id, string_agg(new, '' ORDER BY i) AS new_cds FROM eb GROUP BY doc_id) SELECT doc_id, new_cds, split_part({aa_text('new_cds')}, '*', 1) AS new_aa FROM s")
@@ -170,7 +175,7 @@ def _(t):
 
 @query("alt_bases_explode", EDITED + "SELECT doc_id, CAST(i AS int) AS i, CAST(k - 1 AS int) AS k, substr(new, k, 1) AS base FROM (SELECT doc_id, i, new, unnest(range(1, length(new) + 1)) AS k FROM eb)")
 def _(t):
-    return edited(t).select("doc_id", "i", F.posexplode(F.split("new", "")).alias("k", "base")).where("base <> ''")
+    return bases(t).select("doc_id", "i", F.posexplode(F.split("new", "")).alias("k", "base")).where("base <> ''")
 
 
 # variants of a codon in order, each once: by the first of its places
@@ -192,11 +197,11 @@ al AS (SELECT *, CASE WHEN codon_alt = codon_ref THEN aa_ref ELSE {aa_of('codon_
 
 @query("codon_group", EDITED + ", sc AS (" + codons_sql("eb", "i") + ") SELECT doc_id, codon_no, CAST(locus AS bigint) AS locus, codon, variants FROM sc")
 def _(t):
-    return annotate.codon_groups(edited(t), ["doc_id"], "base", ["i"])
+    return annotate.codon_groups(edited(t), ["doc_id"])
 
 
 def aligned(t):
-    return annotate.aligned_codons(edited(t), proteins(t), ["doc_id"])
+    return annotate.aligned_codons(edited(t), ["doc_id"])
 
 
 @query("codon_join", ALIGNED + "SELECT doc_id, n, CAST(locus AS bigint) AS locus, codon_alt, codon_ref, aa_ref, aa_alt FROM al")
@@ -218,7 +223,7 @@ def _(t):
 @query("deleted_positions", ALIGNED + "SELECT doc_id, aa_index FROM rf EXCEPT SELECT doc_id, filled FROM al")
 def _(t):
     a = aligned(t)
-    ref = annotate.codon_groups(edited(t), ["doc_id"], "base", ["i"]).join(proteins(t), "doc_id").where(F.col("codon_no") <= F.length("aa")).select("doc_id", F.col("codon_no").alias("aa_index"))
+    ref = annotate.codon_groups(edited(t), ["doc_id"]).join(proteins(t), "doc_id").where(F.col("codon_no") <= F.length("aa")).select("doc_id", F.col("codon_no").alias("aa_index"))
     return ref.join(a.select("doc_id", F.col("filled").alias("aa_index")).where("aa_index is not null").distinct(), ["doc_id", "aa_index"], "left_anti")
 
 
@@ -241,7 +246,7 @@ res AS (SELECT ch.*, coalesce(n_deletion_aa, 0) AS n_deletion_aa, coalesce(delet
 
 
 def changes(t):
-    return annotate.changes(edited(t), proteins(t), ["doc_id"])
+    return annotate.changes(edited(t), ["doc_id"])
 
 
 @query("complex_translate", CHANGES + "SELECT doc_id, new_aa FROM res")

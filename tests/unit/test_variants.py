@@ -49,7 +49,7 @@ def one_protein(spark, cds: str, edits: list[tuple]):
     c = spark.createDataFrame([(1, cds)], "id int, cds string")
     e = spark.createDataFrame(edits, "id int, i int, ref string, alt string, variant_id string")
     p = c.select("id", F.substring_index(__import__("protloom.functions.sequence", fromlist=["x"]).translate(F.col("cds")), "*", 1).alias("aa"))
-    return annotate.changes(annotate.edited_bases(c, e, ["id"]), p, ["id"]).collect()[0]
+    return annotate.changes(annotate.with_edits(c.join(p, "id"), e, ["id"]), ["id"]).collect()[0]
 
 
 CDS = "ATGGCCAAACGTGGATAA"  # M A K R G *
@@ -78,7 +78,7 @@ def test_frame_shift_and_start_guard(spark):
     assert one_protein(spark, CDS, [(1, 7, "A", "", "v")]).frame_change
     c = spark.createDataFrame([(1, CDS)], "id int, cds string")
     e = spark.createDataFrame([(1, 0, "A", "", "v"), (1, 1, "T", "", "v")], "id int, i int, ref string, alt string, variant_id string")
-    assert annotate.retranslated(annotate.edited_bases(c, e, ["id"]), ["id"]).first().new_cds == CDS
+    assert annotate.retranslated(annotate.with_edits(c, e, ["id"]), ["id"]).first().new_cds == CDS
 
 
 def test_wrong_reference_base_is_ignored(spark):
