@@ -38,7 +38,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     # a block in each 60 bases of a document, from its beginning to its end, a multiple of three long; strand by parity
     "v_tx": tuple(f"""SELECT doc_id, k, strand, start, `end` FROM (SELECT doc_id, k, length(q) AS n, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, 1 + (k - 1) * 60 + doc_id % 10 AS start, 1 + (k - 1) * 60 + doc_id % 10 + 20 + 3 * ((doc_id + k) % 4) AS `end`
  FROM (SELECT doc_id, q, {each} WHERE length(q) >= 60)) WHERE `end` <= n""" for each in ("k FROM {v_dna} LATERAL VIEW explode(sequence(1, CAST(length(q) div 60 AS int))) t AS k", "CAST(unnest(range(1, length(q) // 60 + 1)) AS int) AS k FROM {v_dna}")),
-    "v_snv0": """SELECT doc_id, pos, alt FROM (SELECT d.doc_id, 1 + (l_suppkey * 7919 + l_linenumber * 104729 + l_orderkey * 31) % length(q) AS pos, substr('ACGT', CAST(l_linenumber % 4 + 1 AS int), 1) AS alt, row_number() OVER (PARTITION BY d.doc_id, 1 + (l_suppkey * 7919 + l_linenumber * 104729 + l_orderkey * 31) % length(q) ORDER BY rid) AS rn FROM {v_line} JOIN {v_dna} d ON l_partkey = d.doc_id WHERE length(q) >= 60) WHERE rn = 1""",
+    "v_snv0": """SELECT doc_id, pos, alt FROM (SELECT doc_id, pos, rid, substr('ACGT', CAST(l_linenumber % 4 + 1 AS int), 1) AS alt, row_number() OVER (PARTITION BY doc_id, pos ORDER BY rid) AS rn FROM (SELECT d.doc_id, 1 + (l_suppkey * 7919 + l_linenumber * 104729 + l_orderkey * 31) % n AS pos, rid, l_linenumber FROM {v_line} JOIN (SELECT doc_id, length(q) AS n FROM {v_dna}) d ON l_partkey = d.doc_id WHERE n >= 60)) WHERE rn = 1""",
     "v_snv": "SELECT doc_id, pos, ref, alt FROM (SELECT s.doc_id, pos, substr(q, CAST(pos AS int), 1) AS ref, alt FROM {v_snv0} s JOIN {v_dna} d ON s.doc_id = d.doc_id) WHERE ref <> alt",
     # substitutions, deletions of one to three bases and insertions, at most one at a position
     "v_edit": """SELECT doc_id, pos, substr(q, CAST(pos AS int), CAST(n AS int)) AS ref, CASE WHEN kind = 1 THEN substr(q, CAST(pos AS int), 1) WHEN kind = 2 THEN substr(q, CAST(pos AS int), 1) || alt || substr('ACGTACGT', CAST(pos % 4 + 1 AS int), CAST(pos % 3 AS int)) ELSE alt END AS alt
