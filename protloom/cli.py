@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +25,6 @@ def parser() -> argparse.ArgumentParser:
     inputs.add_argument("-S", "--store", help="annotation store")
     inputs.add_argument("-o", "--out", required=True)
     sub.add_parser("build-store", parents=[inputs])
-    run = sub.add_parser("run", parents=[inputs])
-    run.add_argument("-m", "--mutations", required=True, help="VCF, variant TSV or literals like chr1-942451-T-C,...")
-    run.add_argument("-s", "--sample", default="", help="sample, ALL_SAMPLES or ALL_VARIANTS")
-    run.add_argument("-F", "--no_filter", action="store_true", help="keep records that didn't pass")
-    run.add_argument("-A", "--all_chromosomes", action="store_true")
-    run.add_argument("--info_field")
-    run.add_argument("--info_field_thres", type=float)
     digestion = argparse.ArgumentParser(add_help=False)
     digestion.add_argument("--enzyme", default="Trypsin")
     digestion.add_argument("--enzyme2")
@@ -41,19 +35,60 @@ def parser() -> argparse.ArgumentParser:
     digestion.add_argument("--initiator-methionine", default="both")
     digestion.add_argument("--specificity", default="full")
     digestion.add_argument("--cleavage-regex")
+    digestion.add_argument("--cleavage-regex2")
+    digestion.add_argument("-c", "--sites", help="residues to cut at instead of the enzyme's")
+    digestion.add_argument("-n", "--anti-sites", help="residues that forbid a cut")
+    digestion.add_argument("--position", choices=("c", "n"), help="end of the site that is cut")
+    digestion.add_argument("--nterm-attach", default="")
+    digestion.add_argument("--cterm-attach", default="")
+    run = sub.add_parser("run", parents=[inputs, digestion])
+    run.add_argument("--novel_peptides", action="store_true", help="also write peptides that no reference protein has")
+    run.add_argument("-m", "--mutations", required=True, help="VCF files, a manifest of them, a variant TSV, or literals like chr1-942451-T-C,...")
+    run.add_argument("-s", "--sample", default="", help="sample, comma list, ALL_SAMPLES or ALL_VARIANTS; empty: a VCF's first, all of a table")
+    run.add_argument("-F", "--no_filter", action="store_true", help="keep records that didn't pass")
+    run.add_argument("-A", "--all_chromosomes", action="store_true")
+    run.add_argument("-U", "--uniprot", help="UniProt FASTA: also write its changed proteins")
+    run.add_argument("--cohort_table", help="also write the carried variants as a table of samples")
+    run.add_argument("--info_field")
+    run.add_argument("--info_field_thres", type=float)
+    listed = sub.add_parser("proteins", help="proteins of a store as FASTA")
+    listed.add_argument("-S", "--store", required=True)
+    listed.add_argument("-o", "--out", required=True)
     one = sub.add_parser("digest", parents=[digestion])
     one.add_argument("fasta", nargs="+")
     one.add_argument("-o", "--out", required=True)
-    one.add_argument("--output-format", choices=("tsv", "peptide"), default="tsv")
+    one.add_argument("--output-format", choices=("tsv", "peptide", "fasta"), default="tsv")
+    one.add_argument("--header-template", default="{protein_id}_{index}", type=dg.check_template)
     novel = sub.add_parser("novel-peptides", parents=[digestion])
     novel.add_argument("--reference", required=True)
     novel.add_argument("--changed", required=True)
+    novel.add_argument("--index", help="folder of a peptide index, built if it isn't one of these proteins and rules")
+    novel.add_argument("--rebuild-index", action="store_true")
     novel.add_argument("-o", "--out", required=True)
     return p
 
 
 def profile(a: argparse.Namespace) -> dg.Profile:
-    return dg.Profile(a.enzyme, a.enzyme2, a.missed_cleavages, a.min_len, a.max_len, a.isobaric, a.initiator_methionine, a.specificity, regex=a.cleavage_regex)
+    return dg.Profile(a.enzyme, a.enzyme2, a.missed_cleavages, a.min_len, a.max_len, a.isobaric, a.initiator_methionine, a.specificity, a.nterm_attach, a.cterm_attach, a.sites, a.anti_sites, a.position, a.cleavage_regex, a.cleavage_regex2)
+
+
+#: Literal variants, one or several.
+LITERALS = re.compile(r"(chr)?[0-9A-Za-z]{1,2}-\d+-[A-Za-z]+-[A-Za-z]+(,\s*(chr)?[0-9A-Za-z]{1,2}-\d+-[A-Za-z]+-[A-Za-z]+)*")
+
+
+def carried_variants(spark: SparkSession, a: argparse.Namespace):
+    """Carried variants of what -m names: literals, a manifest, VCF files or a table."""
+    filters = (not a.no_filter, not a.all_chromosomes, a.info_field, a.info_field_thres)
+    if LITERALS.fullmatch(a.mutations.strip()):
+        return text.literal_variants(spark.createDataFrame([(a.mutations,)], "v string"), "v").withColumn("sample", F.lit("1"))
+    paths = a.mutations.split(",")
+    if ".vcf" in a.mutations.lower():
+        if a.sample in ("ALL_SAMPLES", "ALL_VARIANTS") or "," in a.sample or a.info_field:
+            return database.by_sample(spark, paths, a.sample, *filters)
+        return database.by_haplotype(spark, paths, a.sample, *filters[:2])
+    if text.is_manifest(spark, a.mutations):
+        return database.by_manifest(spark, a.mutations, *filters)
+    return text.table_carriers(spark, paths, a.sample or "ALL_SAMPLES")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -66,29 +101,37 @@ def main(argv: list[str] | None = None) -> None:
             m, contigs = database.from_store(spark, a.store)
             reference = m.proteins.select(F.col("fasta_id").alias("id"), "description", F.col("aa").alias("seq"))
         else:
-            genome, reference = text.read_fasta(spark, a.genome), text.read_fasta(spark, a.protein)
+            (genome, contigs), reference = text.read_genome(spark, a.genome, database.TILE), text.read_fasta(spark, a.protein)
             m = database.models(genome, text.read_gtf(spark, a.gtf), reference, text.sniff_datatype(spark, a.gtf, a.datatype), a.protein_keyword)
-            contigs = genome.select("id", "description")
-        if ".vcf" in a.mutations.lower():
-            paths = a.mutations.split(",")
-            if a.sample == "ALL_SAMPLES":
-                carried = database.by_sample(spark, paths, a.sample, not a.no_filter, not a.all_chromosomes, a.info_field, a.info_field_thres)
-            else:
-                carried = database.by_haplotype(spark, paths, a.sample, not a.no_filter, not a.all_chromosomes)
-        elif "-" in a.mutations and "/" not in a.mutations and a.mutations.count("-") >= 3:
-            carried = text.literal_variants(spark.createDataFrame([(a.mutations,)], "v string"), "v").withColumn("sample", F.lit("1"))
-        else:
-            carried = text.read_variants_tsv(spark, a.mutations).withColumn("sample", F.lit("1"))
-        database.write_outputs(m, reference, database.changed_proteins(m, database.in_genome(carried, contigs)), a.out)
+        carried = database.in_genome(carried_variants(spark, a), contigs)
+        changed = database.changed_proteins(m, carried)
+        n_samples = carried.select("sample").distinct().count()
+        database.write_outputs(m, reference, changed, a.out, max(1, n_samples))
+        if a.uniprot:
+            database.write_uniprot(m, reference, text.read_fasta(spark, a.uniprot), changed, a.out)
+        if a.novel_peptides:
+            p = profile(a)
+            table, records = peptides.novel_table(changed, peptides.peptide_index(reference, ["id"], "seq", p), p)
+            table.write.mode("overwrite").csv(f"{a.out}/peptide_novel_table", sep="\t", header=True)
+            records.write.mode("overwrite").text(f"{a.out}/peptide_novel")
+        if a.cohort_table:
+            database.write_cohort(carried, a.cohort_table)
+    elif a.command == "proteins":
+        database.proteins_of(database.from_store(spark, a.store)[0], a.out)
     elif a.command == "digest":
-        found = dg.digest(text.read_fasta(spark, a.fasta), ["id"], "seq", profile(a))
-        if a.output_format == "tsv":
-            found.write.mode("overwrite").csv(a.out, sep="\t")
+        proteins = text.read_fasta(spark, a.fasta).withColumn("line", F.monotonically_increasing_id())
+        found = dg.digest(proteins, ["id", "description", "line"], "seq", profile(a))
+        if a.output_format == "fasta":
+            rows = found.withColumnsRenamed({"id": "protein_id", "description": "header"})
+            dg.fasta_records(rows, ["line", "start", "end"], a.header_template).write.mode("overwrite").text(a.out)
+        elif a.output_format == "tsv":
+            found.select("id", "peptide", "start", "end").write.mode("overwrite").csv(a.out, sep="\t")
         else:
             found.select("peptide").distinct().write.mode("overwrite").text(a.out)
     else:
         p = profile(a)
-        index = peptides.peptide_index(text.read_fasta(spark, a.reference), ["id"], "seq", p)
+        reference = text.read_fasta(spark, a.reference)
+        index = peptides.ensure_index(reference, ["id"], "seq", p, a.index, a.rebuild_index) if a.index else peptides.peptide_index(reference, ["id"], "seq", p)
         fresh = peptides.novel(dg.digest(text.read_fasta(spark, a.changed), ["id"], "seq", p), index)
         peptides.numbered(fresh).write.mode("overwrite").csv(a.out, sep="\t", header=True)
 

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, replace
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import normalize
@@ -95,7 +95,7 @@ def boundary_pattern(enzyme: str, sites: str | None = None, anti: str | None = N
     inside = lambda s: "[" + re.escape(s) + "]"
     if pos == "c":
         return f"(?<={inside(sites)})" + (f"(?!{inside(no)})" if no else "")
-    return f"(?={inside(sites)}" + (f"(?!{inside(no)})" if no else "") + ")"
+    return f"(?={inside(sites)}" + (f"(?!{inside(no)})" if no else "") + ")"  # no: the residue after the site
 
 
 def fragments(segment: Column, rules: list[str]) -> Column:
@@ -200,3 +200,25 @@ def unique_peptides(found: DataFrame, order: list[str]) -> DataFrame:
     """Each peptide with its first occurrence."""
     others = [c for c in found.columns if c != "peptide"]
     return found.groupBy("peptide").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("f")).select("peptide", "f.*")
+
+
+def check_template(template: str) -> str:
+    """A header template, whose fields are {protein_id}, {index} and {header}."""
+    fields = set(re.findall(r"\{(.*?)\}", template))
+    if wrong := fields - {"protein_id", "index", "header"}:
+        raise ValueError(f"a header template knows protein_id, index and header, not {', '.join(sorted(wrong))}")
+    return template
+
+
+def fasta_records(found: DataFrame, order: list[str], template: str = "{protein_id}_{index}") -> DataFrame:
+    """FASTA lines of distinct peptides, each under its first protein, numbered from 1 within it.
+
+    found(protein_id, header, peptide, start, end); order: columns that tell which occurrence is first.
+    """
+    check_template(template)
+    once = unique_peptides(found, order)
+    numbered = once.withColumn("index", F.row_number().over(Window.partitionBy("header", *[c for c in order if c not in ("start", "end")]).orderBy(*order, "peptide")))
+    head = F.lit(template)
+    for name in ("protein_id", "index", "header"):
+        head = F.replace(head, F.lit("{" + name + "}"), F.col(name).cast("string"))
+    return numbered.select(F.concat(F.lit(">"), head, F.lit("\n"), "peptide").alias("value"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .digest import Profile, digest
@@ -48,3 +50,64 @@ def fingerprint(proteins: DataFrame, key: str, seq: str) -> DataFrame:
     entry = F.sha2(F.concat_ws("\t", F.col(key).cast("string"), F.coalesce(seq, F.lit(""))), 256)
     parts = proteins.select(entry.alias("d")).withColumn("part", F.substring("d", 1, 2)).groupBy("part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("d"))
     return parts.agg(F.sum("n").alias("n_proteins"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("fingerprint"))
+
+
+# Columns of the table of novel peptides, as (name, column of the changed form or None: of the profile).
+NOVEL_COLUMNS = (
+    ("protein_id_fasta", "fasta_id"), ("protein_id", "form_id"), ("individual", "samples"), ("seqname", "seqname"), ("variant_AA", "variant_aa"),
+    ("insertion_AA", "insertion_aa"), ("deletion_AA", "deletion_aa"), ("frameChange", "frame_change"), ("stopGain", "stop_gain"),
+    ("AA_stopGain", "aa_stop_gain"), ("stopLoss", "stop_loss"), ("stopLoss_pos", "stop_loss_pos"),
+)
+
+
+def novel_table(changed: DataFrame, index: DataFrame, profile: Profile, prefix: str = "PPDBpep_") -> tuple[DataFrame, DataFrame]:
+    """(table, records): each occurrence in a changed form of a peptide that no reference protein has, with the form's
+    annotation and the profile; and the distinct ones as FASTA lines.
+
+    changed as changed_proteins() gives it; index(peptide). A peptide that the form's own reference protein has is in the
+    index too, so one anti-join does both.
+    """
+    found = novel(digest(changed, ["form_id"], "new_aa", profile), index)
+    ids = numbered(found, prefix)
+    told = changed.select(F.col("form_id").alias("__form"), *[F.col(c).alias(name) for name, c in NOVEL_COLUMNS])
+    settings = {"enzyme": profile.enzyme, "max_missed_cleavages": profile.missed, "min_peptide_length": profile.min_len, "max_peptide_length": profile.max_len, "specificity": profile.specificity, "initiator_methionine": profile.methionine, "isobaric": profile.isobaric, "peptide_config_hash": profile.digest_id()}
+    rows = found.join(ids.select("peptide", "peptide_id"), "peptide").join(told, F.col("form_id") == F.col("__form"))
+    first = [name for name, _ in NOVEL_COLUMNS[:4]]
+    table = rows.select("peptide_id", F.col("peptide").alias("peptide_sequence"), *first, F.col("start").alias("peptide_start_alt"), F.col("end").alias("peptide_end_alt"), *[name for name, _ in NOVEL_COLUMNS[4:]], *[F.lit(v).alias(k) for k, v in settings.items()])
+    return table, ids.select(F.concat(F.lit(">"), "peptide_id", F.lit("|n_mappings="), F.col("n_mappings").cast("string"), F.lit("\n"), "peptide").alias("value"))
+
+
+@dataclass
+class IndexState:
+    """What an index at a path was built from; None where there is none, or none that was finished."""
+
+    digest_id: str | None = None
+    n_proteins: int | None = None
+    proteome: str | None = None
+
+
+def index_state(spark: SparkSession, path: str) -> IndexState:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return IndexState(**spark.read.parquet(f"{path}/about").first().asDict())
+    except AnalysisException:
+        return IndexState()
+
+
+def build_index(proteins: DataFrame, keys: list[str], seq: str, profile: Profile, path: str) -> None:
+    """Writes the distinct peptides, and last of all what they were built from: an index without that is unfinished."""
+    spark = proteins.sparkSession
+    peptide_index(proteins, keys, seq, profile).write.mode("overwrite").parquet(f"{path}/peptides")
+    about = fingerprint(proteins, keys[0], seq).select(F.lit(profile.digest_id()).alias("digest_id"), "n_proteins", F.col("fingerprint").alias("proteome"))
+    spark.createDataFrame(about.collect(), "digest_id string, n_proteins bigint, proteome string").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def ensure_index(proteins: DataFrame, keys: list[str], seq: str, profile: Profile, path: str, rebuild: bool = False) -> DataFrame:
+    """The index at a path: as it stands if it was built with this profile from these proteins, else built anew."""
+    spark = proteins.sparkSession
+    state = index_state(spark, path)
+    now = fingerprint(proteins, keys[0], seq).first()
+    if rebuild or state != IndexState(profile.digest_id(), now["n_proteins"], now["fingerprint"]):
+        build_index(proteins, keys, seq, profile, path)
+    return spark.read.parquet(f"{path}/peptides")

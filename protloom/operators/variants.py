@@ -35,7 +35,7 @@ def haplotypes(vcf: DataFrame, sample: str, order: list[str], only_pass: bool =
     rows = rows.withColumn("__alleles", g.alleles(call)).select("*", F.posexplode("__alleles").alias("__hap", "__number"))
     rows = rows.select((F.col("__hap") + 1).alias("hap"), F.col("chrom").alias("chr"), "pos", "ref", g.allele_text(F.col("ref"), F.split("alt", ","), F.col("__number")).alias("alt"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
     rows = rows.where("alt is not null and alt <> ref and alt <> '*'")
-    return keep_first(rows, ["hap", "chr", "pos", "ref"], [f"__o{i}" for i in range(len(order))]).select("hap", "chr", "pos", "ref", "alt")
+    return rows.groupBy("hap", "chr", "pos", "ref").agg(F.min_by("alt", F.struct(*[f"__o{i}" for i in range(len(order))])).alias("alt"))
 
 
 def explode_alternatives(vcf: DataFrame, samples: list[str]) -> DataFrame:
@@ -56,6 +56,16 @@ def carriers(matrix: DataFrame, ids: list[str], samples: list[str]) -> DataFrame
     return long.select(*ids, F.substring_index("column", "__", 1).alias("sample"), F.substring_index("column", "__", -1).cast("int").alias("hap"))
 
 
+def call_carriers(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, ref, alt, i, hap): who carries which alternative, of rows(ids, ref, alt, calls) with all samples' cells in one
+    array: the same as explode_alternatives() and carriers(), but only cells of carriers ever become rows."""
+    rows = rows.where(~F.forall("calls", g.homozygous_reference_or_missing) & ~F.forall("calls", g.missing))
+    some = F.filter(F.transform("calls", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: ~g.homozygous_reference_or_missing(x["c"]))
+    rows = rows.select(*ids, "ref", F.split("alt", ",").alias("__alts"), F.explode(some).alias("__x")).select(*ids, "ref", "__alts", F.col("__x.i").alias("i"), F.posexplode(g.alleles(F.col("__x.c"))).alias("__hap", "__number"))
+    rows = rows.where("__number > 0").select(*ids, "ref", F.try_element_at("__alts", F.col("__number")).alias("alt"), "i", (F.col("__hap") + 1).alias("hap"))
+    return rows.where("alt is not null and alt <> ref and alt <> '*'")
+
+
 def split_complex(variants: DataFrame) -> DataFrame:
     """Multi-base substitutions as single ones: bases that differ among the first min(len) - 1, and always the tail from
     there on. Other rows stay as they are."""

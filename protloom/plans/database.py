@@ -30,16 +30,17 @@ def keyword(datatype: str, given: str = "auto") -> str:
 
 
 def models(genome: DataFrame, gtf: DataFrame, fasta: DataFrame, datatype: str = "gtf", protein_keyword: str = "auto") -> Models:
-    """Gene models of proteins that stand in the genome; genome(id, seq), gtf as parse_gtf gives it, fasta as parse_fasta."""
+    """Gene models of proteins that stand in the genome; genome: read_genome's tiles, or (id, seq) of short contigs; gtf as
+    read_gtf gives it, fasta as parse_fasta."""
     proteins = fasta.select(transcripts.protein_id(F.col("id"), F.lit(datatype)).alias("protein_id"), F.col("id").alias("fasta_id"), "description", F.col("seq").alias("aa")).dropDuplicates(["protein_id"])
     named = transcripts.protein_id(F.try_element_at(text.attributes(F.col("attributes")), F.lit(keyword(datatype, protein_keyword))), F.lit("Ensembl" if datatype.startswith("Ensembl") else "gtf"))
-    rows = gtf.where(F.col("feature").isin("CDS", "exon")).select("seqname", "feature", "start", "end", "strand", "frame", named.alias("protein_id"), F.monotonically_increasing_id().alias("line_no")).where("protein_id is not null")
+    rows = gtf.where(F.col("feature").isin("CDS", "exon")).select("seqname", "feature", "start", "end", "strand", "frame", named.alias("protein_id"), (F.col("line") if "line" in gtf.columns else F.monotonically_increasing_id()).alias("line_no")).where("protein_id is not null")
     placed = transcripts.first_chromosome(rows.where("feature = 'CDS'"), "protein_id", "seqname", "line_no").join(proteins.select("protein_id"), "protein_id", "left_semi")
     rows = transcripts.models_of(rows, placed.select("protein_id", F.col("chrom").alias("seqname")), ["protein_id", "seqname"])
     keys = ["protein_id", "seqname", "strand"]
     blocks = transcripts.cds_plus(rows, keys).withColumn("frame", F.coalesce("frame", F.lit(0)))
     blocks = transcripts.cds_offsets(blocks, ["protein_id"])
-    tiled = transcripts.tiles(genome.select(F.col("id").alias("seqname"), "seq"), "seqname", "seq", TILE)
+    tiled = genome if "tile" in genome.columns else transcripts.tiles(genome.select(F.col("id").alias("seqname"), "seq"), "seqname", "seq", TILE)
     parts = transcripts.slices(blocks, tiled, "seqname", TILE, ["protein_id", "strand", "frame", "before"])
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("before", "bases"))), lambda x: x["bases"]), "")
     cds = parts.groupBy("protein_id", "strand", "frame").agg(whole.alias("g")).withColumn("g", F.when(F.col("strand") == "-", reverse_complement(F.col("g"))).otherwise(F.col("g")))
@@ -78,20 +79,44 @@ def changed_proteins(m: Models, carried: DataFrame) -> DataFrame:
 
 
 def by_haplotype(spark: SparkSession, paths: str | list[str], sample: str = "", only_pass: bool = True, chromosomes: bool = True) -> DataFrame:
-    """Carried variants of one sample's haplotypes 1 and 2 from VCF files."""
+    """Carried variants of one sample's haplotypes 1 and 2 from VCF files; without any sample all variants, as by_sample."""
     vcf = text.read_vcf(spark, paths, sample or "")
-    name = vcf.columns[len(text.VCF_FIXED)]
-    vcf = vcf.withColumn("__line", F.monotonically_increasing_id())
-    return variants.haplotypes(vcf, name, ["__line"], only_pass, chromosomes).withColumn("sample", F.col("hap").cast("string")).drop("hap")
+    names = [c for c in vcf.columns[len(text.VCF_FIXED) :] if c != "line"]
+    if not names:
+        return by_sample(spark, paths, "ALL_VARIANTS", only_pass, chromosomes)
+    return variants.haplotypes(vcf, names[0], ["line"], only_pass, chromosomes).withColumn("sample", F.col("hap").cast("string")).drop("hap")
 
 
 def by_sample(spark: SparkSession, paths: str | list[str], samples: str | list[str] = "ALL_SAMPLES", only_pass: bool = True, chromosomes: bool = True, info_field: str | None = None, info_threshold: float | None = None) -> DataFrame:
-    """Carried variants of a cohort's haplotypes (<sample>__1, <sample>__2) from VCF files."""
-    vcf = variants.filter_records(text.read_vcf(spark, paths, samples), only_pass, chromosomes, info_field, info_threshold)
-    names = vcf.columns[len(text.VCF_FIXED) :]
-    wide = variants.explode_alternatives(vcf.select(F.col("chrom").alias("chr"), "pos", "ref", "alt", *names), names)
-    long = variants.carriers(wide, ["chr", "pos", "ref", "alt"], [f"{s}__{h}" for s in names for h in (1, 2)])
-    return long.withColumn("sample", F.concat_ws("__", "sample", F.col("hap").cast("string"))).drop("hap")
+    """Carried variants of a cohort's haplotypes (<sample>__1, <sample>__2) from VCF files. ALL_VARIANTS: each alternative
+    of each line, whoever carries it, as those of one sample, 1."""
+    known = text.vcf_samples(spark, paths)
+    wanted = text.wanted_samples(known, samples)
+    rows = variants.filter_records(text.parse_calls(text.read_lines(spark, paths)), only_pass, chromosomes, info_field, info_threshold).withColumnRenamed("chrom", "chr")
+    if not wanted:
+        each = rows.select("chr", "pos", "ref", F.explode(F.split("alt", ",")).alias("alt")).where("alt <> ref and alt <> '*'")
+        return each.distinct().withColumn("sample", F.lit("1"))
+    if len(wanted) < len(known):
+        places = [known.index(s) for s in wanted]
+        rows = rows.withColumn("calls", F.array(*[F.get("calls", F.lit(i)) for i in places]) if len(places) <= 50 else F.transform(F.array(*map(F.lit, places)), lambda i: F.get(F.col("calls"), i)))
+    long = variants.call_carriers(rows, ["chr", "pos"]).join(text.named(spark, wanted, wanted), "i")
+    return long.select("chr", "pos", "ref", "alt", F.concat_ws("__", "sample", F.col("hap").cast("string")).alias("sample"))
+
+
+def by_manifest(spark: SparkSession, path: str, only_pass: bool = True, chromosomes: bool = True, info_field: str | None = None, info_threshold: float | None = None) -> DataFrame:
+    """Carried variants of a cohort of one VCF file per sample, listed in a manifest. All files are read as one table; the
+    manifest's row tells each file's sample column (the first if it isn't given or `default`) and the name to use."""
+    listed = text.read_manifest(spark, path)
+    files = [r["filepath"] for r in listed.select("filepath").distinct().collect()]
+    tail = lambda c: F.regexp_replace(c, r"^(file:)?/*", "")
+    lines = text.read_lines(spark, files).withColumn("file", tail(F.col("line.file")))
+    heads = lines.where(F.col("value").startswith("#CHROM")).select("file", F.slice(F.split("value", "\t"), 10, 1 << 20).alias("names"))
+    of = listed.select(tail(F.col("filepath")).alias("file"), "filepath", (F.col("sample") if "sample" in listed.columns else F.lit(None).cast("string")).alias("asked"))
+    of = of.join(variants.sample_names(listed.select("filepath", *[F.when(F.col(c) != "default", F.col(c)).alias(c) for c in ("sample", "name_use") if c in listed.columns])), "filepath").join(heads, "file")
+    of = of.select("file", "name", F.greatest(F.array_position("names", F.coalesce("asked", F.lit(""))).cast("int") - 1, F.lit(0)).alias("place"))
+    rows = variants.filter_records(text.parse_calls(lines), only_pass, chromosomes, info_field, info_threshold).withColumnRenamed("chrom", "chr").join(of, "file")
+    own = variants.call_carriers(rows.withColumn("calls", F.array(F.get("calls", F.col("place")))), ["chr", "pos", "name"])
+    return own.select("chr", "pos", "ref", "alt", F.concat_ws("__", "name", F.col("hap").cast("string")).alias("sample")).distinct()
 
 
 def in_genome(carried: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -104,29 +129,68 @@ def _write_text(df: DataFrame, path: str, line: Column) -> None:
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def write_outputs(m: Models, reference: DataFrame, changed: DataFrame, out: str) -> None:
+def write_cohort(carried: DataFrame, path: str) -> None:
+    """A cohort's carried variants as a table with a 0/1 column for each sample or haplotype, the columns in order of their
+    names (for a bounded number of samples; the long form stays the way to work with any)."""
+    names = [r[0] for r in carried.select("sample").distinct().orderBy("sample").collect()]
+    wide = carried.groupBy("chr", "pos", "ref", "alt").pivot("sample", names).agg(F.lit(1)).na.fill(0, names)
+    wide.write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def proteins_of(m: Models, out: str) -> None:
+    """A store's proteins as FASTA."""
+    _write_text(m.proteins, out, F.concat(F.lit(">"), F.col("description"), F.lit("\n"), F.col("aa")))
+
+
+def write_uniprot(m: Models, reference: DataFrame, uniprot: DataFrame, changed: DataFrame, out: str) -> None:
+    """Changed forms of UniProt proteins, which are matched with reference proteins by sequence: a table, the changed forms
+    and all UniProt proteins as FASTA, and PEFF; uniprot and reference as parse_fasta gives them."""
+    ref = reference.select(F.col("id").alias("ref_id"), "seq", F.col("id").alias("ord"))
+    matches = outputs.uniprot_match(uniprot.select(F.col("id").alias("uniprot_id"), "seq"), ref).persist()
+    forms = matches.join(changed.select(F.col("fasta_id").alias("ref_id"), "new_aa", "form", "variant_aa"), "ref_id")
+    table = outputs.uniprot_changed(matches, changed.select(F.col("fasta_id").alias("ref_id"), F.col("new_aa").alias("seq")))
+    table.write.mode("overwrite").csv(f"{out}/uniprot_changed_table", sep="\t", header=True)
+    header = F.concat(F.lit(">"), F.col("uniprot_id"), F.lit("__"), F.col("form").cast("string"), F.lit("\tchanged\n"), F.col("new_aa"))
+    _write_text(forms, f"{out}/uniprot_changed", header)
+    same = uniprot.join(forms.select(F.col("uniprot_id").alias("id")).distinct(), "id", "left_anti")
+    lines = forms.select(header.alias("value")).unionByName(same.select(F.concat(F.lit(">"), F.col("description"), F.lit("\tunchanged\n"), F.col("seq")).alias("value")))
+    lines.write.mode("overwrite").text(f"{out}/uniprot_all")
+    simple = forms.groupBy("uniprot_id").agg(F.array_join(F.array_distinct(F.flatten(F.collect_list(F.split("variant_aa", ";")))), ";").alias("variant_aa"))
+    _write_peff(outputs.peff(uniprot.select(F.col("id").alias("uniprot_id"), F.col("seq").alias("aa")), simple, "uniprot_id", "aa"), f"{out}/uniprot_peff")
+    matches.unpersist()
+
+
+def _write_peff(records: DataFrame, path: str) -> None:
+    """PEFF records as text, and the file's head, which counts them, as head/ beside them."""
+    _write_text(records, f"{path}/records", F.concat("header", F.lit("\n"), "aa"))
+    head = outputs.peff_preamble(records.sparkSession.read.text(f"{path}/records").where(F.col("value").startswith(">")).count())
+    records.sparkSession.createDataFrame([(line,) for line in head], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+
+def write_outputs(m: Models, reference: DataFrame, changed: DataFrame, out: str, n_samples: int = 1) -> None:
     """Annotation table, changed and all proteins as FASTA, and PEFF, each a folder below `out`; reference as
-    parse_fasta gives it. Proteins that aren't in the genome count as unchanged."""
+    parse_fasta gives it. Proteins that aren't in the genome count as unchanged, as do those that not all of n_samples
+    samples or haplotypes have in a changed form."""
     changed = changed.persist()
     changed.drop("aa", "pattern").write.mode("overwrite").csv(f"{out}/aa_mutations", sep="\t", header=True)
     header = F.concat(F.lit(">"), F.col("form_id"), F.lit("\tchanged\n"), F.col("new_aa"))
     _write_text(changed, f"{out}/protein_changed", header)
     ref = reference.select(F.col("id").alias("fasta_id"), "description", F.col("seq").alias("aa"))
-    same = ref.join(changed.select("fasta_id").distinct(), "fasta_id", "left_anti")
+    same = cohort.still_unchanged(ref, changed.select("fasta_id", F.explode(F.split("samples", ",")).alias("sample")), n_samples, "fasta_id")
     lines = changed.select(header.alias("value")).unionByName(same.select(F.concat(F.lit(">"), F.col("description"), F.lit("\tunchanged\n"), F.col("aa")).alias("value")))
     lines.write.mode("overwrite").text(f"{out}/protein_all")
     simple = changed.groupBy("protein_id").agg(F.array_join(F.array_distinct(F.flatten(F.collect_list(F.split("variant_aa", ";")))), ";").alias("variant_aa"))
     peff = outputs.peff(m.proteins.select("protein_id", "aa"), simple, "protein_id", "aa")
-    _write_text(peff, f"{out}/protein_peff", F.concat("header", F.lit("\n"), F.col("aa")))
+    _write_peff(peff, f"{out}/protein_peff")
     changed.unpersist()
 
 
 def build_store(spark: SparkSession, genome: str, gtf: str, fasta: str, path: str, datatype: str = "auto", protein_keyword: str = "auto") -> None:
     """Writes proteins, blocks and contigs once, for many variant sets."""
     datatype = text.sniff_datatype(spark, gtf, datatype)
-    contigs = text.read_fasta(spark, genome)
-    m = models(contigs, text.read_gtf(spark, gtf), text.read_fasta(spark, fasta), datatype, protein_keyword)
-    store.write_store(path, m.proteins, m.blocks, contigs.select("id", "description"))
+    tiles, contigs = text.read_genome(spark, genome, TILE)
+    m = models(tiles, text.read_gtf(spark, gtf), text.read_fasta(spark, fasta), datatype, protein_keyword)
+    store.write_store(path, m.proteins, m.blocks, contigs)
 
 
 def from_store(spark: SparkSession, path: str) -> tuple[Models, DataFrame]:

@@ -102,6 +102,11 @@ def _(t):
     return sums.unpivot([], names, "enzyme", "n_cuts")
 
 
+@query("digest_nsite_anti", sql(segments("retain") + bounds("replace(" + marked("segment", "K", "", "n") + ", '|KT', 'KT')") + FULL + occurrences(6, 40, False) + SUMMARY))
+def _(t):
+    return summary(dg.digest(proteins(t), ["doc_id"], "aa", sites="K", anti_sites="T", position="n", methionine="retain"))
+
+
 @query("digest_regex", sql(segments("retain") + bounds(marked("segment", "DE", "")) + FULL + occurrences(6, 40, False) + SUMMARY))
 def _(t):
     return summary(dg.digest(proteins(t), ["doc_id"], "aa", regex="(?<=[DE])", methionine="retain"))
@@ -208,7 +213,7 @@ NOVEL = both_forms("SELECT doc_id, peptide, start, \"end\" FROM al WHERE NOT EXI
 
 def novel(t):
     ref, alt = ref_alt(t)
-    return pep.novel(pep.changed_only(alt, ref, "doc_id"), ref.select("peptide").distinct())
+    return pep.novel(alt, ref.select("peptide").distinct())  # own reference peptides are among all reference peptides
 
 
 @query("peptide_novel", NOVEL)

@@ -5,9 +5,11 @@ Each format has a parser on a DataFrame of raw text (column value), and a reader
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import falsey
+
 VCF_FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 GTF_COLUMNS = ("seqname", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
 
@@ -27,12 +29,57 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_fasta(spark.read.text(path, lineSep="\n>"))
 
 
+def line_order() -> Column:
+    """A column of read text whose order is that of lines: by file, part of the file, and line within the part. Spark deals
+    parts of files to partitions by their size, so row numbers alone don't follow the files."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, line): lines of text files without their ends, and their order."""
+    return spark.read.text(path).select(F.rtrim("value", F.lit("\r")).alias("value"), line_order().alias("line"))
+
+
+def parse_genome(lines: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(tiles(seqname, tile, bases), contigs(id, description)) of read_lines() of FASTA files.
+
+    No contig is ever one row: each line's place in its contig is the number of bases before it, summed within each part
+    of a file and carried on from part to part by a table of one row a part; lines are then grouped into tiles.
+    """
+    part = ["file", "part"]
+    head = F.col("value").startswith(">")
+    rows = lines.where("value <> ''").select("line.*", "value", head.alias("head")).withColumn("size", F.when(F.col("head"), 0).otherwise(F.length("value")).cast("bigint"))
+    within = Window.partitionBy(*part).orderBy("row")
+    latest = F.max(F.when(F.col("head"), F.struct("at", "row", F.col("value").alias("name"))))
+    rows = rows.withColumn("at", F.sum("size").over(within) - F.col("size")).withColumn("from", latest.over(within))
+    before = Window.partitionBy("file").orderBy("part")
+    ends = rows.groupBy(*part).agg(F.sum("size").alias("size"), latest.alias("last"))
+    ends = ends.withColumn("tail", F.col("size") - F.coalesce("last.at", F.lit(0))).withColumn("run", F.count("last").over(before))
+    ends = ends.withColumn("open", F.sum("tail").over(Window.partitionBy("file", "run").orderBy("part")))
+    carried = ends.select(*part, F.lag("open").over(before).alias("open"), F.last("last.name", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("open_name"))
+    placed = rows.where("not head").join(carried, part)
+    at = F.col("at") - F.coalesce("from.at", F.lit(0)) + F.when(F.col("from").isNull(), F.coalesce("open", F.lit(0))).otherwise(0)
+    name = F.coalesce("from.name", "open_name")
+    id_ = lambda c: F.regexp_extract(c, r"^>(\S*)", 1)
+    placed = placed.select(id_(name).alias("seqname"), at.alias("at"), F.upper("value").alias("value"), "size").where("seqname <> ''")
+    cut = placed.select("*", F.explode(F.sequence(F.floor(F.col("at") / width), F.floor((F.col("at") + F.col("size") - 1) / width))).alias("tile"))
+    lo = F.greatest(F.col("tile") * width - F.col("at"), F.lit(0))
+    piece = F.struct(F.greatest(F.col("at"), F.col("tile") * width).alias("at"), F.substring("value", (lo + 1).cast("int"), F.least(F.lit(width), (F.col("tile") + 1) * width - F.col("at") - lo).cast("int")).alias("b"))
+    tiles = cut.groupBy("seqname", "tile").agg(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["b"]), "").alias("bases"))
+    contigs = lines.where(head).select(id_(F.col("value")).alias("id"), F.substring("value", F.lit(2), F.length("value")).alias("description")).where("id <> ''")
+    return tiles, contigs
+
+
+def read_genome(spark: SparkSession, path: str | list[str], width: int = 65_536) -> tuple[DataFrame, DataFrame]:
+    return parse_genome(read_lines(spark, path), width)
+
+
 def parse_gtf(lines: DataFrame) -> DataFrame:
-    """The nine columns of GTF/GFF3 lines; comments and blank lines go."""
-    f = F.col("f")
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f")).where(F.size(f) >= 9)
+    """The nine columns of GTF/GFF3 lines, and further columns of lines; comments and blank lines go."""
+    f, more = F.col("f"), [c for c in lines.columns if c != "value"]
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"), *more).where(F.size(f) >= 9)
     kinds = {"start": "bigint", "end": "bigint", "frame": "int"}
-    return rows.select(*[(F.get(f, F.lit(i)).try_cast(kinds[c]) if c in kinds else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(GTF_COLUMNS)])
+    return rows.select(*[(F.get(f, F.lit(i)).try_cast(kinds[c]) if c in kinds else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(GTF_COLUMNS)], *more)
 
 
 def attributes(text: Column) -> Column:
@@ -45,7 +92,7 @@ def attributes(text: Column) -> Column:
 
 
 def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return parse_gtf(spark.read.text(path))
+    return parse_gtf(read_lines(spark, path))
 
 
 def sniff_datatype(spark: SparkSession, path: str, given: str | None = None) -> str:
@@ -61,11 +108,11 @@ def sniff_datatype(spark: SparkSession, path: str, given: str | None = None) ->
 
 
 def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
-    """VCF data lines to columns: the fixed ones, then one for each sample in the header's order."""
-    f = F.col("f")
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"))
+    """VCF data lines to columns: the fixed ones, then one for each sample in the header's order, then those of lines."""
+    f, more = F.col("f"), [c for c in lines.columns if c != "value"]
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"), *more)
     fixed = [(F.get(f, F.lit(i)).try_cast("bigint") if c == "pos" else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(VCF_FIXED)]
-    return rows.select(*fixed, *[F.get(f, F.lit(9 + i)).alias(s) for i, s in enumerate(samples)])
+    return rows.select(*fixed, *[F.get(f, F.lit(9 + i)).alias(s) for i, s in enumerate(samples)], *more)
 
 
 def vcf_samples(spark: SparkSession, paths: str | list[str]) -> list[str]:
@@ -76,18 +123,58 @@ def vcf_samples(spark: SparkSession, paths: str | list[str]) -> list[str]:
     return heads.pop().rstrip("\r\n").split("\t")[9:] if heads else []
 
 
+def wanted_samples(known: list[str], samples: str | list[str]) -> list[str]:
+    """Names among a header's: ALL_SAMPLES, ALL_VARIANTS (none), or names, of which unknown ones are left out; an empty
+    string, or names of which none is known, mean the first."""
+    if samples == "ALL_VARIANTS":
+        return []
+    if samples == "ALL_SAMPLES":
+        return known
+    asked = samples.split(",") if isinstance(samples, str) else samples
+    return [s for s in dict.fromkeys(asked) if s in known] or known[:1]
+
+
 def read_vcf(spark: SparkSession, paths: str | list[str], samples: str | list[str] = "ALL_SAMPLES") -> DataFrame:
-    """VCF files with the samples wanted: ALL_SAMPLES, ALL_VARIANTS (none), or names, of which unknown ones are left out;
-    an empty string means the first."""
+    """VCF files with the samples wanted (see wanted_samples) as columns, and the lines' order; for a few samples."""
     known = vcf_samples(spark, paths)
-    if samples == "ALL_VARIANTS":
-        wanted = []
-    elif samples == "ALL_SAMPLES":
-        wanted = known
-    else:
-        asked = samples.split(",") if isinstance(samples, str) else samples
-        wanted = [s for s in dict.fromkeys(asked) if s in known] or known[:1]
-    return parse_vcf(spark.read.text(paths), known).select(*VCF_FIXED, *wanted)
+    return parse_vcf(read_lines(spark, paths), known).select(*VCF_FIXED, *wanted_samples(known, samples), "line")
+
+
+def parse_calls(lines: DataFrame) -> DataFrame:
+    """VCF data lines to the fixed columns and `calls`, all samples' cells as one array, whatever their number."""
+    f, more = F.col("f"), [c for c in lines.columns if c != "value"]
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"), *more)
+    fixed = [(F.get(f, F.lit(i)).try_cast("bigint") if c == "pos" else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(VCF_FIXED)]
+    return rows.select(*fixed, F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("calls"), *more)
+
+
+def named(spark: SparkSession, names: list[str], wanted: list[str]) -> DataFrame:
+    """(i, sample): places of the wanted ones among names."""
+    keep = set(wanted)
+    return spark.createDataFrame([(i, s) for i, s in enumerate(names) if s in keep], "i int, sample string")
+
+
+def table_carriers(spark: SparkSession, path: str | list[str], samples: str | list[str] = "ALL_SAMPLES") -> DataFrame:
+    """(chr, pos, ref, alt, sample) of a variant table with sample columns: rows of carriers only. A table without sample
+    columns, and ALL_VARIANTS, give all its variants to one sample, 1.
+
+    Cells stay one array per line until those of carriers are taken out, so thousands of samples make no columns.
+    """
+    heads = spark.read.text(path).where(F.lower("value").rlike(r"(^|\t)pos(\t|\r?$)")).distinct().limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError("the variant tables need one header, the same in all")
+    names = heads[0][0].rstrip("\r\n").split("\t")
+    at = {c.lower(): i for i, c in enumerate(names)}
+    if missing := [c for c in ("chr", "pos", "ref", "alt") if c not in at]:
+        raise ValueError(f"the variant table lacks {', '.join(missing)}")
+    f = F.split("value", "\t")
+    cell = lambda c: F.get(f, F.lit(at[c]))
+    rows = read_lines(spark, path).where(F.col("value") != heads[0][0].rstrip("\r\n")).select(cell("chr").alias("chr"), cell("pos").try_cast("bigint").alias("pos"), F.upper(cell("ref")).alias("ref"), F.upper(cell("alt")).alias("alt"), f.alias("f")).where("pos is not null")
+    wanted = [s for s in wanted_samples([c for c in names if c.lower() not in ("chr", "pos", "ref", "alt", "pos_end")], samples)]
+    if not wanted:
+        return rows.select("chr", "pos", "ref", "alt", F.lit("1").alias("sample"))
+    cells = F.filter(F.transform("f", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda x: ~falsey(x["v"]))
+    return rows.select("chr", "pos", "ref", "alt", F.explode(cells["i"]).alias("i")).join(named(spark, names, wanted), "i").drop("i")
 
 
 def variants_tsv(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """End to end on a genome made by hand: two strands, three blocks, one indel and substitutions."""
 
+from pyspark.sql import functions as F
+
 from protloom import cli
 from protloom.plans import database
 from protloom.sources import text
@@ -53,3 +55,116 @@ def test_arriving_files_are_taken_once(spark, tmp_path):
         (tmp_path / f"in/{k}.tsv").write_text(f"chr\tpos\tref\talt\nchr1\t{11 + k}\tA\tG\nchr1\t3\tC\tG\n")
         arrivals.annotate_arrivals(arrivals.arriving_variants(spark, str(tmp_path / "in")), m.blocks, str(tmp_path / "hits"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "hits")).count() == k
+
+
+def test_genome_tiles_over_parts_of_files(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    want, names = {}, []
+    for k in range(3):
+        out = []
+        for j in range(rng.randrange(1, 6)):
+            size = rng.choice([0, 1, 59, 60, 61, 700, 3000])
+            name, seq = f"c{k}_{j}", "".join(rng.choices("acgt", k=size))
+            out.append(f">{name} about {j}\n" + "".join(seq[i : i + 60] + "\n" for i in range(0, size, 60)))
+            names.append(name)
+            if size:
+                want[name] = seq.upper()
+        (tmp_path / f"{k}.fa").write_text("".join(out))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for part in ("150", "1000", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+            tiles, contigs = text.read_genome(spark, str(tmp_path / "*.fa"), 64)
+            got: dict[str, dict[int, str]] = {}
+            for r in tiles.collect():
+                got.setdefault(r.seqname, {})[r.tile] = r.bases
+            assert {n: "".join(t[i] for i in range(len(t))) for n, t in got.items()} == want
+            assert all(len(b) == 64 for t in got.values() for i, b in t.items() if i < len(t) - 1)
+            assert sorted(r.id for r in contigs.collect()) == sorted(names)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+HEAD = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+
+
+def test_cohorts_as_arrays(spark, tmp_path):
+    import random
+
+    from protloom.operators import variants
+
+    rng = random.Random(6)
+    cells = ["0|0", "0/0", "./.", ".", "0|1", "1|0", "1/2", "2|1", "./1", "1", "0|1:35", "3|0"]
+    lines = ["\t".join(["chr1", str(p), ".", "A", rng.choice(["C", "C,G", "G,*", "A,T"]), ".", "PASS", ".", "GT", *rng.choices(cells, k=4)]) for p in range(1, 120)]
+    (tmp_path / "v.vcf").write_text(HEAD + "S1\tS2\tS3\tS4\n" + "\n".join(lines) + "\n")
+    path = str(tmp_path / "v.vcf")
+    for asked, names in (("ALL_SAMPLES", ["S1", "S2", "S3", "S4"]), ("S3,S1,S3,zz", ["S3", "S1"]), (["S2"], ["S2"])):
+        vcf = text.read_vcf(spark, path, names)
+        wide = variants.explode_alternatives(vcf.select(F.col("chrom").alias("chr"), "pos", "ref", "alt", *names), names)
+        long = variants.carriers(wide, ["chr", "pos", "ref", "alt"], [f"{s}__{h}" for s in names for h in (1, 2)])
+        want = sorted((r.pos, r.ref, r.alt, f"{r.sample}__{r.hap}") for r in long.collect())
+        assert sorted((r.pos, r.ref, r.alt, r.sample) for r in database.by_sample(spark, path, asked).collect()) == want and want
+    every = {(r.pos, r.alt, r.sample) for r in database.by_sample(spark, path, "ALL_VARIANTS").collect()}
+    assert every == {(p, x, "1") for p, line in enumerate(lines, 1) for x in line.split("\t")[4].split(",") if x not in ("*", "A")}
+    # one file a sample by a manifest: the same carriers as of the cohort's file
+    for k in range(4):
+        (tmp_path / f"one{k}.vcf").write_text(HEAD + f"other\tS{k + 1}\n" + "".join("\t".join([*line.split("\t")[:9], "0|0", line.split("\t")[9 + k]]) + "\n" for line in lines))
+    (tmp_path / "list.tsv").write_text("filepath\tsample\tname_use\n" + "".join(f"{tmp_path}/one{k}.vcf\tS{k + 1}\tN{k + 1}\n" for k in range(4)))
+    assert text.is_manifest(spark, str(tmp_path / "list.tsv")) and not text.is_manifest(spark, path)
+    got = {(r.pos, r.alt, r.sample) for r in database.by_manifest(spark, str(tmp_path / "list.tsv")).collect()}
+    assert {x[2].split("__")[0] for x in got} == {"N1", "N2", "N3", "N4"}
+    whole = {(r.pos, r.alt, r.sample.replace("S", "N")) for r in database.by_sample(spark, path).collect()}
+    assert got <= whole and all("./1" in lines[p - 1] or lines[p - 1].split("\t")[9:].count(".") for p, _, _ in whole - got)
+    # and by a table of samples
+    cohort = database.by_sample(spark, path)
+    database.write_cohort(cohort, str(tmp_path / "cohort"))
+    table = text.table_carriers(spark, str(tmp_path / "cohort"))
+    assert {tuple(r) for r in table.collect()} == {(r.chr, r.pos, r.ref, r.alt, r.sample) for r in cohort.collect()}
+    assert {r.sample for r in text.table_carriers(spark, str(tmp_path / "cohort"), "S2__1").collect()} == {"S2__1"}
+
+
+def test_command_line_of_a_cohort(spark, tmp_path):
+    g, a, b, c = build(tmp_path)
+    (tmp_path / "my-list-of-things.tsv").write_text("pos\tchr\talt\tref\tX\tY\n" + f"{a + 4}\tchr1\tA\t{g[a + 3]}\t1\t0\n{b}\tchr1\tC\t{g[b - 1]}\t1\t1\n")
+    (tmp_path / "u.fa").write_text(">U1 one\nMAKRGFQ\n>U2 two\nMMMM\n")
+    cli.main(["run", "-g", str(tmp_path / "g.fa"), "-f", str(tmp_path / "m.gtf"), "-p", str(tmp_path / "p.fa"), "-m", str(tmp_path / "my-list-of-things.tsv"), "-o", str(tmp_path / "out"), "--novel_peptides", "-l", "2", "-U", str(tmp_path / "u.fa"), "--cohort_table", str(tmp_path / "table")])
+    lines = lambda name: [r[0] for r in spark.read.text(f"{tmp_path}/out/{name}").collect()]
+    all_ = lines("protein_all")
+    assert "MDKRGLQ" in all_ and "MAKRGLQ" in all_ and "MWH" in all_ and "MAKRGFQ" not in all_
+    assert lines("protein_peff/head")[0] == "# PEFF 1.0" and any(x.startswith("# NumberOfEntries=") for x in lines("protein_peff/head"))
+    table = spark.read.csv(f"{tmp_path}/out/peptide_novel_table", sep="\t", header=True)
+    assert len(table.columns) == 24 and table.columns[:2] == ["peptide_id", "peptide_sequence"] and table.where("peptide_sequence = 'GLQ'").count() >= 1
+    assert not table.where("peptide_sequence = 'MWH'").count()
+    assert sum(x.startswith(">") for x in lines("peptide_novel")) == table.select("peptide_id").distinct().count()
+    assert spark.read.csv(f"{tmp_path}/table", sep="\t", header=True).columns == ["chr", "pos", "ref", "alt", "X", "Y"]
+    cli.main(["run", "-g", str(tmp_path / "g.fa"), "-f", str(tmp_path / "m.gtf"), "-p", str(tmp_path / "p.fa"), "-m", f"chr1-{a + 4}-{g[a + 3]}-A", "-o", str(tmp_path / "out2")])
+    assert "MDKRGFQ" in [r[0] for r in spark.read.text(f"{tmp_path}/out2/protein_changed").collect()]
+
+
+def test_unchanged_in_a_cohort(spark, tmp_path):
+    g, a, b, c = build(tmp_path)
+    genome, ref = text.read_genome(spark, str(tmp_path / "g.fa"), 64)[0], text.read_fasta(spark, str(tmp_path / "p.fa"))
+    m = database.models(genome, text.read_gtf(spark, str(tmp_path / "m.gtf")), ref)
+    rows = spark.createDataFrame([("chr1", b, g[b - 1], "C", s) for s in ("x", "y")], "chr string, pos bigint, ref string, alt string, sample string")
+    for n, there in ((2, False), (3, True)):
+        database.write_outputs(m, ref, database.changed_proteins(m, rows), str(tmp_path / "o"), n)
+        assert ("MAKRGFQ" in [r[0] for r in spark.read.text(f"{tmp_path}/o/protein_all").collect()]) == there
+
+
+def test_digest_command_and_index(spark, tmp_path):
+    from protloom.operators import digest as dg
+    from protloom.operators import peptides
+
+    (tmp_path / "p.fa").write_text(">A one\nMAAKCCCKDDD\n>B two\nCCCKEEEK\n")
+    cli.main(["digest", str(tmp_path / "p.fa"), "-o", str(tmp_path / "d"), "--output-format", "fasta", "-l", "3", "--missed-cleavages", "0", "--initiator-methionine", "retain", "--header-template", "x|{protein_id}|{index}"])
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "d")).collect()) == sorted([">x|A|1", "MAAK", ">x|A|2", "CCCK", ">x|A|3", "DDD", ">x|B|1", "EEEK"])
+    proteins, p = text.read_fasta(spark, str(tmp_path / "p.fa")), dg.Profile(missed=0, min_len=3)
+    assert peptides.index_state(spark, str(tmp_path / "i")) == peptides.IndexState()
+    peptides.ensure_index(proteins, ["id"], "seq", p, str(tmp_path / "i"))
+    state, files = peptides.index_state(spark, str(tmp_path / "i")), sorted(x.name for x in (tmp_path / "i/peptides").iterdir())
+    assert (state.digest_id, state.n_proteins) == (p.digest_id(), 2)
+    assert peptides.ensure_index(proteins, ["id"], "seq", p, str(tmp_path / "i")).count() == 5 and sorted(x.name for x in (tmp_path / "i/peptides").iterdir()) == files
+    assert peptides.ensure_index(proteins, ["id"], "seq", dg.Profile(missed=0, min_len=4), str(tmp_path / "i")).count() == 3
+    assert peptides.index_state(spark, str(tmp_path / "i")).digest_id != p.digest_id()
