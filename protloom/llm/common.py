@@ -26,11 +26,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see, below the cluster's checkpoint folder.
 
-    Where spark.checkpoint.dir is unset (a single machine, tests) a temporary folder is set as the checkpoint folder.
+    Where spark.checkpoint.dir is unset, on a single machine (tests), a temporary folder is set as the checkpoint folder;
+    on a cluster that is an error, as executors wouldn't see the driver's folder.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="protloom-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
