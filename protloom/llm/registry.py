@@ -61,6 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_lm_scoring, op4_nearest_neighbours, op5_html_extraction, op6_simhash, op7_language_id, op8_mixing, op9_license_scan, op10_url_filter)}
 
 ORACLE_SQL = {
+    "op9_license_scan": licenses.scan_sql(),
     "op4_nearest_neighbours": """
 WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.n <> q.n),

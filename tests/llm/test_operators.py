@@ -181,7 +181,13 @@ def test_long_urls_and_clashing_names(spark):
 
 
 def test_licenses(spark):
-    mit = licenses.KNOWN[0][1]
+    mit = licenses.KNOWN[1][1]
+    names = {k for k, _ in licenses.KNOWN}
+    assert {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "Apache-2.0", "MPL-2.0"} <= names
+    wrapped = "/*\n * Copyright 2021 Somebody\n" + "".join(f" * {line}\n" for line in __import__("textwrap").wrap(next(v for k, v in licenses.KNOWN if k == "BSD-3-Clause"), 70)) + " */"
+    more = spark.createDataFrame([("Own-1", "Do what you like, but\nask first.")], "license string, text string")
+    own = {r.doc_id: r.whole_license for r in licenses.scan(docs_of(spark, [wrapped, "do what you like BUT ask first"]), licenses.known(spark, more=more)).collect()}
+    assert own == {0: "BSD-3-Clause", 1: "Own-1"}
     texts = [mit.upper().replace("LICENSE", "LICENCE"), "Copyright (c) 2020 X\n" + mit.replace(",", " ,"), "Hello\nReleased under the MIT licence!\nbye", None, "", "x" * 100_000]
     got = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts), licenses.known(spark)).collect()}
     assert [got[i].whole_license for i in range(6)] == ["MIT", "MIT", None, None, None, None]
