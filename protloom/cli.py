@@ -104,7 +104,9 @@ def main(argv: list[str] | None = None) -> None:
             (genome, contigs), reference = text.read_genome(spark, a.genome, database.TILE), text.read_fasta(spark, a.protein)
             m = database.models(genome, text.read_gtf(spark, a.gtf), reference, text.sniff_datatype(spark, a.gtf, a.datatype), a.protein_keyword)
         carried = database.in_genome(carried_variants(spark, a), contigs)
-        changed = database.changed_proteins(m, carried)
+        forms = database.translated(m, carried).persist()
+        forms.select("protein_id", "samples", "status").write.mode("overwrite").csv(f"{a.out}/protein_status", sep="\t", header=True)
+        changed = database.changed_forms(m, forms)
         n_samples = carried.select("sample").distinct().count()
         database.write_outputs(m, reference, changed, a.out, max(1, n_samples))
         if a.uniprot:

@@ -98,7 +98,33 @@ def codon_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.inline(_codons(_stream(False)))).withColumnRenamed("n", "codon_no")
 
 
-def aligned_codons(rows: DataFrame, keys: list[str], further: list[str] = ()) -> DataFrame:
+def _touched(m: Column) -> Column:
+    """Like aligned_codons' array, of a row of substitutions only: the codons that edits touch, the last one and the stop."""
+    base = lambda i: F.substring(F.col("cds"), i + 1, F.lit(1))
+    edited = lambda i: F.coalesce(F.try_element_at(m, i)["alt"], base(i))
+
+    def codon(k: Column) -> Column:
+        own = k < F.col("n_ref")
+        names = _names([F.try_element_at(m, k * 3 + j)["v"] for j in range(3)])
+        return F.struct(
+            (k + 1).cast("bigint").alias("n"), (k * 3).cast("bigint").alias("locus"), F.concat(*[edited(k * 3 + j) for j in range(3)]).alias("codon"), names.alias("variants"), F.when(own, names).alias("variants_ref"),
+            F.when(own, F.substring("cds", k * 3 + 1, F.lit(3))).alias("codon_ref"), F.when(own, F.substring("aa", k + 1, F.lit(1))).alias("aa_ref"), F.when(own, (k + 1).cast("bigint")).alias("aa_index"),
+        )
+
+    stop = F.when(F.length("cds") >= F.col("n_ref") * 3 + 3, F.array("n_ref")).otherwise(F.array().cast("array<int>"))
+    numbers = F.concat(F.transform("edits", lambda x: F.floor(x["i"] / 3).cast("int")), F.array(F.col("n_ref") - 1), stop)
+    return F.transform(F.array_distinct(numbers), codon)
+
+
+def substitutions_only() -> Column:
+    """Whether all edits of a row (with n_ref) replace single bases ahead of the stop codon, which the sequence has or ends
+    before, and no residue is a stop: then all codons but the touched ones are what they were."""
+    single = F.forall("edits", lambda x: (F.length(x["alt"]) == 1) & (x["i"] < F.col("n_ref") * 3))
+    after = F.substring(F.col("cds"), F.col("n_ref") * 3 + 1, F.lit(3))
+    return single & ~F.contains(F.col("aa"), F.lit("*")) & ((F.length(after) < 3) | (amino_acid(after) == "*"))
+
+
+def aligned_codons(rows: DataFrame, keys: list[str], further: list[str] = (), sparse: bool = False) -> DataFrame:
     """Codons of the edited sequence beside the reference codon that begins at the same base.
 
     rows: with_edits() with aa: residues in order, internal stops included (null: none). An unchanged codon keeps the
@@ -122,23 +148,27 @@ def aligned_codons(rows: DataFrame, keys: list[str], further: list[str] = ()) ->
         return fields
 
     codons = _let(_letters(aa), lambda letters: _let(_letters(F.col("cds")), lambda bases: _let(_at(F.col("edits")), lambda m: _codons(_stream(True), more(letters, bases, m)))))
+    if sparse:
+        codons = F.when(F.col("substitutions"), _let(_at(F.col("edits")), _touched)).otherwise(codons)
     out = rows.select(*keys, *further, F.inline(codons)).withColumnRenamed("codon", "codon_alt")
     own = F.when(F.col("codon_alt") == F.col("codon_ref"), F.col("aa_ref")).otherwise(amino_acid(F.col("codon_alt")))
     filled = F.last("aa_index", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("aa_alt", own).withColumn("filled", filled)
 
 
-def changes(rows: DataFrame, keys: list[str]) -> DataFrame:
+def changes(rows: DataFrame, keys: list[str], sparse: bool = True) -> DataFrame:
     """One row per protein of with_edits() with aa: new_aa, frame_change, stop_gain, aa_stop_gain, stop_loss, stop_loss_pos, and numbers and lists
     of substituted (A5B(ids)), deleted (A5-(ids)) and inserted (-5B(ids)) residues.
 
     frame_change: the last reference codon's first base doesn't begin exactly one codon, or a stop that aligns with no
     reference codon comes before it. stop_gain: among the first len(aa) codons a stop stands for a residue. stop_loss:
     the codon after the last reference codon isn't a stop; what follows isn't reported residue by residue. Proteins
-    without any aligned codon give no row: they count as unchanged.
+    without any aligned codon give no row: they count as unchanged. With sparse, proteins of which single bases are
+    substituted are told from the touched codons alone, with the same result; others from all their codons.
     """
     proteins = rows.where(F.length("aa") > 0).withColumn("len", F.length("aa")).withColumn("n_ref", F.least(F.floor(F.length("cds") / 3), F.col("len")).cast("int")).where("n_ref > 0")
-    rows = aligned_codons(proteins, keys, ["len", "n_ref"]).withColumn("last_locus", (F.col("n_ref") - 1) * 3)
+    proteins = proteins.withColumn("substitutions", substitutions_only() if sparse else F.lit(False))
+    rows = aligned_codons(proteins, keys, ["len", "n_ref"], sparse).withColumn("last_locus", (F.col("n_ref") - 1) * 3)
     stop = F.col("aa_alt") == "*"
     gained = stop & (F.col("n") <= F.col("len")) & F.coalesce(F.col("aa_ref") != "*", F.lit(True)) & ((F.col("variants") != "") | F.col("variants_ref").isNotNull())
     w = Window.partitionBy(*keys)
@@ -160,7 +190,7 @@ def changes(rows: DataFrame, keys: list[str]) -> DataFrame:
     pick = lambda cond, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("n", value.alias("t"))))), lambda x: x["t"]), ";")
     gain_text = F.concat(F.coalesce(F.when(F.col("aa_index").isNotNull(), F.col("aa_ref")), F.lit("-")), F.col("filled").cast("string"), F.lit("*("), F.when(F.col("variants") != "", F.col("variants")).otherwise(F.coalesce("variants_ref", F.lit(""))), F.lit(")"))
     out = rows.groupBy(*keys).agg(
-        F.substring_index(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "aa_alt"))), lambda x: x["aa_alt"]), ""), "*", 1).alias("new_aa"),
+        F.sort_array(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), "aa_alt"))).alias("__new"),
         F.first("frame_change").alias("frame_change"),
         F.coalesce(F.max(F.col("gain_n").isNotNull()), F.lit(False)).alias("stop_gain"),
         F.coalesce(F.max(F.when(F.col("n") == F.col("gain_n"), gain_text)), F.lit("")).alias("aa_stop_gain"),
@@ -175,9 +205,12 @@ def changes(rows: DataFrame, keys: list[str]) -> DataFrame:
     gone = F.filter(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.col("n_ref").cast("bigint")), F.col("__kept")), lambda x: (F.col("__gain_at").isNull() | (x < F.col("__gain_at"))) & (~F.col("frame_change") | (x <= none(F.col("__seen_to")))))
     names = lambda m, x: _names([F.try_element_at(m, ((x - 1) * 3 + j).cast("int"))["v"] for j in range(3)])
     told = lambda letters, m: F.transform(F.col("__gone"), lambda x: F.concat(F.get(letters, (x - 1).cast("int")), x.cast("string"), F.lit("-("), names(m, x), F.lit(")")))
-    out = out.join(proteins.select(*keys, "aa", "edits", "n_ref"), keys).withColumn("__gone", gone)
+    out = out.join(proteins.select(*keys, "aa", "edits", "n_ref", "substitutions"), keys)
+    spliced = _let(F.map_from_entries("__new"), lambda m: F.transform(_letters(F.substring("aa", F.lit(1), F.col("n_ref"))), lambda x, j: F.coalesce(F.try_element_at(m, j + 1), x)))
+    new = F.when(F.col("substitutions"), spliced).otherwise(F.transform("__new", lambda x: x["aa_alt"]))
+    out = out.withColumn("new_aa", F.substring_index(F.array_join(new, ""), "*", 1)).withColumn("__gone", F.when(F.col("substitutions"), F.array().cast("array<bigint>")).otherwise(gone))
     out = out.withColumn("n_deletion_aa", F.size("__gone").cast("bigint")).withColumn("deletion_aa", F.array_join(_let(_letters(F.col("aa")), lambda letters: _let(_at(F.col("edits")), lambda m: told(letters, m))), ";"))
-    return out.drop("__seen_to", "__gain_at", "__aligned", "__kept", "__gone", "aa", "edits", "n_ref")
+    return out.drop("__seen_to", "__gain_at", "__aligned", "__kept", "__gone", "__new", "aa", "edits", "n_ref", "substitutions")
 
 
 def nonstandard_stop(len_aa: Column, len_translated: Column, len_cds: Column) -> Column:

@@ -120,7 +120,7 @@ def resolve_contigs(names: DataFrame, contigs: DataFrame) -> DataFrame:
     rows = names.select("name", k.alias("k")).distinct()
     ids = contigs.select("id").distinct()
     described = contigs.select(F.regexp_extract("description", "chromosome ([^ ,]+),", 1).alias("k"), "id").where("k <> ''").groupBy("k").agg(F.min("id").alias("by_text"))
-    mito = contigs.where(F.lower("description").contains("mitochondrion")).agg(F.min("id").alias("mito"))
+    mito = contigs.where(F.lower("description").contains("mitochondrion")).agg(F.min("id")).first()[0]
     out = rows.join(small(ids.select(F.col("id").alias("same"))), F.col("k") == F.col("same"), "left").join(small(ids.select(F.col("id").alias("with_chr"))), F.concat(F.lit("chr"), F.col("k")) == F.col("with_chr"), "left")
-    out = out.join(small(described), "k", "left").join(F.broadcast(mito))  # one row
-    return out.select("name", F.coalesce("same", "with_chr", F.when(F.col("k") == "M", F.col("mito")), "by_text", "k").alias("contig"))
+    out = out.join(small(described), "k", "left")
+    return out.select("name", F.coalesce("same", "with_chr", F.when(F.col("k") == "M", F.lit(mito)), "by_text", "k").alias("contig"))

@@ -54,8 +54,10 @@ def models(genome: DataFrame, gtf: DataFrame, fasta: DataFrame, datatype: str =
     return Models(out, blocks)
 
 
-def changed_proteins(m: Models, carried: DataFrame) -> DataFrame:
-    """Changed forms of proteins: protein_id, samples, annotation columns of annotate.changes, form and form_id.
+def translated(m: Models, carried: DataFrame) -> DataFrame:
+    """Each protein with each set of variants that some samples carry: protein_id, pattern, samples, n_samples, aa, the
+    annotation columns of annotate.changes, and status: changed, unchanged, or unaligned (no codon of the edited sequence
+    begins where one of the protein's does, so that nothing can be said; its annotation is null).
 
     carried(chr, pos, ref, alt, sample): variants by carrier (a sample or haplotype); chr are the genome's names. Samples
     with the same variants of a protein are translated once.
@@ -72,7 +74,18 @@ def changed_proteins(m: Models, carried: DataFrame) -> DataFrame:
     edits = edits.select(*keys, at.cast("int").alias("i"), "ref", "alt", "variant_id").where("i >= 0")
     proteins = m.proteins.select("protein_id", "cds", "aa").join(groups.select(*keys), "protein_id")
     out = annotate.changes(annotate.with_edits(proteins.select(*keys, "cds", "aa"), edits, keys), keys)
-    out = out.join(proteins.select(*keys, "aa"), keys).where("new_aa <> aa").join(groups, keys)
+    out = proteins.select(*keys, "aa").join(groups, keys).join(out, keys, "left")
+    return out.withColumn("status", F.when(F.col("new_aa").isNull(), "unaligned").when(F.col("new_aa") == F.col("aa"), "unchanged").otherwise("changed"))
+
+
+def changed_proteins(m: Models, carried: DataFrame) -> DataFrame:
+    """Changed forms of proteins, of translated()."""
+    return changed_forms(m, translated(m, carried))
+
+
+def changed_forms(m: Models, forms: DataFrame) -> DataFrame:
+    """Of translated()'s rows those that changed, with form and form_id and what is known of the protein."""
+    out = forms.where("status = 'changed'").drop("status")
     about = m.proteins.select("protein_id", "fasta_id", "description", "seqname", "strand", "frame", "nonstandard_stop")
     out = cohort.numbered_forms(out, "protein_id", ["pattern"]).join(about, "protein_id")
     return out.withColumn("new_aa", F.when(F.col("frame") != 0, F.concat(F.lit("X"), F.col("new_aa"))).otherwise(F.col("new_aa")))

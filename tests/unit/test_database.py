@@ -141,6 +141,8 @@ def test_command_line_of_a_cohort(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/table", sep="\t", header=True).columns == ["chr", "pos", "ref", "alt", "X", "Y"]
     cli.main(["run", "-g", str(tmp_path / "g.fa"), "-f", str(tmp_path / "m.gtf"), "-p", str(tmp_path / "p.fa"), "-m", f"chr1-{a + 4}-{g[a + 3]}-A", "-o", str(tmp_path / "out2")])
     assert "MDKRGFQ" in [r[0] for r in spark.read.text(f"{tmp_path}/out2/protein_changed").collect()]
+    status = spark.read.csv(f"{tmp_path}/out/protein_status", sep="\t", header=True).collect()
+    assert {(r.protein_id, r.samples): r.status for r in status} == {("p1", "X"): "changed", ("p1", "Y"): "changed"}
 
 
 def test_unchanged_in_a_cohort(spark, tmp_path):

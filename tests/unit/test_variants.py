@@ -107,3 +107,27 @@ def test_fasta_gtf_files(spark, tmp_path):
     r = text.read_gtf(spark, str(tmp_path / "a.gtf")).withColumn("m", text.attributes(F.col("attributes"))).first()
     assert (r.start, r.end, r.frame, r.m) == (3, 9, 0, {"gene_id": "c", "k": "v"})
     assert text.sniff_datatype(spark, str(tmp_path / "a.gtf")) == "gtf"
+
+
+def test_touched_codons_tell_the_same_as_all(spark):
+    import random
+
+    from protloom.functions.sequence import codon_table
+
+    rng, code = random.Random(9), codon_table()
+    cds, edits = [], []
+    for k in range(150):
+        codons = ["ATG", *(rng.choice([c for c, a in code.items() if a != "*"]) for _ in range(rng.randrange(1, 25))), *rng.choice([["TAA"], [], ["TAA", "GGG"], ["GGG"]])]
+        text = "".join(codons) + rng.choice(["", "A"])
+        aa = "".join(code[c] for c in codons).split("*")[0]
+        aa = aa[:-1] + "U" if k % 7 == 0 else aa[: -(k % 2)] if k % 10 == 1 else aa
+        cds.append((k, text, aa or "M"))
+        for i in rng.sample(range(len(text)), min(len(text), rng.randrange(0, 6))):
+            edits.append((k, i, text[i] if rng.random() < 0.9 else "N", rng.choice("ACGT"), f"v{rng.randrange(9)}"))
+        if k % 5 == 0:
+            edits.append((k, 4, text[4], "", "gone"))
+    rows = annotate.with_edits(spark.createDataFrame(cds, "id int, cds string, aa string"), spark.createDataFrame(edits, "id int, i int, ref string, alt string, variant_id string"), ["id"])
+    few, all_ = ({r.id: r for r in annotate.changes(rows, ["id"], sparse).collect()} for sparse in (True, False))
+    assert len(all_) > 100 and set(few) == set(all_)
+    for k in all_:
+        assert few[k].asDict() == all_[k].asDict(), cds[k]
