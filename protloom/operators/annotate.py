@@ -46,7 +46,10 @@ def with_edits(cds: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     sequence and its edits is computed within this row: no base becomes a row of its own, and only this join shuffles.
     """
     found = edits.groupBy(*keys).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "ref", "variant_id", "alt")).alias("__e"))
-    rows = cds.where(F.length("cds") > 0).join(found, keys, "left")
+    # by number: sequences are small in bytes and dear to compute with, so adaptive execution would put too many in a task
+    session = cds.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    rows = cds.where(F.length("cds") > 0).repartition(n, *keys).join(found, keys, "left")
     fits = F.sort_array(F.filter("__e", lambda x: F.substring(F.col("cds"), x["i"] + 1, F.lit(1)) == x["ref"]))
     first = _let(fits, lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["i"] != x["i"])))
     whole = lambda s: (F.length("cds") > 2) & ~F.exists(s, lambda y: (y["i"] == 2) & (y["alt"] == ""))
