@@ -97,16 +97,17 @@ def release() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema) in bounded memory: batches of at most BATCH_BYTES (set for the session) and memory
-    returned after each result."""
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, trim: bool = True) -> DataFrame:
+    """df.mapInArrow(run, schema) in bounded memory: batches of at most BATCH_BYTES (set for the session) and, with trim,
+    memory returned after each result (which costs time where results are made of large arrays)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in run(batches):
             yield out
             del out
-            release()
+            if trim:
+                release()
 
     return df.mapInArrow(bounded, schema)
 

@@ -234,4 +234,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                 yield pa.record_batch([*[part.column(c) for c in kept], text, pc.utf8_length(text).cast(pa.int64())], names=[*kept, "text", "n_chars"])
 
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
-    return map_batches(pages.select(*[F.col(c) for c in kept], F.col(html).cast("string")), run, f"{fields}{', ' * bool(kept)}text string, n_chars bigint")
+    return map_batches(pages.select(*[F.col(c) for c in kept], F.col(html).cast("string")), run, f"{fields}{', ' * bool(kept)}text string, n_chars bigint", trim=False)
