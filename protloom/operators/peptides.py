@@ -60,7 +60,7 @@ NOVEL_COLUMNS = (
 )
 
 
-def novel_table(changed: DataFrame, index: DataFrame, profile: Profile, prefix: str = "PPDBpep_") -> tuple[DataFrame, DataFrame]:
+def novel_table(changed: DataFrame, index: DataFrame, profile: Profile, prefix: str = "novel_") -> tuple[DataFrame, DataFrame]:
     """(table, records): each occurrence in a changed form of a peptide that no reference protein has, with the form's
     annotation and the profile; and the distinct ones as FASTA lines.
 
