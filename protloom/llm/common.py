@@ -57,17 +57,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(codes, offsets, words): text i holds the words codes[offsets[i]:offsets[i + 1]]; null texts are empty.
 
-    Words are maximal runs of anything but space and \\x09-\\x0D, A-Z lower-cased.
+    Words are maximal runs of anything but space and \\x09-\\x0D, A-Z lower-cased unless lower is false.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.offset:  # ascii_lower misreads arrays whose text starts within their buffer
         texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = split.flatten()
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
     keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
