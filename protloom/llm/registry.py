@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html, langid, licenses, lm, mixing, packing, runs, simhash, toxicity, urls
+from . import ann, decontaminate, html, langid, licenses, lm, mixing, packing, prefix_trie, runs, simhash, toxicity, urls
 from .common import read
 
 
@@ -63,14 +63,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(docs.select("doc_id", runs.with_planted(F.col("text"), F.col("doc_id")).alias("text"))))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.with_shared_heads(prefix_trie.numbered(read(spark, sf_dir, "conversations"))))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_lm_scoring, op4_nearest_neighbours, op5_html_extraction, op6_simhash, op7_language_id, op8_mixing, op9_license_scan, op10_url_filter, op11_periodic_runs, op13_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_lm_scoring, op4_nearest_neighbours, op5_html_extraction, op6_simhash, op7_language_id, op8_mixing, op9_license_scan, op10_url_filter, op11_periodic_runs, op12_prefix_trie, op13_packing)}
 
 ORACLE_SQL = {
     "op9_license_scan": licenses.scan_sql(),
+    "op12_prefix_trie": prefix_trie.trie_sql(),
     "op4_nearest_neighbours": """
 WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.n <> q.n),

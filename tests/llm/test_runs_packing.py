@@ -153,7 +153,7 @@ def test_rounds_over_many_tasks(spark):
             places.sort()
             assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0 and sum(places[-1]) <= 1024
         least = max(math.ceil(sum(sizes) / 1024), sum(n > 512 for n in sizes))
-        assert len(by) <= 1.02 * least + 1
+        assert len(by) <= 1.05 * least + 1
 
 
 def test_ids_equal_those_of_tokenizers():
