@@ -32,8 +32,9 @@ def haplotypes(vcf: DataFrame, sample: str, order: list[str], only_pass: bool =
     each (chr, pos, ref) in file order."""
     call = F.col(sample)
     rows = filter_records(vcf, only_pass, chromosomes).where(~g.homozygous_reference(call) & (g.genotype(call) != "."))
-    rows = rows.withColumn("__alleles", g.alleles(call)).select("*", F.posexplode("__alleles").alias("__hap", "__number"))
-    rows = rows.select((F.col("__hap") + 1).alias("hap"), F.col("chrom").alias("chr"), "pos", "ref", g.allele_text(F.col("ref"), F.split("alt", ","), F.col("__number")).alias("alt"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    # both haplotypes at once, in a generator: the filters below don't look each allele up again
+    each = F.transform(g.alleles(call), lambda n, h: F.struct((h + 1).alias("hap"), g.allele_text(F.col("ref"), F.split("alt", ","), n).alias("alt")))
+    rows = rows.select(F.col("chrom").alias("chr"), "pos", "ref", *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.inline(each))
     rows = rows.where("alt is not null and alt <> ref and alt <> '*'")
     return rows.groupBy("hap", "chr", "pos", "ref").agg(F.min_by("alt", F.struct(*[f"__o{i}" for i in range(len(order))])).alias("alt"))
 

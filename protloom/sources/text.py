@@ -5,15 +5,29 @@ Each format has a parser on a DataFrame of raw text (column value), and a reader
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import falsey
+from . import bgzf
 
 VCF_FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 GTF_COLUMNS = ("seqname", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
 
 
+def split_once(rows: DataFrame, build: Callable[[Column], Column], limit: int = -1, value: str = "value") -> DataFrame:
+    """rows with the fields of the struct that build makes of a tab-separated column's parts, in place of that column.
+
+    The line is split in a generator of one row: filters on its fields stay above it, whereas the optimiser would push them
+    below a projection and split the line again for each. Filters on other columns, fields of an earlier split_once
+    included, do sink below, so that what they drop is never split further.
+    """
+    more = [c for c in rows.columns if c != value]
+    return rows.select(*more, F.inline(F.transform(F.array(F.split(value, "\t", limit)), build)))
+
+
 def parse_fasta(records: DataFrame) -> DataFrame:
     """(id, annotation, description, seq) of FASTA records, one to a row: header and sequence lines. The id is the
     header's first word; line ends and outer * of the sequence go."""
@@ -36,8 +50,14 @@ def line_order() -> Column:
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(value, line): lines of text files without their ends, and their order."""
-    return spark.read.text(path).select(F.rtrim("value", F.lit("\r")).alias("value"), line_order().alias("line"))
+    """(value, line): lines of text files without their ends, and their order. Plain and block-compressed (bgzip) files are
+    split over tasks; other compressed ones are one task each."""
+    blocks, others = bgzf.told_apart(spark, path)
+    plain = spark.read.text(others).select(F.rtrim("value", F.lit("\r")).alias("value"), line_order().alias("line")) if others else None
+    if not blocks:
+        return plain
+    packed = bgzf.read_bgzf_lines(spark, blocks)
+    return packed if plain is None else plain.unionByName(packed)
 
 
 def parse_genome(lines: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -76,10 +96,12 @@ def read_genome(spark: SparkSession, path: str | list[str], width: int = 65_536)
 
 def parse_gtf(lines: DataFrame) -> DataFrame:
     """The nine columns of GTF/GFF3 lines, and further columns of lines; comments and blank lines go."""
-    f, more = F.col("f"), [c for c in lines.columns if c != "value"]
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"), *more).where(F.size(f) >= 9)
+    more = [c for c in lines.columns if c != "value"]
     kinds = {"start": "bigint", "end": "bigint", "frame": "int"}
-    return rows.select(*[(F.get(f, F.lit(i)).try_cast(kinds[c]) if c in kinds else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(GTF_COLUMNS)], *more)
+    field = lambda f, i, c: F.get(f, F.lit(i)).try_cast(kinds[c]) if c in kinds else F.get(f, F.lit(i))
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    rows = split_once(rows, lambda f: F.struct(F.size(f).alias("__n"), *[field(f, i, c).alias(c) for i, c in enumerate(GTF_COLUMNS)]))
+    return rows.where("__n >= 9").select(*GTF_COLUMNS, *more)
 
 
 def attributes(text: Column) -> Column:
@@ -107,20 +129,30 @@ def sniff_datatype(spark: SparkSession, path: str, given: str | None = None) ->
     return "Ensembl_GTF" if 'gene_id "ensg' in head else "gtf"
 
 
+def _fixed(lines: DataFrame) -> DataFrame:
+    """VCF data lines to the fixed columns, __cells (what follows, not yet split) and further columns of lines."""
+    field = lambda f, i, c: F.get(f, F.lit(i)).try_cast("bigint") if c == "pos" else F.get(f, F.lit(i))
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    return split_once(rows, lambda f: F.struct(*[field(f, i, c).alias(c) for i, c in enumerate((*VCF_FIXED, "__cells"))]), limit=len(VCF_FIXED) + 1)
+
+
 def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
-    """VCF data lines to columns: the fixed ones, then one for each sample in the header's order, then those of lines."""
-    f, more = F.col("f"), [c for c in lines.columns if c != "value"]
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"), *more)
-    fixed = [(F.get(f, F.lit(i)).try_cast("bigint") if c == "pos" else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(VCF_FIXED)]
-    return rows.select(*fixed, *[F.get(f, F.lit(9 + i)).alias(s) for i, s in enumerate(samples)], *more)
+    """VCF data lines to columns: the fixed ones, then one for each sample in the header's order, then those of lines.
+
+    Samples' cells are split apart only in lines that pass the filters on fixed columns.
+    """
+    more, rows = [c for c in lines.columns if c != "value"], _fixed(lines)
+    if samples:
+        rows = split_once(rows, lambda f: F.struct(*[F.get(f, F.lit(i)).alias(s) for i, s in enumerate(samples)]), value="__cells")
+    return rows.select(*VCF_FIXED, *[F.col(f"`{s}`") for s in samples], *more)
 
 
 def vcf_samples(spark: SparkSession, paths: str | list[str]) -> list[str]:
     """Sample names of VCF files, which must agree."""
-    heads = {r[0] for r in spark.read.text(paths).where(F.col("value").startswith("#CHROM")).distinct().limit(2).collect()}
+    heads = {r[0] for r in read_lines(spark, paths).where(F.col("value").startswith("#CHROM")).select("value").distinct().limit(2).collect()}
     if len(heads) > 1:
         raise ValueError("the VCF files have different headers")
-    return heads.pop().rstrip("\r\n").split("\t")[9:] if heads else []
+    return heads.pop().split("\t")[9:] if heads else []
 
 
 def wanted_samples(known: list[str], samples: str | list[str]) -> list[str]:
@@ -142,10 +174,9 @@ def read_vcf(spark: SparkSession, paths: str | list[str], samples: str | list[st
 
 def parse_calls(lines: DataFrame) -> DataFrame:
     """VCF data lines to the fixed columns and `calls`, all samples' cells as one array, whatever their number."""
-    f, more = F.col("f"), [c for c in lines.columns if c != "value"]
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"), *more)
-    fixed = [(F.get(f, F.lit(i)).try_cast("bigint") if c == "pos" else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(VCF_FIXED)]
-    return rows.select(*fixed, F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("calls"), *more)
+    more, rows = [c for c in lines.columns if c != "value"], _fixed(lines)
+    rows = split_once(rows.withColumn("__cells", F.coalesce("__cells", F.lit(""))), lambda f: F.struct(F.when((F.size(f) == 1) & (F.get(f, F.lit(0)) == ""), F.array().cast("array<string>")).otherwise(f).alias("calls")), value="__cells")
+    return rows.select(*VCF_FIXED, "calls", *more)
 
 
 def named(spark: SparkSession, names: list[str], wanted: list[str]) -> DataFrame:
@@ -160,16 +191,15 @@ def table_carriers(spark: SparkSession, path: str | list[str], samples: str | li
 
     Cells stay one array per line until those of carriers are taken out, so thousands of samples make no columns.
     """
-    heads = spark.read.text(path).where(F.lower("value").rlike(r"(^|\t)pos(\t|\r?$)")).distinct().limit(2).collect()
+    heads = read_lines(spark, path).where(F.lower("value").rlike(r"(^|\t)pos(\t|$)")).select("value").distinct().limit(2).collect()
     if len(heads) != 1:
         raise ValueError("the variant tables need one header, the same in all")
-    names = heads[0][0].rstrip("\r\n").split("\t")
+    names = heads[0][0].split("\t")
     at = {c.lower(): i for i, c in enumerate(names)}
     if missing := [c for c in ("chr", "pos", "ref", "alt") if c not in at]:
         raise ValueError(f"the variant table lacks {', '.join(missing)}")
-    f = F.split("value", "\t")
-    cell = lambda c: F.get(f, F.lit(at[c]))
-    rows = read_lines(spark, path).where(F.col("value") != heads[0][0].rstrip("\r\n")).select(cell("chr").alias("chr"), cell("pos").try_cast("bigint").alias("pos"), F.upper(cell("ref")).alias("ref"), F.upper(cell("alt")).alias("alt"), f.alias("f")).where("pos is not null")
+    cell = lambda f, c: F.get(f, F.lit(at[c]))
+    rows = split_once(read_lines(spark, path).where(F.col("value") != heads[0][0]), lambda f: F.struct(cell(f, "chr").alias("chr"), cell(f, "pos").try_cast("bigint").alias("pos"), F.upper(cell(f, "ref")).alias("ref"), F.upper(cell(f, "alt")).alias("alt"), f.alias("f"))).where("pos is not null")
     wanted = [s for s in wanted_samples([c for c in names if c.lower() not in ("chr", "pos", "ref", "alt", "pos_end")], samples)]
     if not wanted:
         return rows.select("chr", "pos", "ref", "alt", F.lit("1").alias("sample"))
