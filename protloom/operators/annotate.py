@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import by_number, computed
 from ..functions.sequence import amino_acid, complement
 
 
@@ -46,16 +47,13 @@ def with_edits(cds: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     sequence and its edits is computed within this row: no base becomes a row of its own, and only this join shuffles.
     """
     found = edits.groupBy(*keys).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "ref", "variant_id", "alt")).alias("__e"))
-    # by number: sequences are small in bytes and dear to compute with, so adaptive execution would put too many in a task
-    session = cds.sparkSession
-    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    rows = cds.where(F.length("cds") > 0).repartition(n, *keys).join(found, keys, "left")
+    rows = by_number(cds.where(F.length("cds") > 0), *keys).join(found, keys, "left")
     fits = F.sort_array(F.filter("__e", lambda x: F.substring(F.col("cds"), x["i"] + 1, F.lit(1)) == x["ref"]))
     first = _let(fits, lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["i"] != x["i"])))
     whole = lambda s: (F.length("cds") > 2) & ~F.exists(s, lambda y: (y["i"] == 2) & (y["alt"] == ""))
     kept = _let(first, lambda s: F.transform(s, lambda x: F.struct(x["i"].alias("i"), F.when((x["i"] < 2) & (x["alt"] == "") & whole(s), x["ref"]).otherwise(x["alt"]).alias("alt"), x["variant_id"].alias("v"))))
     none = F.array().cast("array<struct<i:int,alt:string,v:string>>")
-    return rows.withColumn("edits", F.when(F.col("__e").isNull(), none).otherwise(kept)).drop("__e")
+    return computed(rows, "edits", F.when(F.col("__e").isNull(), none).otherwise(kept)).drop("__e")
 
 
 def _stream(new: bool) -> Column:
@@ -127,14 +125,8 @@ def substitutions_only() -> Column:
     return single & ~F.contains(F.col("aa"), F.lit("*")) & ((F.length(after) < 3) | (amino_acid(after) == "*"))
 
 
-def aligned_codons(rows: DataFrame, keys: list[str], further: list[str] = (), sparse: bool = False) -> DataFrame:
-    """Codons of the edited sequence beside the reference codon that begins at the same base.
-
-    rows: with_edits() with aa: residues in order, internal stops included (null: none). An unchanged codon keeps the
-    protein's own residue (selenocysteine, read-through stops). As reference codon c begins at base 3 (c - 1) and edited
-    bases keep the order of their places, aligning is arithmetic. Columns: keys, n, locus, codon_alt, variants, codon_ref,
-    aa_ref, aa_index (own), filled (last own one, carried on), aa_alt, variants_ref, further.
-    """
+def _aligned(sparse: bool) -> Column:
+    """Codons of a row's edited sequence, as aligned_codons has them, but for aa_alt and filled."""
     aa = F.coalesce(F.col("aa"), F.lit(""))
 
     def more(letters, bases, m):
@@ -151,12 +143,39 @@ def aligned_codons(rows: DataFrame, keys: list[str], further: list[str] = (), sp
         return fields
 
     codons = _let(_letters(aa), lambda letters: _let(_letters(F.col("cds")), lambda bases: _let(_at(F.col("edits")), lambda m: _codons(_stream(True), more(letters, bases, m)))))
-    if sparse:
-        codons = F.when(F.col("substitutions"), _let(_at(F.col("edits")), _touched)).otherwise(codons)
-    out = rows.select(*keys, *further, F.inline(codons)).withColumnRenamed("codon", "codon_alt")
-    own = F.when(F.col("codon_alt") == F.col("codon_ref"), F.col("aa_ref")).otherwise(amino_acid(F.col("codon_alt")))
-    filled = F.last("aa_index", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("aa_alt", own).withColumn("filled", filled)
+    return F.when(F.col("substitutions"), _let(_at(F.col("edits")), _touched)).otherwise(codons) if sparse else codons
+
+
+def _residues(codons: Column) -> Column:
+    """codons with aa_alt (an unchanged codon keeps the protein's own residue) and filled (the last own aa_index so far).
+
+    Own indexes are few distinct steps over the array: each is repeated up to the next one's place, which carries it on
+    without looking back from each codon.
+    """
+
+    def carried(c: Column, own: Column) -> Column:
+        first = F.coalesce(F.get(own, F.lit(0))["at"], F.size(c))
+        upto = lambda j: F.coalesce(F.get(own, j + 1)["at"], F.size(c))
+        steps = F.transform(own, lambda o, j: F.array_repeat(o["aa_index"], upto(j) - o["at"]))
+        return F.concat(F.array_repeat(F.lit(None).cast("bigint"), first), F.flatten(steps))
+
+    def one(c: Column, filled: Column) -> Column:
+        aa_alt = F.when(c["codon"] == c["codon_ref"], c["aa_ref"]).otherwise(amino_acid(c["codon"]))
+        return F.struct(c["n"].alias("n"), c["locus"].alias("locus"), c["codon"].alias("codon_alt"), *[c[x].alias(x) for x in ("variants", "variants_ref", "codon_ref", "aa_ref", "aa_index")], aa_alt.alias("aa_alt"), filled.alias("filled"))
+
+    own = lambda c: F.filter(F.transform(c, lambda x, i: F.struct(i.alias("at"), x["aa_index"].alias("aa_index"))), lambda x: x["aa_index"].isNotNull())
+    return _let(codons, lambda c: _let(_let(own(c), lambda o: carried(c, o)), lambda f: F.transform(c, lambda x, i: one(x, F.get(f, i)))))
+
+
+def aligned_codons(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Codons of the edited sequence beside the reference codon that begins at the same base.
+
+    rows: with_edits() with aa: residues in order, internal stops included (null: none). An unchanged codon keeps the
+    protein's own residue (selenocysteine, read-through stops). As reference codon c begins at base 3 (c - 1) and edited
+    bases keep the order of their places, aligning is arithmetic. Columns: keys, n, locus, codon_alt, variants,
+    variants_ref, codon_ref, aa_ref, aa_index (own), aa_alt, filled (last own one, carried on).
+    """
+    return rows.select(*keys, F.inline(_residues(_aligned(False))))
 
 
 def changes(rows: DataFrame, keys: list[str], sparse: bool = True) -> DataFrame:
@@ -168,52 +187,62 @@ def changes(rows: DataFrame, keys: list[str], sparse: bool = True) -> DataFrame:
     the codon after the last reference codon isn't a stop; what follows isn't reported residue by residue. Proteins
     without any aligned codon give no row: they count as unchanged. With sparse, proteins of which single bases are
     substituted are told from the touched codons alone, with the same result; others from all their codons.
+
+    All of it is computed within the protein's row, from an array of its codons: nothing is shuffled or sorted.
     """
     proteins = rows.where(F.length("aa") > 0).withColumn("len", F.length("aa")).withColumn("n_ref", F.least(F.floor(F.length("cds") / 3), F.col("len")).cast("int")).where("n_ref > 0")
     proteins = proteins.withColumn("substitutions", substitutions_only() if sparse else F.lit(False))
-    rows = aligned_codons(proteins, keys, ["len", "n_ref"], sparse).withColumn("last_locus", (F.col("n_ref") - 1) * 3)
-    stop = F.col("aa_alt") == "*"
-    gained = stop & (F.col("n") <= F.col("len")) & F.coalesce(F.col("aa_ref") != "*", F.lit(True)) & ((F.col("variants") != "") | F.col("variants_ref").isNotNull())
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumn("last_n", F.min(F.when(F.col("locus") == F.col("last_locus"), F.col("n"))).over(w)).withColumn("n_last", F.count(F.when(F.col("locus") == F.col("last_locus"), 1)).over(w))
-    rows = rows.withColumn("first_stop", F.min(F.when(stop, F.col("n"))).over(w)).withColumn("gain_n", F.min(F.when(gained, F.col("n"))).over(w))
-    rows = rows.withColumn("loose_stop", F.max(F.when((F.col("n") == F.col("first_stop")) & F.col("aa_ref").isNull() & (F.col("n") <= F.col("last_n")), 1)).over(w))
-    rows = rows.withColumn("frame_change", (F.col("n_last") != 1) | (F.coalesce("loose_stop", F.lit(0)) == 1))
-    rows = rows.withColumn("lost", F.max(F.when((F.col("n") == F.col("last_n") + 1) & ~stop, 1)).over(w))
-    # residues reported: up to the last reference codon if the stop is lost, before the first stop, and with a changed
-    # frame up to the last codon that still aligns
-    end = F.least(F.coalesce(F.col("first_stop") - 1, F.lit(1 << 40)), F.when(F.col("lost") == 1, F.col("last_n")).otherwise(F.lit(1 << 40)))
-    rows = rows.withColumn("__end", end)
-    aligned = F.max(F.when(F.col("aa_ref").isNotNull() & (F.col("n") <= F.col("__end")), F.col("n"))).over(w)
-    rows = rows.withColumn("__end", F.when(F.col("frame_change"), F.coalesce(aligned, F.lit(0))).otherwise(F.col("__end")))
-    seen = F.col("n") <= F.col("__end")
-    text = lambda a, b: F.concat(a, F.col("filled").cast("string"), b, F.lit("("), F.col("variants"), F.lit(")"))
-    varied = seen & F.col("aa_ref").isNotNull() & (F.col("aa_ref") != F.col("aa_alt")) & (F.col("variants") != "")
-    added = seen & F.col("aa_ref").isNull()
-    pick = lambda cond, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("n", value.alias("t"))))), lambda x: x["t"]), ";")
-    gain_text = F.concat(F.coalesce(F.when(F.col("aa_index").isNotNull(), F.col("aa_ref")), F.lit("-")), F.col("filled").cast("string"), F.lit("*("), F.when(F.col("variants") != "", F.col("variants")).otherwise(F.coalesce("variants_ref", F.lit(""))), F.lit(")"))
-    out = rows.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), "aa_alt"))).alias("__new"),
-        F.first("frame_change").alias("frame_change"),
-        F.coalesce(F.max(F.col("gain_n").isNotNull()), F.lit(False)).alias("stop_gain"),
-        F.coalesce(F.max(F.when(F.col("n") == F.col("gain_n"), gain_text)), F.lit("")).alias("aa_stop_gain"),
-        (F.coalesce(F.max("lost"), F.lit(0)) == 1).alias("stop_loss"),
-        F.coalesce(F.max(F.when((F.col("lost") == 1) & (F.col("n") == F.col("last_n") + 1), F.concat(F.col("filled").cast("string"), F.lit("("), F.col("variants"), F.lit(")")))), F.lit("")).alias("stop_loss_pos"),
-        F.count(F.when(varied, 1)).alias("n_variant_aa"), pick(varied, text(F.col("aa_ref"), F.col("aa_alt"))).alias("variant_aa"),
-        F.count(F.when(added, 1)).alias("n_insertion_aa"), pick(added, text(F.lit("-"), F.col("aa_alt"))).alias("insertion_aa"),
-        F.max(F.when(seen, F.col("filled"))).alias("__seen_to"), F.max(F.when(F.col("n") == F.col("gain_n"), F.col("filled"))).alias("__gain_at"),
-        F.count("aa_index").alias("__aligned"), F.collect_set(F.when(seen, F.col("filled"))).alias("__kept"),
-    ).where("__aligned > 0")
-    none = lambda c: F.coalesce(c, F.lit(0))
-    gone = F.filter(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.col("n_ref").cast("bigint")), F.col("__kept")), lambda x: (F.col("__gain_at").isNull() | (x < F.col("__gain_at"))) & (~F.col("frame_change") | (x <= none(F.col("__seen_to")))))
+    stop, first, never = (lambda c: c["aa_alt"] == "*"), (lambda a: F.get(a, F.lit(0))), F.lit(1 << 40)
+    gained = lambda c: (c["n"] <= F.col("len")) & F.coalesce(c["aa_ref"] != "*", F.lit(True)) & ((c["variants"] != "") | c["variants_ref"].isNotNull())
+
+    def marks(c: Column) -> Column:
+        """What decides on frame and stops: the first stop, the first one gained, the last reference codon and the next."""
+        last = F.filter(c, lambda x: x["locus"] == (F.col("n_ref") - 1) * 3)
+        after = lambda last: first(F.filter(c, lambda x: x["n"] == first(last)["n"] + 1))
+        stops = F.filter(c, stop)
+        return _let(last, lambda a: _let(stops, lambda s: F.struct(first(a)["n"].alias("last_n"), F.size(a).alias("n_last"), first(s).alias("stop"), first(F.filter(s, gained)).alias("gain"), after(a).alias("after"))))
+
+    def ends(c: Column, m: Column) -> Column:
+        """frame_change, lost, and end: residues are reported up to the last reference codon if the stop is lost, before the
+        first stop, and with a changed frame up to the last codon that still aligns."""
+        loose = m["stop"].isNotNull() & m["stop"]["aa_ref"].isNull() & F.coalesce(m["stop"]["n"] <= m["last_n"], F.lit(False))
+        lost = m["after"].isNotNull() & F.coalesce(~stop(m["after"]), F.lit(False))
+        end = F.least(F.coalesce(m["stop"]["n"] - 1, never), F.when(lost, m["last_n"]).otherwise(never))
+        frame = (m["n_last"] != 1) | loose
+        aligned = lambda e: F.coalesce(F.array_max(F.transform(F.filter(c, lambda x: x["aa_ref"].isNotNull() & (x["n"] <= e)), lambda x: x["n"])), F.lit(0).cast("bigint"))
+        return _let(end, lambda e: F.struct(frame.alias("frame"), lost.alias("lost"), F.when(frame, aligned(e)).otherwise(e).alias("end")))
+
+    def told(c: Column, m: Column, e: Column, seen: Column) -> Column:
+        text = lambda x, a, b: F.concat(a, x["filled"].cast("string"), b, F.lit("("), x["variants"], F.lit(")"))
+        each = lambda some, t: (F.size(some).cast("bigint"), F.array_join(F.transform(some, t), ";"))
+        varied = F.filter(seen, lambda x: x["aa_ref"].isNotNull() & (x["aa_ref"] != x["aa_alt"]) & (x["variants"] != ""))
+        added = F.filter(seen, lambda x: x["aa_ref"].isNull())
+        n_varied, varied = each(varied, lambda x: text(x, x["aa_ref"], x["aa_alt"]))
+        n_added, added = each(added, lambda x: text(x, F.lit("-"), x["aa_alt"]))
+        gain = m["gain"]
+        gain_names = F.when(gain["variants"] != "", gain["variants"]).otherwise(F.coalesce(gain["variants_ref"], F.lit("")))
+        gain_text = F.concat(F.coalesce(F.when(gain["aa_index"].isNotNull(), gain["aa_ref"]), F.lit("-")), gain["filled"].cast("string"), F.lit("*("), gain_names, F.lit(")"))
+        after = m["after"]
+        lost_text = F.when(e["lost"], F.concat(after["filled"].cast("string"), F.lit("("), after["variants"], F.lit(")")))
+        kept = F.filter(F.transform(seen, lambda x: x["aa_index"]), lambda x: x.isNotNull())
+        all_ = F.sequence(F.lit(1).cast("bigint"), F.col("n_ref").cast("bigint"))
+        open_ = lambda x, k: (gain["filled"].isNull() | (x < gain["filled"])) & (~e["frame"] | (x <= F.coalesce(F.array_max(k), F.lit(0))))
+        gone = F.when(F.col("substitutions"), F.array().cast("array<bigint>")).otherwise(_let(kept, lambda k: F.filter(F.array_except(all_, k), lambda x: open_(x, k))))
+        spliced = _let(F.map_from_entries(F.transform(c, lambda x: F.struct(x["n"].cast("int"), x["aa_alt"]))), lambda new: F.transform(_letters(F.substring("aa", F.lit(1), F.col("n_ref"))), lambda x, j: F.coalesce(F.try_element_at(new, j + 1), x)))
+        new = F.when(F.col("substitutions"), spliced).otherwise(F.transform(c, lambda x: x["aa_alt"]))
+        return F.struct(
+            e["frame"].alias("frame_change"), gain.isNotNull().alias("stop_gain"), F.coalesce(gain_text, F.lit("")).alias("aa_stop_gain"), e["lost"].alias("stop_loss"), F.coalesce(lost_text, F.lit("")).alias("stop_loss_pos"),
+            n_varied.alias("n_variant_aa"), varied.alias("variant_aa"), n_added.alias("n_insertion_aa"), added.alias("insertion_aa"), gone.alias("__gone"),
+            F.substring_index(F.array_join(new, ""), "*", 1).alias("new_aa"), F.exists(c, lambda x: x["aa_index"].isNotNull()).alias("__aligned"),
+        )
+
+    upto = lambda c, e: F.filter(c, lambda x: x["n"] <= e["end"])
+    result = _let(_residues(_aligned(sparse)), lambda c: _let(marks(c), lambda m: _let(ends(c, m), lambda e: _let(upto(c, e), lambda seen: told(c, m, e, seen)))))
+    out = computed(proteins.select(*keys, *["cds", "aa", "edits", "len", "n_ref", "substitutions"]), "__r", result).select(*keys, "aa", "edits", "__r.*").where("__aligned")
     names = lambda m, x: _names([F.try_element_at(m, ((x - 1) * 3 + j).cast("int"))["v"] for j in range(3)])
-    told = lambda letters, m: F.transform(F.col("__gone"), lambda x: F.concat(F.get(letters, (x - 1).cast("int")), x.cast("string"), F.lit("-("), names(m, x), F.lit(")")))
-    out = out.join(proteins.select(*keys, "aa", "edits", "n_ref", "substitutions"), keys)
-    spliced = _let(F.map_from_entries("__new"), lambda m: F.transform(_letters(F.substring("aa", F.lit(1), F.col("n_ref"))), lambda x, j: F.coalesce(F.try_element_at(m, j + 1), x)))
-    new = F.when(F.col("substitutions"), spliced).otherwise(F.transform("__new", lambda x: x["aa_alt"]))
-    out = out.withColumn("new_aa", F.substring_index(F.array_join(new, ""), "*", 1)).withColumn("__gone", F.when(F.col("substitutions"), F.array().cast("array<bigint>")).otherwise(gone))
-    out = out.withColumn("n_deletion_aa", F.size("__gone").cast("bigint")).withColumn("deletion_aa", F.array_join(_let(_letters(F.col("aa")), lambda letters: _let(_at(F.col("edits")), lambda m: told(letters, m))), ";"))
-    return out.drop("__seen_to", "__gain_at", "__aligned", "__kept", "__gone", "__new", "aa", "edits", "n_ref", "substitutions")
+    lost = lambda letters, m: F.transform("__gone", lambda x: F.concat(F.get(letters, (x - 1).cast("int")), x.cast("string"), F.lit("-("), names(m, x), F.lit(")")))
+    deleted = F.array_join(_let(_letters(F.col("aa")), lambda letters: _let(_at(F.col("edits")), lambda m: lost(letters, m))), ";")
+    return out.withColumns({"n_deletion_aa": F.size("__gone").cast("bigint"), "deletion_aa": deleted}).drop("aa", "edits", "__gone", "__aligned")
 
 
 def nonstandard_stop(len_aa: Column, len_translated: Column, len_cds: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import by_number, computed
 from ..functions.sequence import reverse_complement, translate
 
 
@@ -69,11 +70,23 @@ def coding_offset(pos: Column, start: Column, before: Column, total: Column, str
     return F.when(strand == "-", total - 1 - at).otherwise(at)
 
 
+#: Bases of a piece into which coding_sequence cuts a contig: blocks are put together from pieces, as reaching a place within
+#: a string takes time in proportion to it.
+PIECE = 64
+
+
 def coding_sequence(blocks: DataFrame, genome: DataFrame, keys: list[str], contig: str, bases: str = "seq") -> DataFrame:
     """(keys, strand, cds): the blocks' bases in genome order; genome(contig, bases) holds whole short contigs."""
     of = blocks.groupBy(*dict.fromkeys([*keys, contig]), "strand").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__blocks"))
-    text = F.array_join(F.transform("__blocks", lambda x: F.substring(F.col(bases), x["start"].cast("int"), (x["end"] - x["start"] + 1).cast("int"))), "")
-    return of.join(genome, contig).select(*keys, "strand", text.alias("cds"))
+    tile = lambda c: F.floor((c - 1) / PIECE)
+
+    def block(pieces: Column, x: Column) -> Column:
+        around = F.array_join(F.slice(pieces, (tile(x["start"]) + 1).cast("int"), (tile(x["end"]) - tile(x["start"]) + 1).cast("int")), "")
+        return F.substring(around, (x["start"] - tile(x["start"]) * PIECE).cast("int"), (x["end"] - x["start"] + 1).cast("int"))
+
+    cut = F.split(F.col(bases), r"(?s)(?<=\G.{%d})" % PIECE)
+    text = F.get(F.transform(F.array(cut), lambda p: F.array_join(F.transform("__blocks", lambda x: block(p, x)), "")), F.lit(0))
+    return computed(by_number(of, contig).join(genome, contig), "cds", text).select(*keys, "strand", "cds")
 
 
 def tiles(genome: DataFrame, contig: str, bases: str, width: int) -> DataFrame:

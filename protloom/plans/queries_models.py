@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
+from ..functions.once import computed
 from ..operators import annotate, intervals, transcripts
 from ..sources import text
 from .bindings import aa_of, aa_text, rc
@@ -152,11 +153,11 @@ eb AS (SELECT doc_id, i, base, CASE WHEN i < 2 AND new = '' AND max(CASE WHEN i
 def edited(t):
     rows = located(t, edits(t)).select("doc_id", F.col("offset").cast("int").alias("i"), "ref", "alt", "variant_id")
     aa = F.substring_index(sq.translate(F.col("cds")), "*", 1)
-    return annotate.with_edits(coding(t).select("doc_id", "cds", F.when(aa != "", aa).alias("aa")), rows, ["doc_id"])
+    return annotate.with_edits(computed(coding(t), "aa", F.nullif(aa, F.lit(""))).select("doc_id", "cds", "aa"), rows, ["doc_id"])
 
 
 def proteins(t):
-    return coding(t).select("doc_id", F.substring_index(sq.translate(F.col("cds")), "*", 1).alias("aa")).where("aa <> ''")
+    return computed(coding(t), "aa", F.substring_index(sq.translate(F.col("cds")), "*", 1)).where("aa <> ''").select("doc_id", "aa")
 
 
 def bases(t):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import genotype as g
+from ..functions.once import computed
 from ..functions.sequence import falsey
 from ..operators import annotate, cohort, intervals, transcripts, variants
 from ..sources import store, text
@@ -280,8 +281,8 @@ def coding(t):
     """(doc_id, strand, cds), oriented."""
     from ..functions.sequence import reverse_complement
 
-    c = transcripts.coding_sequence(t.v_tx, t.v_dna.select("doc_id", "q"), ["doc_id"], "doc_id", "q")
-    return c.withColumn("cds", F.when(F.col("strand") == "-", reverse_complement(F.col("cds"))).otherwise(F.col("cds")))
+    c = transcripts.coding_sequence(t.v_tx, t.v_dna.select("doc_id", "q"), ["doc_id"], "doc_id", "q").withColumnRenamed("cds", "bases")
+    return computed(c, "cds", F.when(F.col("strand") == "-", reverse_complement(F.col("bases"))).otherwise(F.col("bases"))).drop("bases")
 
 
 def located(t, rows):

@@ -5,11 +5,10 @@ Each format has a parser on a DataFrame of raw text (column value), and a reader
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import computed
 from ..functions.sequence import falsey
 from . import bgzf
 
@@ -17,15 +16,16 @@ VCF_FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "form
 GTF_COLUMNS = ("seqname", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
 
 
-def split_once(rows: DataFrame, build: Callable[[Column], Column], limit: int = -1, value: str = "value") -> DataFrame:
-    """rows with the fields of the struct that build makes of a tab-separated column's parts, in place of that column.
+def split_once(rows: DataFrame, name: str, limit: int = -1, value: str = "value") -> DataFrame:
+    """rows with an array, called name, of a tab-separated column's parts in place of that column. Each line is split once;
+    filters on other columns, parts of an earlier split included, come before it."""
+    return computed(rows, name, F.split(value, "\t", limit)).drop(value)
 
-    The line is split in a generator of one row: filters on its fields stay above it, whereas the optimiser would push them
-    below a projection and split the line again for each. Filters on other columns, fields of an earlier split_once
-    included, do sink below, so that what they drop is never split further.
-    """
-    more = [c for c in rows.columns if c != value]
-    return rows.select(*more, F.inline(F.transform(F.array(F.split(value, "\t", limit)), build)))
+
+def _data_lines(rows: DataFrame, parts: str) -> DataFrame:
+    """Without comments and empty lines."""
+    first = F.get(parts, F.lit(0))
+    return rows.where(~F.startswith(first, F.lit("#")) & ((first != "") | (F.size(parts) > 1)))
 
 
 def parse_fasta(records: DataFrame) -> DataFrame:
@@ -95,13 +95,11 @@ def read_genome(spark: SparkSession, path: str | list[str], width: int = 65_536)
 
 
 def parse_gtf(lines: DataFrame) -> DataFrame:
-    """The nine columns of GTF/GFF3 lines, and further columns of lines; comments and blank lines go."""
-    more = [c for c in lines.columns if c != "value"]
+    """The nine columns of GTF/GFF3 lines, and further columns of lines; comments, blank lines and those of fewer columns go."""
+    f, more = F.col("__f"), [c for c in lines.columns if c != "value"]
     kinds = {"start": "bigint", "end": "bigint", "frame": "int"}
-    field = lambda f, i, c: F.get(f, F.lit(i)).try_cast(kinds[c]) if c in kinds else F.get(f, F.lit(i))
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    rows = split_once(rows, lambda f: F.struct(F.size(f).alias("__n"), *[field(f, i, c).alias(c) for i, c in enumerate(GTF_COLUMNS)]))
-    return rows.where("__n >= 9").select(*GTF_COLUMNS, *more)
+    rows = _data_lines(split_once(lines, "__f"), "__f").where(F.size(f) >= 9)
+    return rows.select(*[(F.get(f, F.lit(i)).try_cast(kinds[c]) if c in kinds else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(GTF_COLUMNS)], *more)
 
 
 def attributes(text: Column) -> Column:
@@ -131,9 +129,9 @@ def sniff_datatype(spark: SparkSession, path: str, given: str | None = None) ->
 
 def _fixed(lines: DataFrame) -> DataFrame:
     """VCF data lines to the fixed columns, __cells (what follows, not yet split) and further columns of lines."""
-    field = lambda f, i, c: F.get(f, F.lit(i)).try_cast("bigint") if c == "pos" else F.get(f, F.lit(i))
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    return split_once(rows, lambda f: F.struct(*[field(f, i, c).alias(c) for i, c in enumerate((*VCF_FIXED, "__cells"))]), limit=len(VCF_FIXED) + 1)
+    field = lambda i, c: F.get("__f", F.lit(i)).try_cast("bigint") if c == "pos" else F.get("__f", F.lit(i))
+    rows = _data_lines(split_once(lines, "__f", limit=len(VCF_FIXED) + 1), "__f")
+    return rows.select(*[field(i, c).alias(c) for i, c in enumerate((*VCF_FIXED, "__cells"))], *[c for c in lines.columns if c != "value"])
 
 
 def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
@@ -143,8 +141,8 @@ def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
     """
     more, rows = [c for c in lines.columns if c != "value"], _fixed(lines)
     if samples:
-        rows = split_once(rows, lambda f: F.struct(*[F.get(f, F.lit(i)).alias(s) for i, s in enumerate(samples)]), value="__cells")
-    return rows.select(*VCF_FIXED, *[F.col(f"`{s}`") for s in samples], *more)
+        rows = split_once(rows, "__c", value="__cells")
+    return rows.select(*VCF_FIXED, *[F.get("__c", F.lit(i)).alias(s) for i, s in enumerate(samples)], *more)
 
 
 def vcf_samples(spark: SparkSession, paths: str | list[str]) -> list[str]:
@@ -174,9 +172,9 @@ def read_vcf(spark: SparkSession, paths: str | list[str], samples: str | list[st
 
 def parse_calls(lines: DataFrame) -> DataFrame:
     """VCF data lines to the fixed columns and `calls`, all samples' cells as one array, whatever their number."""
-    more, rows = [c for c in lines.columns if c != "value"], _fixed(lines)
-    rows = split_once(rows.withColumn("__cells", F.coalesce("__cells", F.lit(""))), lambda f: F.struct(F.when((F.size(f) == 1) & (F.get(f, F.lit(0)) == ""), F.array().cast("array<string>")).otherwise(f).alias("calls")), value="__cells")
-    return rows.select(*VCF_FIXED, "calls", *more)
+    rows = split_once(_fixed(lines).withColumn("__cells", F.coalesce("__cells", F.lit(""))), "calls", value="__cells")
+    calls = F.when((F.size("calls") == 1) & (F.get("calls", F.lit(0)) == ""), F.array().cast("array<string>")).otherwise(F.col("calls"))
+    return rows.select(*VCF_FIXED, calls.alias("calls"), *[c for c in lines.columns if c != "value"])
 
 
 def named(spark: SparkSession, names: list[str], wanted: list[str]) -> DataFrame:
@@ -198,8 +196,9 @@ def table_carriers(spark: SparkSession, path: str | list[str], samples: str | li
     at = {c.lower(): i for i, c in enumerate(names)}
     if missing := [c for c in ("chr", "pos", "ref", "alt") if c not in at]:
         raise ValueError(f"the variant table lacks {', '.join(missing)}")
-    cell = lambda f, c: F.get(f, F.lit(at[c]))
-    rows = split_once(read_lines(spark, path).where(F.col("value") != heads[0][0]), lambda f: F.struct(cell(f, "chr").alias("chr"), cell(f, "pos").try_cast("bigint").alias("pos"), F.upper(cell(f, "ref")).alias("ref"), F.upper(cell(f, "alt")).alias("alt"), f.alias("f"))).where("pos is not null")
+    cell = lambda c: F.get("f", F.lit(at[c]))
+    rows = split_once(read_lines(spark, path).where(F.col("value") != heads[0][0]), "f")
+    rows = rows.select(cell("chr").alias("chr"), cell("pos").try_cast("bigint").alias("pos"), F.upper(cell("ref")).alias("ref"), F.upper(cell("alt")).alias("alt"), "f").where("pos is not null")
     wanted = [s for s in wanted_samples([c for c in names if c.lower() not in ("chr", "pos", "ref", "alt", "pos_end")], samples)]
     if not wanted:
         return rows.select("chr", "pos", "ref", "alt", F.lit("1").alias("sample"))
