@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .operators import digest as dg
 from .operators import peptides
 from .plans import database
-from .sources import text
+from .sources import faults, text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,7 +43,10 @@ def parser() -> argparse.ArgumentParser:
     digestion.add_argument("--cterm-attach", default="")
     run = sub.add_parser("run", parents=[inputs, digestion])
     run.add_argument("--novel_peptides", action="store_true", help="also write peptides that no reference protein has")
-    run.add_argument("-m", "--mutations", required=True, help="VCF files, a manifest of them, a variant TSV, or literals like chr1-942451-T-C,...")
+    run.add_argument("--quarantine", help="also write lines of the VCF and the gene models that can't be read, with the reason")
+    run.add_argument("--resume", help="folder of this run's finished contigs, which aren't computed again")
+    run.add_argument("--matrix", help="genotype matrix of build-matrix, instead of -m")
+    run.add_argument("-m", "--mutations", default="", help="VCF files, a manifest of them, a variant TSV, or literals like chr1-942451-T-C,...")
     run.add_argument("-s", "--sample", default="", help="sample, comma list, ALL_SAMPLES or ALL_VARIANTS; empty: a VCF's first, all of a table")
     run.add_argument("-F", "--no_filter", action="store_true", help="keep records that didn't pass")
     run.add_argument("-A", "--all_chromosomes", action="store_true")
@@ -51,6 +54,13 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--cohort_table", help="also write the carried variants as a table of samples")
     run.add_argument("--info_field")
     run.add_argument("--info_field_thres", type=float)
+    packed = sub.add_parser("build-matrix", help="genotypes of a cohort's VCF files as bits, for many runs")
+    packed.add_argument("-m", "--mutations", required=True)
+    packed.add_argument("-o", "--out", required=True)
+    packed.add_argument("-F", "--no_filter", action="store_true")
+    packed.add_argument("-A", "--all_chromosomes", action="store_true")
+    packed.add_argument("--info_field")
+    packed.add_argument("--info_field_thres", type=float)
     listed = sub.add_parser("proteins", help="proteins of a store as FASTA")
     listed.add_argument("-S", "--store", required=True)
     listed.add_argument("-o", "--out", required=True)
@@ -73,15 +83,17 @@ def profile(a: argparse.Namespace) -> dg.Profile:
 
 
 #: Literal variants, one or several.
-LITERALS = re.compile(r"(chr)?[0-9A-Za-z]{1,2}-\d+-[A-Za-z]+-[A-Za-z]+(,\s*(chr)?[0-9A-Za-z]{1,2}-\d+-[A-Za-z]+-[A-Za-z]+)*")
+LITERALS = re.compile(r"[0-9A-Za-z_.]+-\d+-[A-Za-z]+-[A-Za-z]+(,\s*[0-9A-Za-z_.]+-\d+-[A-Za-z]+-[A-Za-z]+)*")
 
 
 def carried_variants(spark: SparkSession, a: argparse.Namespace):
     """Carried variants of what -m names: literals, a manifest, VCF files or a table."""
     filters = (not a.no_filter, not a.all_chromosomes, a.info_field, a.info_field_thres)
-    if LITERALS.fullmatch(a.mutations.strip()):
-        return text.literal_variants(spark.createDataFrame([(a.mutations,)], "v string"), "v").withColumn("sample", F.lit("1"))
+    if not a.matrix and LITERALS.fullmatch(a.mutations.strip()):
+        return text.literal_variants(spark.createDataFrame([(a.mutations,)], "v string"), "v", any_name=True).withColumn("sample", F.lit("1"))
     paths = a.mutations.split(",")
+    if a.matrix:
+        return database.by_matrix(spark, a.matrix, a.sample)
     if ".vcf" in a.mutations.lower():
         if a.sample in ("ALL_SAMPLES", "ALL_VARIANTS") or "," in a.sample or a.info_field:
             return database.by_sample(spark, paths, a.sample, *filters)
@@ -96,7 +108,15 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("protloom").getOrCreate()
     if a.command == "build-store":
         database.build_store(spark, a.genome, a.gtf, a.protein, a.out, a.datatype, a.protein_keyword)
+    elif a.command == "build-matrix":
+        database.build_matrix(spark, a.mutations.split(","), a.out, not a.no_filter, not a.all_chromosomes, a.info_field, a.info_field_thres)
     elif a.command == "run":
+        if not (a.mutations or a.matrix):
+            raise ValueError("run needs -m or --matrix")
+        if a.quarantine:
+            vcf = a.mutations.split(",") if ".vcf" in a.mutations.lower() and not a.matrix else None
+            for r in faults.quarantine(spark, a.quarantine, vcf, None if a.store else a.gtf).collect():
+                print(f"{r['kind']}: {r['n']} lines can't be read: {r['reason']}")
         if a.store:
             m, contigs = database.from_store(spark, a.store)
             reference = m.proteins.select(F.col("fasta_id").alias("id"), "description", F.col("aa").alias("seq"))
@@ -104,7 +124,7 @@ def main(argv: list[str] | None = None) -> None:
             (genome, contigs), reference = text.read_genome(spark, a.genome, database.TILE), text.read_fasta(spark, a.protein)
             m = database.models(genome, text.read_gtf(spark, a.gtf), reference, text.sniff_datatype(spark, a.gtf, a.datatype), a.protein_keyword)
         carried = database.in_genome(carried_variants(spark, a), contigs)
-        forms = database.translated(m, carried).persist()
+        forms = (database.translated_by_contig(m, carried, a.resume) if a.resume else database.translated(m, carried)).persist()
         forms.select("protein_id", "samples", "status").write.mode("overwrite").csv(f"{a.out}/protein_status", sep="\t", header=True)
         changed = database.changed_forms(m, forms)
         n_samples = carried.select("sample").distinct().count()
@@ -121,7 +141,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "proteins":
         database.proteins_of(database.from_store(spark, a.store)[0], a.out)
     elif a.command == "digest":
-        proteins = text.read_fasta(spark, a.fasta).withColumn("line", F.monotonically_increasing_id())
+        proteins = text.read_fasta(spark, a.fasta, ordered=True)
         found = dg.digest(proteins, ["id", "description", "line"], "seq", profile(a))
         if a.output_format == "fasta":
             rows = found.withColumnsRenamed({"id": "protein_id", "description": "header"})

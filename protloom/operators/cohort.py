@@ -9,10 +9,29 @@ from pyspark.sql import functions as F
 def sample_patterns(carried: DataFrame, protein: str = "protein_id", sample: str = "sample", variant: str = "variant_id") -> DataFrame:
     """(protein, pattern, n_samples, samples): samples with the same set of a protein's variants, once per set.
 
-    carried(protein, sample, variant) holds carriers only, so the first grouping combines before its shuffle.
+    carried(protein, sample, variant) holds carriers only. A set is known by the number and the exclusive or of its variants'
+    hashes (twice 64 bits), whatever their order: samples are grouped by that, and only one sample's variants are listed for
+    each set. Carriers are shuffled once, by protein and sample.
     """
-    sets = carried.groupBy(protein, sample).agg(F.array_join(F.sort_array(F.collect_set(variant)), ",").alias("pattern"))
-    return sets.groupBy(protein, "pattern").agg(F.count("*").alias("n_samples"), F.array_join(F.sort_array(F.collect_list(F.col(sample).cast("string"))), ",").alias("samples"))
+    groups, first = _pattern_groups(carried, protein, sample, variant)
+    listed = first.groupBy(protein, "__set").agg(F.array_join(F.sort_array(F.collect_list(variant)), ",").alias("pattern"))
+    return groups.join(listed, [protein, "__set"]).select(protein, "pattern", "n_samples", "samples")
+
+
+def pattern_variants(carried: DataFrame, protein: str = "protein_id", sample: str = "sample", variant: str = "variant_id") -> DataFrame:
+    """sample_patterns() with variants: each pattern's ids as an array, in order (ids may hold commas)."""
+    groups, first = _pattern_groups(carried, protein, sample, variant)
+    listed = first.groupBy(protein, "__set").agg(F.sort_array(F.collect_list(variant)).alias("variants"))
+    return groups.join(listed, [protein, "__set"]).select(protein, F.array_join("variants", ",").alias("pattern"), "n_samples", "samples", "variants")
+
+
+def _pattern_groups(carried: DataFrame, protein: str, sample: str, variant: str) -> tuple[DataFrame, DataFrame]:
+    """(protein, __set, n_samples, samples), and (protein, __set, variant) of the least sample of each set."""
+    each = carried.select(protein, sample, variant).where(F.col(variant).isNotNull()).repartition(protein, sample).distinct()
+    hashed = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col(variant).cast("string")))
+    sets = each.groupBy(protein, sample).agg(F.struct(F.count("*").alias("n"), hashed(1).alias("a"), hashed(2).alias("b")).alias("__set"))
+    groups = sets.groupBy(protein, "__set").agg(F.count("*").alias("n_samples"), F.array_join(F.sort_array(F.collect_list(F.col(sample).cast("string"))), ",").alias("samples"), F.min(sample).alias(sample))
+    return groups.drop(sample), each.join(groups.select(protein, "__set", sample), [protein, sample]).select(protein, "__set", variant)
 
 
 def collapse_individuals(rows: DataFrame, keys: list[str], individual: str = "individual") -> DataFrame:

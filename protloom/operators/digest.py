@@ -10,6 +10,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import by_number
 from ..functions.sequence import normalize
 
 RESIDUES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -152,12 +153,6 @@ def _peptides(segment: Column, parts: Column, at: Column, p: Profile) -> Column:
     return c_side(any_) if p.specificity == "c-specific" else F.concat(n_side, c_side(inner))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a protein's peptides are many times its size."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
 def stop_segments(proteins: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """(keys, offset, segment): runs between internal stops, with their place from 0."""
     parts = F.split(seq, r"\*")
@@ -183,7 +178,7 @@ def digest(proteins: DataFrame, keys: list[str], seq: str, profile: Profile = Pr
     p = replace(profile, **changes)
     if p.everywhere() and p.methionine == "both":
         p = replace(p, methionine="retain")
-    rows = spread(proteins.select(*keys, normalize(F.col(seq), p.isobaric).alias("__seq")))
+    rows = by_number(proteins.select(*keys, normalize(F.col(seq), p.isobaric).alias("__seq")))
     forms = methionine_forms(rows, keys, "__seq", p.methionine).withColumnRenamed("offset", "__form")
     segments = stop_segments(forms, [*keys, "__form"], "form")
     # pieces and places are columns of their own: lambdas that refer to them would else compute them for each element

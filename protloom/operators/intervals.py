@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Width of position bins, about a block's length.
-BIN = 4096
+#: Width of the smallest position bins, about a block's length, and how many of them the next wider ones hold.
+BIN, WIDER = 4096, 16
+#: Levels of bins; the widest are as wide as any contig.
+LEVELS = 6
 
 
 def interval_join(variants: DataFrame, blocks: DataFrame, bin_width: int = BIN, keys: tuple[str, ...] = ("chr",), open_start: bool = False) -> DataFrame:
     """Variants (pos, pos_end) wholly inside blocks (start, end), inclusive, on the same keys.
 
-    Blocks are repeated for each bin they touch and variants stand in the bin of their start, which is one of the
-    block's if they are contained: an equi-join on (keys, bin) with a residual range test and no duplicates. A key as
-    large as a chromosome is spread over its bins. open_start excludes a block's first base (the store's old rule).
+    Bins have several widths. A block stands in bins of the least width that isn't shorter than it, so in one or two of them
+    however long it is. Variants look up the bin of their start at each width that blocks have (one, as a rule: coding
+    blocks are short), which is one of the block's if they are contained: an equi-join on (keys, level, bin) with a residual
+    range test and no duplicates. A key as large as a chromosome is spread over its bins. open_start excludes a block's first
+    base (the store's old rule).
     """
-    binned = blocks.where("start <= end").withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width))))
-    probes = variants.withColumn("__bin", F.floor(F.col("pos") / bin_width))
+    widths = F.array(*[F.lit(bin_width * WIDER**k).cast("bigint") for k in range(LEVELS)])
+    at = lambda c, level: F.floor(F.col(c) / F.get(widths, level))
+    level = F.size(F.filter(F.slice(widths, 1, LEVELS - 1), lambda w: w < F.col("end") - F.col("start") + 1))
+    leveled = blocks.where("start <= end").withColumn("__level", level)
+    bins = F.array_distinct(F.array(at("start", F.col("__level")), at("end", F.col("__level"))))
+    bins = F.when(F.col("__level") == LEVELS - 1, F.sequence(at("start", F.col("__level")), at("end", F.col("__level")))).otherwise(bins)
+    binned = leveled.withColumn("__bin", F.explode(bins))
+    used = leveled.agg(F.collect_set("__level")).scalar()
+    probes = variants.withColumn("__level", F.explode(used)).withColumn("__bin", at("pos", F.col("__level")))
     start = F.col("start") < F.col("pos") if open_start else F.col("start") <= F.col("pos")
-    return probes.join(binned, [*keys, "__bin"]).where(start & (F.col("pos_end") <= F.col("end"))).drop("__bin")
+    return probes.join(binned, [*keys, "__level", "__bin"]).where(start & (F.col("pos_end") <= F.col("end"))).drop("__level", "__bin")
 
 
 def variants_per_protein(hits: DataFrame, protein: str = "protein_id", variant: str = "variant_id") -> DataFrame:

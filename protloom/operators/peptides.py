@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import computed
 from .digest import Profile, digest
 
 
@@ -26,19 +27,28 @@ def novel(candidates: DataFrame, index: DataFrame) -> DataFrame:
     return candidates.join(index.select("peptide"), "peptide", "left_anti")
 
 
+#: Ranges in which peptides are numbered are bounded by GROUP times GROUP sampled peptides, looked up in two steps.
+GROUP = 64
+
+
 def numbered(rows: DataFrame, prefix: str = "novel_") -> DataFrame:
     """(peptide_id, peptide, n_mappings): distinct peptides numbered from 1 in order.
 
-    Numbers come from range partitions: counts per partition are summed first, so no task sorts everything.
+    Ranges are bounded by a sample of the peptides themselves (the GROUP * GROUP of least hash, the same in each run), so they
+    are about equal whatever peptides have in common. Counts per range are summed first; no task sorts more than a range.
     """
     counts = rows.groupBy("peptide").agg(F.count("*").alias("n_mappings"))
-    first = F.substring("peptide", 1, 2).alias("bucket")
-    counts = counts.withColumn("bucket", first)
-    sizes = counts.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most as many rows as pairs of letters
-    sizes = sizes.select("bucket", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("peptide"))
-    out = counts.withColumn("rank", rank).join(F.broadcast(sizes), "bucket")  # as above
+    least = counts.select("peptide").where("peptide <> ''").orderBy(F.xxhash64("peptide"), "peptide").limit(GROUP * GROUP)
+    bounds = sorted(r[0] for r in least.collect())
+    some = lambda texts: F.split(F.lit("\t".join(texts)), "\t") if texts else F.array().cast("array<string>")
+    passed = lambda texts: F.size(F.filter(texts, lambda x: x <= F.col("peptide")))
+    counts = computed(counts, "group", passed(some(bounds[GROUP - 1 :: GROUP])))
+    counts = computed(counts, "range", F.col("group") * GROUP + passed(F.slice(some(bounds), F.col("group") * GROUP + 1, F.lit(GROUP))))
+    sizes = counts.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most as many rows as ranges
+    sizes = sizes.select("range", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("peptide"))
+    out = counts.withColumn("rank", rank).join(F.broadcast(sizes), "range")  # as above
     return out.select(F.format_string(f"{prefix}%06d", (F.col("before") + F.col("rank")).cast("bigint")).alias("peptide_id"), "peptide", "n_mappings")
 
 

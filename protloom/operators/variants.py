@@ -107,8 +107,11 @@ def manifest_merge(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sample_names(manifest: DataFrame) -> DataFrame:
-    """(filepath, name): name_use, else sample, else the file's stem; names that occur twice give way to stems."""
+    """(filepath, name): name_use, else sample, else the file's stem; names that occur twice give way to stems. Files whose
+    names are then still equal are an error."""
     stem = F.regexp_replace(F.substring_index("filepath", "/", -1), r"(?i)\.vcf(\.gz|\.bgz)?$", "")
     named = manifest.select("filepath", stem.alias("stem"), F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in ("name_use", "sample") if c in manifest.columns], stem).alias("name"))
     twice = F.count("*").over(Window.partitionBy("name")) > 1
-    return named.select("filepath", F.when(twice, F.col("stem")).otherwise(F.col("name")).alias("name"))
+    named = named.select("filepath", F.when(twice, F.col("stem")).otherwise(F.col("name")).alias("name"))
+    again = F.count("*").over(Window.partitionBy("name")) > 1
+    return named.select("filepath", F.when(again, F.raise_error(F.concat(F.lit("several files of the manifest give the sample name "), "name")).cast("string")).otherwise(F.col("name")).alias("name"))

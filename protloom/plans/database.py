@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement, translate
-from ..operators import annotate, cohort, intervals, outputs, transcripts, variants
+from ..operators import annotate, cohort, intervals, matrix, outputs, transcripts, variants
 from ..sources import store, text
 
 TILE = 65_536
@@ -65,19 +66,42 @@ def translated(m: Models, carried: DataFrame) -> DataFrame:
     v = variants.split_complex(carried.select("chr", "pos", "ref", "alt", "sample")).withColumn("pos_end", F.col("pos") + F.length("ref") - 1).withColumnRenamed("chr", "seqname")
     v = v.withColumn("variant_id", variants.variant_id(F.col("seqname"), F.col("pos"), F.col("ref"), F.col("alt")))
     hits = intervals.interval_join(v, m.blocks, keys=("seqname",))
-    groups = cohort.sample_patterns(hits.select("protein_id", "sample", "variant_id"))
+    groups = cohort.pattern_variants(hits.select("protein_id", "sample", "variant_id"))
     keys = ["protein_id", "pattern"]
     one = hits.select("protein_id", "variant_id", F.col("seqname").alias("chr"), "pos", "ref", "alt", "strand", "frame", "start", "before", "total").distinct()
-    each = groups.select(*keys, F.explode(F.split("pattern", ",")).alias("variant_id")).join(one, ["protein_id", "variant_id"])
+    each = groups.select(*keys, F.explode("variants").alias("variant_id")).join(one, ["protein_id", "variant_id"])
     edits = variants.edit_records(each.drop("variant_id"), F.col("strand"))
     at = transcripts.coding_offset(F.col("pos"), F.col("start"), F.col("before"), F.col("total"), F.col("strand")) - F.col("frame")
     edits = edits.select(*keys, at.cast("int").alias("i"), "ref", "alt", "variant_id").where("i >= 0")
     proteins = m.proteins.select("protein_id", "cds", "aa").join(groups.select(*keys), "protein_id")
     out = annotate.changes(annotate.with_edits(proteins.select(*keys, "cds", "aa"), edits, keys), keys)
-    out = proteins.select(*keys, "aa").join(groups, keys).join(out, keys, "left")
+    out = proteins.select(*keys, "aa").join(groups.drop("variants"), keys).join(out, keys, "left")
     return out.withColumn("status", F.when(F.col("new_aa").isNull(), "unaligned").when(F.col("new_aa") == F.col("aa"), "unchanged").otherwise("changed"))
 
 
+def translated_by_contig(m: Models, carried: DataFrame, folder: str) -> DataFrame:
+    """translated(), computed and stored contig by contig: a run that was stopped takes up where it was.
+
+    Each contig's forms are written whole or not at all, and its name is noted after that; contigs noted in the folder aren't
+    computed again, so the folder belongs to one set of models and variants. A store's other contigs aren't read meanwhile.
+    """
+    spark = carried.sparkSession
+    contigs = sorted(r[0] for r in m.blocks.select("seqname").distinct().collect())
+    done = {r[0] for r in spark.read.schema("value string").text(f"{folder}/done/*").collect()} if _exists(spark, f"{folder}/done") else set()
+    for name in contigs:
+        if name not in done:
+            own = lambda df, c="seqname": df.where(F.col(c) == name)
+            part = hashlib.sha256(name.encode()).hexdigest()[:24]
+            translated(Models(own(m.proteins), own(m.blocks)), own(carried, "chr")).write.mode("overwrite").parquet(f"{folder}/forms/contig={part}")
+            spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/done/{part}")
+    return spark.read.parquet(f"{folder}/forms").drop("contig")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def changed_proteins(m: Models, carried: DataFrame) -> DataFrame:
     """Changed forms of proteins, of translated()."""
     return changed_forms(m, translated(m, carried))
@@ -116,6 +140,25 @@ def by_sample(spark: SparkSession, paths: str | list[str], samples: str | list[s
     return long.select("chr", "pos", "ref", "alt", F.concat_ws("__", "sample", F.col("hap").cast("string")).alias("sample"))
 
 
+def build_matrix(spark: SparkSession, paths: str | list[str], out: str, only_pass: bool = True, chromosomes: bool = True, info_field: str | None = None, info_threshold: float | None = None) -> None:
+    """Writes the genotypes of a cohort's VCF files as a matrix of bits, for many runs."""
+    names = text.vcf_samples(spark, paths)
+    rows = variants.filter_records(text.with_cells(text.read_lines(spark, paths)), only_pass, chromosomes, info_field, info_threshold).withColumnRenamed("chrom", "chr")
+    matrix.write(matrix.pack(rows, ["chr", "pos"], len(names)), names, out)
+
+
+def by_matrix(spark: SparkSession, folder: str, samples: str | list[str] = "ALL_SAMPLES") -> DataFrame:
+    """Carried variants as by_sample's, of a matrix: only the blocks of the samples wanted are read. ALL_VARIANTS: each
+    alternative that anybody carries."""
+    bits, known = matrix.read(spark, folder)
+    wanted = text.wanted_samples(known, samples)
+    if not wanted:
+        return bits.select("chr", "pos", "ref", "alt").distinct().withColumn("sample", F.lit("1"))
+    keep = None if len(wanted) == len(known) else [i for i, s in enumerate(known) if s in set(wanted)]
+    long = matrix.carriers(bits, ["chr", "pos"], keep).join(text.named(spark, known, wanted), "i")
+    return long.select("chr", "pos", "ref", "alt", F.concat_ws("__", "sample", F.col("hap").cast("string")).alias("sample"))
+
+
 def by_manifest(spark: SparkSession, path: str, only_pass: bool = True, chromosomes: bool = True, info_field: str | None = None, info_threshold: float | None = None) -> DataFrame:
     """Carried variants of a cohort of one VCF file per sample, listed in a manifest. All files are read as one table; the
     manifest's row tells each file's sample column (the first if it isn't given or `default`) and the name to use."""

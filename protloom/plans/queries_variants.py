@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import genotype as g
 from ..functions.once import computed
 from ..functions.sequence import falsey
-from ..operators import annotate, cohort, intervals, transcripts, variants
-from ..sources import store, text
+from ..operators import annotate, cohort, intervals, matrix, transcripts, variants
+from ..sources import faults, store, text
 from .bindings import aa_of, rc
 from .catalog import query
 
@@ -22,6 +22,16 @@ def _(t):
     return vcf(t).select("chrom", "pos", "id", "ref", "alt", "filter", "info", "s1", "s2")
 
 
+BAD_LINES = """SELECT rid, CASE l_linenumber WHEN 2 THEN 'chr1' || chr(9) || '7' WHEN 3 THEN replace(value, chr(9) || CAST(l_partkey AS string) || chr(9), chr(9) || 'x' || CAST(l_partkey AS string) || chr(9)) WHEN 4 THEN replace(value, chr(9) || 'PASS', '') WHEN 5 THEN '#' || value WHEN 6 THEN value || chr(9) || '0|1' ELSE value END AS value FROM (SELECT *, 'chr1' || chr(9) || CAST(l_partkey AS string) || chr(9) || rid || chr(9) || CASE WHEN l_suppkey % 5 = 0 THEN '<DEL>' ELSE 'A' END || chr(9) || CASE WHEN l_suppkey % 7 = 0 THEN '.' ELSE 'C' END || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || '.' || chr(9) || 'GT' || chr(9) || '0|1' AS value FROM {v_line})"""
+
+
+@query("vcf_faults", f"""WITH b AS ({BAD_LINES}), f AS (SELECT value, string_split(value, chr(9)) AS f FROM b WHERE value NOT LIKE '#%'),
+r AS (SELECT CASE WHEN len(f) < 8 THEN 'few columns' WHEN coalesce(TRY_CAST(f[2] AS bigint), 0) <= 0 THEN 'bad position' WHEN NOT regexp_full_match(f[4], '[A-Za-z]+') THEN 'bad reference' WHEN trim(f[5]) IN ('', '.') THEN 'no alternative' WHEN len(f) < 10 THEN 'missing calls' END AS reason FROM f)
+SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""")
+def _(t):
+    return faults.by_reason(faults.vcf_faults(t.sql(BAD_LINES).select("value"), 1))
+
+
 @query("vcf_filter_pass", "SELECT id, chrom, pos FROM {v_vcf} WHERE filter = 'PASS'")
 def _(t):
     return variants.filter_records(vcf(t), chromosomes=False).select("id", "chrom", "pos")
@@ -121,6 +131,13 @@ def _(t):
     return variants.carriers(exploded(t), ["id", "pos", "alt"], ["s1__1", "s1__2", "s2__1", "s2__2"])
 
 
+@query("matrix_carriers", f"""WITH m AS ({EXPLODED}), u AS (SELECT id, chrom, pos, ref, alt, 0 AS i, 1 AS hap, s1__1 AS v FROM m UNION ALL SELECT id, chrom, pos, ref, alt, 0, 2, s1__2 FROM m UNION ALL SELECT id, chrom, pos, ref, alt, 1, 1, s2__1 FROM m UNION ALL SELECT id, chrom, pos, ref, alt, 1, 2, s2__2 FROM m)
+SELECT id, chrom, pos, ref, alt, i, hap FROM u WHERE v = 1""")
+def _(t):
+    ids = ["id", "chrom", "pos"]
+    return matrix.carriers(matrix.pack(text.with_cells(t.v_vcf_line), ids, 2), ids)
+
+
 @query("manifest_pivot", f"""WITH m AS ({EXPLODED}), u AS (SELECT chrom, pos, ref, alt, 's1' AS sample, s1__1 + s1__2 AS v FROM m UNION ALL SELECT chrom, pos, ref, alt, 's2', s2__1 + s2__2 FROM m)
 SELECT chrom, pos, ref, alt, max(v) FILTER (sample = 's1') AS s1, max(v) FILTER (sample = 's2') AS s2 FROM u GROUP BY ALL""")
 def _(t):

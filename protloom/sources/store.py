@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ("proteins", "blocks", "contigs")
@@ -31,3 +33,24 @@ def latest(rows: DataFrame, key: str, version: list[str]) -> DataFrame:
     """Of rows written under one key, the last."""
     others = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*version)).alias("x")).select(key, "x.*")
+
+
+def merge_store(path: str, table: str, rows: DataFrame, keys: list[str], newest: str, by: str = "seqname") -> int:
+    """Puts rows into a stored table partitioned by `by`: of equal keys the row with the greatest `newest` stays (null least;
+    of equals the new one). Only partitions that rows touch are read and written again; their number is returned.
+
+    They are written beside the table first, so that a run that stops half-way leaves the table as it was or rewrites a
+    partition as a whole.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn(by, F.col(by).cast("string"))
+    touched = [r[0] for r in rows.select(by).distinct().collect()]
+    if not touched:
+        return 0
+    old = spark.read.parquet(f"{path}/{table}").withColumn(by, F.col(by).cast("string"))
+    both = old.where(F.col(by).isin(touched)).withColumn("__new", F.lit(0)).unionByName(rows.select(*old.columns).withColumn("__new", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy(by, *keys).orderBy(F.col(newest).desc_nulls_last(), F.col("__new").desc()))
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    both.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__new").write.parquet(staged)
+    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{path}/{table}")
+    return len(touched)

@@ -34,13 +34,16 @@ def parse_fasta(records: DataFrame) -> DataFrame:
     text = F.regexp_replace("value", "^>", "")
     header = F.regexp_extract(text, r"^([^\r\n]*)", 1)
     seq = F.trim(F.upper(F.regexp_replace(F.regexp_replace(text, r"^[^\r\n]*", ""), r"\s+", "")), F.lit("*"))
-    rows = records.select(header.alias("description"), seq.alias("seq")).where("description <> ''")
-    return rows.select(F.regexp_extract("description", r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace("description", r"^\S*", "")).alias("annotation"), "description", "seq")
+    more = [c for c in records.columns if c != "value"]
+    rows = records.select(header.alias("description"), seq.alias("seq"), *more).where("description <> ''")
+    return rows.select(F.regexp_extract("description", r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace("description", r"^\S*", "")).alias("annotation"), "description", "seq", *more)
 
 
-def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """FASTA files, compressed ones included, split at record starts: a large plain file is read by many tasks."""
-    return parse_fasta(spark.read.text(path, lineSep="\n>"))
+def read_fasta(spark: SparkSession, path: str | list[str], ordered: bool = False) -> DataFrame:
+    """FASTA files, compressed ones included, split at record starts: a large plain file is read by many tasks. With ordered
+    also line, the records' order (see line_order)."""
+    rows = spark.read.text(path, lineSep="\n>")
+    return parse_fasta(rows.select("value", line_order().alias("line")) if ordered else rows)
 
 
 def line_order() -> Column:
@@ -177,6 +180,11 @@ def parse_calls(lines: DataFrame) -> DataFrame:
     return rows.select(*VCF_FIXED, calls.alias("calls"), *[c for c in lines.columns if c != "value"])
 
 
+def with_cells(lines: DataFrame) -> DataFrame:
+    """VCF data lines to the fixed columns and `cells`, all samples' cells as one text that isn't split."""
+    return _fixed(lines).withColumnRenamed("__cells", "cells")
+
+
 def named(spark: SparkSession, names: list[str], wanted: list[str]) -> DataFrame:
     """(i, sample): places of the wanted ones among names."""
     keep = set(wanted)
@@ -231,10 +239,11 @@ def is_manifest(spark: SparkSession, path: str) -> bool:
     return [r[0].split("\t")[0] for r in spark.read.text(path).limit(1).collect()] == ["filepath"]
 
 
-def literal_variants(rows: DataFrame, text: str) -> DataFrame:
-    """rows with chr, pos, ref, alt of each variant like chr1-942451-T-C in a comma-separated column; others go."""
+def literal_variants(rows: DataFrame, text: str, any_name: bool = False) -> DataFrame:
+    """rows with chr, pos, ref, alt of each variant like chr1-942451-T-C in a comma-separated column; others go. Chromosomes
+    are numbers unless any_name is true (X, Y, M, contigs)."""
     kept = [c for c in rows.columns if c != text]
-    pattern = r"^(?:chr)?(\d+)-(\d+)-([A-Za-z]+)-([A-Za-z]+)$"
+    pattern = r"^(?:chr)?(%s)-(\d+)-([A-Za-z]+)-([A-Za-z]+)$" % (r"[0-9A-Za-z_.]+" if any_name else r"\d+")
     parts = rows.select(*kept, F.explode(F.split(text, ",")).alias("v")).withColumn("v", F.trim("v")).where(F.rlike("v", F.lit(pattern)))
     get = lambda i: F.regexp_extract("v", pattern, i)
     return parts.select(*kept, get(1).alias("chr"), get(2).cast("bigint").alias("pos"), F.upper(get(3)).alias("ref"), F.upper(get(4)).alias("alt"))

@@ -170,3 +170,46 @@ def test_digest_command_and_index(spark, tmp_path):
     assert peptides.ensure_index(proteins, ["id"], "seq", p, str(tmp_path / "i")).count() == 5 and sorted(x.name for x in (tmp_path / "i/peptides").iterdir()) == files
     assert peptides.ensure_index(proteins, ["id"], "seq", dg.Profile(missed=0, min_len=4), str(tmp_path / "i")).count() == 3
     assert peptides.index_state(spark, str(tmp_path / "i")).digest_id != p.digest_id()
+
+
+def test_finished_contigs_are_not_computed_again(spark, tmp_path, monkeypatch):
+    g, a, b, c = build(tmp_path)
+    (tmp_path / "g.fa").write_text(f">chr1 one\n{g}\n>chr2 two\n{g}\n")
+    gtf = (tmp_path / "m.gtf").read_text()
+    (tmp_path / "m.gtf").write_text(gtf + gtf.replace("chr1", "chr2").replace("p1", "q1").replace("p2", "q2"))
+    (tmp_path / "p.fa").write_text(">p1 first\nMAKRGFQ\n>p2 second\nMWH\n>q1 x\nMAKRGFQ\n>q2 y\nMWH\n")
+    m = database.models(text.read_fasta(spark, str(tmp_path / "g.fa")), text.read_gtf(spark, str(tmp_path / "m.gtf")), text.read_fasta(spark, str(tmp_path / "p.fa")))
+    carried = spark.createDataFrame([(f"chr{k}", a + 4, g[a + 3], "A", "x") for k in (1, 2)], "chr string, pos bigint, ref string, alt string, sample string")
+    want = sorted(map(str, database.translated(m, carried).collect()))
+    plain, calls = database.translated, []
+
+    def stopping(models, rows):
+        calls.append(1)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        return plain(models, rows)
+
+    monkeypatch.setattr(database, "translated", stopping)
+    folder = str(tmp_path / "run")
+    try:
+        database.translated_by_contig(m, carried, folder)
+    except KeyboardInterrupt:
+        pass
+    assert len(calls) == 2
+    assert sorted(map(str, database.translated_by_contig(m, carried, folder).collect())) == want and len(calls) == 3
+    database.translated_by_contig(m, carried, folder)
+    assert len(calls) == 3
+
+
+def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
+    from protloom.sources import store
+
+    path = tmp_path / "s"
+    rows = lambda x: spark.createDataFrame(x, "id string, at int, note string, seqname string")
+    rows([("a", 1, "old", "1"), ("b", 5, "old", "1"), ("c", 1, "old", "2")]).write.partitionBy("seqname").parquet(str(path / "t"))
+    before = {p: p.stat().st_mtime_ns for p in (path / "t/seqname=2").glob("part*")}
+    assert store.merge_store(str(path), "t", rows([("a", 2, "new", "1"), ("b", 4, "late", "1"), ("d", None, "new", "3")]), ["id"], "at") == 2
+    got = {(r.seqname if isinstance(r.seqname, str) else str(r.seqname), r.id): r.note for r in spark.read.parquet(str(path / "t")).collect()}
+    assert got == {("1", "a"): "new", ("1", "b"): "old", ("2", "c"): "old", ("3", "d"): "new"}
+    assert {p: p.stat().st_mtime_ns for p in (path / "t/seqname=2").glob("part*")} == before
+    assert store.merge_store(str(path), "t", rows([]), ["id"], "at") == 0
