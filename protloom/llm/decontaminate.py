@@ -22,6 +22,8 @@ SPAN = 32
 TAU = 0.5
 #: Runs of words compared in the check, and the share of an item's runs that must occur.
 RUN, OVERLAP = 5, 0.8
+#: Items of fewer words are in no document: such words stand in ordinary texts, so finding them says nothing.
+MIN_WORDS = 5
 #: Postings in a block; groups of items of like length with impact bounds of their own; items in one index (more are
 #: searched index by index).
 BLOCK, GROUPS, INDEX_ITEMS = 32, 32, 20_000
@@ -215,27 +217,29 @@ def _index_hits(words: list[str], codes: np.ndarray, offsets: np.ndarray, index:
             yield d, index.ids[item], score, *share
 
 
-def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text", question: str | None = None, answer: str | None = None, tau: float = TAU, overlap: float = OVERLAP) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text", question: str | None = None, answer: str | None = None, tau: float = TAU, overlap: float = OVERLAP, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): test items that a document contains.
 
     Every passage (see SPAN; the whole text) queries the index; passages grow with the items, of whatever length; items that reach tau of their own BM25
     score are checked: at least `overlap` of the five-word runs of question and of answer must occur near the passage.
     score is the best passage's. Items have columns question and answer, or else one text (see question_answer).
 
-    Null and empty documents and items match nothing. Repeated rows of documents give repeated results, repeated items
-    (same id) are one; items of equal text all match. Empty tables give an empty result; other columns are ignored.
+    Null and empty documents and items match nothing, nor do items of fewer than min_words words. Repeated rows of documents
+    give repeated results; of items that repeat an id the one of least text counts; items of equal text all match. Empty tables give an empty result; other columns are ignored.
     Items are indexed on the driver INDEX_ITEMS at a time, so what is sent to the executors is bounded; each index takes
     a pass over the documents.
     """
     cols = [F.col(item_id).alias("i")] + ([F.col(question).alias("q"), F.col(answer).alias("a")] if question else [F.col(item).alias("t")])
-    rows = items.select(*cols).where("i is not null").dropDuplicates(["i"])
+    rows = items.select(*cols).where("i is not null")
+    rows = rows.groupBy("i").agg(F.min(F.struct(*rows.columns[1:])).alias("x")).select("i", "x.*")
     n_indexes = max(1, -(-rows.count() // INDEX_ITEMS))
     kind, key = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
     for k in range(n_indexes):
         some = rows.where(F.pmod(F.xxhash64("i"), F.lit(n_indexes)) == k).orderBy("i").collect()
-        found_in = indexes([(r["i"], None, tokens(r["q"]), tokens(r["a"])) if question else (r["i"], r["t"], *question_answer(r["t"])) for r in some])
+        told = [(r["i"], None, tokens(r["q"]), tokens(r["a"])) if question else (r["i"], r["t"], *question_answer(r["t"])) for r in some]
+        found_in = indexes([x for x in told if len(item_words(x)) >= min_words])
 
         def run(batches: Iterator[pa.RecordBatch], some: list[Index] = found_in) -> Iterator[pa.RecordBatch]:
             memos: list[dict] = [{} for _ in some]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ascii_lower
+
 # Spellings that licence texts may exchange, each with the one kept.
 SPELLINGS = (
     ("licence", "license"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"),
@@ -85,10 +87,15 @@ KNOWN = (
 )
 
 
+#: A copyright line; only \n ends lines, and \b is spelled out, as engines differ on both beyond ASCII.
+_OTHER = "[^\\p{L}\\p{N}_\\n]"
+COPYRIGHT = f"^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright(?:{_OTHER}[^\\n]*(?:\\(c\\)|©|[0-9]{{4}})|\\(c\\)|©)|copyright by(?:{_OTHER}|$)|\\(c\\)|©|all rights reserved)[^\\n]*$"
+
+
 def canonical_lines(text: Column) -> Column:
-    """The lines of a text, each normalised: copyright lines (with a year, a mark or `by`, so that a sentence's line isn't one) empty, lower case, punctuation to single spaces, one spelling."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, "(?m)^[^\\p{L}\\p{N}\\n]*(?:copyright\\b[^\\n]*(?:\\(c\\)|©|[0-9]{4})|copyright by\\b|\\(c\\)|©|all rights reserved)[^\\n]*$", "")
+    """The lines of a text, each normalised: copyright lines (with a year, a mark or `by`, so that a sentence's line isn't one) empty, A-Z in lower case, punctuation to single spaces, one spelling."""
+    t = ascii_lower(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(t, f"(?md){COPYRIGHT}", "")
     t = F.regexp_replace(t, "[^\\p{L}\\p{N}\\n]+", " ")
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
@@ -139,7 +146,7 @@ def scan_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
     def lines(c: str) -> str:
-        t = f"regexp_replace(lower(coalesce({c}, '')), '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright\\b[^\\n]*(?:\\(c\\)|©|[0-9]{{4}})|copyright by\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')"
+        t = f"regexp_replace(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?m){COPYRIGHT}', '', 'g')"
         t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
         for old, new in SPELLINGS:
             t = f"replace({t}, {quoted(old)}, {quoted(new)})"
