@@ -134,11 +134,16 @@ class Tree:
         return self
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = 4096, block: int = 512, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+#: Bytes of a shard's vectors, and the fewest rows that it has at any length of vectors.
+SHARD_BYTES, LEAST_ROWS = 16 << 20, 1024
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int | None = None, block: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of vectors with the largest inner product.
 
-    Rows are dealt by hash of the id to shards of about shard_rows, each indexed by a Tree; queries go in blocks to every
-    shard, and a window over each query's k hits per shard gives the result. Ties go to the smaller id. A query's own
+    Rows are dealt by hash of the id to shards of about shard_rows (None: as many as SHARD_BYTES hold), each indexed by a
+    Tree; queries go in blocks to every shard, and a window over each query's k hits per shard gives the result. The larger
+    the shards and blocks, the fewer trees are sent and hits shuffled; a task loads a tree once for all blocks in a row. Ties go to the smaller id. A query's own
     row (one row of its id and vector) is no candidate of it; other rows that repeat its id are, and rows that repeat an
     id are candidates and queries each. Unusable vectors (see usable) take no part, nor do vectors
     of another length than the query's; with fewer candidates than k all are returned. Empty tables give empty results,
@@ -147,7 +152,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     take = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
     base, asked = take(vectors), take(queries)
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    dims = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("top")).withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int")).where("n > 0")
+    dims = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("top")).withColumn("shards", F.ceil(F.col("n") / (F.lit(shard_rows) if shard_rows else F.greatest(F.lit(LEAST_ROWS), F.floor(F.lit(SHARD_BYTES) / (F.col("dim") * 8))))).cast("int")).where("n > 0")
     dims = F.broadcast(dims) if dims.limit(10_001).count() <= 10_000 else dims
     n_queries = asked.count()
 
@@ -161,15 +166,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
         return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "shards": [int(pdf["shards"].iloc[0])], "ids": [ids[by].tobytes()], "q": [q[by].tobytes()]})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded, tree = None, None
         for pdf in batches:
-            for block, ids, q, data in zip(pdf["block"], pdf["ids"], pdf["q"], pdf["tree"], strict=True):
+            for dim, shard, block, ids, q, data in zip(pdf["dim"], pdf["shard"], pdf["block"], pdf["ids"], pdf["q"], pdf["tree"], strict=True):
+                if loaded != (dim, shard):
+                    loaded, tree = (dim, shard), Tree.load(data)
                 ids = np.frombuffer(ids, np.int64)
-                i, found, score = Tree.load(data).search(ids, np.frombuffer(q, np.float64).reshape(len(ids), -1), k, factor)
+                i, found, score = tree.search(ids, np.frombuffer(q, np.float64).reshape(len(ids), -1), k, factor)
                 yield pd.DataFrame({"block": block, "place": i, "query_id": ids[i], "vec_id": found, "score": score})
 
     trees = base.join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).select("dim", "shard", "top", "vec_id", "v").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary")
     blocks = asked.join(dims.select("dim", "shards"), "dim").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(max(1, -(-n_queries // block)))).cast("int")).select("dim", "block", "shards", "vec_id", "v").groupBy("dim", "block").applyInPandas(pack, "dim int, block int, shards int, ids binary, q binary")
-    pairs = blocks.select("dim", "block", "ids", "q", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).join(trees, ["dim", "shard"]).select("block", "ids", "q", "tree")
+    pairs = blocks.select("dim", "block", "ids", "q", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).join(trees, ["dim", "shard"]).select("dim", "shard", "block", "ids", "q", "tree")
     hits = pairs.mapInPandas(search, "block int, place bigint, query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "block", "place").orderBy(F.desc("score"), "vec_id"))
     return hits.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
