@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .operators import digest as dg
 from .operators import peptides
 from .plans import database
-from .sources import faults, text
+from .sources import faults, store, text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -124,6 +124,8 @@ def main(argv: list[str] | None = None) -> None:
             (genome, contigs), reference = text.read_genome(spark, a.genome, database.TILE), text.read_fasta(spark, a.protein)
             m = database.models(genome, text.read_gtf(spark, a.gtf), reference, text.sniff_datatype(spark, a.gtf, a.datatype), a.protein_keyword)
         carried = database.in_genome(carried_variants(spark, a), contigs)
+        if a.store and not a.matrix and LITERALS.fullmatch(a.mutations.strip()):
+            m = database.Models(m.proteins, store.touched_blocks(spark, a.store, carried))
         forms = (database.translated_by_contig(m, carried, a.resume) if a.resume else database.translated(m, carried)).persist()
         forms.select("protein_id", "samples", "status").write.mode("overwrite").csv(f"{a.out}/protein_status", sep="\t", header=True)
         changed = database.changed_forms(m, forms)

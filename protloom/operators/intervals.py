@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Width of the smallest position bins, about a block's length, and how many of them the next wider ones hold.
@@ -20,19 +20,27 @@ def interval_join(variants: DataFrame, blocks: DataFrame, bin_width: int = BIN,
     range test and no duplicates. A key as large as a chromosome is spread over its bins. open_start excludes a block's first
     base (the store's old rule).
     """
-    widths = F.array(*[F.lit(bin_width * WIDER**k).cast("bigint") for k in range(LEVELS)])
-    at = lambda c, level: F.floor(F.col(c) / F.get(widths, level))
-    level = F.size(F.filter(F.slice(widths, 1, LEVELS - 1), lambda w: w < F.col("end") - F.col("start") + 1))
-    leveled = blocks.where("start <= end").withColumn("__level", level)
-    bins = F.array_distinct(F.array(at("start", F.col("__level")), at("end", F.col("__level"))))
-    bins = F.when(F.col("__level") == LEVELS - 1, F.sequence(at("start", F.col("__level")), at("end", F.col("__level")))).otherwise(bins)
-    binned = leveled.withColumn("__bin", F.explode(bins))
-    used = leveled.agg(F.collect_set("__level")).scalar()
-    probes = variants.withColumn("__level", F.explode(used)).withColumn("__bin", at("pos", F.col("__level")))
+    binned = in_bins(blocks, "start", "end", bin_width)
+    used = binned.agg(F.collect_set("__level")).scalar()
+    probes = variants.withColumn("__level", F.explode(used)).withColumn("__bin", bin_at("pos", F.col("__level"), bin_width))
     start = F.col("start") < F.col("pos") if open_start else F.col("start") <= F.col("pos")
     return probes.join(binned, [*keys, "__level", "__bin"]).where(start & (F.col("pos_end") <= F.col("end"))).drop("__level", "__bin")
 
 
+def bin_at(pos: str, level: Column, bin_width: int) -> Column:
+    widths = F.array(*[F.lit(bin_width * WIDER**k).cast("bigint") for k in range(LEVELS)])
+    return F.floor(F.col(pos) / F.get(widths, level))
+
+
+def in_bins(blocks: DataFrame, start: str, end: str, bin_width: int) -> DataFrame:
+    """Blocks once for each bin (__level, __bin) in which they stand: see interval_join."""
+    widths = F.array(*[F.lit(bin_width * WIDER**k).cast("bigint") for k in range(LEVELS - 1)])
+    leveled = blocks.where(F.col(start) <= F.col(end)).withColumn("__level", F.size(F.filter(widths, lambda w: w < F.col(end) - F.col(start) + 1)))
+    first, last = (bin_at(c, F.col("__level"), bin_width) for c in (start, end))
+    bins = F.when(F.col("__level") == LEVELS - 1, F.sequence(first, last)).otherwise(F.array_distinct(F.array(first, last)))
+    return leveled.withColumn("__bin", F.explode(bins))
+
+
 def variants_per_protein(hits: DataFrame, protein: str = "protein_id", variant: str = "variant_id") -> DataFrame:
     """One row per protein: its variants' number and their ids in order."""
     return hits.select(protein, variant).distinct().groupBy(protein).agg(F.count("*").alias("n_variants"), F.array_join(F.sort_array(F.collect_list(variant)), ",").alias("variants"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -100,17 +101,47 @@ def index_state(spark: SparkSession, path: str) -> IndexState:
     from pyspark.errors import AnalysisException
 
     try:
-        return IndexState(**spark.read.parquet(f"{path}/about").first().asDict())
+        about = spark.read.parquet(f"{path}/about").first()
     except AnalysisException:
         return IndexState()
+    return IndexState(about["digest_id"], about["n_proteins"], about["proteome"]) if about and "buckets" in about else IndexState()
 
 
-def build_index(proteins: DataFrame, keys: list[str], seq: str, profile: Profile, path: str) -> None:
-    """Writes the distinct peptides, and last of all what they were built from: an index without that is unfinished."""
+#: Buckets of an index on disk: files that a join with it reads as they are.
+BUCKETS = 64
+
+
+def build_index(proteins: DataFrame, keys: list[str], seq: str, profile: Profile, path: str, buckets: int = BUCKETS) -> None:
+    """Writes the distinct peptides, and last of all what they were built from: an index without that is unfinished.
+
+    Peptides are bucketed by their hash and sorted, with a Bloom filter in each file: a join shuffles its candidates to the
+    buckets, never the index, and a look-up of single peptides passes over files that can't hold them.
+    """
     spark = proteins.sparkSession
-    peptide_index(proteins, keys, seq, profile).write.mode("overwrite").parquet(f"{path}/peptides")
-    about = fingerprint(proteins, keys[0], seq).select(F.lit(profile.digest_id()).alias("digest_id"), "n_proteins", F.col("fingerprint").alias("proteome"))
-    spark.createDataFrame(about.collect(), "digest_id string, n_proteins bigint, proteome string").write.mode("overwrite").parquet(f"{path}/about")
+    from pyspark.errors import AnalysisException
+
+    try:  # what there was is void from now on
+        spark.read.parquet(f"{path}/about").limit(0).write.mode("overwrite").parquet(f"{path}/about")
+    except AnalysisException:
+        pass
+    found = peptide_index(proteins, keys, seq, profile).repartition(buckets, "peptide")
+    found.write.mode("overwrite").bucketBy(buckets, "peptide").sortBy("peptide").option("parquet.bloom.filter.enabled#peptide", "true").option("path", f"{path}/peptides").saveAsTable(_table(path))
+    about = fingerprint(proteins, keys[0], seq).select(F.lit(profile.digest_id()).alias("digest_id"), "n_proteins", F.col("fingerprint").alias("proteome"), F.lit(buckets).alias("buckets"))
+    spark.createDataFrame(about.collect(), "digest_id string, n_proteins bigint, proteome string, buckets int").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def _table(path: str) -> str:
+    """The name by which a session knows the index at a path."""
+    return "protloom_index_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index at a path with its buckets, which the session learns if it hasn't built it."""
+    name = _table(path)
+    if not spark.catalog.tableExists(name):
+        buckets = spark.read.parquet(f"{path}/about").first()["buckets"]
+        spark.sql(f"CREATE TABLE {name} (peptide STRING) USING parquet CLUSTERED BY (peptide) SORTED BY (peptide) INTO {int(buckets)} BUCKETS LOCATION '{f'{path}/peptides'.replace(chr(39), chr(92) + chr(39))}'")
+    return spark.table(name)
 
 
 def ensure_index(proteins: DataFrame, keys: list[str], seq: str, profile: Profile, path: str, rebuild: bool = False) -> DataFrame:
@@ -120,4 +151,4 @@ def ensure_index(proteins: DataFrame, keys: list[str], seq: str, profile: Profil
     now = fingerprint(proteins, keys[0], seq).first()
     if rebuild or state != IndexState(profile.digest_id(), now["n_proteins"], now["fingerprint"]):
         build_index(proteins, keys, seq, profile, path)
-    return spark.read.parquet(f"{path}/peptides")
+    return read_index(spark, path)

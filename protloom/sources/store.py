@@ -1,4 +1,4 @@
-"""The annotation store: Parquet tables partitioned by contig, written once and read with pruning."""
+"""The annotation store: Parquet tables partitioned by contig (blocks by position bins too), written once and read with pruning."""
 
 from __future__ import annotations
 
@@ -7,21 +7,46 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.intervals import bin_at, in_bins
+
 TABLES = ("proteins", "blocks", "contigs")
+#: Width of the narrowest bins by which blocks are stored; bins that variants touch are named in the scan up to so many.
+STORE_BIN, NAMED_BINS = 4 << 20, 10_000
 
 
 def write_store(path: str, proteins: DataFrame, blocks: DataFrame, contigs: DataFrame) -> None:
     """proteins(protein_id, ..., seqname), blocks(protein_id, start, end, seqname; 1-based inclusive), contigs(id,
     description). Each table's _SUCCESS marks it complete."""
     proteins.write.mode("overwrite").partitionBy("seqname").parquet(f"{path}/proteins")
-    blocks.repartition("seqname", F.floor(F.col("start") / 1_000_000)).write.mode("overwrite").partitionBy("seqname").parquet(f"{path}/blocks")
+    binned = in_bins(blocks, "start", "end", STORE_BIN).withColumnsRenamed({"__level": "level", "__bin": "bin"})
+    binned = binned.withColumn("own", F.col("bin") == bin_at("start", F.col("level"), STORE_BIN))  # a block in two bins is read once where all are
+    binned.repartition("seqname", "level", "bin").write.mode("overwrite").partitionBy("seqname", "level", "bin").parquet(f"{path}/blocks")
     contigs.write.mode("overwrite").parquet(f"{path}/contigs")
 
 
 def read_store(spark: SparkSession, path: str, table: str) -> DataFrame:
     if table not in TABLES:
         raise ValueError(f"a store holds {', '.join(TABLES)}, not {table}")
-    return spark.read.parquet(f"{path}/{table}")
+    rows = spark.read.parquet(f"{path}/{table}")
+    return rows.where("own").drop("level", "bin", "own") if table == "blocks" else rows
+
+
+def touched_blocks(spark: SparkSession, path: str, variants: DataFrame) -> DataFrame:
+    """The stored blocks among which are all that hold one of variants(chr, pos): of few variants, only the files of the bins in
+    which they stand are opened; of many, all."""
+    rows = spark.read.parquet(f"{path}/blocks")
+    levels = [r[0] for r in rows.select("level").distinct().collect()]
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), bin_at("pos", F.lit(k), STORE_BIN).alias("bin")) for k in levels])) if levels else None
+    found = variants.select(F.col("chr").cast("string").alias("chr"), at.alias("x")).select("chr", "x.*").distinct().limit(NAMED_BINS + 1).collect() if levels else []
+    if len(found) > NAMED_BINS:
+        return read_store(spark, path, "blocks")
+    named: dict[tuple[str, int], list[int]] = {}
+    for r in found:
+        named.setdefault((r["chr"], r["level"]), []).append(r["bin"])
+    some = F.lit(False)
+    for (contig, level), bins in named.items():
+        some = some | ((F.col("seqname").cast("string") == contig) & (F.col("level") == level) & F.col("bin").isin(bins))
+    return rows.where(some).drop("level", "bin", "own").distinct()
 
 
 def of_proteins(table: DataFrame, ids: DataFrame, key: str = "protein_id") -> DataFrame:

@@ -134,3 +134,39 @@ def test_plans(spark):
     digest.digest(changed, ["id"], "new_aa")
     assert not tracker.getJobIdsForGroup("plan")
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_store_reads_the_bins_at_hand(spark, tmp_path):
+    from protloom.sources import store
+
+    w = store.STORE_BIN
+    blocks = spark.createDataFrame([(f"p{i}", c, s, e) for i, (c, s, e) in enumerate([("1", 10, 90), ("1", w - 5, w + 5), ("1", 3 * w, 9 * w), ("2", 10, 90), ("1", 8 * w + 7, 8 * w + 9)])], "protein_id string, seqname string, start long, end long")
+    store.write_store(str(tmp_path), spark.createDataFrame([("p0", "1")], "protein_id string, seqname string"), blocks, spark.createDataFrame([("1", "x")], "id string, description string"))
+    everything = lambda df: sorted(map(tuple, df.select("protein_id", F.col("seqname").cast("string"), "start", "end").collect()))
+    assert everything(store.read_store(spark, str(tmp_path), "blocks")) == everything(blocks)
+    variants_ = spark.createDataFrame([("1", w + 1), ("1", 8 * w + 8), ("3", 5)], "chr string, pos long")
+    near = store.touched_blocks(spark, str(tmp_path), variants_)
+    assert {r.protein_id for r in near.collect()} == {"p1", "p2", "p4"}
+    scanned = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scanned and "bin#" in scanned.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert store.touched_blocks(spark, str(tmp_path), variants_.where("false")).count() == 0
+
+
+def test_index_is_joined_as_it_lies(spark, tmp_path):
+    profile = digest.Profile()
+    proteins = spark.createDataFrame([("a", "MAKRGFQKLLLLLLK"), ("b", "MPEPTIDEKAAAAAAK")], "id string, seq string")
+    path = str(tmp_path / "i")
+    peptides.ensure_index(proteins, ["id"], "seq", profile, path)
+    spark.sql(f"DROP TABLE {peptides._table(path)}")  # as in another session
+    index = peptides.ensure_index(proteins, ["id"], "seq", profile, path)
+    want = {r.peptide for r in peptides.peptide_index(proteins, ["id"], "seq", profile).collect()}
+    assert {r.peptide for r in index.collect()} == want
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = peptides.novel(spark.createDataFrame([(x,) for x in [*want, "NEWPEPK"]], "peptide string"), index)
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert [r.peptide for r in fresh.collect()] == ["NEWPEPK"] and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    spark.sql(f"DROP TABLE {peptides._table(path)}")
