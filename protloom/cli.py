@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     run = sub.add_parser("run", parents=[inputs, digestion])
     run.add_argument("--novel_peptides", action="store_true", help="also write peptides that no reference protein has")
     run.add_argument("--quarantine", help="also write lines of the VCF and the gene models that can't be read, with the reason")
+    run.add_argument("--cds_only", action="store_true", help="gene models without exons beyond the coding blocks")
     run.add_argument("--resume", help="folder of this run's finished contigs, which aren't computed again")
     run.add_argument("--matrix", help="genotype matrix of build-matrix, instead of -m")
     run.add_argument("-m", "--mutations", default="", help="VCF files, a manifest of them, a variant TSV, or literals like chr1-942451-T-C,...")
@@ -122,7 +123,7 @@ def main(argv: list[str] | None = None) -> None:
             reference = m.proteins.select(F.col("fasta_id").alias("id"), "description", F.col("aa").alias("seq"))
         else:
             (genome, contigs), reference = text.read_genome(spark, a.genome, database.TILE), text.read_fasta(spark, a.protein)
-            m = database.models(genome, text.read_gtf(spark, a.gtf), reference, text.sniff_datatype(spark, a.gtf, a.datatype), a.protein_keyword)
+            m = database.models(genome, text.read_gtf(spark, a.gtf), reference, text.sniff_datatype(spark, a.gtf, a.datatype), a.protein_keyword, a.cds_only)
         carried = database.in_genome(carried_variants(spark, a), contigs)
         if a.store and not a.matrix and LITERALS.fullmatch(a.mutations.strip()):
             m = database.Models(m.proteins, store.touched_blocks(spark, a.store, carried))
@@ -135,7 +136,8 @@ def main(argv: list[str] | None = None) -> None:
             database.write_uniprot(m, reference, text.read_fasta(spark, a.uniprot), changed, a.out)
         if a.novel_peptides:
             p = profile(a)
-            table, records = peptides.novel_table(changed, peptides.peptide_index(reference, ["id"], "seq", p), p)
+            index = peptides.ensure_index(reference, ["id"], "seq", p, peptides.default_index_path(a.store, p)) if a.store else peptides.peptide_index(reference, ["id"], "seq", p)
+            table, records = peptides.novel_table(changed, index, p)
             table.write.mode("overwrite").csv(f"{a.out}/peptide_novel_table", sep="\t", header=True)
             records.write.mode("overwrite").text(f"{a.out}/peptide_novel")
         if a.cohort_table:

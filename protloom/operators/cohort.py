@@ -34,6 +34,11 @@ def _pattern_groups(carried: DataFrame, protein: str, sample: str, variant: str)
     return groups.drop(sample), each.join(groups.select(protein, "__set", sample), [protein, sample]).select(protein, "__set", variant)
 
 
+def wide(carried: DataFrame, keys: list[str], names: list[str], sample: str = "sample") -> DataFrame:
+    """carried(keys, sample) with a 0/1 column for each of a bounded number of samples."""
+    return carried.groupBy(*keys).pivot(sample, names).agg(F.lit(1)).na.fill(0, names)
+
+
 def collapse_individuals(rows: DataFrame, keys: list[str], individual: str = "individual") -> DataFrame:
     """Rows equal in all keys (nulls included) as one, with their individuals in order."""
     return rows.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(F.col(individual).cast("string"))), ",").alias("individuals"))

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fasta_line(header: Column, seq: Column) -> Column:
+    """A FASTA record as one text of two lines."""
+    return F.concat(F.lit(">"), header, F.lit("\n"), seq)
+
+
 def all_proteins(reference: DataFrame, changed: DataFrame, key: str, seq: str, new_seq: str) -> DataFrame:
     """Changed forms, and reference proteins that aren't among them: (key, seq, status)."""
     forms = changed.select(F.col(key), F.col(new_seq).alias(seq), F.lit("changed").alias("status"))

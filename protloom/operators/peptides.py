@@ -88,6 +88,11 @@ def novel_table(changed: DataFrame, index: DataFrame, profile: Profile, prefix:
     return table, ids.select(F.concat(F.lit(">"), "peptide_id", F.lit("|n_mappings="), F.col("n_mappings").cast("string"), F.lit("\n"), "peptide").alias("value"))
 
 
+def default_index_path(store: str, profile: Profile) -> str:
+    """Where the index of a store's proteins under a profile is kept: beside the store, by what tells profiles apart."""
+    return f"{store.rstrip('/')}-peptides-{profile.digest_id()[:16]}"
+
+
 @dataclass
 class IndexState:
     """What an index at a path was built from; None where there is none, or none that was finished."""

@@ -30,12 +30,12 @@ def keyword(datatype: str, given: str = "auto") -> str:
     return given if given != "auto" else KEYWORDS.get(datatype, "Parent")
 
 
-def models(genome: DataFrame, gtf: DataFrame, fasta: DataFrame, datatype: str = "gtf", protein_keyword: str = "auto") -> Models:
+def models(genome: DataFrame, gtf: DataFrame, fasta: DataFrame, datatype: str = "gtf", protein_keyword: str = "auto", cds_only: bool = False) -> Models:
     """Gene models of proteins that stand in the genome; genome: read_genome's tiles, or (id, seq) of short contigs; gtf as
-    read_gtf gives it, fasta as parse_fasta."""
+    read_gtf gives it, fasta as parse_fasta. cds_only leaves exons out, so that no model reaches beyond its coding blocks."""
     proteins = fasta.select(transcripts.protein_id(F.col("id"), F.lit(datatype)).alias("protein_id"), F.col("id").alias("fasta_id"), "description", F.col("seq").alias("aa")).dropDuplicates(["protein_id"])
     named = transcripts.protein_id(F.try_element_at(text.attributes(F.col("attributes")), F.lit(keyword(datatype, protein_keyword))), F.lit("Ensembl" if datatype.startswith("Ensembl") else "gtf"))
-    rows = gtf.where(F.col("feature").isin("CDS", "exon")).select("seqname", "feature", "start", "end", "strand", "frame", named.alias("protein_id"), (F.col("line") if "line" in gtf.columns else F.monotonically_increasing_id()).alias("line_no")).where("protein_id is not null")
+    rows = gtf.where(F.col("feature").isin("CDS", *([] if cds_only else ["exon"]))).select("seqname", "feature", "start", "end", "strand", "frame", named.alias("protein_id"), (F.col("line") if "line" in gtf.columns else F.monotonically_increasing_id()).alias("line_no")).where("protein_id is not null")
     placed = transcripts.first_chromosome(rows.where("feature = 'CDS'"), "protein_id", "seqname", "line_no").join(proteins.select("protein_id"), "protein_id", "left_semi")
     rows = transcripts.models_of(rows, placed.select("protein_id", F.col("chrom").alias("seqname")), ["protein_id", "seqname"])
     keys = ["protein_id", "seqname", "strand"]
@@ -189,13 +189,12 @@ def write_cohort(carried: DataFrame, path: str) -> None:
     """A cohort's carried variants as a table with a 0/1 column for each sample or haplotype, the columns in order of their
     names (for a bounded number of samples; the long form stays the way to work with any)."""
     names = [r[0] for r in carried.select("sample").distinct().orderBy("sample").collect()]
-    wide = carried.groupBy("chr", "pos", "ref", "alt").pivot("sample", names).agg(F.lit(1)).na.fill(0, names)
-    wide.write.mode("overwrite").csv(path, sep="\t", header=True)
+    cohort.wide(carried, ["chr", "pos", "ref", "alt"], names).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def proteins_of(m: Models, out: str) -> None:
     """A store's proteins as FASTA."""
-    _write_text(m.proteins, out, F.concat(F.lit(">"), F.col("description"), F.lit("\n"), F.col("aa")))
+    _write_text(m.proteins, out, outputs.fasta_line(F.col("description"), F.col("aa")))
 
 
 def write_uniprot(m: Models, reference: DataFrame, uniprot: DataFrame, changed: DataFrame, out: str) -> None:

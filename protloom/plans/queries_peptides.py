@@ -180,6 +180,13 @@ def _(t):
     return one.select(F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit("_"), n.cast("string")).alias("header"), "peptide")
 
 
+@query("digest_fasta_records", sql(segments("retain") + bounds(TRYPSIN) + f", pr AS ({ONE})\n" + occurrences(6, 40, False) + ", un AS (SELECT peptide, arg_min(doc_id, (doc_id, start)) AS doc_id, arg_min(start, (doc_id, start)) AS start FROM oc GROUP BY peptide) SELECT '>pep|D' || CAST(doc_id AS varchar) || '|' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, peptide) AS varchar) || ' of document ' || CAST(doc_id AS varchar) || chr(10) || peptide AS value FROM un"))
+def _(t):
+    found = dg.digest(proteins(t), ["doc_id"], "aa", missed=0, methionine="retain")
+    rows = found.withColumns({"protein_id": F.concat(F.lit("D"), F.col("doc_id").cast("string")), "header": F.concat(F.lit("document "), F.col("doc_id").cast("string"))})
+    return dg.fasta_records(rows, ["doc_id", "start"], "pep|{protein_id}|{index} of {header}")
+
+
 @query("peptide_index", sql(ONE_MISSED.replace("WITH nm AS (SELECT doc_id, trim(upper(aa), '*') AS aa FROM src)", "WITH nm AS (SELECT doc_id, replace(trim(upper(aa), '*'), 'I', 'L') AS aa FROM src)") + occurrences(6, 40, False) + "SELECT DISTINCT peptide FROM oc"))
 def _(t):
     return pep.peptide_index(proteins(t), ["doc_id"], "aa", dg.Profile(missed=1, isobaric=True, methionine="retain"))

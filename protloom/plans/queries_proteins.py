@@ -48,3 +48,9 @@ def _(t):
     rows = matches(t).join(t.v_form.select(F.col("doc_id").alias("ref_id"), "aa", "new_aa"), "ref_id")
     notes = rows.where((F.col("new_aa") != F.col("aa")) & (F.length("new_aa") == F.length("aa"))).select("uniprot_id", F.lit("A1M(x-1-A-C)").alias("variant_aa"))
     return outputs.peff(rows.select("uniprot_id", "aa"), notes, "uniprot_id", "aa")
+
+
+@query("protein_fasta", "SELECT '>' || 'D' || CAST(doc_id AS varchar) || ' ' || source || chr(10) || aa AS value FROM {v_protein} WHERE length(aa) > 0")
+def _(t):
+    rows = t.v_protein.where("length(aa) > 0")
+    return rows.select(outputs.fasta_line(F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit(" "), F.col("source")), F.col("aa")).alias("value"))

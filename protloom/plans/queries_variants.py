@@ -25,6 +25,24 @@ def _(t):
 BAD_LINES = """SELECT rid, CASE l_linenumber WHEN 2 THEN 'chr1' || chr(9) || '7' WHEN 3 THEN replace(value, chr(9) || CAST(l_partkey AS string) || chr(9), chr(9) || 'x' || CAST(l_partkey AS string) || chr(9)) WHEN 4 THEN replace(value, chr(9) || 'PASS', '') WHEN 5 THEN '#' || value WHEN 6 THEN value || chr(9) || '0|1' ELSE value END AS value FROM (SELECT *, 'chr1' || chr(9) || CAST(l_partkey AS string) || chr(9) || rid || chr(9) || CASE WHEN l_suppkey % 5 = 0 THEN '<DEL>' ELSE 'A' END || chr(9) || CASE WHEN l_suppkey % 7 = 0 THEN '.' ELSE 'C' END || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || '.' || chr(9) || 'GT' || chr(9) || '0|1' AS value FROM {v_line})"""
 
 
+HEADERS = "SELECT '#CHROM' || chr(9) || 'POS' || chr(9) || 'ID' || chr(9) || 'REF' || chr(9) || 'ALT' || chr(9) || 'QUAL' || chr(9) || 'FILTER' || chr(9) || 'INFO' || chr(9) || 'FORMAT' || chr(9) || 's' || CAST(c_nationkey AS string) || chr(9) || 't' || CAST(c_nationkey % 3 AS string) AS value FROM {customer} UNION ALL SELECT '##' || c_name AS value FROM {customer}"
+
+
+@query("header_samples", f"""WITH l AS ({HEADERS}), h AS (SELECT DISTINCT value FROM l WHERE value LIKE '#CHROM%'), r AS (SELECT CAST(row_number() OVER (ORDER BY value) AS int) AS header, string_split(value, chr(9))[10:] AS names FROM h)
+SELECT header, CAST(unnest(range(len(names))) AS int) AS i, unnest(names) AS sample FROM r""")
+def _(t):
+    return text.header_samples(t.sql(HEADERS))
+
+
+CARRIED = "SELECT CAST(l_suppkey % 25 AS string) AS chr, l_partkey AS pos, 'A' AS ref, substr('CGT', CAST(l_linenumber % 3 + 1 AS int), 1) AS alt, 's' || CAST(o_custkey % 4 AS string) || '__' || CAST(l_linenumber % 2 + 1 AS string) AS sample FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"
+SAMPLES = [f"s{s}__{h}" for s in range(4) for h in (1, 2)]
+
+
+@query("cohort_table", f"WITH c AS ({CARRIED}) SELECT chr, pos, ref, alt, " + ", ".join(f"CAST(coalesce(bool_or(sample = '{s}'), false) AS int) AS {s}" for s in SAMPLES) + " FROM c GROUP BY chr, pos, ref, alt")
+def _(t):
+    return cohort.wide(t.sql(CARRIED), ["chr", "pos", "ref", "alt"], SAMPLES)
+
+
 @query("vcf_faults", f"""WITH b AS ({BAD_LINES}), f AS (SELECT value, string_split(value, chr(9)) AS f FROM b WHERE value NOT LIKE '#%'),
 r AS (SELECT CASE WHEN len(f) < 8 THEN 'few columns' WHEN coalesce(TRY_CAST(f[2] AS bigint), 0) <= 0 THEN 'bad position' WHEN NOT regexp_full_match(f[4], '[A-Za-z]+') THEN 'bad reference' WHEN trim(f[5]) IN ('', '.') THEN 'no alternative' WHEN len(f) < 10 THEN 'missing calls' END AS reason FROM f)
 SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""")

@@ -148,6 +148,13 @@ def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
     return rows.select(*VCF_FIXED, *[F.get("__c", F.lit(i)).alias(s) for i, s in enumerate(samples)], *more)
 
 
+def header_samples(lines: DataFrame) -> DataFrame:
+    """(header, i, sample) of VCF lines: each distinct header, by number of its text's order, with its samples in order."""
+    heads = lines.where(F.col("value").startswith("#CHROM")).select("value").distinct()
+    names = heads.select("value", F.dense_rank().over(Window.orderBy("value")).alias("header"))  # a row a header
+    return names.select("header", F.posexplode(F.slice(F.split("value", "\t"), 10, 1 << 20)).alias("i", "sample"))
+
+
 def vcf_samples(spark: SparkSession, paths: str | list[str]) -> list[str]:
     """Sample names of VCF files, which must agree."""
     heads = {r[0] for r in read_lines(spark, paths).where(F.col("value").startswith("#CHROM")).select("value").distinct().limit(2).collect()}
