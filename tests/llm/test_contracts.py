@@ -36,3 +36,40 @@ def test_clashing_names_and_long_pages(spark):
     assert len(got) == 2 and got[0].n_chars == len(got[0].text) > 900_000
     vectors = spark.createDataFrame([(i, [float(i), 1.0], 9, "s", 1) for i in range(5)], "vec_id long, embedding array<float>, rank int, score string, query_id int")
     assert ann.nearest(vectors, vectors.where(F.col("vec_id") == 0), k=2).count() == 2
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.01"), reason="the driver's tables are absent")
+def test_similar_texts_are_found_and_others_stay(spark):
+    """Every pair of similarity 0.8 or more by brute force, on the driver's table with edited copies and odd rows added."""
+    import random
+
+    import corpus_pipeline
+    from protloom.llm import simhash
+
+    rng, rows = random.Random(9), [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    for k, (i, text) in enumerate(rng.sample([r for r in rows if len(r[1].split()) > 60], 80)):
+        words = text.split()
+        for _ in range(max(1, len(words) // rng.choice([60, 90, 200]))):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((100_000 + k, " ".join(words)))
+    sets = {i: frozenset(x.tobytes() for h in simhash.hashes((t or "").encode(), 5) for x in h) for i, t in rows}
+    ids, big = sorted(sets), 0.8
+    pairs = set()
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = len(sets[a]), len(sets[b])
+            if min(x, y) >= big * max(x, y) and x and (both := len(sets[a] & sets[b])) >= big * (x + y - both):
+                pairs.add((a, b))
+    differing = [(a, b) for a, b in pairs if sets[a] != sets[b]]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (None, None), (7_000_000, None), (7_000_001, "")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert kept.count(None) == 2 and len(set(kept) - {None}) == len(kept) - 2 and (7_000_000 in kept) != (7_000_001 in kept)
+    alive = set(kept)
+    found = sum(not (a in alive and b in alive) for a, b in differing)
+    assert len(differing) > 40 and found >= 0.9 * len(differing)
+    linked = {x for p in pairs for x in p}
+    wrong = [i for i in ids if i not in alive and i not in linked]
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.where("doc_id is not null"), width=5).collect()}
+    assert all(of[i] != i for i in wrong)  # dropped by its fingerprint, not by similarity
+    print(f"{found} of {len(differing)} differing pairs, {len(wrong)} by fingerprint only")
+    assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").count() == 0
