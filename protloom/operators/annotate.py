@@ -13,13 +13,13 @@ def snv_effects(hits: DataFrame, cds: DataFrame, keys: list[str]) -> DataFrame:
     """hits(keys, variant_id, offset, strand, ref, alt) of single bases, offset in the coding sequence from 0; cds(keys,
     cds) oriented. One row per changed residue: ref_aa, aa_index (from 1), alt_aa; edits whose reference base differs
     from the sequence are ignored."""
-    at = hits.join(cds, keys)
     turn = lambda c: F.when(F.col("strand") == "-", complement(c)).otherwise(c)
-    first = F.floor(F.col("offset") / 3) * 3
-    codon = F.substring(F.col("cds"), (first + 1).cast("int"), F.lit(3))
-    place = (F.col("offset") - first).cast("int")
+    first = (F.floor(F.col("offset") / 3) * 3).cast("int")
+    # reaching a place within a sequence takes time in proportion to it: once for each edit
+    at = computed(hits.join(cds, keys), "__codon", F.substring(F.col("cds"), first + 1, F.lit(3)))
+    codon, place = F.col("__codon"), (F.col("offset") - first).cast("int")
     edited = F.concat(F.substring(codon, F.lit(1), place), turn(F.col("alt")), F.substring(codon, place + 2, F.lit(3)))
-    rows = at.where(F.substring(F.col("cds"), (F.col("offset") + 1).cast("int"), F.lit(1)) == turn(F.col("ref"))).where(F.length(codon) == 3)
+    rows = at.where((F.length(codon) == 3) & (F.substring(codon, place + 1, F.lit(1)) == turn(F.col("ref"))))
     rows = rows.select(*keys, "variant_id", (F.floor(F.col("offset") / 3) + 1).cast("bigint").alias("aa_index"), amino_acid(codon).alias("ref_aa"), amino_acid(edited).alias("alt_aa"))
     return rows.where("ref_aa <> alt_aa")
 
