@@ -23,7 +23,7 @@ from .common import map_batches, per_row_sum, remainder, shared_dir, slices, wor
 
 #: Words seen less often form one class (their share of it follows their counts); longest n-grams; contexts seen less
 #: often aren't extended beyond two words; absolute discount; n-grams (words) in a file.
-MIN_COUNT, ORDER, MIN_CONTEXT, DISCOUNT, FILE_ROWS = 10, 2, 32, 0.75, 1 << 18
+MIN_COUNT, ORDER, MIN_CONTEXT, DISCOUNT, FILE_ROWS = 1, 2, 32, 0.75, 1 << 18
 #: Bytes of text taken at once: memory of a task's arrays is some fifty times that.
 STEP = 4 << 20
 
