@@ -18,6 +18,8 @@ PORTION = 4 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Bands of least hashes and values in a band, for links by similarity: of pairs of similarity 0.8, 98 in 100 share one of them.
 BANDS, ROWS = 10, 5
+#: A document compared with more others than this is dealt over tasks, so many comparisons to each.
+HOT_DOC = 256
 #: Anchors of more fingerprints than this are linked through midpoints rather than compared pair by pair.
 HOT_ANCHOR = 64
 
@@ -135,9 +137,15 @@ def similar(docs: DataFrame, of: DataFrame, width: int, similarity: float, doc_i
     pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     involved = pairs.select(F.col("a").alias(doc_id)).union(pairs.select("b")).distinct()
     sets = checkpoint(_sets(docs.join(involved, doc_id, "left_semi"), doc_id, text, width))
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("runs").alias(f"of_{c}")) for c in ("a", "b"))
+    # a document at the end of a large band meets thousands: its set goes to several tasks, its pairs are dealt over them
+    hot = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.ceil(F.count("*") / HOT_DOC).alias("parts")).where("parts > 1")
+    of_hot = lambda c: hot.select(F.col("x").alias(c), F.col("parts").alias(f"parts_{c}"))
+    dealt = lambda c, by: F.pmod(F.xxhash64(by), F.coalesce(f"parts_{c}", F.lit(1))).alias(f"part_{c}")
+    pairs = pairs.join(of_hot("a"), "a", "left").join(of_hot("b"), "b", "left").select("a", "b", dealt("a", "b"), dealt("b", "a"))
+    sets = sets.join(of_hot("doc_id"), "doc_id", "left").select("doc_id", "runs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts_doc_id", F.lit(1)) - 1)).alias("part"))
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("part").alias(f"part_{c}"), F.col("runs").alias(f"of_{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("of_a") + F.size("of_b") - both)).alias("j"))
+    met = pairs.join(left, ["a", "part_a"]).join(right, ["b", "part_b"]).select("a", "b", (both / (F.size("of_a") + F.size("of_b") - both)).alias("j"))
     return met.where(F.col("j") >= similarity).select("a", "b").distinct()
 
 

@@ -39,13 +39,14 @@ def test_clashing_names_and_long_pages(spark):
 
 
 @pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.01"), reason="the driver's tables are absent")
-def test_similar_texts_are_found_and_others_stay(spark):
+def test_similar_texts_are_found_and_others_stay(spark, monkeypatch):
     """Every pair of similarity 0.8 or more by brute force, on the driver's table with edited copies and odd rows added."""
     import random
 
     import corpus_pipeline
     from protloom.llm import simhash
 
+    monkeypatch.setattr(simhash, "HOT_DOC", 3)
     rng, rows = random.Random(9), [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     for k, (i, text) in enumerate(rng.sample([r for r in rows if len(r[1].split()) > 60], 80)):
         words = text.split()
