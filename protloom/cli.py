@@ -1,4 +1,4 @@
-"""Command line: build-store, run, digest, novel-peptides, haplotypes."""
+"""Command line: build-store, build-matrix, run, proteins, digest, novel-peptides."""
 
 from __future__ import annotations
 

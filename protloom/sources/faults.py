@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import VCF_FIXED, _data_lines, read_lines, split_once, vcf_samples
+from .text import VCF_FIXED, data_lines, read_lines, split_once, vcf_samples
 
 KINDS = ("vcf", "gtf", "table")
 
@@ -23,7 +23,7 @@ def vcf_faults(lines: DataFrame, samples: int = 0) -> DataFrame:
     """lines(value, ...) of a VCF of so many samples that can't be used, with f (their parts) and reason: few columns, bad
     position, bad reference, no alternative, missing calls (fewer cells than the header has samples)."""
     f = lambda i: F.get("f", F.lit(i))
-    rows = _data_lines(split_once(lines, "f"), "f")
+    rows = data_lines(split_once(lines, "f"), "f")
     reason = _first_of({
         "few columns": F.size("f") < len(VCF_FIXED) - 1, "bad position": ~_number(f(1)), "bad reference": ~F.rlike(f(3), F.lit("^[A-Za-z]+$")),
         "no alternative": F.trim(f(4)).isin("", "."), "missing calls": F.size("f") < (len(VCF_FIXED) + samples if samples else 0),
@@ -34,7 +34,7 @@ def vcf_faults(lines: DataFrame, samples: int = 0) -> DataFrame:
 def gtf_faults(lines: DataFrame) -> DataFrame:
     """Lines of gene models that can't be used: few columns, bad range, bad strand."""
     f = lambda i: F.get("f", F.lit(i))
-    rows = _data_lines(split_once(lines, "f"), "f").where(F.trim(F.array_join("f", "")) != "")
+    rows = data_lines(split_once(lines, "f"), "f").where(F.trim(F.array_join("f", "")) != "")
     ordered = F.coalesce(f(3).try_cast("bigint") <= f(4).try_cast("bigint"), F.lit(False))
     return rows.withColumn("reason", _first_of({"few columns": F.size("f") < 9, "bad range": ~(_number(f(3)) & ordered), "bad strand": ~f(6).isin("+", "-", ".", "?")})).where("reason is not null")
 

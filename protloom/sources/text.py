@@ -22,7 +22,7 @@ def split_once(rows: DataFrame, name: str, limit: int = -1, value: str = "value"
     return computed(rows, name, F.split(value, "\t", limit)).drop(value)
 
 
-def _data_lines(rows: DataFrame, parts: str) -> DataFrame:
+def data_lines(rows: DataFrame, parts: str) -> DataFrame:
     """Without comments and empty lines."""
     first = F.get(parts, F.lit(0))
     return rows.where(~F.startswith(first, F.lit("#")) & ((first != "") | (F.size(parts) > 1)))
@@ -101,7 +101,7 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
     """The nine columns of GTF/GFF3 lines, and further columns of lines; comments, blank lines and those of fewer columns go."""
     f, more = F.col("__f"), [c for c in lines.columns if c != "value"]
     kinds = {"start": "bigint", "end": "bigint", "frame": "int"}
-    rows = _data_lines(split_once(lines, "__f"), "__f").where(F.size(f) >= 9)
+    rows = data_lines(split_once(lines, "__f"), "__f").where(F.size(f) >= 9)
     return rows.select(*[(F.get(f, F.lit(i)).try_cast(kinds[c]) if c in kinds else F.get(f, F.lit(i))).alias(c) for i, c in enumerate(GTF_COLUMNS)], *more)
 
 
@@ -133,7 +133,7 @@ def sniff_datatype(spark: SparkSession, path: str, given: str | None = None) ->
 def _fixed(lines: DataFrame) -> DataFrame:
     """VCF data lines to the fixed columns, __cells (what follows, not yet split) and further columns of lines."""
     field = lambda i, c: F.get("__f", F.lit(i)).try_cast("bigint") if c == "pos" else F.get("__f", F.lit(i))
-    rows = _data_lines(split_once(lines, "__f", limit=len(VCF_FIXED) + 1), "__f")
+    rows = data_lines(split_once(lines, "__f", limit=len(VCF_FIXED) + 1), "__f")
     return rows.select(*[field(i, c).alias(c) for i, c in enumerate((*VCF_FIXED, "__cells"))], *[c for c in lines.columns if c != "value"])
 
 
