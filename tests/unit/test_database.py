@@ -213,3 +213,24 @@ def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     assert got == {("1", "a"): "new", ("1", "b"): "old", ("2", "c"): "old", ("3", "d"): "new"}
     assert {p: p.stat().st_mtime_ns for p in (path / "t/seqname=2").glob("part*")} == before
     assert store.merge_store(str(path), "t", rows([]), ["id"], "at") == 0
+
+
+def test_run_by_matrix_with_quarantine_and_resume(spark, tmp_path):
+    g, a, b, c = build(tmp_path)
+    head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS\tT\n"
+    rows = [(a + 4, g[a + 3], "A", "1|0", "0|0"), (b, g[b - 1], "C", "1|1", "0|1")]
+    (tmp_path / "v.vcf").write_text(head + "".join(f"1\t{p}\t.\t{r}\t{x}\t.\tPASS\t.\tGT\t{s}\t{t}\n" for p, r, x, s, t in rows) + "1\tx\t.\tA\tC\t.\tPASS\t.\tGT\t0|1\t0|1\n")
+    at = lambda name: str(tmp_path / name)
+    cli.main(["build-store", "-g", at("g.fa"), "-f", at("m.gtf"), "-p", at("p.fa"), "-o", at("store")])
+    cli.main(["build-matrix", "-m", at("v.vcf"), "-o", at("matrix")])
+    outputs = {}
+    for out, args in (("text", ["-m", at("v.vcf"), "--quarantine", at("bad")]), ("bits", ["--matrix", at("matrix"), "--resume", at("done"), "--novel_peptides", "-l", "1"])):
+        cli.main(["run", "-S", at("store"), "-s", "ALL_SAMPLES", "-o", at(out), *args])
+        outputs[out] = sorted(map(str, spark.read.csv(at(f"{out}/aa_mutations"), sep="\t", header=True).collect()))
+    assert outputs["text"] == outputs["bits"] and len(outputs["text"]) >= 2
+    assert [(r.reason, r.value.split("\t")[1]) for r in spark.read.parquet(at("bad")).collect()] == [("bad position", "x")]
+    assert spark.read.csv(at("bits/peptide_novel_table"), sep="\t", header=True).count() > 0
+    index = [p.name for p in tmp_path.iterdir() if p.name.startswith("store-peptides-")]
+    assert len(index) == 1
+    cli.main(["run", "-S", at("store"), "-m", f"chr1-{a + 4}-{g[a + 3]}-A", "-o", at("literal")])
+    assert spark.read.csv(at("literal/aa_mutations"), sep="\t", header=True).count() == 1
