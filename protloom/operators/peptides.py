@@ -33,7 +33,7 @@ GROUP = 64
 
 
 def numbered(rows: DataFrame, prefix: str = "novel_") -> DataFrame:
-    """(peptide_id, peptide, n_mappings): distinct peptides numbered from 1 in order.
+    """(peptide_id, peptide, n_mappings): distinct peptides numbered from 1 in order, by at least six digits.
 
     Ranges are bounded by a sample of the peptides themselves (the GROUP * GROUP of least hash, the same in each run), so they
     are about equal whatever peptides have in common. Counts per range are summed first; no task sorts more than a range.
