@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -18,6 +19,9 @@ PORTION = 4 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Bands of least hashes and values in a band, for links by similarity: of pairs of similarity 0.8, 98 in 100 share one of them.
 BANDS, ROWS = 10, 5
+#: Texts of which one in so many is looked at for frequent runs of words, and how many of these are known at most: both bear on
+#: the order of runs only, not on what is found.
+SAMPLE, FREQUENT = 16, 200_000
 #: A document compared with more others than this is dealt over tasks, so many comparisons to each.
 HOT_DOC = 256
 #: Anchors of more fingerprints than this are linked through midpoints rather than compared pair by pair.
@@ -135,6 +139,11 @@ def similar(docs: DataFrame, of: DataFrame, width: int, similarity: float, doc_i
     ends = one.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
     pairs = one.join(ends, ["band", "key"]).select(F.col("doc_id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
     pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return _alike(docs, pairs, width, similarity, doc_id, text)
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """Those of pairs(a, b) whose sets of word runs have the similarity, exactly."""
     involved = pairs.select(F.col("a").alias(doc_id)).union(pairs.select("b")).distinct()
     sets = checkpoint(_sets(docs.join(involved, doc_id, "left_semi"), doc_id, text, width))
     # a document at the end of a large band meets thousands: its set goes to several tasks, its pairs are dealt over them
@@ -149,6 +158,60 @@ def similar(docs: DataFrame, of: DataFrame, width: int, similarity: float, doc_i
     return met.where(F.col("j") >= similarity).select("a", "b").distinct()
 
 
+def _rarest(docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+    """(doc_id, same, n, runs): a digest of every text's set of runs, its size, and its first runs in an order common to all
+    texts: so many that two sets of the similarity share one of them.
+
+    Any common order gives all pairs; with frequent runs last, few texts meet over one. Which are frequent is told from a SAMPLE-th
+    of the texts.
+    """
+    some = _sets(docs.where(F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(SAMPLE)) == 0), doc_id, text, width)
+    often = some.select(F.explode("runs").alias("run")).groupBy("run").count().where("count > 2").orderBy(F.desc("count"), "run").limit(FREQUENT).collect()
+    often = sorted((r[0], r[1]) for r in often)
+    frequent = docs.sparkSession.sparkContext.broadcast((np.array([r for r, _ in often], np.int64), np.array([n for _, n in often], np.int64)))
+
+    def first(runs: np.ndarray) -> np.ndarray:
+        known, count = frequent.value
+        n = len(runs) - int(np.ceil(similarity * len(runs) - 1e-9)) + 1
+        if not len(known):
+            return runs[:n]
+        at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+        return runs[np.lexsort((runs, np.where(known[at] == runs, count[at], 0)))[:n]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                each = [np.unique(np.concatenate([np.zeros(0, np.int64), *(h.view(np.int64) for h in hashes(x or b"", width))])) for x in part.column("text").cast(pa.large_binary()).to_pylist()]
+                same = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in each]
+                least = [first(x) if len(x) else x for x in each]
+                runs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, least)]), pa.int32()), pa.array(np.concatenate(least)))
+                yield pa.record_batch([part.column("doc_id"), pa.array(same, pa.binary()), pa.array([len(x) for x in each], pa.int32()), runs], names=["doc_id", "same", "n", "runs"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {kind}, same binary, n int, runs array<bigint>").where("doc_id IS NOT NULL AND n > 0")
+
+
+def unlinked(docs: DataFrame, classes: DataFrame, width: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b): pairs of the similarity that classes(doc_id, component_id) keeps apart, so that with them no link is missing.
+
+    Texts of equal sets are linked with the least of them, which stands for all. Two sets of the similarity share one of their
+    rarest runs; texts that do, of different components and of fitting sizes, are compared, exactly. Runs that only texts of
+    one component share (large groups of near copies) give no pair.
+    """
+    rare = checkpoint(_rarest(docs, doc_id, text, width, similarity))
+    one = rare.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    copies = rare.join(one.where("copies > 1"), "same").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    stand = rare.join(one.select("same", F.col("least").alias("doc_id")), ["same", "doc_id"], "left_semi").select("doc_id", "n", "runs")
+    placed = checkpoint(stand.join(classes.distinct(), "doc_id").select("doc_id", F.col("component_id").alias("of"), "n", "runs"))
+    each = placed.select(F.explode("runs").alias("run"), "doc_id", "of", "n")
+    several = checkpoint(each.groupBy("run").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("run"))
+    shared = each.join(F.broadcast(several) if several.count() <= 1_000_000 else several, "run", "left_semi")
+    left, right = (shared.select("run", *[F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "of", "n")]) for c in ("a", "b"))
+    fits = (F.col("of_a") < F.col("of_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = checkpoint(left.join(right, "run").where(fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+    return _alike(docs, pairs, width, similarity, doc_id, text).unionByName(copies)
+
+
 def syndrome(word: Column) -> Column:
     """Syndrome of the low 31 bits under the Hamming code whose bit i (from 0) is checked as position i + 1."""
     out = F.lit(0)
@@ -220,22 +283,29 @@ def _linked(of: DataFrame) -> DataFrame:
     return of.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _joined(classes: DataFrame, met: DataFrame) -> DataFrame:
+    """classes(doc_id, component_id) with the components that met(a, b) links made one."""
+    joined = components(met).select(F.col("node").alias("component_id"), "component")
+    return classes.join(joined, "component_id", "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float | None = None) -> DataFrame:
     """docs without all but the first document (least doc_id) of each component. Of rows that repeat a doc_id one stays.
 
-    Documents are linked by fingerprints and, with similarity, also by similar(): texts of the same runs of words have near
-    fingerprints, but at a similarity of 0.8 these differ in about 10 of 64 bits, which no covering reaches. The decision is
-    made on ids alone; texts only meet the ids to drop. Rows of null doc_id stay.
+    Documents are linked by fingerprints and, with similarity, also by it: texts of the same runs of words have near
+    fingerprints, but at a similarity of 0.8 these differ in about 10 of 64 bits, which no covering reaches. similar() finds most
+    links cheaply, unlinked() all others. The decision is made on ids alone; texts only meet the ids to drop. Rows of null doc_id stay.
     """
     if similarity is None:
         classes = near_duplicates(docs, doc_id, text, width)
     else:
         of = checkpoint(with_fingerprint(docs, doc_id, text, width, bands=True))
         classes = checkpoint(_linked(of.select("doc_id", "fp")).where("doc_id IS NOT NULL").select("doc_id", "component_id"))
-        name = lambda c: classes.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"of_{c}"))
+        name = lambda c: classes.distinct().select(F.col("doc_id").alias(c), F.col("component_id").alias(f"of_{c}"))
         met = similar(docs, of, width, similarity, doc_id, text).join(name("a"), "a").join(name("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-        joined = components(met).select(F.col("node").alias("component_id"), "component")
-        classes = classes.join(joined, "component_id", "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
+        classes = checkpoint(_joined(classes, met))
+        met = unlinked(docs, classes, width, similarity, doc_id, text).join(name("a"), "a").join(name("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        classes = _joined(classes, met)
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
     return drop(docs, gone, doc_id)
 
