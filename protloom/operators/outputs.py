@@ -18,6 +18,12 @@ def all_proteins(reference: DataFrame, changed: DataFrame, key: str, seq: str, n
     return forms.unionByName(same)
 
 
+def latest_proteins(rows: DataFrame, key: str, seq: str, new_seq: str) -> DataFrame:
+    """all_proteins() of reference proteins that have their changed form, or null, beside them: nothing is joined."""
+    changed = F.coalesce(F.col(new_seq) != F.col(seq), F.lit(False))
+    return rows.select(key, F.when(changed, F.col(new_seq)).otherwise(F.col(seq)).alias(seq), F.when(changed, "changed").otherwise("unchanged").alias("status"))
+
+
 def fasta_lines(records: DataFrame, header: Column, seq: Column) -> DataFrame:
     return records.select(F.concat(F.lit(">"), header, F.lit("\n"), seq).alias("value"))
 
@@ -29,7 +35,11 @@ def variant_simple(variant_aa: Column) -> Column:
 
 def peff(proteins: DataFrame, annotations: DataFrame, key: str, seq: str, prefix: str = "protloom") -> DataFrame:
     """(key, header, seq): a PEFF record for every protein, with VariantSimple where it has substitutions."""
-    rows = proteins.join(annotations.select(key, "variant_aa"), key, "left")
+    return peff_records(proteins.join(annotations.select(key, "variant_aa"), key, "left"), key, seq, prefix)
+
+
+def peff_records(rows: DataFrame, key: str, seq: str, prefix: str = "protloom") -> DataFrame:
+    """peff() of proteins that have variant_aa, or null, beside them."""
     simple = F.when(F.coalesce("variant_aa", F.lit("")) != "", F.concat(F.lit(" \\VariantSimple="), variant_simple(F.col("variant_aa")))).otherwise("")
     header = F.concat(F.lit(f">{prefix}:"), F.col(key).cast("string"), simple, F.lit(" \\Length="), F.length(seq).cast("string"))
     return rows.select(key, header.alias("header"), seq)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.once import by_number, computed
+from ..functions.once import by_number
 from ..functions.sequence import reverse_complement, translate
 
 
@@ -70,23 +74,26 @@ def coding_offset(pos: Column, start: Column, before: Column, total: Column, str
     return F.when(strand == "-", total - 1 - at).otherwise(at)
 
 
-#: Bases of a piece into which coding_sequence cuts a contig: blocks are put together from pieces, as reaching a place within
-#: a string takes time in proportion to it.
-PIECE = 64
-
-
 def coding_sequence(blocks: DataFrame, genome: DataFrame, keys: list[str], contig: str, bases: str = "seq") -> DataFrame:
-    """(keys, strand, cds): the blocks' bases in genome order; genome(contig, bases) holds whole short contigs."""
-    of = blocks.groupBy(*dict.fromkeys([*keys, contig]), "strand").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__blocks"))
-    tile = lambda c: F.floor((c - 1) / PIECE)
-
-    def block(pieces: Column, x: Column) -> Column:
-        around = F.array_join(F.slice(pieces, (tile(x["start"]) + 1).cast("int"), (tile(x["end"]) - tile(x["start"]) + 1).cast("int")), "")
-        return F.substring(around, (x["start"] - tile(x["start"]) * PIECE).cast("int"), (x["end"] - x["start"] + 1).cast("int"))
+    """(keys, strand, cds): the blocks' bases in genome order; genome(contig, bases) holds whole short contigs.
 
-    cut = F.split(F.col(bases), r"(?s)(?<=\G.{%d})" % PIECE)
-    text = F.get(F.transform(F.array(cut), lambda p: F.array_join(F.transform("__blocks", lambda x: block(p, x)), "")), F.lit(0))
-    return computed(by_number(of, contig).join(genome, contig), "cds", text).select(*keys, "strand", "cds")
+    Blocks are cut out in Python: for column expressions, reaching a place within a text takes time in proportion to it."""
+    of = blocks.groupBy(*dict.fromkeys([*keys, contig]), "strand").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__blocks"))
+    kept = [*keys, "strand"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column("__blocks")
+            start, end = (places.flatten().field(x).to_pylist() for x in ("start", "end"))
+            upto = np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            cds, at = [], 0
+            for text, to in zip(batch.column("__bases").to_pylist(), upto):
+                cds.append(None if text is None else "".join([text[a - 1 : b] for a, b in zip(start[at:to], end[at:to])]))
+                at = to
+            yield pa.record_batch([*(batch.column(k) for k in kept), pa.array(cds, pa.string())], names=[*kept, "cds"])
+
+    rows = by_number(of, contig).join(genome.select(F.col(contig), F.col(bases).alias("__bases")), contig).select(*kept, "__blocks", "__bases")
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in kept) + ", cds string")
 
 
 def tiles(genome: DataFrame, contig: str, bases: str, width: int) -> DataFrame:

@@ -1,6 +1,5 @@
 """Queries on gene models, contigs, coding sequences and effects on proteins."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
@@ -156,10 +155,6 @@ def edited(t):
     return annotate.with_edits(computed(coding(t), "aa", F.nullif(aa, F.lit(""))).select("doc_id", "cds", "aa"), rows, ["doc_id"])
 
 
-def proteins(t):
-    return computed(coding(t), "aa", F.substring_index(sq.translate(F.col("cds")), "*", 1)).where("aa <> ''").select("doc_id", "aa")
-
-
 def bases(t):
     return annotate.edited_bases(edited(t), ["doc_id"])
 
@@ -176,7 +171,7 @@ def _(t):
 
 @query("alt_bases_explode", EDITED + "SELECT doc_id, CAST(i AS int) AS i, CAST(k - 1 AS int) AS k, substr(new, k, 1) AS base FROM (SELECT doc_id, i, new, unnest(range(1, length(new) + 1)) AS k FROM eb)")
 def _(t):
-    return bases(t).select("doc_id", "i", F.posexplode(F.split("new", "")).alias("k", "base")).where("base <> ''")
+    return annotate.edited_letters(edited(t), ["doc_id"])
 
 
 # variants of a codon in order, each once: by the first of its places
@@ -201,31 +196,28 @@ def _(t):
     return annotate.codon_groups(edited(t), ["doc_id"])
 
 
-def aligned(t):
-    return annotate.aligned_codons(edited(t), ["doc_id"])
+def aligned(t, *columns, **how):
+    return annotate.aligned_codons(edited(t), ["doc_id"], columns, **how)
 
 
 @query("codon_join", ALIGNED + "SELECT doc_id, n, CAST(locus AS bigint) AS locus, codon_alt, codon_ref, aa_ref, aa_alt FROM al")
 def _(t):
-    return aligned(t).select("doc_id", "n", "locus", "codon_alt", "codon_ref", "aa_ref", "aa_alt")
+    return aligned(t, "n", "locus", "codon_alt", "codon_ref", "aa_ref", "aa_alt")
 
 
 @query("codon_first_use", ALIGNED + "SELECT doc_id, aa_index, count(*) AS uses, min(n) AS first_n FROM al WHERE aa_index IS NOT NULL GROUP BY doc_id, aa_index")
 def _(t):
-    return aligned(t).where("aa_index is not null").groupBy("doc_id", "aa_index").agg(F.count("*").alias("uses"), F.min("n").alias("first_n"))
+    return annotate.first_uses(edited(t), ["doc_id"])
 
 
 @query("truncate_at_stop", ALIGNED + ", s AS (SELECT *, min(CASE WHEN aa_alt = '*' THEN n END) OVER (PARTITION BY doc_id) AS first_stop FROM al) SELECT doc_id, n, filled, aa_alt FROM s WHERE n < first_stop OR first_stop IS NULL")
 def _(t):
-    first = F.min(F.when(F.col("aa_alt") == "*", F.col("n"))).over(Window.partitionBy("doc_id"))
-    return aligned(t).withColumn("first_stop", first).where("n < first_stop or first_stop is null").select("doc_id", "n", "filled", "aa_alt")
+    return aligned(t, "n", "filled", "aa_alt", to_stop=True)
 
 
 @query("deleted_positions", ALIGNED + "SELECT doc_id, aa_index FROM rf EXCEPT SELECT doc_id, filled FROM al")
 def _(t):
-    a = aligned(t)
-    ref = annotate.codon_groups(edited(t), ["doc_id"]).join(proteins(t), "doc_id").where(F.col("codon_no") <= F.length("aa")).select("doc_id", F.col("codon_no").alias("aa_index"))
-    return ref.join(a.select("doc_id", F.col("filled").alias("aa_index")).where("aa_index is not null").distinct(), ["doc_id", "aa_index"], "left_anti")
+    return annotate.deleted_residues(edited(t), ["doc_id"])
 
 
 CHANGES = ALIGNED + """, lr AS (SELECT doc_id, arg_max(locus, aa_index) AS last_locus, max(len) AS len FROM rf GROUP BY doc_id),
@@ -250,6 +242,11 @@ def changes(t):
     return annotate.changes(edited(t), ["doc_id"])
 
 
+def with_changes(t):
+    """All proteins (doc_id, aa) beside their changes, null where they have none."""
+    return annotate.changes(edited(t).where("aa is not null"), ["doc_id", "aa"], every=True)
+
+
 @query("complex_translate", CHANGES + "SELECT doc_id, new_aa FROM res")
 def _(t):
     return changes(t).select("doc_id", "new_aa")
@@ -277,5 +274,5 @@ def _(t):
 
 @query("aa_mutations", CHANGES + "SELECT res.doc_id, CASE WHEN res.doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, frame_change, stop_gain, stop_loss, n_variant_aa, n_deletion_aa, n_insertion_aa, length(aa) AS len_ref_aa, length(new_aa) AS len_alt_aa FROM res JOIN pr ON res.doc_id = pr.doc_id WHERE new_aa <> aa")
 def _(t):
-    rows = changes(t).join(proteins(t), "doc_id").where("new_aa <> aa")
+    rows = with_changes(t).where("new_aa <> aa")
     return rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), "frame_change", "stop_gain", "stop_loss", "n_variant_aa", "n_deletion_aa", "n_insertion_aa", F.length("aa").cast("bigint").alias("len_ref_aa"), F.length("new_aa").cast("bigint").alias("len_alt_aa"))
