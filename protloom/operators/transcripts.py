@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.once import by_number
-from ..functions.sequence import reverse_complement, translate
+from ..functions.sequence import COMPLEMENT, IUPAC, reverse_complement, translate
 
 
 def protein_id(header_id: Column, datatype: Column) -> Column:
@@ -74,12 +74,12 @@ def coding_offset(pos: Column, start: Column, before: Column, total: Column, str
     return F.when(strand == "-", total - 1 - at).otherwise(at)
 
 
-def coding_sequence(blocks: DataFrame, genome: DataFrame, keys: list[str], contig: str, bases: str = "seq") -> DataFrame:
-    """(keys, strand, cds): the blocks' bases in genome order; genome(contig, bases) holds whole short contigs.
+def coding_sequence(blocks: DataFrame, genome: DataFrame, keys: list[str], contig: str, bases: str = "seq", oriented: bool = False) -> DataFrame:
+    """(keys, strand, cds): the blocks' bases in genome order, or with oriented in the strand's direction; genome(contig, bases) holds whole short contigs.
 
     Blocks are cut out in Python: for column expressions, reaching a place within a text takes time in proportion to it."""
     of = blocks.groupBy(*dict.fromkeys([*keys, contig]), "strand").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__blocks"))
-    kept = [*keys, "strand"]
+    kept, turn = [*keys, "strand"], str.maketrans(IUPAC, COMPLEMENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,6 +90,8 @@ def coding_sequence(blocks: DataFrame, genome: DataFrame, keys: list[str], conti
             for text, to in zip(batch.column("__bases").to_pylist(), upto):
                 cds.append(None if text is None else "".join([text[a - 1 : b] for a, b in zip(start[at:to], end[at:to])]))
                 at = to
+            if oriented:
+                cds = [x.translate(turn)[::-1] if x and strand == "-" else x for x, strand in zip(cds, batch.column("strand").to_pylist())]
             yield pa.record_batch([*(batch.column(k) for k in kept), pa.array(cds, pa.string())], names=[*kept, "cds"])
 
     rows = by_number(of, contig).join(genome.select(F.col(contig), F.col(bases).alias("__bases")), contig).select(*kept, "__blocks", "__bases")

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
-from ..functions.once import computed
 from ..operators import annotate, intervals, transcripts
+from ..operators.edited import with_protein
 from ..sources import text
 from .bindings import aa_of, aa_text, rc
 from .catalog import query
@@ -151,8 +151,7 @@ eb AS (SELECT doc_id, i, base, CASE WHEN i < 2 AND new = '' AND max(CASE WHEN i
 
 def edited(t):
     rows = located(t, edits(t)).select("doc_id", F.col("offset").cast("int").alias("i"), "ref", "alt", "variant_id")
-    aa = F.substring_index(sq.translate(F.col("cds")), "*", 1)
-    return annotate.with_edits(computed(coding(t), "aa", F.nullif(aa, F.lit(""))).select("doc_id", "cds", "aa"), rows, ["doc_id"])
+    return annotate.with_edits(with_protein(coding(t), ["doc_id"]), rows, ["doc_id"])
 
 
 def bases(t):

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions import genotype as g
-from ..functions.once import computed
 from ..functions.sequence import falsey
 from ..operators import annotate, cohort, intervals, matrix, transcripts, variants
 from ..sources import faults, store, text
@@ -314,10 +313,7 @@ CDS = f"""(SELECT doc_id, strand, CASE WHEN strand = '-' THEN {rc('f')} ELSE f E
 
 def coding(t):
     """(doc_id, strand, cds), oriented."""
-    from ..functions.sequence import reverse_complement
-
-    c = transcripts.coding_sequence(t.v_tx, t.v_dna.select("doc_id", "q"), ["doc_id"], "doc_id", "q").withColumnRenamed("cds", "bases")
-    return computed(c, "cds", F.when(F.col("strand") == "-", reverse_complement(F.col("bases"))).otherwise(F.col("bases"))).drop("bases")
+    return transcripts.coding_sequence(t.v_tx, t.v_dna.select("doc_id", "q"), ["doc_id"], "doc_id", "q", oriented=True)
 
 
 def located(t, rows):

@@ -54,3 +54,18 @@ def test_letters_of_texts(spark, tmp_path):
     spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.s for r in Tables(spark, str(tmp_path)).v_letters.collect()}
     assert got == {0: "AZBJ", 1: "", 2: "", 3: "", 4: "X" * 1000}
+
+
+def test_proteins_and_orientation(spark):
+    from protloom.functions.sequence import translate
+    from protloom.operators import edited, transcripts
+
+    seqs = [(1, "ATGAAATAAGG"), (2, "TAAATG"), (3, "AT"), (4, ""), (5, None), (6, "ATGNNNCC"), (7, "GGGCCCA")]
+    rows = edited.with_protein(spark.createDataFrame(seqs, "id int, cds string"), ["id"])
+    assert {r.id: r.aa for r in rows.collect()} == {1: "MK", 2: None, 3: None, 4: None, 5: None, 6: "MX", 7: "GP"}
+    plain = rows.withColumn("want", F.nullif(F.substring_index(translate(F.col("cds")), "*", 1), F.lit("")))
+    assert plain.where("not (aa <=> want)").count() == 0
+    blocks = spark.createDataFrame([(1, 5, 6, "-"), (1, 1, 3, "-"), (2, 2, 4, "+")], "id int, start int, end int, strand string")
+    genome = spark.createDataFrame([(1, "ACGTRY"), (2, "ACGT")], "id int, seq string")
+    got = {r.id: r.cds for r in transcripts.coding_sequence(blocks, genome, ["id"], "id", oriented=True).collect()}
+    assert got == {1: "RYCGT", 2: "CGT"}
