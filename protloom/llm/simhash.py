@@ -144,23 +144,62 @@ def similar(docs: DataFrame, of: DataFrame, width: int, similarity: float, doc_i
 
 def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, doc_id: str, text: str) -> DataFrame:
     """Those of pairs(a, b) whose sets of word runs have the similarity, exactly."""
-    involved = pairs.select(F.col("a").alias(doc_id)).union(pairs.select("b")).distinct()
-    sets = checkpoint(_sets(docs.join(involved, doc_id, "left_semi"), doc_id, text, width))
-    # a document at the end of a large band meets thousands: its set goes to several tasks, its pairs are dealt over them
+    involved = checkpoint(pairs.select(F.col("a").alias(doc_id)).union(pairs.select("b")).distinct())
+    sets = checkpoint(_sets(docs.join(F.broadcast(involved) if involved.count() <= 1_000_000 else involved, doc_id, "left_semi"), doc_id, text, width))
+    both = F.size(F.array_intersect("runs_a", "runs_b"))
+    met = _beside(pairs, sets).select("a", "b", (both / (F.size("runs_a") + F.size("runs_b") - both)).alias("j"))
+    return met.where(F.col("j") >= similarity).select("a", "b").distinct()
+
+
+def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs(a, b) with the further columns x of values(doc_id, ...) of both, as x_a and x_b."""
+    # a document at the end of a large band meets thousands: what it has goes to several tasks, its pairs are dealt over them
     hot = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.ceil(F.count("*") / HOT_DOC).alias("parts")).where("parts > 1")
     of_hot = lambda c: hot.select(F.col("x").alias(c), F.col("parts").alias(f"parts_{c}"))
     dealt = lambda c, by: F.pmod(F.xxhash64(by), F.coalesce(f"parts_{c}", F.lit(1))).alias(f"part_{c}")
     pairs = pairs.join(of_hot("a"), "a", "left").join(of_hot("b"), "b", "left").select("a", "b", dealt("a", "b"), dealt("b", "a"))
-    sets = sets.join(of_hot("doc_id"), "doc_id", "left").select("doc_id", "runs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts_doc_id", F.lit(1)) - 1)).alias("part"))
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("part").alias(f"part_{c}"), F.col("runs").alias(f"of_{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    met = pairs.join(left, ["a", "part_a"]).join(right, ["b", "part_b"]).select("a", "b", (both / (F.size("of_a") + F.size("of_b") - both)).alias("j"))
-    return met.where(F.col("j") >= similarity).select("a", "b").distinct()
+    more = [x for x in values.columns if x != "doc_id"]
+    values = values.join(of_hot("doc_id"), "doc_id", "left").select("doc_id", *more, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts_doc_id", F.lit(1)) - 1)).alias("part"))
+    left, right = (values.select(F.col("doc_id").alias(c), F.col("part").alias(f"part_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in more]) for c in ("a", "b"))
+    return pairs.join(left, ["a", "part_a"]).join(right, ["b", "part_b"]).select("a", "b", *[f"{x}_{c}" for c in ("a", "b") for x in more])
+
+
+def signature(runs: np.ndarray) -> bytes:
+    """Parities of how many of a set's runs fall in each of some places: a power of two, at least twice as many as runs and 64."""
+    places = max(64, 1 << int(2 * len(runs) - 1).bit_length())
+    return np.packbits(np.bincount(runs.view(np.uint64) & np.uint64(places - 1), minlength=places) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, n_a: int, b: bytes, n_b: int, similarity: float) -> bool:
+    """Whether two sets of these signatures and sizes can have the similarity: no pair that has it is refused.
+
+    Where parities differ, one run at least is in one set only; the larger signature is folded to the size of the other.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(b)
+    while size > len(a):
+        size //= 2
+        y = y >> 8 * size ^ y & (1 << 8 * size) - 1
+    return (x ^ y).bit_count() <= (n_a + n_b) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def _possible(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) that by signed(doc_id, n, signature) can have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("signature_a", "n_a", "signature_b", "n_b"))
+            kept = pa.array([may_be_similar(*x, similarity) for x in zip(*columns)], pa.bool_())
+            yield pa.record_batch([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return map_batches(_beside(pairs, signed), run, f"a {kind}, b {kind}").distinct()
 
 
 def _rarest(docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
-    """(doc_id, same, n, runs): a digest of every text's set of runs, its size, and its first runs in an order common to all
-    texts: so many that two sets of the similarity share one of them.
+    """(doc_id, same, n, signature, runs): a digest of every text's set of runs, its size, its signature, and its first runs in
+    an order common to all texts: so many that two sets of the similarity share one of them.
 
     Any common order gives all pairs; with frequent runs last, few texts meet over one. Which are frequent is told from a SAMPLE-th
     of the texts.
@@ -185,30 +224,33 @@ def _rarest(docs: DataFrame, doc_id: str, text: str, width: int, similarity: flo
                 same = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in each]
                 least = [first(x) if len(x) else x for x in each]
                 runs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, least)]), pa.int32()), pa.array(np.concatenate(least)))
-                yield pa.record_batch([part.column("doc_id"), pa.array(same, pa.binary()), pa.array([len(x) for x in each], pa.int32()), runs], names=["doc_id", "same", "n", "runs"])
+                signatures = pa.array([signature(x) for x in each], pa.binary())
+                yield pa.record_batch([part.column("doc_id"), pa.array(same, pa.binary()), pa.array([len(x) for x in each], pa.int32()), signatures, runs], names=["doc_id", "same", "n", "signature", "runs"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {kind}, same binary, n int, runs array<bigint>").where("doc_id IS NOT NULL AND n > 0")
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {kind}, same binary, n int, signature binary, runs array<bigint>").where("doc_id IS NOT NULL AND n > 0")
 
 
 def unlinked(docs: DataFrame, classes: DataFrame, width: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b): pairs of the similarity that classes(doc_id, component_id) keeps apart, so that with them no link is missing.
 
     Texts of equal sets are linked with the least of them, which stands for all. Two sets of the similarity share one of their
-    rarest runs; texts that do, of different components and of fitting sizes, are compared, exactly. Runs that only texts of
-    one component share (large groups of near copies) give no pair.
+    rarest runs; texts that do, of different components and of fitting sizes, are compared: by signatures, which refuse most
+    pairs and none of the similarity, then exactly, so that few texts' sets are built and shuffled. Runs that only texts of one
+    component share (large groups of near copies) give no pair.
     """
     rare = checkpoint(_rarest(docs, doc_id, text, width, similarity))
     one = rare.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     copies = rare.join(one.where("copies > 1"), "same").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    stand = rare.join(one.select("same", F.col("least").alias("doc_id")), ["same", "doc_id"], "left_semi").select("doc_id", "n", "runs")
-    placed = checkpoint(stand.join(classes.distinct(), "doc_id").select("doc_id", F.col("component_id").alias("of"), "n", "runs"))
+    stand = one.select("same", F.col("least").alias("doc_id")).join(classes.distinct(), "doc_id")
+    placed = checkpoint(rare.join(stand, ["same", "doc_id"]).select("doc_id", F.col("component_id").alias("of"), "n", "signature", "runs"))
     each = placed.select(F.explode("runs").alias("run"), "doc_id", "of", "n")
     several = checkpoint(each.groupBy("run").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("run"))
     shared = each.join(F.broadcast(several) if several.count() <= 1_000_000 else several, "run", "left_semi")
     left, right = (shared.select("run", *[F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "of", "n")]) for c in ("a", "b"))
     fits = (F.col("of_a") < F.col("of_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
     pairs = checkpoint(left.join(right, "run").where(fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+    pairs = checkpoint(_possible(pairs, placed.select("doc_id", "n", "signature"), similarity))
     return _alike(docs, pairs, width, similarity, doc_id, text).unionByName(copies)
 
 

@@ -33,3 +33,33 @@ def test_links_do_not_depend_on_bands(spark):
     assert [tuple(r) for r in simhash.unlinked(docs, apart, 5, 0.8).collect()] == [(1, 2)]
     joined = docs.selectExpr("doc_id", "least(doc_id, 2) AS component_id").replace({1: 2}, subset=["component_id"])
     assert simhash.unlinked(docs, joined.withColumn("component_id", joined.component_id.cast("long")), 5, 0.8).count() == 0
+
+
+def test_signatures_refuse_no_similar_pair_and_most_others():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    refused = 0
+    for k in range(400):
+        n = int(rng.integers(1, 700))
+        a = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        kept = a[rng.random(len(a)) < rng.uniform(0.3, 1)]
+        b = np.unique(np.concatenate([kept, rng.integers(-(1 << 63), (1 << 63) - 1, int(rng.integers(0, n // 6 + 2)))]))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        alike = both / (len(a) + len(b) - both) >= 0.8
+        may = {simhash.may_be_similar(simhash.signature(x), len(x), simhash.signature(y), len(y), 0.8) for x, y in ((a, b), (b, a))}
+        assert len(may) == 1 and (may == {True} or not alike)
+        refused += may == {False}
+    assert refused > 200
+
+
+def test_sets_of_refused_pairs_are_not_built(spark, monkeypatch):
+    """Texts that share rare runs but are far from alike: their pairs are many, and no set is built for them."""
+    built, sets = [], simhash._sets
+    monkeypatch.setattr(simhash, "_sets", lambda docs, *how: built.append(sets(docs, *how)) or built[-1])
+    shared = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(i, shared + " " + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(20)], "doc_id long, text string")
+    assert simhash.unlinked(docs, docs.selectExpr("doc_id", "doc_id AS component_id"), 5, 0.8).count() == 0
+    assert built[-1].count() == 0
