@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.once import computed
-from .digest import Profile, digest
+from ..functions.once import by_number, computed
+from ..functions.sequence import normalize
+from .digest import Profile, digest, parts_of, plain_peptides
 
 
 def peptide_index(proteins: DataFrame, keys: list[str], seq: str, profile: Profile) -> DataFrame:
@@ -22,6 +27,38 @@ def changed_only(alt: DataFrame, ref: DataFrame, key: str) -> DataFrame:
     return alt.join(ref.select(key, "peptide").distinct(), [key, "peptide"], "left_anti")
 
 
+def changed_peptides(proteins: DataFrame, key: str, ref: str, alt: str, profile: Profile) -> DataFrame:
+    """(key, peptide, start, end): changed_only() of the digested changed forms (alt, where it isn't ref) and references.
+
+    Both forms are digested in the protein's task and compared there: peptides are neither shuffled nor joined. Proteins that
+    share a key, or have none, and profiles that aren't plain are digested into rows, which are joined.
+    """
+    p, changed = profile, F.col(alt) != F.col(ref)
+    joined = lambda rows: changed_only(digest(rows.where(changed), [key], alt, p), digest(rows, [key], ref, p), key)
+    if not p.plain():
+        return joined(proteins)
+    # a null key counts as none in the column, not in a filter, which would go below the shuffle and keep it from being shared
+    number = F.when(F.col(key).isNotNull(), F.count("*").over(Window.partitionBy(key))).otherwise(0)
+    rows = by_number(proteins.select(key, ref, alt), key).withColumn("__n", number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in parts_of(batch, "__alt")):
+            own, had, _, _ = plain_peptides(part.column("__ref"), p)
+            row, peptide, start, end = plain_peptides(part.column("__alt"), p)
+            named = lambda of, text: pc.binary_join_element_wise(pa.array(of).cast(pa.string()), text, ":")
+            new = pc.invert(pc.is_in(named(row, peptide), value_set=named(own, had)))
+            kept = [pa.array(row), peptide, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+            row, *columns = (x.filter(new) for x in kept)
+            yield pa.record_batch([part.column(key).take(row), *columns], names=[key, "peptide", "start", "end"])
+
+    kind = proteins.schema[key].dataType.simpleString()
+    once = rows.where(changed & (F.col("__n") == 1)).select(key, normalize(F.col(ref), p.isobaric).alias("__ref"), normalize(F.col(alt), p.isobaric).alias("__alt"))
+    once = once.mapInArrow(run, f"`{key}` {kind}, peptide string, start int, end int")
+    if p.nterm or p.cterm:
+        once = once.withColumn("peptide", F.concat(F.lit(p.nterm), "peptide", F.lit(p.cterm)))
+    return once.unionByName(joined(rows.where("__n <> 1")))
+
+
 def novel(candidates: DataFrame, index: DataFrame) -> DataFrame:
     """Candidates that no reference protein has. The index grows with the proteome: a shuffled anti-join unless Spark
     finds it small."""
