@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, map_batches, slices, without
+from .common import checkpoint, components, map_batches, sized, slices, tidy, without
 
 #: Bytes of a text that are split into words at once.
 PORTION = 4 << 20
@@ -145,7 +145,7 @@ def similar(docs: DataFrame, of: DataFrame, width: int, similarity: float, doc_i
 def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, doc_id: str, text: str) -> DataFrame:
     """Those of pairs(a, b) whose sets of word runs have the similarity, exactly."""
     involved = checkpoint(pairs.select(F.col("a").alias(doc_id)).union(pairs.select("b")).distinct())
-    sets = checkpoint(_sets(docs.join(F.broadcast(involved) if involved.count() <= 1_000_000 else involved, doc_id, "left_semi"), doc_id, text, width))
+    sets = checkpoint(_sets(docs.join(sized(involved), doc_id, "left_semi"), doc_id, text, width))
     both = F.size(F.array_intersect("runs_a", "runs_b"))
     met = _beside(pairs, sets).select("a", "b", (both / (F.size("runs_a") + F.size("runs_b") - both)).alias("j"))
     return met.where(F.col("j") >= similarity).select("a", "b").distinct()
@@ -154,8 +154,8 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, doc
 def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """pairs(a, b) with the further columns x of values(doc_id, ...) of both, as x_a and x_b."""
     # a document at the end of a large band meets thousands: what it has goes to several tasks, its pairs are dealt over them
-    hot = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.ceil(F.count("*") / HOT_DOC).alias("parts")).where("parts > 1")
-    of_hot = lambda c: hot.select(F.col("x").alias(c), F.col("parts").alias(f"parts_{c}"))
+    hot = sized(checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.ceil(F.count("*") / HOT_DOC).alias("parts")).where("parts > 1")))
+    of_hot = lambda c: hot.withColumnsRenamed({"x": c, "parts": f"parts_{c}"})
     dealt = lambda c, by: F.pmod(F.xxhash64(by), F.coalesce(f"parts_{c}", F.lit(1))).alias(f"part_{c}")
     pairs = pairs.join(of_hot("a"), "a", "left").join(of_hot("b"), "b", "left").select("a", "b", dealt("a", "b"), dealt("b", "a"))
     more = [x for x in values.columns if x != "doc_id"]
@@ -205,7 +205,8 @@ def _rarest(docs: DataFrame, doc_id: str, text: str, width: int, similarity: flo
     of the texts.
     """
     some = _sets(docs.where(F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(SAMPLE)) == 0), doc_id, text, width)
-    often = some.select(F.explode("runs").alias("run")).groupBy("run").count().where("count > 2").orderBy(F.desc("count"), "run").limit(FREQUENT).collect()
+    with tidy(docs.sparkSession):
+        often = some.select(F.explode("runs").alias("run")).groupBy("run").count().where("count > 2").orderBy(F.desc("count"), "run").limit(FREQUENT).collect()
     often = sorted((r[0], r[1]) for r in often)
     frequent = docs.sparkSession.sparkContext.broadcast((np.array([r for r, _ in often], np.int64), np.array([n for _, n in often], np.int64)))
 
@@ -246,7 +247,7 @@ def unlinked(docs: DataFrame, classes: DataFrame, width: int, similarity: float,
     placed = checkpoint(rare.join(stand, ["same", "doc_id"]).select("doc_id", F.col("component_id").alias("of"), "n", "signature", "runs"))
     each = placed.select(F.explode("runs").alias("run"), "doc_id", "of", "n")
     several = checkpoint(each.groupBy("run").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("run"))
-    shared = each.join(F.broadcast(several) if several.count() <= 1_000_000 else several, "run", "left_semi")
+    shared = each.join(sized(several), "run", "left_semi")
     left, right = (shared.select("run", *[F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "of", "n")]) for c in ("a", "b"))
     fits = (F.col("of_a") < F.col("of_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
     pairs = checkpoint(left.join(right, "run").where(fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
@@ -356,7 +357,8 @@ def drop(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
     """docs without the ids in gone; of rows that repeat a doc_id one stays."""
     kept = without(docs, gone, doc_id)
     again = checkpoint(docs.groupBy(doc_id).count().where("count > 1").select(doc_id))
-    if not again.count():
-        return kept
+    with tidy(docs.sparkSession):
+        if again.isEmpty():
+            return kept
     once = kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id])
     return without(kept, again, doc_id).unionByName(once)
