@@ -18,6 +18,8 @@ from .common import map_batches, release, remainder, slices, with_text, words_of
 SAMPLE_DOCS, TRAINING_UNITS = 3000, 20_000
 #: Landmarks to begin with, rounds that add half as many, and how many characters the machine tells apart.
 LANDMARKS, ROUNDS, ALPHABET = 256, 2, 100
+#: Landmarks whose subsequences are columns of one table at a time.
+MARKS = 32
 #: Kernel: common subsequences of three characters, each weighted by DECAY to the power of the stretch it spans.
 LENGTH, DECAY = 3, 0.6
 #: Longer words are taken in overlapping pieces of so many characters.
@@ -115,18 +117,20 @@ class Features:
 
 def gram(strings: list[str], marks: list[str], alphabet: str) -> np.ndarray:
     """Kernel of all strings with all marks, a few thousand entries at a time: memory is the result's."""
-    known, column = Features.of(marks, alphabet).columns()
     out = np.zeros((len(strings), len(marks)), np.float32)
-    for first in range(0, len(strings) if len(known) else 0, 2000):
+    # columns of all marks at once would have most subsequences of one mark in every other mark's column, as zeros
+    blocks = [(m, *Features.of(marks[m : m + MARKS], alphabet).columns()) for m in range(0, len(marks), MARKS)]
+    for first in range(0, len(strings), 2000):
         some = Features.of(strings[first : first + 2000], alphabet)
-        for k in range(0, len(some.rows), 8192):
-            r, f, w = (x[k : k + 8192] for x in (some.rows, some.what, some.weight))
-            at = np.minimum(np.searchsorted(known, f), len(known) - 1)
-            hit = known[at] == f
-            r, product = r[hit], column[at[hit]] * w[hit, None]
-            if len(r):
-                start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                out[first + r[start]] += np.add.reduceat(product, start)
+        for m, known, column in blocks:
+            for k in range(0, len(some.rows) if len(known) else 0, 8192):
+                r, f, w = (x[k : k + 8192] for x in (some.rows, some.what, some.weight))
+                at = np.minimum(np.searchsorted(known, f), len(known) - 1)
+                hit = known[at] == f
+                r, product = r[hit], column[at[hit]] * w[hit, None]
+                if len(r):
+                    start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                    out[first + r[start], m : m + MARKS] += np.add.reduceat(product, start)
     return out
 
 
@@ -288,16 +292,16 @@ def machine(strings: list[str], bad: np.ndarray, good: np.ndarray, landmarks: in
             new = np.linalg.solve(h, g)
             settled = np.allclose(new, w, atol=1e-7)
             w = new
-            f = k[:, :done] @ (root @ w[:-1]) + w[-1]
+            v = root @ w[:-1]
+            f = np.concatenate([k[s : s + 2048, :done] @ v for s in range(0, len(strings), 2048)]) + w[-1]
             if settled:
                 break
         if r < rounds:
             wrong = np.abs(p * np.maximum(0, 1 - f) - n * np.maximum(0, 1 + f)) / np.sqrt(p + n)
             chosen = set(marks)
             marks += [i for i in np.argsort(-wrong, kind="stable").tolist() if i not in chosen][: landmarks // 2]
-    known, column = Features.of([strings[i] for i in marks], alphabet).columns()
-    table = np.zeros((len(alphabet) + 1) ** 3, np.float32)
-    table[known] = column @ (root @ w[:-1])
+    parts = Features.of([strings[i] for i in marks], alphabet)
+    table = np.bincount(parts.what, parts.weight * (root @ w[:-1])[parts.rows], (len(alphabet) + 1) ** 3).astype(np.float32)
     return Model(alphabet, table, float(w[-1]), blank=False)
 
 
